@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import SPACE, let, window_hashes, words
 
 GOOD, BAD = 1, -1
-#: Estimated accuracies and the share of good documents stay within these, so that a vote never counts against what it says.
-ACCURACY = (0.55, 0.99)
+#: Bounds of the estimated accuracies on good and on bad documents and of the share of good documents. A vote never counts against what it says, and rules seldom blame a good document: without the latter, the class "bad" could come to mean one kind of junk only.
+ON_GOOD = (0.9, 0.99)
+ON_BAD = (0.6, 0.99)
 PRIOR = (0.5, 0.99)
 
 
@@ -27,17 +28,20 @@ class Rule:
 
     name: str
     bad: str
-    good: str
+    good: str = "FALSE"
 
 
 RULES = (
     Rule("symbols", "n_symbols > 0.3 * n_words", "n_symbols < 0.05 * n_words"),
-    Rule("repeats", "n_repeat_words > 0.1 * n_words", "n_repeat_words < 0.02 * n_words"),
-    Rule("capitals", "n_capitals > 0.4 * word_chars", "n_capitals < 0.15 * word_chars"),
-    Rule("shouting", "n_shouts > 0.1 * n_words", "n_shouts < 0.01 * n_words"),
-    Rule("lines", "n_dup_lines > 0.3 * n_lines", "n_lines >= 3 AND n_dup_lines = 0"),
-    Rule("variety", "n_words >= 30 AND n_words <= 3000 AND n_distinct < 0.2 * n_words", "n_words <= 3000 AND n_distinct > 0.35 * n_words"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words", "word_chars >= 3 * n_words AND word_chars <= 10 * n_words"),
+    Rule("word_ends", "n_whole_words < 0.65 * n_words", "n_whole_words > 0.95 * n_words"),
+    Rule("letters", "n_letters < 0.7 * word_chars", "n_letters > 0.92 * word_chars"),
+    Rule("bare_marks", "n_marks > 0.25 * n_words"),
+    Rule("repeats", "n_repeat_words > 0.1 * n_words"),
+    Rule("capitals", "n_capitals > 0.4 * word_chars"),
+    Rule("shouting", "n_shouts > 0.1 * n_words"),
+    Rule("lines", "n_lines >= 4 AND n_dup_lines > 0.3 * n_lines"),
+    Rule("variety", "n_words BETWEEN 30 AND 3000 AND n_distinct < 0.2 * n_words", "n_words <= 3000 AND n_distinct > 0.35 * n_words"),
+    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
 )
 
 
@@ -69,6 +73,9 @@ def signals(df: DataFrame, text: str = "text") -> DataFrame:
         "n_lines": F.size("lines"),
         "n_distinct": F.size(F.array_distinct("words")),
         "n_capitals": F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")),
+        "n_letters": F.length(F.regexp_replace("text", r"[^\p{L}]+", "")),
+        "n_whole_words": F.size(F.filter("words", lambda w: w.rlike(r"[\p{L}\p{N}][.,;:!?)\"']?$"))),
+        "n_marks": F.size(F.filter("words", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))),
         "n_shouts": F.regexp_count("text", F.lit("[!?]{2,}")),
     }
     return held.select("row", *[c.cast("long").alias(k) for k, c in counts.items()])
@@ -100,9 +107,9 @@ class LabelModel:
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100, tolerance: float = 1e-9) -> LabelModel:
-    """EM over (votes, number of documents). Starts from accuracies of 0.8 and as many good as bad documents get from a majority of votes; two imagined right votes and one wrong one smooth each accuracy."""
+    """EM over (votes, number of documents). Starts from a share of 0.8 and accuracies of 0.9 and 0.7; two imagined right votes and one wrong one smooth each accuracy."""
     clip = lambda x, r: min(max(x, r[0]), r[1])
-    prior, on_good, on_bad = 0.8, [0.8] * n_rules, [0.8] * n_rules
+    prior, on_good, on_bad = 0.8, [0.9] * n_rules, [0.7] * n_rules
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         right_good, all_good, right_bad, all_bad, good = [2.0] * n_rules, [3.0] * n_rules, [2.0] * n_rules, [3.0] * n_rules, 0.0
@@ -118,8 +125,8 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
                     right_bad[j] += n * (1 - p) * (x == BAD)
         before = (prior, *on_good, *on_bad)
         prior = clip(good / total, PRIOR)
-        on_good = [clip(a / b, ACCURACY) for a, b in zip(right_good, all_good, strict=True)]
-        on_bad = [clip(a / b, ACCURACY) for a, b in zip(right_bad, all_bad, strict=True)]
+        on_good = [clip(a / b, ON_GOOD) for a, b in zip(right_good, all_good, strict=True)]
+        on_bad = [clip(a / b, ON_BAD) for a, b in zip(right_bad, all_bad, strict=True)]
         if max(abs(a - b) for a, b in zip(before, (prior, *on_good, *on_bad), strict=True)) < tolerance:
             break
     return LabelModel(prior, tuple(on_good), tuple(on_bad))
