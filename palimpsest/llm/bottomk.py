@@ -8,25 +8,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import let, window_hashes, words
+from palimpsest.llm.common import let, window_hashes, word_hashes, words
 
 SHINGLE = 5
 K = 128
 
 
-def shingle_hashes(words: Column, n: int = SHINGLE) -> Column:
-    """Hashes of the shingles, repeats included. words: a column of the frame."""
-    return F.when((F.size(words) > 0) & (F.size(words) < n), F.array(F.xxhash64(F.array_join(words, " ")))).otherwise(window_hashes(words, n))
+def shingle_hashes(hashes: Column, n: int = SHINGLE) -> Column:
+    """Hashes of the shingles, repeats included. hashes: word_hashes(), as a column of the frame."""
+    return F.when((F.size(hashes) > 0) & (F.size(hashes) < n), F.array(F.xxhash64(hashes))).otherwise(window_hashes(hashes, n))
 
 
-def sketch(words: Column, k: int = K, n: int = SHINGLE) -> Column:
-    return F.slice(F.sort_array(F.array_distinct(shingle_hashes(words, n))), 1, k)
+def sketch(hashes: Column, k: int = K, n: int = SHINGLE) -> Column:
+    return F.slice(F.sort_array(F.array_distinct(shingle_hashes(hashes, n))), 1, k)
 
 
 def with_sketch(df: DataFrame, text: str, name: str, k: int = K, n: int = SHINGLE) -> DataFrame:
-    """df and the sketch of its column text. The words stand in a column of their own for a moment, so that they are split once."""
-    held = f"{name}__words"
-    return df.withColumn(held, words(F.col(text))).withColumn(name, sketch(F.col(held), k, n)).drop(held)
+    """df and the sketch of its column text. The words' hashes stand in a column of their own for a moment, so that they are computed once."""
+    held = f"{name}__hashes"
+    return df.withColumn(held, word_hashes(words(F.col(text)))).withColumn(name, sketch(F.col(held), k, n)).drop(held)
 
 
 def merge(a: Column, b: Column, k: int = K) -> Column:

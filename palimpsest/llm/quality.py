@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, let, window_hashes, words
+from palimpsest.llm.common import SPACE, cut, let, window_hashes, word_hashes, words
 
 GOOD, BAD = 1, -1
 #: Bounds of the estimated accuracies on good and on bad documents and of the share of good documents. A vote never counts against what it says, and rules seldom blame a good document: without the latter, the class "bad" could come to mean one kind of junk only.
@@ -33,12 +33,10 @@ class Rule:
 
 RULES = (
     Rule("symbols", "n_symbols > 0.3 * n_words", "n_symbols < 0.05 * n_words"),
-    Rule("word_ends", "n_whole_words < 0.65 * n_words", "n_whole_words > 0.95 * n_words"),
-    Rule("letters", "n_letters < 0.7 * word_chars", "n_letters > 0.92 * word_chars"),
-    Rule("bare_marks", "n_marks > 0.25 * n_words"),
+    Rule("symbol_share", "n_symbols > 0.05 * word_chars", "n_symbols < 0.01 * word_chars"),
+    Rule("mark_runs", "n_mark_runs > 0.2 * n_words", "n_mark_runs < 0.02 * n_words"),
     Rule("repeats", "n_repeat_words > 0.1 * n_words"),
     Rule("capitals", "n_capitals > 0.4 * word_chars"),
-    Rule("shouting", "n_shouts > 0.1 * n_words"),
     Rule("lines", "n_lines >= 4 AND n_dup_lines > 0.3 * n_lines"),
     Rule("variety", "n_words BETWEEN 30 AND 3000 AND n_distinct < 0.2 * n_words", "n_words <= 3000 AND n_distinct > 0.35 * n_words"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
@@ -63,20 +61,18 @@ def signals(df: DataFrame, text: str = "text") -> DataFrame:
     """Columns row (a struct of all columns of df) and the counts that rules read, all long."""
     held = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.coalesce(df[text], F.lit("")).alias("text"))
     held = held.select("row", "text", words(F.col("text")).alias("words"))
-    held = held.select("row", "text", "words", window_hashes(F.col("words"), 5).alias("grams"), F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]")).alias("lines"))
+    held = held.select("row", "text", F.length(F.array_join("words", "")).alias("word_chars"), word_hashes(F.col("words")).alias("hashes"))
+    held = held.select("row", "text", "word_chars", "hashes", window_hashes(F.col("hashes"), 5).alias("grams"), F.filter(F.split("text", "\n"), lambda x: x.rlike(f"[^{SPACE[1:-1]}]")).alias("lines"))
     counts = {
-        "n_words": F.size("words"),
-        "word_chars": F.length(F.array_join("words", "")),
+        "n_words": F.size("hashes"),
+        "word_chars": F.col("word_chars"),
         "n_symbols": F.regexp_count("text", F.lit("[#*$%&|<>]")),
         "n_dup_lines": F.size("lines") - F.size(F.array_distinct("lines")),
         "n_repeat_words": repeated_words(F.col("grams"), 5),
         "n_lines": F.size("lines"),
-        "n_distinct": F.size(F.array_distinct("words")),
+        "n_distinct": F.size(F.array_distinct("hashes")),
         "n_capitals": F.length(F.regexp_replace("text", r"[^\p{Lu}]+", "")),
-        "n_letters": F.length(F.regexp_replace("text", r"[^\p{L}]+", "")),
-        "n_whole_words": F.size(F.filter("words", lambda w: w.rlike(r"[\p{L}\p{N}][.,;:!?)\"']?$"))),
-        "n_marks": F.size(F.filter("words", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))),
-        "n_shouts": F.regexp_count("text", F.lit("[!?]{2,}")),
+        "n_mark_runs": F.regexp_count("text", F.lit("[#*$%&<>!?]{2,}| [|] ")),
     }
     return held.select("row", *[c.cast("long").alias(k) for k, c in counts.items()])
 
@@ -132,16 +128,20 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int =
     return LabelModel(prior, tuple(on_good), tuple(on_bad))
 
 
-def fit_corpus(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> LabelModel:
-    """The model of all documents of df. The driver gets one row for each pattern of votes, at most 3 ** len(rules)."""
-    counted = signals(df.select(df[text]), text).groupBy(votes(rules).alias("votes")).agg(F.count("*").alias("n")).collect()
-    return fit(sorted((tuple(r["votes"]), r["n"]) for r in counted), len(rules))
+def fit_corpus(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
+    """The model of all documents of counted, a result of signals(). The driver gets one row for each pattern of votes, at most 3 ** len(rules)."""
+    patterns = counted.groupBy(votes(rules).alias("votes")).agg(F.count("*").alias("n")).collect()
+    return fit(sorted((tuple(r["votes"]), r["n"]) for r in patterns), len(rules))
 
 
-def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """row, the counts of signals(), votes, quality (posterior probability), base_failed and kept, for each row of df."""
-    model = fit_corpus(df, text, rules)
-    judged = signals(df, text).withColumn("votes", votes(rules))
+def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
+    """row (a struct of all columns of df, or of those in carry), the counts of signals(), votes, quality (posterior probability), base_failed and kept, for each row of df. One pass over the texts: the counts are written to the shared folder before the model is fitted."""
+    counted = signals(df, text)
+    if carry is not None:
+        counted = counted.withColumn("row", F.struct(*[F.col("row").getField(c) for c in carry]))
+    counted = cut(counted)
+    model = fit_corpus(counted, rules)
+    judged = counted.withColumn("votes", votes(rules))
     judged = judged.withColumn("quality", model.posterior(F.col("votes"))).withColumn("base_failed", F.expr(BASE_FAILED))
     return judged.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
 
@@ -149,5 +149,3 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, th
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """The rows of df that are kept, with the columns of df."""
     return judge(df, text, rules, threshold).where("kept").select("row.*")
-
-
