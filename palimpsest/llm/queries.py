@@ -5,10 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bottomk, mixing, quality, sharding
+from palimpsest.llm import bottomk, mixing, quality, sharding, simhash
 from palimpsest.llm.common import table
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.to_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).alias("taken"))
@@ -37,6 +42,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op4_mixing, op8_fingerprints, op9_sharding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op8_fingerprints, op9_sharding, op10_quality)}
 
 SQL: dict[str, str] = {}
