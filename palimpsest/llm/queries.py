@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bottomk, mixing, quality, sharding, simhash
+from palimpsest.llm import bottomk, mixing, packing, quality, secrets, sharding, simhash, toxicity
 from palimpsest.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 0
+    model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.scores(F.col("text"), model).alias("s"))
+    return scored.select("doc_id", "held_out", "s.score", F.when(F.col("s.score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("s.offending").alias("n_offending"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.to_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -19,6 +27,14 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).alias("taken"))
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select("doc_id", secrets.scan(F.col("text")).alias("s")).select("doc_id", "s.*")
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = bottomk.against_edits(table(spark, sf_dir, "documents"))
     return docs.select(
@@ -42,6 +58,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op3_simhash, op4_mixing, op8_fingerprints, op9_sharding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_mixing, op6_packing, op7_secrets, op8_fingerprints, op9_sharding, op10_quality)}
 
 SQL: dict[str, str] = {}
