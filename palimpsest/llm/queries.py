@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bottomk, mixing, packing, quality, secrets, sharding, simhash, toxicity
+from palimpsest.llm import bottomk, mixing, packing, quality, secrets, sharding, simhash, site_style, toxicity, warc
 from palimpsest.llm.common import table
 
 
@@ -17,6 +17,13 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "s.score", F.when(F.col("s.score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("s.offending").alias("n_offending"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.round_trip(table(spark, sf_dir, "pages")).where("gap IS NULL")
+    return found.select(
+        warc.page_key("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_key("refers_to").cast("long").alias("refers_to")
+    )
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.to_hex(F.col("fp")).alias("fingerprint"), F.col("component").alias("component_id"))
@@ -27,6 +34,10 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("epochs_taken")).alias("taken"))
 
 
+def op5_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_style.main_text(table(spark, sf_dir, "pages"))
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -58,6 +69,6 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select(F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op3_simhash, op4_mixing, op6_packing, op7_secrets, op8_fingerprints, op9_sharding, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_simhash, op4_mixing, op5_extraction, op6_packing, op7_secrets, op8_fingerprints, op9_sharding, op10_quality)}
 
 SQL: dict[str, str] = {}
