@@ -100,3 +100,10 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
     taken = sum((F.when((F.col("size") > 0) & inside(f), 1).otherwise(0) for f in finish), F.lit(0))
     return queued.select(F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target", taken.cast("int").alias("epochs_taken"))
+
+
+def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """The rows of df, each as often as the mix takes it. Rows that share key and source stand or fall together: each is taken as often as the most taken of them."""
+    taken = mix(df, key, text, source, **options).where("epochs_taken > 0").groupBy(F.col(key).alias("__key"), F.col(source).alias("__source")).agg(F.max("epochs_taken").alias("__n"))
+    joined = df.join(taken, df[key].eqNullSafe(taken["__key"]) & df[source].eqNullSafe(taken["__source"]))
+    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[df[c] for c in df.columns])
