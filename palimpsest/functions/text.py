@@ -62,8 +62,7 @@ def leaves(value: object, path: str = "") -> list[str]:
     return [x for k, v in items for x in leaves(v, f"{path}.{k}" if path else k)]
 
 
-@F.pandas_udf("string")
-def text_of(payload: pd.Series) -> pd.Series:
+def text_of(payload: Column) -> Column:
     """The leaves of a JSON payload, one a line; null for what isn't JSON. A JSON parser that keeps the order of keys isn't among the built-in functions."""
 
     def one(p: str | None) -> str | None:
@@ -72,7 +71,11 @@ def text_of(payload: pd.Series) -> pd.Series:
         except ValueError:
             return None
 
-    return payload.map(one)
+    @F.pandas_udf("string")
+    def of(payloads: pd.Series) -> pd.Series:
+        return pd.Series([one(p) for p in payloads], dtype=object)
+
+    return of(payload)
 
 
 def repo_text(repo: Column, card: Column) -> Column:

@@ -499,7 +499,7 @@ def stale_citations(s, d):
 
 @query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS text FROM events")
 def text_of(s, d):
-    return table(s, d, "events").select("event_id", tx.text_of("props").alias("text"))
+    return table(s, d, "events").select("event_id", tx.text_of(F.col("props")).alias("text"))
 
 
 @query("WITH h AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_aggregate(list_transform(v, lambda x: abs(x)), 'sum') / sqrt(list_inner_product(v, v)), 6) AS total FROM h")
