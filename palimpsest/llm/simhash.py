@@ -6,12 +6,16 @@ Coordinates are written in unary (00, 01, 11), so that a Manhattan distance is a
 
 Cells with more than HOT fingerprints are not joined as a whole. Their members are dealt into blocks, each pair of blocks is compared on its own, and it gives a spanning forest of its links instead of all of them, which leaves the components as they are.
 
+A similarity of 0.8 between sets of shingles is about 10 differing bits of 64, beyond what cells can be small for. near_duplicates_by_similarity() therefore takes 512 bits: two documents are compared if they agree in one of 64 bands of 16 bits, by embedding and distance of the first 64 bits and then by the distance of all.
+
 Null and empty texts have no words, and fingerprint zero; they link like all others. Ties, repeated rows and equal texts share a fingerprint. Very long texts are hashed in blocks. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
+from math import acos, pi
 
 import numpy as np
 import pandas as pd
@@ -28,24 +32,46 @@ DISTANCE = 4
 GRIDS = 8
 HOT = 256
 #: Hashes whose bits are counted at once.
-BLOCK = 1 << 16
+BLOCK = 1 << 13
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """A bit is 1 if it is set in more than half of the XXH64 hashes of the shingles, repeats included. A-Z count as a-z; fewer words than a shingle make one."""
+def shingle_hashes(text: str | None, shingle: int) -> tuple[int, Iterator[np.ndarray]]:
+    """How many shingles a text has, repeats included, and their XXH64 hashes in blocks. A-Z count as a-z; fewer words than a shingle make one."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space only
     if not words:
-        return 0
+        return 0, iter(())
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     n = max(len(words) - shingle + 1, 1)
     first = np.concatenate(([0], ends[: n - 1] + 1))
     last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-    counts = np.zeros(64, np.int64)
-    for at in range(0, n, BLOCK):
-        hashes = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)), "<u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+
+    def blocks() -> Iterator[np.ndarray]:
+        for at in range(0, n, BLOCK):
+            yield np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)), "<u8")
+
+    return n, blocks()
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """A bit is 1 if it is set in more than half of the hashes."""
+    return int(wide_fingerprint(text, shingle, 1)[0])
+
+
+def wide_fingerprint(text: str | None, shingle: int, parts: int) -> np.ndarray:
+    """The same over parts times 64 bits, as signed longs. Further parts take the hashes through a mixing step each."""
+    n, blocks = shingle_hashes(text, shingle)
+    counts = np.zeros(64 * parts, np.int64)
+    for hashes in blocks:
+        wide = np.empty((len(hashes), parts), "<u8")
+        for j in range(parts):
+            wide[:, j] = hashes
+            # The finalizer of MurmurHash3.
+            hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+            hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+            hashes ^= hashes >> np.uint64(33)
+        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n, bitorder="little").view("<i8")
 
 
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
@@ -99,23 +125,23 @@ def links(points: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
     members = members.select("chosen", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
 
     def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        return spanning_forest(pdf["fp"].to_numpy(), distance)
+        fps = pdf["fp"].drop_duplicates().to_numpy()
+        return spanning_forest(fps, fps.reshape(-1, 1), distance)
 
     return found.unionByName(members.groupBy("chosen", "cell", "i", "j").applyInPandas(forest, "a long, b long"))
 
 
-def spanning_forest(fps: np.ndarray, distance: int) -> pd.DataFrame:
-    """Links that connect what all links among these fingerprints connect: from each one reached, its links to those not reached yet."""
-    fps = np.unique(fps).astype(np.int64)
-    rest, out = fps, []
+def spanning_forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> pd.DataFrame:
+    """Links that connect what all links among these fingerprints, one a row of fps, connect: from each one reached, its links to those not reached yet."""
+    rest, out = np.arange(len(ids)), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
         while queue and len(rest):
             at = queue.pop()
-            near = np.bitwise_count((rest ^ at).view(np.uint64)) <= distance
+            near = np.bitwise_count((fps[rest] ^ fps[at]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= distance
             reached, rest = rest[near], rest[~near]
-            out += [(min(at, x), max(at, x)) for x in reached]
-            queue += list(reached)
+            out += [(min(ids[at], ids[x]), max(ids[at], ids[x])) for x in reached]
+            queue += reached.tolist()
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -131,14 +157,82 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-def to_hex(fp: Column) -> Column:
-    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+PARTS = 8
+BANDS = 64
+BAND_BITS = 16
+#: Differing bits of the first 64 beyond which a candidate isn't looked at again: three deviations above the mean at a similarity of 0.8.
+FIRST_DISTANCE = 19
+
+
+def wide_distance(similarity: float, bits: int = 64 * PARTS) -> int:
+    """Differing bits to expect at this Jaccard similarity of two sets of one size: their cosine is 2 s / (1 + s), and a bit differs with probability angle / pi."""
+    return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
+
+
+def bands(wide: np.ndarray) -> np.ndarray:
+    """BANDS keys for each row of PARTS longs: each 16 bits in a row, and each 16 bits that lie 32 apart, with the number of the band above them."""
+    n = len(wide)
+    bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").reshape(n, BAND_BITS, BANDS // 2)
+    spaced = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view("<u2").reshape(n, BANDS // 2)
+    return np.concatenate([wide.view("<u2"), spaced], axis=1).astype(np.int64) + (np.arange(BANDS) << BAND_BITS)
+
+
+def similar_links(points: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
+    """Columns a < b of linked ids; of those that only meet in crowded bands, enough to connect what all connect. points: id and wide, an array of PARTS longs."""
+    spark = points.sparkSession
+    spread = points.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
 
+    @F.pandas_udf("array<long>")
+    def banded(wide: pd.Series) -> pd.Series:
+        return pd.Series(list(bands(np.ascontiguousarray(np.stack(wide.to_numpy()), dtype="<i8"))))
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE) -> DataFrame:
-    """The rows of df whose key is the smallest of their component, each once."""
-    found = near_duplicates(df, key, text, shingle, distance)
-    kept = found.where(F.col(key).eqNullSafe(F.col("component"))).select(F.col(key).alias("__key")).distinct()
-    return df.join(kept, df[key].eqNullSafe(kept["__key"]), "left_semi").dropDuplicates([key])
+    first = F.get("wide", F.lit(0))
+    keyed = spread.select("id", first.alias("fp"), embedding(first).alias("at"), F.explode(banded("wide")).alias("band"))
+    crowded = keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+    crowded = cut(crowded.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")))
+    some = bool(crowded.take(1))
+    thin = keyed.join(crowded, "band", "left_anti") if some else keyed
+    a, b = thin.alias("a"), thin.alias("b")
+    near = (differing(F.col("a.at"), F.col("b.at")) <= FIRST_DISTANCE) & (differing(F.col("a.fp"), F.col("b.fp")) <= FIRST_DISTANCE)
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
+    left, right = points.select(F.col("id").alias("a"), F.col("wide").alias("wa")), points.select(F.col("id").alias("b"), F.col("wide").alias("wb"))
+    apart = sum((differing(F.get("wa", F.lit(i)), F.get("wb", F.lit(i))) for i in range(PARTS)), F.lit(0))
+    found = pairs.join(left, "a").join(right, "b").where(apart <= distance).select("a", "b")
+    if not some:
+        return found
+    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = keyed.select("id", "band").join(crowded, "band").withColumn("block", block)
+    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    members = members.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id").join(points, "id")
+
+    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
+        return spanning_forest(pdf["id"].to_numpy(), np.stack(pdf["wide"].to_numpy()), distance)
+
+    return found.unionByName(members.groupBy("band", "i", "j").applyInPandas(forest, "a long, b long"))
+
+
+def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+    """For each row of df: key and component, the smallest key that links reach from it. Keys are whole numbers. A link stands for a similarity, as estimated from 512 bits, of at least the given one."""
+
+    @F.pandas_udf("array<long>")
+    def wide(texts: pd.Series) -> pd.Series:
+        return pd.Series([wide_fingerprint(t, shingle, PARTS) for t in texts])
+
+    rows = cut(df.select(df[key].alias("key"), wide(df[text]).alias("wide")))
+    points = cut(rows.groupBy("wide").agg(F.min("key").alias("id")))
+    joined = components(similar_links(points.where("id IS NOT NULL"), wide_distance(similarity), hot))
+    # The root of a component is its smallest id, and an id is the smallest key of its text.
+    named = points.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("wide", F.coalesce("root", "id").alias("component"))
+    return rows.join(named, "wide").select(F.col("key").alias(key), "component")
+
+
+def to_hex(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of df whose key is the smallest of their near-duplicates, each once. Rows without a key stay."""
+    found = near_duplicates_by_similarity(df.where(df[key].isNotNull()), key, text, shingle, similarity)
+    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias("__key")).distinct()
+    without = df.where(df[key].isNull())
+    return df.join(kept, df[key] == kept["__key"], "left_semi").dropDuplicates([key]).unionByName(without)
