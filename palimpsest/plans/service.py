@@ -213,7 +213,7 @@ def publish(
     pins = body.get("pin") or []
     if not (isinstance(pins, list) and all(isinstance(p, str) for p in pins)):
         raise Refused(400, "pin must be a list of names")
-    file = file_of(body["file"]) if body.get("file") else None
+    file = file_of(body["file"]) if body.get("file") is not None else None
     if not grant or not grant.get("publisher"):
         raise Refused(401, "no grant")
     if repo not in grant.get("repos", []):
