@@ -99,6 +99,8 @@ def one_record(data: bytes, at: int, whole: bool = False) -> Record:
         if not colon:
             raise Damaged("a header line without a colon")
         headers[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+    if not headers.get("warc-type") or not headers.get("warc-record-id"):
+        raise Damaged("no type or no name")
     length = headers.get("content-length", "")
     if not (length.isascii() and length.isdigit()):
         raise Damaged("no length")
