@@ -4,6 +4,11 @@ from pathlib import Path
 
 import pytest
 
+from hypothesis import settings
+
+settings.register_profile("steady", deadline=None)
+settings.load_profile("steady")
+
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = f"{ROOT}{os.pathsep}{os.environ.get('PYTHONPATH', '')}"
