@@ -147,5 +147,7 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, th
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """The rows of df that are kept, with the columns of df."""
-    return judge(df, text, rules, threshold).where("kept").select("row.*")
+    """The rows of df that are kept, with the columns of df. Two passes over the texts, so that they need not be written in between."""
+    model = fit_corpus(signals(df.select(df[text]), text), rules)
+    judged = signals(df, text).withColumn("quality", model.posterior(votes(rules)))
+    return judged.where(~F.expr(BASE_FAILED) & (F.col("quality") >= threshold)).select("row.*")

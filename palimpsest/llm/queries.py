@@ -71,4 +71,9 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_simhash, op4_mixing, op5_extraction, op6_packing, op7_secrets, op8_fingerprints, op9_sharding, op10_quality)}
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op2_warc": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+d AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest, min(page_id) OVER (PARTITION BY h) AS first FROM p),
+e AS (SELECT *, CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM e""",
+}
