@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest import model
@@ -20,7 +20,6 @@ SQL: dict[str, str] = {}
 QUERY = "moron scum thing-of"
 VECTOR = 7
 CHECKERS = {"note": "check-note", "page": "check-page", "book": "check-book"}
-CHECKER = gate.checker_of(F.col("type"), {k: CHECKERS[k] for k in ("note", "page")}, "check-book")
 
 TYPE = "CASE WHEN n_chars < 500 THEN 'note' WHEN n_chars < 3000 THEN 'page' ELSE 'book' END"
 RECORDS = f"records AS (SELECT doc_id AS rowseq, source AS publisher, lang AS repo, CAST(doc_id AS VARCHAR) AS id, sha256(text) AS cid, {TYPE} AS type, text, n_chars FROM documents)"
@@ -66,6 +65,10 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
     return vectors(spark, d).select("rowseq", "label", vx.cosine(F.col("vec"), vector(spark, d)).alias("score"))
 
 
+def checker() -> Column:
+    return gate.checker_of(F.col("type"), {k: CHECKERS[k] for k in ("note", "page")}, "check-book")
+
+
 # Retrieval
 
 
@@ -148,7 +151,7 @@ def hybrid_search(s, d):
 @query(hybrid_sql("SELECT r.rowseq FROM records r JOIN verdicts v ON r.publisher = v.publisher AND r.repo = v.repo AND r.id = v.id AND r.cid = v.cid AND 'check-' || r.type = v.checker AND v.reason IS NULL"))
 def hybrid_search_gated(s, d):
     r = model.records(s, d)
-    return hits(search.search(r, vectors(s, d), QUERY, vector(s, d), allowed=gate.allowed(r, model.verdicts(s, d), CHECKER).select("rowseq")))
+    return hits(search.search(r, vectors(s, d), QUERY, vector(s, d), allowed=gate.allowed(r, model.verdicts(s, d), checker()).select("rowseq")))
 
 
 @query(hybrid_sql("SELECT rowseq FROM records WHERE repo IN ('en', 'de') AND type = 'page'"))
@@ -199,22 +202,22 @@ SAME = "r.publisher = v.publisher AND r.repo = v.repo AND r.id = v.id AND r.cid
 
 @query(f"WITH {RECORDS}, {VERDICTS} SELECT publisher, repo, id FROM records r WHERE EXISTS (SELECT 1 FROM verdicts v WHERE {SAME} AND v.reason IS NULL)")
 def gate_allowed(s, d):
-    return gate.allowed(model.records(s, d), model.verdicts(s, d), CHECKER).select(*KEY)
+    return gate.allowed(model.records(s, d), model.verdicts(s, d), checker()).select(*KEY)
 
 
 @query(f"WITH {RECORDS}, {VERDICTS} SELECT publisher, repo, id FROM records r WHERE NOT EXISTS (SELECT 1 FROM verdicts v WHERE {SAME})")
 def gate_unchecked(s, d):
-    return gate.unchecked(model.records(s, d), model.verdicts(s, d), CHECKER).select(*KEY)
+    return gate.unchecked(model.records(s, d), model.verdicts(s, d), checker()).select(*KEY)
 
 
 @query(f"WITH {RECORDS}, {VERDICTS} SELECT r.publisher, r.repo, r.id, r.type, v.reason FROM records r JOIN verdicts v ON {SAME} WHERE v.reason IS NOT NULL")
 def gate_refused(s, d):
-    return gate.refused(model.records(s, d), model.verdicts(s, d), CHECKER).select(*KEY, "type", "reason")
+    return gate.refused(model.records(s, d), model.verdicts(s, d), checker()).select(*KEY, "type", "reason")
 
 
 @query(f"WITH {RECORDS} SELECT CASE type WHEN 'note' THEN 'check-note' WHEN 'page' THEN 'check-page' ELSE 'check-book' END AS checker, count(*) AS n FROM records GROUP BY ALL")
 def checker_by_type(s, d):
-    return model.records(s, d).groupBy(CHECKER.alias("checker")).agg(F.count("*").alias("n"))
+    return model.records(s, d).groupBy(checker().alias("checker")).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {VERDICTS} SELECT checker, count(*) AS checked, count(*) FILTER (reason IS NOT NULL) AS refused FROM verdicts GROUP BY ALL")
@@ -231,7 +234,7 @@ def verdict_stale_cid(s, d):
 @query(f"WITH {RECORDS}, {VERDICTS} SELECT DISTINCT reason IS NULL AS allowed FROM verdicts v JOIN records r ON {SAME} WHERE r.rowseq = 1")
 def gate_allows_one(s, d):
     one = model.records(s, d).where(F.col("rowseq") == 1)
-    return gate.judged(one, model.verdicts(s, d), CHECKER).select(F.col("reason").isNull().alias("allowed")).distinct()
+    return gate.judged(one, model.verdicts(s, d), checker()).select(F.col("reason").isNull().alias("allowed")).distinct()
 
 
 @query("SELECT event_id, CASE WHEN event_type NOT IN ('click', 'view', 'purchase') THEN 'type ' || event_type || ' is not listed' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > 50 THEN '#/k is too large' WHEN event_type = 'view' AND CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 = 1 THEN 'even: odd' END AS reason FROM events")
@@ -525,7 +528,7 @@ def embed_missing_batch(s, d):
 
 @query(f"WITH {RECORDS}, {VERDICTS} SELECT publisher, repo, id, cid, type FROM records r WHERE EXISTS (SELECT 1 FROM verdicts v WHERE {SAME} AND v.reason IS NULL) ORDER BY publisher, repo, id")
 def view_rows(s, d):
-    return store.view(gate.allowed(model.records(s, d), model.verdicts(s, d), CHECKER)).drop("payload")
+    return store.view(gate.allowed(model.records(s, d), model.verdicts(s, d), checker())).drop("payload")
 
 
 @query(f"WITH {RECORDS} SELECT publisher, repo, id, cid, TRUE AS without FROM records")
