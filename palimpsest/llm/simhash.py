@@ -173,7 +173,7 @@ def bands(wide: np.ndarray) -> np.ndarray:
     """BANDS keys for each row of PARTS longs: each 16 bits in a row, and each 16 bits that lie 32 apart, with the number of the band above them."""
     n = len(wide)
     bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").reshape(n, BAND_BITS, BANDS // 2)
-    spaced = np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little").view("<u2").reshape(n, BANDS // 2)
+    spaced = np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u2").reshape(n, BANDS // 2)
     return np.concatenate([wide.view("<u2"), spaced], axis=1).astype(np.int64) + (np.arange(BANDS) << BAND_BITS)
 
 
