@@ -8,6 +8,7 @@ Null and empty texts are documents of the end token alone. Repeated rows are pac
 from __future__ import annotations
 
 import re
+import struct
 import unicodedata
 import zlib
 from collections.abc import Iterator
@@ -24,8 +25,8 @@ from palimpsest.llm.common import cut
 LENGTH = 4096
 END = 1
 GROUP = 20_000
-#: Words whose tokens a task remembers, at most.
-REMEMBERED = 300_000
+#: Words, and parts of words, whose tokens a worker remembers, at most.
+REMEMBERED = 500_000
 
 
 class Words(dict):
@@ -33,6 +34,8 @@ class Words(dict):
 
     #: The vocabulary's own pattern of pre-tokens.
     PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    #: Letters on which all versions of Unicode agree; other words are cut by the tokenizer itself.
+    PLAIN = re.compile("[!-~\xa1-\u052f]*")
     #: Texts with these go through the tokenizer whole: special tokens, and characters that Python alone takes for white space.
     WHOLE = re.compile(r"<\|(?:startoftext|endoftext)\|>|[\x1c-\x1f]")
 
@@ -43,15 +46,29 @@ class Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model, self.parts = self.tokenizer.model, {}
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= REMEMBERED:
             self.clear()
-        ids = []
-        for part in self.PATTERN.findall(word):
-            ids += [t.id for t in self.tokenizer.model.tokenize(self.bytes.pre_tokenize_str(part)[0][0])]
-        self[word] = found = pack_ids(ids)
+        if not self.PLAIN.fullmatch(word):
+            parts = [p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(word)]
+            self[word] = found = pack_ids([t.id for p in parts for t in self.model.tokenize(p)])
+            return found
+        parts = self.PATTERN.findall(word)
+        self[word] = found = self.part(parts[0]) if len(parts) == 1 else b"".join(map(self.part, parts))
+        return found
+
+    def part(self, part: str) -> bytes:
+        """The ids of a pre-token. The byte alphabet leaves ASCII as it is."""
+        found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= REMEMBERED:
+                self.parts.clear()
+            plain = part if part.isascii() and part.isprintable() else self.bytes.pre_tokenize_str(part)[0][0]
+            ids = [t.id for t in self.model.tokenize(plain)]
+            self.parts[part] = found = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def ids(self, text: str) -> bytes:
@@ -63,7 +80,7 @@ class Words(dict):
 
 
 def pack_ids(ids: list[int]) -> bytes:
-    return b"".join(i.to_bytes(4, "little") for i in ids)
+    return struct.pack(f"<{len(ids)}I", *ids)
 
 
 _held: dict[str, Words] = {}
