@@ -1,6 +1,6 @@
 """WARC archives: a writer that stores repeated payloads once, and a salvage reader.
 
-The writer makes each record as a column expression and leaves the files to Spark's text sink, so they go wherever Spark writes and a lost task is written again. Of equal payloads of at least MIN_PAYLOAD bytes that with the smallest id is a response, the others are revisits that refer to it.
+The writer makes each record as a column expression, compresses it as a gzip member of its own, and leaves the files to Spark's text sink, so they go wherever Spark writes and a lost task is written again. The sink wants something behind each row; it gets an empty member, which readers of gzip pass over. Of equal payloads of at least MIN_PAYLOAD bytes that with the smallest id is a response, the others are revisits that refer to it.
 
 The reader takes plain and gzip archives (one member a record). It checks version line, header, length, the two line ends behind a record and the digests. After a failed check it searches for the next version line or member that passes, goes on from there, and logs the bytes between as a quarantined gap.
 
@@ -9,6 +9,7 @@ Null payloads are empty. Rows that repeat the smallest id of a payload are all r
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import re
 import uuid
@@ -31,6 +32,8 @@ END = "\r\n\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 MEMBER = b"\x1f\x8b\x08"
 HEADER_BYTES = 1 << 20
+PIECE = 1 << 14
+EMPTY = gzip.compress(b"", mtime=0)
 
 
 def deduplicated(df: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least: int = MIN_PAYLOAD) -> DataFrame:
@@ -64,8 +67,16 @@ def record(date: str = DATE) -> Column:
 def write_warc(df: DataFrame, path: str, key: str = "page_id", url: str = "url", payload: str = "html", least: int = MIN_PAYLOAD, archive: int = ARCHIVE) -> None:
     """Archives of about so many bytes in the folder path, with a record for each row of df."""
     size = df.agg(F.avg(F.coalesce(F.octet_length(df[payload]), F.lit(0)) + 700)).first()[0] or archive
-    records = deduplicated(df, key, url, payload, least).select(record().alias("value"))
-    records.write.option("lineSep", END).option("maxRecordsPerFile", max(1, int(archive / size))).option("compression", "none").text(path)
+    records = deduplicated(df, key, url, payload, least).select(F.encode(F.concat(record(), F.lit(END)), "UTF-8").alias("value"))
+
+    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([gzip.compress(r.as_py(), 6, mtime=0) for r in batch.column(0)], pa.binary())], names=["value"])
+
+    # Strings of Spark are bytes: the cast leaves them as they are. Latin-1 does the same for the separator.
+    zipped = records.mapInArrow(members, "value binary").select(F.col("value").cast("string"))
+    sink = zipped.write.option("lineSep", EMPTY.decode("latin-1")).option("encoding", "ISO-8859-1").option("compression", "none")
+    sink.option("maxRecordsPerFile", max(1, int(archive / size))).text(path)
 
 
 @dataclass
@@ -128,23 +139,28 @@ def check(digest: str | None, data: bytes, what: str) -> None:
 
 
 def one_member(data: bytes, at: int) -> Record:
-    """The record in the gzip member at this place."""
-    inflate = zlib.decompressobj(31)
+    """The record in the gzip member at this place; without headers if the member is empty."""
+    inflate, parts, end = zlib.decompressobj(31), [], at
     try:
-        inner = inflate.decompress(memoryview(data)[at:])
+        while not inflate.eof and end < len(data):  # a piece at a time, as what is left over is copied
+            parts.append(inflate.decompress(data[end : end + PIECE]))
+            end += min(PIECE, len(data) - end)
     except zlib.error as e:
         raise Damaged("a damaged member") from e
     if not inflate.eof:
         raise Damaged("an unfinished member")
+    inner, end = b"".join(parts), end - len(inflate.unused_data)
+    if not inner:
+        return Record(at, end)
     found = one_record(inner, 0, whole=True)
-    return Record(at, len(data) - len(inflate.unused_data), None, found.headers, found.payload)
+    return Record(at, end, None, found.headers, found.payload)
 
 
 STARTS = re.compile(rb"WARC/1\.[01]\r\n|\x1f\x8b\x08")
 
 
 def salvage(data: bytes) -> Iterator[Record]:
-    """Records and gaps of an archive, in order; together they cover all of it."""
+    """Records and gaps of an archive, in order; together they cover all of it but empty members."""
     at, gap = 0, None
     while at < len(data):
         try:
@@ -157,7 +173,8 @@ def salvage(data: bytes) -> Iterator[Record]:
         if gap:
             yield Record(gap[0], at, gap[1])
             gap = None
-        yield found
+        if found.headers:
+            yield found
         at = found.end
     if gap:
         yield Record(gap[0], len(data), gap[1])
