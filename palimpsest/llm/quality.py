@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import SPACE, cut, let, window_hashes, word_hashes, words
+from palimpsest.llm.common import SPACE, cut, let, window_hashes, word_hashes, words, written
 
 GOOD, BAD = 1, -1
 #: Bounds of the estimated accuracies on good and on bad documents and of the share of good documents. A vote never counts against what it says, and rules seldom blame a good document: without the latter, the class "bad" could come to mean one kind of junk only.
@@ -135,11 +135,12 @@ def fit_corpus(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelMode
 
 
 def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5, carry: list[str] | None = None) -> DataFrame:
-    """row (a struct of all columns of df, or of those in carry), the counts of signals(), votes, quality (posterior probability), base_failed and kept, for each row of df. One pass over the texts: the counts are written to the shared folder before the model is fitted."""
+    """row (a struct of all columns of df, or of those in carry), the counts of signals(), votes, quality (posterior probability), base_failed and kept, for each row of df. One pass over the texts: the counts, and what is carried, are written to the shared folder before the model is fitted."""
     counted = signals(df, text)
     if carry is not None:
         counted = counted.withColumn("row", F.struct(*[F.col("row").getField(c) for c in carry]))
-    counted = cut(counted)
+    # Nested projections would be merged, and each count computed as often as the rules name it.
+    counted = cut(counted) if carry is not None else written(counted)
     model = fit_corpus(counted, rules)
     judged = counted.withColumn("votes", votes(rules))
     judged = judged.withColumn("quality", model.posterior(F.col("votes"))).withColumn("base_failed", F.expr(BASE_FAILED))
@@ -147,7 +148,5 @@ def judge(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, th
 
 
 def keep_good(df: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
-    """The rows of df that are kept, with the columns of df. Two passes over the texts, so that they need not be written in between."""
-    model = fit_corpus(signals(df.select(df[text]), text), rules)
-    judged = signals(df, text).withColumn("quality", model.posterior(votes(rules)))
-    return judged.where(~F.expr(BASE_FAILED) & (F.col("quality") >= threshold)).select("row.*")
+    """The rows of df that are kept, with the columns of df."""
+    return judge(df, text, rules, threshold).where("kept").select("row.*")
