@@ -6,7 +6,7 @@ Coordinates are written in unary (00, 01, 11), so that a Manhattan distance is a
 
 Cells with more than HOT fingerprints are not joined as a whole. Their members are dealt into blocks, each pair of blocks is compared on its own, and it gives a spanning forest of its links instead of all of them, which leaves the components as they are.
 
-A similarity of 0.8 between sets of shingles is about 10 differing bits of 64, beyond what cells can be small for. near_duplicates_by_similarity() therefore takes 512 bits: two documents are compared if they agree in one of 64 bands of 16 bits, by embedding and distance of the first 64 bits and then by the distance of all.
+A similarity of 0.8 between sets of shingles is about 10 differing bits of 64, beyond what cells can be small for. near_duplicates_by_similarity() therefore takes 512 bits: two documents are compared if they agree in one of 64 bands of 16 bits, by embedding and distance of the first 128 bits and then by the distance of all.
 
 Null and empty texts have no words, and fingerprint zero; they link like all others. Ties, repeated rows and equal texts share a fingerprint. Very long texts are hashed in blocks. An empty table gives an empty result.
 """
@@ -160,8 +160,11 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 PARTS = 8
 BANDS = 64
 BAND_BITS = 16
-#: Differing bits of the first 64 beyond which a candidate isn't looked at again: three deviations above the mean at a similarity of 0.8.
-FIRST_DISTANCE = 19
+#: Differing bits of the first 128 beyond which a candidate isn't looked at again: three deviations above the mean at a similarity of 0.8.
+FIRST_DISTANCE = 33
+#: Bands with more members than CROWDED are compared in blocks of BLOCK_MEMBERS, which give a spanning forest each.
+CROWDED = 64
+BLOCK_MEMBERS = 2048
 
 
 def wide_distance(similarity: float, bits: int = 64 * PARTS) -> int:
@@ -177,7 +180,7 @@ def bands(wide: np.ndarray) -> np.ndarray:
     return np.concatenate([wide.view("<u2"), spaced], axis=1).astype(np.int64) + (np.arange(BANDS) << BAND_BITS)
 
 
-def similar_links(points: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
+def similar_links(points: DataFrame, distance: int, hot: int = CROWDED, block: int = BLOCK_MEMBERS) -> DataFrame:
     """Columns a < b of linked ids; of those that only meet in crowded bands, enough to connect what all connect. points: id and wide, an array of PARTS longs."""
     spark = points.sparkSession
     spread = points.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
@@ -187,21 +190,23 @@ def similar_links(points: DataFrame, distance: int, hot: int = HOT) -> DataFrame
         return pd.Series(list(bands(np.ascontiguousarray(np.stack(wide.to_numpy()), dtype="<i8"))))
 
     first = F.get("wide", F.lit(0))
-    keyed = spread.select("id", first.alias("fp"), embedding(first).alias("at"), F.explode(banded("wide")).alias("band"))
+    keyed = spread.select("id", first.alias("fp"), F.get("wide", F.lit(1)).alias("fp2"), F.explode(banded("wide")).alias("band"))
     crowded = keyed.groupBy("band").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    crowded = cut(crowded.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")))
+    crowded = cut(crowded.withColumn("blocks", F.ceil(F.col("n") / block).cast("int")))
     some = bool(crowded.take(1))
     thin = keyed.join(crowded, "band", "left_anti") if some else keyed
     a, b = thin.alias("a"), thin.alias("b")
-    near = (differing(F.col("a.at"), F.col("b.at")) <= FIRST_DISTANCE) & (differing(F.col("a.fp"), F.col("b.fp")) <= FIRST_DISTANCE)
+    # Coordinates of the embedding are cheap to compare, and never further apart than the bits.
+    bound = differing(embedding(F.col("a.fp")), embedding(F.col("b.fp"))) <= FIRST_DISTANCE
+    near = bound & (differing(F.col("a.fp"), F.col("b.fp")) + differing(F.col("a.fp2"), F.col("b.fp2")) <= FIRST_DISTANCE)
     pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & near).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
     left, right = points.select(F.col("id").alias("a"), F.col("wide").alias("wa")), points.select(F.col("id").alias("b"), F.col("wide").alias("wb"))
     apart = sum((differing(F.get("wa", F.lit(i)), F.get("wb", F.lit(i))) for i in range(PARTS)), F.lit(0))
     found = pairs.join(left, "a").join(right, "b").where(apart <= distance).select("a", "b")
     if not some:
         return found
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    members = keyed.select("id", "band").join(crowded, "band").withColumn("block", block)
+    dealt = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    members = keyed.select("id", "band").join(crowded, "band").withColumn("block", dealt)
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id").join(points, "id")
 
@@ -211,7 +216,7 @@ def similar_links(points: DataFrame, distance: int, hot: int = HOT) -> DataFrame
     return found.unionByName(members.groupBy("band", "i", "j").applyInPandas(forest, "a long, b long"))
 
 
-def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = HOT) -> DataFrame:
+def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = CROWDED, block: int = BLOCK_MEMBERS) -> DataFrame:
     """For each row of df: key and component, the smallest key that links reach from it. Keys are whole numbers. A link stands for a similarity, as estimated from 512 bits, of at least the given one."""
 
     @F.pandas_udf("array<long>")
@@ -220,7 +225,7 @@ def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str
 
     rows = cut(df.select(df[key].alias("key"), wide(df[text]).alias("wide")))
     points = cut(rows.groupBy("wide").agg(F.min("key").alias("id")))
-    joined = components(similar_links(points.where("id IS NOT NULL"), wide_distance(similarity), hot))
+    joined = components(similar_links(points.where("id IS NOT NULL"), wide_distance(similarity), hot, block))
     # The root of a component is its smallest id, and an id is the smallest key of its text.
     named = points.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("wide", F.coalesce("root", "id").alias("component"))
     return rows.join(named, "wide").select(F.col("key").alias(key), "component")

@@ -307,8 +307,8 @@ def test_similar_documents(spark):
         rows += [(k, " ".join(w)), (k + 1, " ".join(near)), (k + 2, " ".join(half))]
         k += 3
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot in (256, 1):
-        got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates_by_similarity(df, hot=hot).collect()}
+    for hot, block in ((64, 2048), (1, 2)):
+        got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates_by_similarity(df, hot=hot, block=block).collect()}
         assert got == {i: i - (i % 3 == 1) for i in range(k)}
 
 
