@@ -6,7 +6,7 @@ Coordinates are written in unary (00, 01, 11), so that a Manhattan distance is a
 
 Cells with more than HOT fingerprints are not joined as a whole. Their members are dealt into blocks, each pair of blocks is compared on its own, and it gives a spanning forest of its links instead of all of them, which leaves the components as they are.
 
-A similarity of 0.8 between sets of shingles is about 10 differing bits of 64, beyond what cells can be small for. near_duplicates_by_similarity() therefore takes 512 bits: two documents are compared if they agree in one of 64 bands of 16 bits, by embedding and distance of the first 128 bits and then by the distance of all.
+A similarity of 0.8 between sets of shingles is about 10 differing bits of 64, beyond what cells can be small for. near_duplicates_by_similarity() therefore takes 512 bits: two documents are compared if they agree in a band of bits, whose width and number follow from the number of documents, by embedding and distance of the first 128 bits and then by the distance of all.
 
 Null and empty texts have no words, and fingerprint zero; they link like all others. Ties, repeated rows and equal texts share a fingerprint. Very long texts are hashed in blocks. An empty table gives an empty result.
 """
@@ -15,7 +15,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, pi
+from math import acos, ceil, log, log1p, pi
 
 import numpy as np
 import pandas as pd
@@ -132,7 +132,9 @@ def links(points: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
 
 
 def spanning_forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> pd.DataFrame:
-    """Links that connect what all links among these fingerprints, one a row of fps, connect: from each one reached, its links to those not reached yet."""
+    """Links that connect what all links among these fingerprints, one a row of fps, connect: from each one reached, its links to those not reached yet. Starts at the smallest ids, so that blocks with common members give common links."""
+    order = np.argsort(ids, kind="stable")
+    ids, fps = ids[order], fps[order]
     rest, out = np.arange(len(ids)), []
     while len(rest):
         queue, rest = [rest[0]], rest[1:]
@@ -158,12 +160,15 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 
 PARTS = 8
-BANDS = 64
-BAND_BITS = 16
+#: Share of the pairs at the wanted similarity that may agree in no band.
+MISSED = 0.01
+FEWEST_BAND_BITS = 12
+#: Fingerprints whose bands are made at once.
+BATCH = 256
 #: Differing bits of the first 128 beyond which a candidate isn't looked at again: three deviations above the mean at a similarity of 0.8.
 FIRST_DISTANCE = 33
 #: Bands with more members than CROWDED are compared in blocks of BLOCK_MEMBERS, which give a spanning forest each.
-CROWDED = 64
+CROWDED = 16
 BLOCK_MEMBERS = 2048
 
 
@@ -172,22 +177,35 @@ def wide_distance(similarity: float, bits: int = 64 * PARTS) -> int:
     return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
 
 
-def bands(wide: np.ndarray) -> np.ndarray:
-    """BANDS keys for each row of PARTS longs: each 16 bits in a row, and each 16 bits that lie 32 apart, with the number of the band above them."""
-    n = len(wide)
-    bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").reshape(n, BAND_BITS, BANDS // 2)
-    spaced = np.ascontiguousarray(np.packbits(bits.transpose(0, 2, 1), axis=2, bitorder="little")).view("<u2").reshape(n, BANDS // 2)
-    return np.concatenate([wide.view("<u2"), spaced], axis=1).astype(np.int64) + (np.arange(BANDS) << BAND_BITS)
+def band_bits(n: int, similarity: float) -> np.ndarray:
+    """The places of the bits of each band, a row for each, for n fingerprints. A band has as many bits as n, so that each fingerprint meets about one other in it by chance, whatever n is; there are as many bands as it takes for all but MISSED of the pairs at the similarity to agree in one. Their number grows with the fourth root of n or so."""
+    width = max(FEWEST_BAND_BITS, n.bit_length())
+    agree = 1 - acos(2 * similarity / (1 + similarity)) / pi
+    count = ceil(log(MISSED) / log1p(-(agree**width)))
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.permutation(64 * PARTS)[:width] for _ in range(count)])
 
 
-def similar_links(points: DataFrame, distance: int, hot: int = CROWDED, block: int = BLOCK_MEMBERS) -> DataFrame:
+def bands(wide: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """A key for each row of PARTS longs and each band: the bits at its places, with its number above them."""
+    count, width = places.shape
+    weights, numbers = 1 << np.arange(width), np.arange(count) << width
+    out = np.empty((len(wide), count), np.int64)
+    for at in range(0, len(wide), BATCH):
+        bits = np.unpackbits(np.ascontiguousarray(wide[at : at + BATCH]).view(np.uint8), axis=1, bitorder="little")
+        out[at : at + BATCH] = bits[:, places] @ weights + numbers
+    return out
+
+
+def similar_links(points: DataFrame, similarity: float, hot: int = CROWDED, block: int = BLOCK_MEMBERS) -> DataFrame:
     """Columns a < b of linked ids; of those that only meet in crowded bands, enough to connect what all connect. points: id and wide, an array of PARTS longs."""
-    spark = points.sparkSession
+    spark, distance = points.sparkSession, wide_distance(similarity)
+    places = band_bits(points.count(), similarity)
     spread = points.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
 
     @F.pandas_udf("array<long>")
     def banded(wide: pd.Series) -> pd.Series:
-        return pd.Series(list(bands(np.ascontiguousarray(np.stack(wide.to_numpy()), dtype="<i8"))))
+        return pd.Series(list(bands(np.ascontiguousarray(np.stack(wide.to_numpy()), dtype="<i8"), places)))
 
     first = F.get("wide", F.lit(0))
     keyed = spread.select("id", first.alias("fp"), F.get("wide", F.lit(1)).alias("fp2"), F.explode(banded("wide")).alias("band"))
@@ -225,7 +243,7 @@ def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str
 
     rows = cut(df.select(df[key].alias("key"), wide(df[text]).alias("wide")))
     points = cut(rows.groupBy("wide").agg(F.min("key").alias("id")))
-    joined = components(similar_links(points.where("id IS NOT NULL"), wide_distance(similarity), hot, block))
+    joined = components(similar_links(points.where("id IS NOT NULL"), similarity, hot, block))
     # The root of a component is its smallest id, and an id is the smallest key of its text.
     named = points.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("wide", F.coalesce("root", "id").alias("component"))
     return rows.join(named, "wide").select(F.col("key").alias(key), "component")
