@@ -160,7 +160,7 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
 
 
 PARTS = 8
-#: Share of the pairs at the wanted similarity that may agree in no band.
+#: Share of the pairs at the wanted similarity that would agree in no band if bands had no bits in common; as they have, it is about twice that.
 MISSED = 0.01
 FEWEST_BAND_BITS = 12
 #: Fingerprints whose bands are made at once.
@@ -178,7 +178,7 @@ def wide_distance(similarity: float, bits: int = 64 * PARTS) -> int:
 
 
 def band_bits(n: int, similarity: float) -> np.ndarray:
-    """The places of the bits of each band, a row for each, for n fingerprints. A band has as many bits as n, so that each fingerprint meets about one other in it by chance, whatever n is; there are as many bands as it takes for all but MISSED of the pairs at the similarity to agree in one. Their number grows with the fourth root of n or so."""
+    """The places of the bits of each band, a row for each, for n fingerprints. A band has as many bits as n, so that each fingerprint meets about one other in it by chance, whatever n is; there are as many bands as it takes, if they had no bits in common, for all but MISSED of the pairs at the similarity to agree in one. Their number grows with the fourth root of n or so."""
     width = max(FEWEST_BAND_BITS, n.bit_length())
     agree = 1 - acos(2 * similarity / (1 + similarity)) / pi
     count = ceil(log(MISSED) / log1p(-(agree**width)))

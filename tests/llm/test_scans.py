@@ -296,6 +296,19 @@ def test_simhash_edges(spark):
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
+def test_bands():
+    """Whatever the number of documents: bits enough to tell them apart, and bands enough to let few pairs at the similarity slip."""
+    rng = np.random.default_rng(1)
+    for n in (0, 10_000, 300_000):
+        places = simhash.band_bits(n, 0.8)
+        assert 1 << places.shape[1] > n and all(len(set(p)) == len(p) for p in places.tolist())
+        a = rng.integers(0, 2, (2000, 512), np.uint8)
+        b = a ^ (rng.random(a.shape) < simhash.wide_distance(0.8) / 512)
+        keys = [simhash.bands(np.packbits(x, axis=1, bitorder="little").view("<i8"), places) for x in (a, b)]
+        assert (keys[0] == keys[1]).any(axis=1).mean() > 1 - 3 * simhash.MISSED  # bands share bits, so somewhat more slip than MISSED
+        assert len(np.unique(keys[0] >> places.shape[1])) == len(places)
+
+
 def test_similar_documents(spark):
     rng = np.random.default_rng(1)
     words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
