@@ -1,6 +1,6 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences, a sentence has a logistic score, and noisy-or combines the scores: a document is toxic unless all of its sentences are clean. The model is trained from labels of documents alone, and then tells which sentences offend.
 
-Features of a sentence are its lower-case words and their first letters. The classifier is fitted on a bounded sample of labelled documents (at most MAX_TOXIC and MAX_CLEAN, chosen by a hash, clean ones weighted back to their share); everything is scored.
+Features of a sentence are its lower-case words and their first letters. The classifier is fitted on a bounded sample of labelled documents (at most MAX_TOXIC and MAX_CLEAN, chosen by a hash, either kind weighted back to its share); everything is scored.
 
 Null and empty texts have no sentence and score 0, so predicted is 0. Rows that share a key share a label, toxic if any of them is. Without toxic labels all scores are 0. Repeated rows get equal scores; an empty table gives an empty result.
 """
@@ -88,8 +88,8 @@ class Model:
         return float(-np.expm1(clean)), [(a, b, float(1 / (1 + np.exp(-z)))) for a, b, z in found if z >= 0]
 
 
-def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, n_features: int = FEATURES, rounds: int = ROUNDS) -> Model:
-    """Noisy-or training by gradient ascent (Adam) on the likelihood of the documents' labels, with a ridge."""
+def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, n_features: int = FEATURES, rounds: int = ROUNDS, toxic_weight: float = 1.0) -> Model:
+    """Noisy-or training by gradient ascent (Adam) on the likelihood of the documents' labels, with a ridge. Only the ratio of the weights counts: the gradient is a weighted mean."""
     bags = [[set(WORD.findall(s)) for s in END.split((t or "").lower())] for t in texts]
     bags = [[s for s in bag if s] for bag in bags]
     n1, n0 = sum(toxic), len(toxic) - sum(toxic)
@@ -115,7 +115,7 @@ def fit(texts: list[str], toxic: list[int], clean_weight: float = 1.0, n_feature
             else:
                 plain[d] += 1
     docs, rows, columns = np.array(docs, int), np.array(rows, int), np.array(columns, int)
-    y, weight = np.array(toxic, float), np.where(np.array(toxic) == 1, 1.0, clean_weight)
+    y, weight = np.array(toxic, float), np.where(np.array(toxic) == 1, toxic_weight, clean_weight)
     w, bias = np.zeros(len(chosen)), -6.0
     m, v = np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):
@@ -140,11 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     some = lambda y, n: by_key.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(n)
     sample = some(1, max_toxic).unionByName(some(0, max_clean))
     sample = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(sample), "key").dropDuplicates(["key"])
-    clean_weight = max(1.0, counts.get(0, 0) / max_clean)
+    clean_weight, toxic_weight = max(1.0, counts.get(0, 0) / max_clean), max(1.0, counts.get(1, 0) / max_toxic)
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(parts)).sort_values("key")
-        model = fit(pdf["text"].tolist(), pdf["y"].tolist(), clean_weight)
+        model = fit(pdf["text"].tolist(), pdf["y"].tolist(), clean_weight, toxic_weight=toxic_weight)
         yield pd.DataFrame({"feature": ["", *model.weights], "weight": [model.bias, *model.weights.values()]})
 
     if not counts.get(1):

@@ -57,6 +57,18 @@ def test_toxicity_edges(spark):
     assert odd(spark).select(toxicity.scores(F.col("text"), none).alias("s")).where("s.score = 0").count() == len(ODD)
 
 
+def test_toxicity_of_a_larger_table(spark):
+    """Beyond the bounds of the sample both kinds keep their share: a table copied 100 times gives a model as good as the table itself."""
+    d = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    n = {r["toxic"]: r["count"] for r in labels.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
+    copies = spark.range(100).select((F.col("id") * 10**9).alias("shift"))
+    copied = [t.crossJoin(copies).withColumn("doc_id", F.col("doc_id") + F.col("shift")) for t in (docs.select("doc_id", "text"), labels.select("doc_id", "toxic"))]
+    toxic = [r["text"] for r in docs.join(labels.where("toxic = 1"), "doc_id").collect()]
+    recall = [sum(m.score(t)[0] >= 0.5 for t in toxic) / len(toxic) for m in (toxicity.train(docs, labels), toxicity.train(*copied, max_toxic=n[1], max_clean=n[0]))]
+    assert recall[1] > recall[0] - 0.1 and recall[1] > 0.6
+
+
 def test_warc_round_trip(spark):
     pages = {r["page_id"]: r for r in spark.read.parquet(f"{D}/pages.parquet").collect()}
     first = {}
