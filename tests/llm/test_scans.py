@@ -337,6 +337,26 @@ def test_similar_documents(spark):
         assert got == {i: i - (i % 3 == 1) for i in range(k)}
 
 
+def test_similar_documents_against_brute_force(spark):
+    """Each pair at a Jaccard similarity of 0.8 or more is linked and no other, short texts and pairs right at 0.8 included."""
+    rng = np.random.default_rng(2)
+    texts = []
+    for n in [10, 11, 12, 13, 14, 15] * 8 + [5, 6, 24, 40, 104, 304, 516, 1100] * 8:
+        w = [f"w{i}" for i in rng.integers(0, 10**6, n)]
+        cut = lambda share: w[: max(1, n - round((n - 4) * share))]
+        changed = w[:]
+        for i in rng.integers(0, n, max(1, n // 60)):
+            changed[i] = "new"
+        texts += [w, [*w, "more"], cut(0.2), cut(0.23), cut(0.15), changed]
+    texts += [["common"] * 4 + [f"c{i}" for i in range(60)] + [f"d{k}"] * (k % 3) for k in range(40)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
+    links = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    for hot, block in ((16, 2048), (1, 3)):
+        got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates_by_similarity(df, hot=hot, block=block).collect()}
+        assert got == reached(links, range(len(texts)))
+
+
 @pytest.mark.parametrize("links", [[], [(1, 2), (2, 3), (5, 6), (3, 3)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(30)] + [(29, 99)]])
 def test_components(spark, links):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
