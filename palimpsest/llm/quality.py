@@ -38,7 +38,8 @@ RULES = (
     Rule("repeats", "n_repeat_words > 0.1 * n_words"),
     Rule("capitals", "n_capitals > 0.4 * word_chars"),
     Rule("lines", "n_lines >= 4 AND n_dup_lines > 0.3 * n_lines"),
-    Rule("variety", "n_words BETWEEN 30 AND 3000 AND n_distinct < 0.2 * n_words", "n_words <= 3000 AND n_distinct > 0.35 * n_words"),
+    # Distinct words grow with the number of words up to some 3,000, then with its square root.
+    Rule("variety", "n_words >= 30 AND n_distinct < 0.2 * least(n_words, sqrt(3000 * n_words))", "n_distinct > 0.35 * least(n_words, sqrt(3000 * n_words))"),
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
 )
 

@@ -55,6 +55,18 @@ def test_quality_finds_labelled_junk(spark):
     assert sum(kept for q, kept, _ in got if not q) <= 2
 
 
+def test_quality_of_long_texts(spark):
+    """Words drawn from 50 are junk at every length; texts with as many distinct words as prose has are not."""
+    rng = random.Random(1)
+    drawn = lambda n, kinds: " ".join(f"word{rng.randrange(kinds)}" for _ in range(n))
+    rows = [(1, drawn(2_900, 50)), (2, drawn(3_100, 50)), (3, drawn(20_000, 50)), (4, drawn(20_000, 8_000)), (5, drawn(2_900, 8_000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").unionByName(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select((F.col("doc_id") + 10**9).alias("doc_id"), "text"))
+    got = {r["doc_id"]: r for r in quality.judge(df).select("row.doc_id", "votes", "kept", "base_failed").where("doc_id < 10").collect()}
+    at = [r.name for r in quality.RULES].index("variety")
+    assert [got[k]["votes"][at] for k in range(1, 6)] == [-1, -1, -1, 1, 1]
+    assert [got[k]["kept"] for k in range(1, 6)] == [got[1]["kept"]] * 3 + [True, True]
+
+
 @settings(max_examples=30, deadline=None)
 @given(st.lists(st.sampled_from(["aa", "b", "cc", "*", "\n", "ddd", "aa\n"]), max_size=60))
 def test_repeated_words(words):
