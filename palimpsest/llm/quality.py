@@ -2,7 +2,9 @@
 
 No label is read. The votes of all documents are counted by pattern (at most 3 to the power of the number of rules, whatever the size of the corpus), EM runs over these counts, and the posterior is a column expression again, so that the texts are never shuffled.
 
-Null and empty texts have no words and fail the base rule; other columns of the input, whatever their names, pass through; repeated rows get the same verdict; an empty table gives an empty result.
+What the classes mean is settled by the start and by imagined votes: each rule is taken to blame half of the bad documents that it votes on and 2 % of the good ones, and these votes weigh as much as WEIGHT of all documents. The share is the same at every size, so that a table and its copies give one model; where few documents are bad, it keeps the class "bad" from settling on some harmless kind of documents. Beyond that the accuracies are free: a rule that blames good and bad documents alike gets no say, whereas the blame of one that is seldom wrong is enough. Rules that overlap tie kinds of junk together into one class.
+
+Null and empty texts have no words and fail the base rule; other columns of the input, whatever their names, pass through; repeated rows get the same verdict, and so do all documents with one pattern of votes; a posterior of exactly one half keeps a document. Whole texts are counted, however long they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,10 +18,9 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import SPACE, cut, let, window_hashes, word_hashes, words, written
 
 GOOD, BAD = 1, -1
-#: Bounds of the estimated accuracies on good and on bad documents and of the share of good documents. A vote never counts against what it says, and rules seldom blame a good document: without the latter, the class "bad" could come to mean one kind of junk only.
-ON_GOOD = (0.9, 0.99)
-ON_BAD = (0.6, 0.99)
-PRIOR = (0.5, 0.99)
+#: What is imagined of each rule and of the share of good documents before the votes are seen, and how much it weighs, as a share of all documents.
+BLAMES_GOOD, BLAMES_BAD, PRIOR = 0.02, 0.5, 0.9
+WEIGHT = 0.005
 
 
 @dataclass(frozen=True)
@@ -32,15 +33,15 @@ class Rule:
 
 
 RULES = (
-    Rule("symbols", "n_symbols > 0.3 * n_words", "n_symbols < 0.05 * n_words"),
-    Rule("symbol_share", "n_symbols > 0.05 * word_chars", "n_symbols < 0.01 * word_chars"),
-    Rule("mark_runs", "n_mark_runs > 0.2 * n_words", "n_mark_runs < 0.02 * n_words"),
-    Rule("repeats", "n_repeat_words > 0.1 * n_words"),
-    Rule("capitals", "n_capitals > 0.4 * word_chars"),
-    Rule("lines", "n_lines >= 4 AND n_dup_lines > 0.3 * n_lines"),
+    Rule("symbols", "n_symbols > 0.05 * word_chars", "n_symbols < 0.01 * word_chars"),
+    Rule("mark_runs", "n_mark_runs > 0.1 * n_words", "n_mark_runs < 0.02 * n_words"),
+    Rule("repeats", "n_repeat_words > 0.1 * n_words", "n_words >= 30 AND n_repeat_words < 0.05 * n_words"),
+    Rule("capitals", "n_capitals > 0.4 * word_chars", "n_capitals < 0.1 * word_chars"),
+    Rule("lines", "n_lines >= 4 AND n_dup_lines > 0.3 * n_lines", "n_lines >= 4 AND n_dup_lines < 0.1 * n_lines"),
     # Distinct words grow with the number of words up to some 3,000, then with its square root.
-    Rule("variety", "n_words >= 30 AND n_distinct < 0.2 * least(n_words, sqrt(3000 * n_words))", "n_distinct > 0.35 * least(n_words, sqrt(3000 * n_words))"),
-    Rule("word_length", "word_chars < 2 * n_words OR word_chars > 15 * n_words"),
+    Rule("variety", "n_words >= 30 AND n_distinct < 0.35 * least(n_words, sqrt(3000 * n_words))", "n_words >= 30 AND n_distinct > 0.55 * least(n_words, sqrt(3000 * n_words))"),
+    Rule("word_length", "word_chars < 3.5 * n_words OR word_chars > 8 * n_words", "word_chars > 4 * n_words AND word_chars < 7 * n_words"),
+    Rule("length", "n_words < 20", "n_words >= 50"),
 )
 
 
@@ -103,30 +104,32 @@ class LabelModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100, tolerance: float = 1e-9) -> LabelModel:
-    """EM over (votes, number of documents). Starts from a share of 0.8 and accuracies of 0.9 and 0.7; two imagined right votes and one wrong one smooth each accuracy."""
-    clip = lambda x, r: min(max(x, r[0]), r[1])
-    prior, on_good, on_bad = 0.8, [0.9] * n_rules, [0.7] * n_rules
+def fit(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 300, tolerance: float = 1e-9, weight: float = WEIGHT) -> LabelModel:
+    """EM over (votes, number of documents). blames: for the classes bad and good, how often each rule blames a document that it votes on."""
     total = sum(n for _, n in patterns)
+    imagined = weight * total
+    prior, start = PRIOR, (BLAMES_BAD, BLAMES_GOOD)
+    blames = [[x] * n_rules for x in start]
     for _ in range(rounds if total else 0):
-        right_good, all_good, right_bad, all_bad, good = [2.0] * n_rules, [3.0] * n_rules, [2.0] * n_rules, [3.0] * n_rules, 0.0
+        bad = [[imagined * x] * n_rules for x in start]
+        all_votes = [[imagined] * n_rules for _ in start]
+        good = imagined * PRIOR
         for v, n in patterns:
-            odds = math.log(prior / (1 - prior)) + sum(math.log(on_good[j] / (1 - on_bad[j])) if x == GOOD else math.log((1 - on_good[j]) / on_bad[j]) for j, x in enumerate(v) if x)
+            odds = math.log(prior / (1 - prior))
+            odds += sum(math.log(blames[1][j] / blames[0][j]) if x == BAD else math.log((1 - blames[1][j]) / (1 - blames[0][j])) for j, x in enumerate(v) if x)
             p = 1 / (1 + math.exp(-odds))
             good += n * p
-            for j, x in enumerate(v):
-                if x:
-                    all_good[j] += n * p
-                    all_bad[j] += n * (1 - p)
-                    right_good[j] += n * p * (x == GOOD)
-                    right_bad[j] += n * (1 - p) * (x == BAD)
-        before = (prior, *on_good, *on_bad)
-        prior = clip(good / total, PRIOR)
-        on_good = [clip(a / b, ON_GOOD) for a, b in zip(right_good, all_good, strict=True)]
-        on_bad = [clip(a / b, ON_BAD) for a, b in zip(right_bad, all_bad, strict=True)]
-        if max(abs(a - b) for a, b in zip(before, (prior, *on_good, *on_bad), strict=True)) < tolerance:
+            for c, share in enumerate((n * (1 - p), n * p)):
+                for j, x in enumerate(v):
+                    if x:
+                        all_votes[c][j] += share
+                        bad[c][j] += share * (x == BAD)
+        was = [prior, *blames[0], *blames[1]]
+        prior = good / (total + imagined)
+        blames = [[b / a for b, a in zip(bad[c], all_votes[c], strict=True)] for c in (0, 1)]
+        if max(abs(a - b) for a, b in zip(was, [prior, *blames[0], *blames[1]], strict=True)) < tolerance:
             break
-    return LabelModel(prior, tuple(on_good), tuple(on_bad))
+    return LabelModel(prior, tuple(1 - x for x in blames[1]), tuple(blames[0]))
 
 
 def fit_corpus(counted: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:

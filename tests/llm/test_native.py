@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -48,11 +49,35 @@ def test_quality_base(spark, docs):
 
 
 def test_quality_finds_labelled_junk(spark):
-    d = "/root/testdata/sf0.01"
+    """On labels EM is right where counting the rules that blame is wrong: one blame of a good rule is enough, one of a poor rule is not."""
+    d = "/root/testdata/sf0.1"
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    got = [(labels[r["doc_id"]], r["kept"], r["base_failed"]) for r in queries.op10_quality(spark, d).collect() if r["doc_id"] in labels]
-    assert all(kept for q, kept, failed in got if q and not failed)  # clean documents stay
-    assert sum(kept for q, kept, _ in got if not q) <= 2
+    judged = quality.judge(spark.read.parquet(f"{d}/documents.parquet"), carry=["doc_id"])
+    rows = [(labels[r["doc_id"]], r["kept"], sum(v == quality.BAD for v in r["votes"])) for r in judged.select("row.doc_id", "kept", "votes", "base_failed").collect() if r["doc_id"] in labels and not r["base_failed"]]
+    good, bad = [r for r in rows if r[0] == 1], [r for r in rows if r[0] == 0]
+    assert sum(kept for _, kept, _ in good) > 0.995 * len(good) and sum(kept for _, kept, _ in bad) < 0.03 * len(bad)
+    wrong = sum(kept != q for q, kept, _ in rows)
+    assert [sum((n < least) != q for q, _, n in rows) > wrong for least in (1, 2)] == [True, True]
+    differing = [(q, kept) for q, kept, n in rows for least in (1, 2) if kept != (n < least)]
+    assert len(differing) > 20 and sum(q == kept for q, kept in differing) > 0.9 * len(differing)
+
+
+def test_em_weighs_rules():
+    """A rule that blames at random gets no say, and the blame of a rule that is never wrong is enough; counting blames can't tell them apart."""
+    rng, patterns, truth = random.Random(3), collections.Counter(), collections.defaultdict(collections.Counter)
+    for _ in range(20_000):
+        good = rng.random() < 0.8
+        sure = [-1 if not good and rng.random() < 0.6 else 1 for _ in range(3)]
+        noise = [-1 if rng.random() < 0.3 else 1 for _ in range(2)]
+        patterns[(*sure, *noise)] += 1
+        truth[(*sure, *noise)][good] += 1
+    model = quality.fit(sorted(patterns.items()), 5)
+    assert all(b == pytest.approx(0.6, abs=0.05) for b in model.on_bad[:3]) and all(b == pytest.approx(0.3, abs=0.05) and a == pytest.approx(0.7, abs=0.05) for a, b in zip(model.on_good[3:], model.on_bad[3:], strict=True))
+    odds = lambda v: sum(math.log(a / (1 - b)) if x == 1 else math.log((1 - a) / b) for x, a, b in zip(v, model.on_good, model.on_bad, strict=True))
+    assert odds((1, 1, 1, -1, -1)) > 0 > odds((-1, 1, 1, 1, 1)) + 1.4
+    # A table and its copies give one model.
+    again = quality.fit(sorted((v, 50 * n) for v, n in patterns.items()), 5)
+    assert again.on_bad == pytest.approx(model.on_bad) and again.prior == pytest.approx(model.prior)
 
 
 def test_quality_of_long_texts(spark):
