@@ -1,10 +1,10 @@
-"""Main text of web pages by site style trees. The pages of a host are merged into one tree whose nodes are element paths (tag, class and id, without their digits). A node's importance is the entropy of what the host's pages have there, of its content (the text) and of its presentation (the row of child elements), the larger of the two; menus, notices and other parts of a template repeat, and score low. It is weighed with what the element says of itself (its tag, role, class and id) and with the share of its text that is links. Branches of low importance are removed from each page.
+"""Main text of web pages by site style trees. The pages of a host are merged into one tree whose nodes are element paths (tag, class and id, without their digits). How important a node is follows from two entropies over the host's pages: of its presentation (the row of child elements, and how often the element stands there) and of its content (the text). Menus, notices, headers and footers look alike on all pages and often say the same; articles differ in both.
 
-Pages of a host with the same text count once. A node seen on few pages has little evidence, which pulls its importance towards 1.
+The importance of a node is a sum of log odds. The entropies, the node's share of the host's text and its share of links count with the evidence that there is, (m - 1) / (m - 1 + PRESUMED) for m pages. What the element says of itself (tag, role, class, id) is a prior, of weight NAMED, that entropies can overrule either way: a plain div that never changes its look is dropped, an article in an element called "widget" stays. On a host with a page or two the prior decides. Parts of an article (paragraphs, headings, and elements within a node of high presentation entropy) are kept with it unless they repeat from page to page. Branches with a sum below 0 are removed from each page.
 
-The tree is a table: a row for each host and path, from counts by group, so that no host meets in one task. A page gets back only the low paths that it has itself.
+Pages of a host with the same text count once. The tree is a table: a row for each host and path, from counts by group, so that no host meets in one task. Pages are read once; what was read is written to the shared folder. The tree is sent to all executors where it has at most MOST_BROADCAST rows, else each page gets the rows of its own paths by a join.
 
-Null and empty pages, and pages without text in an article, have an empty text. Truncated and malformed pages are read as far as they go. Pages without a host count as one site. Repeated rows get equal results.
+Null and empty pages, and pages without text in an article, have an empty text. Truncated and malformed pages are read as far as they go, and very long ones as a whole. Pages without a host count as one site. Repeated rows get equal results, a sum of exactly 0 keeps a branch, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,9 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOW = 0.25
-#: Pages on which importance 1 is presumed of a node.
+from palimpsest.llm.common import cut, written
+
+#: Pages that weigh as much as the prior.
 PRESUMED = 4
+#: Log odds of an element that says nothing of itself, of the words and tags of an article or of something else, and of lying within an article.
+PLAIN, NAMED, WITHIN = 1.5, 2.5, 2.0
+#: Weights of the entropy of presentation (against 0.5) and of content (below 0.5), of the share of text (against 0.3) and of links (above 0.5).
+LOOK, SAY, SHARE, LINKS = 3.0, 8.0, 3.0, 4.0
+#: Looks in equal shares that count as the most varied presentation; a node has no more of them on a larger host.
+LOOKS = 32
+#: Rows of a tree that are sent to all executors, a few dozen bytes each.
+MOST_BROADCAST = 200_000
 
 TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""",
@@ -55,20 +64,23 @@ NOISE = set(
 )
 HEADER = {"header", "head", "topper"}
 MAIN = {"article", "main"}
+#: Elements that share the fate of what they lie in, unless they repeat.
+PARTS = set("p h1 h2 h3 h4 h5 h6 hgroup ul ol li dl dt dd pre blockquote figure figcaption caption address tr tbody thead tfoot summary".split())
+HIDDEN, NOISE_KIND, PLAIN_KIND, MAIN_KIND = -2, -1, 0, 1
 
 
 class Node:
     __slots__ = ("tag", "path", "kind", "inside", "children")
 
-    def __init__(self, tag: str, path: int, kind: float, inside: bool) -> None:
+    def __init__(self, tag: str, path: int, kind: int, inside: bool) -> None:
         self.tag, self.path, self.kind, self.inside, self.children = tag, path, kind, inside, []
 
 
 def read_page(page: str | None) -> tuple[list[tuple[tuple[int, ...], str]], dict[int, list]]:
-    """The blocks of a page in order, each with the paths of its ancestors, and for each path its kind (1, or 0 for what says that it is no article), characters, characters in links, and hashes of its content and presentation."""
+    """The blocks of a page in order, each with the paths of its ancestors, and for each path its kind, whether it is one of PARTS, its characters, characters in links, and hashes of its content and presentation."""
     blocks: list[tuple[tuple[int, ...], str]] = []
     nodes: dict[int, list] = {}
-    stack = [Node("", 0, 1.0, False)]
+    stack = [Node("", 0, PLAIN_KIND, False)]
     text: list[str] = []
     links = in_link = 0
     page = page or ""
@@ -84,9 +96,9 @@ def read_page(page: str | None) -> tuple[list[tuple[tuple[int, ...], str]], dict
                 h = xxhash.xxh64_intdigest(block)
                 for p in dict.fromkeys(paths):
                     node = nodes[p]
-                    node[1] += len(block)
-                    node[2] += min(links, len(block))
-                    node[3] = (node[3] * 1_000_003 + h) & (2**64 - 1)
+                    node[2] += len(block)
+                    node[3] += min(links, len(block))
+                    node[4] = (node[4] * 1_000_003 + h) & (2**64 - 1)
         links = 0
 
     def close(n: int) -> None:
@@ -94,7 +106,7 @@ def read_page(page: str | None) -> tuple[list[tuple[tuple[int, ...], str]], dict
         flush()
         in_link = 0
         for node in stack[n:]:
-            nodes[node.path][4] = xxhash.xxh64_intdigest("%x %s" % (nodes[node.path][4], " ".join(node.children)))
+            nodes[node.path][5] = xxhash.xxh64_intdigest("%x %s" % (nodes[node.path][5], " ".join(node.children)))
         del stack[n:]
 
     def add(piece: str) -> None:
@@ -166,25 +178,28 @@ def read_page(page: str | None) -> tuple[list[tuple[tuple[int, ...], str]], dict
             inside = stack[-1].inside or tag in MAIN or attributes.get("role") == "main"
             if inside and not stack[-1].inside:  # what holds an article is no noise, whatever its class
                 for x in stack[1:]:
-                    nodes[x.path][0] = max(nodes[x.path][0], 0.9)
+                    nodes[x.path][0] = max(nodes[x.path][0], PLAIN_KIND)
             stack.append(Node(tag, path, kind, inside))
-            nodes.setdefault(path, [kind, 0, 0, 0, 0])
+            nodes.setdefault(path, [kind, tag in PARTS, 0, 0, 0, 0])
     if at <= last:
         add(re.split(r"<[a-zA-Z/!?]", page[max(at, last) :], maxsplit=1)[0])
     close(1)
     return blocks, nodes
 
 
-def describe(tag: str, attributes: dict[str, str], inside: bool) -> tuple[str, float]:
-    """An element's name in a path, and 0 if it says that it is no part of an article."""
+def describe(tag: str, attributes: dict[str, str], inside: bool) -> tuple[str, int]:
+    """An element's name in a path, and what it says of itself."""
     names = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z])(?=[A-Z])", " ", f"{attributes.get('class', '')} {attributes.get('id', '')}").lower()) if attributes else []
     key = f"{tag}.{'.'.join(names)}" if names else tag
-    if tag in ("html", "body", *MAIN):
-        return key, 1.0
+    if tag in ("html", "body"):
+        return key, PLAIN_KIND
+    if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", "")):
+        return key, HIDDEN
+    if tag in MAIN:
+        return key, MAIN_KIND
     noise = tag in ASIDE or attributes.get("role", "").lower() in ROLES or not NOISE.isdisjoint(names)
     noise = noise or not inside and (tag == "header" or not HEADER.isdisjoint(names))
-    hidden = "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attributes.get("style", ""))
-    return key, 0.0 if noise or hidden else 1.0
+    return key, NOISE_KIND if noise else PLAIN_KIND
 
 
 def signed(x: int) -> int:
@@ -196,79 +211,95 @@ def keyed(df: DataFrame, key: str, url: str, page: str) -> DataFrame:
     return df.select(F.coalesce(df[key].cast("string"), F.lit("")).alias("k"), F.xxhash64(df[url], df[page]).alias("h"), host.alias("host"), df[key].alias("key"), df[url].alias("url"), df[page].alias("page"))
 
 
-NODE = "k string, h long, host string, root long, path long, kind double, chars long, links long, content long, style long"
+NODE = "path long, chars long, links long, content long, style long"
 
 
-def nodes(rows: DataFrame) -> DataFrame:
-    """A row for each page of keyed() and path that has text on it. root: hash of all text of the page."""
+def parsed(rows: DataFrame) -> DataFrame:
+    """For each page of keyed(): k, h, host, key, url, root (hash of all of its text), total (its characters), blocks (packed: the kinds of paths, rows of ancestors, and blocks) and nodes, for each path with text on it."""
+    node = T.ArrayType(T.StructType([T.StructField(c.split()[0], T.LongType()) for c in NODE.split(", ")]))
+    schema = T.StructType([*[rows.schema[c] for c in ("k", "h", "host", "key", "url")], T.StructField("root", T.LongType()), T.StructField("total", T.LongType()), T.StructField("blocks", T.BinaryType()), T.StructField("nodes", node)])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.float64(), *[pa.int64()] * 4]
         for batch in batches:
-            at, root, path, out = [], [], [], []
-            for i, page in enumerate(batch.column(3).to_pylist()):
+            roots, totals, packed, ends, columns = [], [], [], [0], [[] for _ in NODE.split(", ")]
+            for page in batch.column(5).to_pylist():
                 blocks, found = read_page(page)
-                whole = signed(xxhash.xxh64_intdigest(" ".join(b for _, b in blocks)))
-                for p, (kind, chars, links, content, style) in found.items():
+                roots.append(signed(xxhash.xxh64_intdigest(" ".join(b for _, b in blocks))))
+                totals.append(sum(len(b) for _, b in blocks))
+                for p, (_, _, chars, links, content, style) in found.items():
                     if chars:
-                        at.append(i)
-                        root.append(whole)
-                        path.append(signed(p))
-                        out.append((kind, chars, links, signed(content), signed(style)))
-            take = pa.array(at, pa.int64())
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            names = [c.split()[0] for c in NODE.split(", ")]
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(root, pa.int64()), pa.array(path, pa.int64()), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names=names)
-
-    return rows.select("k", "h", "host", "page").mapInArrow(read, NODE)
-
-
-def style_tree(found: DataFrame, presumed: int = PRESUMED) -> DataFrame:
-    """The merged trees: host, path, pages and importance."""
-    once = found.groupBy("host", "path", "root").agg(*[F.first(c).alias(c) for c in ("kind", "chars", "links", "content", "style")])
-    features = once.select("host", "path", "kind", "chars", "links", F.explode(F.array(F.struct(F.lit("content").alias("of"), F.col("content").alias("value")), F.struct(F.lit("style").alias("of"), F.col("style").alias("value")))).alias("f"))
-    counts = features.groupBy("host", "path", "f").agg(F.count("*").alias("n"), F.max("kind").alias("kind"), F.sum("chars").alias("chars"), F.sum("links").alias("links"))
+                        for column, x in zip(columns, (signed(p), chars, links, signed(content), signed(style)), strict=True):
+                            column.append(x)
+                ends.append(len(columns[0]))
+                numbers: dict[tuple[int, ...], int] = {}
+                told = [(numbers.setdefault(paths, len(numbers)), b) for paths, b in blocks]
+                ancestors = [[(signed(p), *found[p][:2]) for p in paths] for paths in numbers]
+                packed.append(zlib.compress(json.dumps([ancestors, told], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1))
+            items = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in NODE.split(", ")])
+            nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(roots, pa.int64()), pa.array(totals, pa.int64()), pa.array(packed, pa.binary()), nodes], names=schema.names)
+
+    return rows.select("k", "h", "host", "key", "url", "page").mapInArrow(read, schema)
+
+
+def style_tree(pages: DataFrame, presumed: int = PRESUMED) -> DataFrame:
+    """The merged trees: host, path, pages, look and say (the entropies, 0 to 1), and log odds: branch, part (of an element that shares the fate of another), and main, whether what lies within is part of an article. pages: parsed()."""
+    found = pages.select("host", "root", "total", F.inline("nodes"))
+    once = found.groupBy("host", "path", "root").agg(*[F.first(c).alias(c) for c in ("total", "chars", "links", "content", "style")])
+    values = F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("value")) for c in ("content", "style")])
+    features = once.select("host", "path", "total", "chars", "links", F.explode(values).alias("f"))
+    counts = features.groupBy("host", "path", "f").agg(F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("total", "chars", "links")])
     ordered = lambda of: F.sum(F.when(F.col("f.of") == of, F.col("n") * F.log("n")).otherwise(0.0))
-    tree = counts.groupBy("host", "path").agg(
-        (F.sum("n") / 2).alias("pages"), ordered("content").alias("content"), ordered("style").alias("style"), F.max("kind").alias("kind"), F.sum("chars").alias("chars"), F.sum("links").alias("links")
-    )
+    tree = counts.groupBy("host", "path").agg((F.sum("n") / 2).alias("pages"), ordered("content").alias("say"), ordered("style").alias("look"), *[F.sum(c).alias(c) for c in ("total", "chars", "links")])
     m = F.col("pages")
-    entropy = lambda c: F.when(m > 1, (F.log(m) - F.col(c) / m) / F.log(m)).otherwise(1.0)
-    varied = (F.greatest(entropy("content"), entropy("style")) * (m - 1) + presumed) / (m - 1 + presumed)
-    linked = F.col("links") / F.greatest(F.col("chars"), F.lit(1))
-    return tree.select("host", "path", "pages", (F.col("kind") * varied * F.when(linked > 0.5, 1 - linked).otherwise(1.0)).alias("importance"))
-
-
-def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", low: float = LOW, presumed: int = PRESUMED) -> DataFrame:
-    """key, url, text and n_chars for each row of df."""
-    rows = keyed(df, key, url, page)
-    found = nodes(rows)
-    dropped = style_tree(found, presumed).where(F.col("importance") < low).select("host", "path")
-    # A page has few paths, so its set is small.
-    sets = found.select("k", "h", "host", "path").join(dropped, ["host", "path"]).groupBy("k", "h").agg(F.collect_set("path").alias("low"))
-    schema = T.StructType([rows.schema["k"], rows.schema["h"], rows.schema["key"], rows.schema["url"], T.StructField("blocks", T.BinaryType())])
-
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            packed = []
-            for p in batch.column(4).to_pylist():
-                numbers: dict[tuple[int, ...], int] = {}
-                blocks = [(numbers.setdefault(paths, len(numbers)), b) for paths, b in read_page(p)[0]]
-                packed.append(zlib.compress(json.dumps([list(numbers), blocks], ensure_ascii=False).encode("utf-8", "surrogatepass"), 1))
-            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(4)], pa.array(packed, pa.binary())], names=schema.names)
-
-    # Blocks travel compressed: they are most of what is shuffled.
-    pages = rows.select("k", "h", "key", "url", "page").mapInArrow(read, schema)
+    entropy = lambda c, most: F.when(m > 1, F.least((F.log(m) - F.col(c) / m) / F.log(most), F.lit(1.0))).otherwise(1.0)
+    tree = tree.withColumns({"say": entropy("say", m), "look": entropy("look", F.least(m, F.lit(LOOKS))), "evidence": (m - 1) / (m - 1 + presumed)})
+    share, linked = F.col("chars") / F.greatest(F.col("total"), F.lit(1)), F.col("links") / F.greatest(F.col("chars"), F.lit(1))
+    look, share = LOOK * (F.col("look") - 0.5), SHARE * (share - 0.3)
+    repeats, in_links = SAY * F.least(F.col("say") - 0.5, F.lit(0.0)), -LINKS * F.greatest(linked - 0.5, F.lit(0.0))
+    above = lambda c: F.greatest(c, F.lit(0.0))
+    return tree.select(
+        "host", "path", "pages", "look", "say",
+        (F.col("evidence") * (look + share + repeats + in_links)).alias("branch"),
+        (F.col("evidence") * (above(look) + above(share) + repeats)).alias("part"),
+        (F.col("evidence") * (F.col("look") - 0.5) > 0.1).alias("main"),
+    )
+
+
+def kept_text(packed: bytes, odds: dict[int, tuple[float, float, bool]], named: float = NAMED) -> str:
+    """The blocks of a page, packed by parsed(), without those in branches of low importance. odds: branch, part and main by path."""
+    ancestors, blocks = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+    keep = []
+    for paths in ancestors:
+        within, stays = 0.0, True
+        for path, kind, part in paths:
+            branch, as_part, main = odds.get(path, (0.0, 0.0, False))
+            total = PLAIN + named * kind + (max(within, WITHIN) + as_part if part else within + branch)
+            if kind == HIDDEN or total < 0:
+                stays = False
+                break
+            if kind == MAIN_KIND and named or main and not part:
+                within = WITHIN
+        keep.append(stays)
+    return " ".join(b for i, b in blocks if keep[i])
+
+
+def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", presumed: int = PRESUMED, named: float = NAMED, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+    """key, url, text and n_chars for each row of df. named: weight of what elements say of themselves; 0 leaves it to the entropies."""
+    pages = written(parsed(keyed(df, key, url, page)))
+    tree = cut(style_tree(pages, presumed))
+    odds = F.collect_list(F.struct("path", "branch", "part", "main")).alias("odds")
+    if tree.count() <= most_broadcast:
+        joined = pages.drop("nodes").join(F.broadcast(tree.groupBy("host").agg(odds)), "host", "left")
+    else:
+        # Both sides of the join are written tables, so that a common path of a large host can be split. A page has few paths, so its list is small.
+        own = pages.select("k", "h", "host", F.explode("nodes.path").alias("path")).join(tree, ["host", "path"]).groupBy("k", "h").agg(odds)
+        joined = pages.drop("nodes").join(own.withColumnRenamed("k", "k_").withColumnRenamed("h", "h_"), (F.col("k") == F.col("k_")) & (F.col("h") == F.col("h_")), "left")
+    joined = joined.select("key", "url", "host", "blocks", "odds.path", "odds.branch", "odds.part", "odds.main")
 
     @F.pandas_udf("string")
-    def kept(blocks: pd.Series, low: pd.Series) -> pd.Series:
-        out = []
-        for packed, gone in zip(blocks, low, strict=True):
-            paths, parts = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
-            gone = set() if gone is None else set(gone)
-            bad = [any(signed(p) in gone for p in ps) for ps in paths]
-            out.append(" ".join(b for i, b in parts if not bad[i]))
-        return pd.Series(out, dtype=object)
-
-    joined = pages.join(sets, ["k", "h"], "left").select("key", "url", kept("blocks", "low").alias("text"))
-    return joined.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
+    def text(blocks: pd.Series, path: pd.Series, branch: pd.Series, part: pd.Series, main: pd.Series) -> pd.Series:
+        return pd.Series([kept_text(b, {} if p is None else dict(zip(p.tolist(), zip(*row, strict=True), strict=True)), named) for b, p, *row in zip(blocks, path, branch, part, main, strict=True)], dtype=object)
+
+    done = joined.select("key", "url", text("blocks", "path", "branch", "part", "main").alias("text"))
+    return done.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
