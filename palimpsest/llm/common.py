@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -64,3 +67,26 @@ def window_hashes(hashes: Column, n: int) -> Column:
     """The 64-bit hash of every run of n words; empty for fewer words. hashes: word_hashes(), as a column of the frame, as each window looks it up n times."""
     runs = F.transform(hashes, lambda x, i: F.xxhash64(x, *[F.get(hashes, i + k) for k in range(1, n)]))
     return F.slice(runs, F.lit(1), F.greatest(F.size(hashes) - (n - 1), F.lit(0)))
+
+
+SEED = 42
+#: Hashes made at once.
+BLOCK = 1 << 13
+
+
+def shingle_hashes(text: str | None, shingle: int) -> tuple[int, Iterator[np.ndarray]]:
+    """How many shingles a text has, repeats included, and their XXH64 hashes in blocks. A-Z count as a-z; fewer words than a shingle make one."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space only
+    if not words:
+        return 0, iter(())
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    n = max(len(words) - shingle + 1, 1)
+    first = np.concatenate(([0], ends[: n - 1] + 1))
+    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
+
+    def blocks() -> Iterator[np.ndarray]:
+        for at in range(0, n, BLOCK):
+            yield np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)), "<u8")
+
+    return n, blocks()

@@ -6,72 +6,37 @@ Coordinates are written in unary (00, 01, 11), so that a Manhattan distance is a
 
 Cells with more than HOT fingerprints are not joined as a whole. Their members are dealt into blocks, each pair of blocks is compared on its own, and it gives a spanning forest of its links instead of all of them, which leaves the components as they are.
 
-A similarity of 0.8 between sets of shingles is about 10 differing bits of 64, beyond what cells can be small for, and any cut of an estimate loses pairs. near_duplicates_by_similarity() therefore works on the sets themselves: two sets at the similarity share one of their first fifth of members in the order of the hashes, so pairs that do are looked at; sizes, places and parities of 512 bits or more rule out most of the rest without ever ruling out a link, and what then hangs together is compared set by set. band_bits() and bands(), keys of 512-bit SimHash, are no part of it any more.
+The pipeline wants a similarity of 0.8, about 10 differing bits of 64; similar.py finds that.
 
 Null and empty texts have no words, and fingerprint zero; they link like all others. Ties, repeated rows and equal texts share a fingerprint. Very long texts are hashed in blocks. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from itertools import combinations
-from math import acos, ceil, log, log1p, pi
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, written
+from palimpsest.llm.common import cut, shingle_hashes
 from palimpsest.llm.components import components
+from palimpsest.llm.similar import near_duplicates_by_similarity, one_of_each
 
 SHINGLE = 4
-SEED = 42
 DISTANCE = 4
 GRIDS = 8
 HOT = 256
-#: Hashes whose bits are counted at once.
-BLOCK = 1 << 13
-
-
-def shingle_hashes(text: str | None, shingle: int) -> tuple[int, Iterator[np.ndarray]]:
-    """How many shingles a text has, repeats included, and their XXH64 hashes in blocks. A-Z count as a-z; fewer words than a shingle make one."""
-    words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # of bytes: ASCII letters and white space only
-    if not words:
-        return 0, iter(())
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    n = max(len(words) - shingle + 1, 1)
-    first = np.concatenate(([0], ends[: n - 1] + 1))
-    last = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
-
-    def blocks() -> Iterator[np.ndarray]:
-        for at in range(0, n, BLOCK):
-            yield np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)), "<u8")
-
-    return n, blocks()
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """A bit is 1 if it is set in more than half of the hashes."""
-    return int(wide_fingerprint(text, shingle, 1)[0])
-
-
-def wide_fingerprint(text: str | None, shingle: int, parts: int) -> np.ndarray:
-    """The same over parts times 64 bits, as signed longs. Further parts take the hashes through a mixing step each."""
     n, blocks = shingle_hashes(text, shingle)
-    counts = np.zeros(64 * parts, np.int64)
+    counts = np.zeros(64, np.int64)
     for hashes in blocks:
-        wide = np.empty((len(hashes), parts), "<u8")
-        for j in range(parts):
-            wide[:, j] = hashes
-            # The finalizer of MurmurHash3.
-            hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-            hashes = (hashes ^ (hashes >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-            hashes ^= hashes >> np.uint64(33)
-        counts += np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * counts > n, bitorder="little").view("<i8")
+        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
 
 
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
@@ -159,210 +124,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     return rows.join(named, "fp").select(F.col("key").alias(key), "fp", "component")
 
 
-PARTS = 8
-#: Share of the pairs at the wanted similarity that would agree in no band if bands had no bits in common; as they have, it is about twice that.
-MISSED = 0.01
-FEWEST_BAND_BITS = 12
-#: Fingerprints whose bands are made at once.
-BATCH = 256
-#: Hashes that more than CROWDED sets have among their first are compared in blocks of BLOCK_MEMBERS, which give a spanning forest each.
-CROWDED = 16
-BLOCK_MEMBERS = 2048
-
-
-def wide_distance(similarity: float, bits: int = 64 * PARTS) -> int:
-    """Differing bits to expect at this Jaccard similarity of two sets of one size: their cosine is 2 s / (1 + s), and a bit differs with probability angle / pi."""
-    return int(bits * acos(2 * similarity / (1 + similarity)) / pi)
-
-
-def band_bits(n: int, similarity: float) -> np.ndarray:
-    """The places of the bits of each band, a row for each, for n fingerprints. A band has as many bits as n, so that each fingerprint meets about one other in it by chance, whatever n is; there are as many bands as it takes, if they had no bits in common, for all but MISSED of the pairs at the similarity to agree in one. Their number grows with the fourth root of n or so."""
-    width = max(FEWEST_BAND_BITS, n.bit_length())
-    agree = 1 - acos(2 * similarity / (1 + similarity)) / pi
-    count = ceil(log(MISSED) / log1p(-(agree**width)))
-    rng = np.random.default_rng(SEED)
-    return np.stack([rng.permutation(64 * PARTS)[:width] for _ in range(count)])
-
-
-def bands(wide: np.ndarray, places: np.ndarray) -> np.ndarray:
-    """A key for each row of PARTS longs and each band: the bits at its places, with its number above them."""
-    count, width = places.shape
-    weights, numbers = 1 << np.arange(width), np.arange(count) << width
-    out = np.empty((len(wide), count), np.int64)
-    for at in range(0, len(wide), BATCH):
-        bits = np.unpackbits(np.ascontiguousarray(wide[at : at + BATCH]).view(np.uint8), axis=1, bitorder="little")
-        out[at : at + BATCH] = bits[:, places] @ weights + numbers
-    return out
-
-
-def shingle_set(text: str | None, shingle: int) -> np.ndarray:
-    """The distinct hashes of a text's shingles in order."""
-    blocks = list(shingle_hashes(text, shingle)[1])
-    return np.unique(np.concatenate(blocks)).view("<i8") if blocks else np.empty(0, "<i8")
-
-
-def prefix_length(n: int, similarity: float) -> int:
-    """Two sets at the similarity have one of the first so many members in common, whatever one order all sets are put in: a set of n shares at least similarity * n of them."""
-    return n - ceil(similarity * n - 1e-9) + 1 if n else 0
-
-
-def parities(hashes: np.ndarray) -> np.ndarray:
-    """PARTS longs, twice as many as long as the set has more members than they have bits, in which each member flips one bit: two sets differ in at least as many members as these differ in bits. The halves of longer ones, combined by exclusive or, are the shorter ones."""
-    width = 64 * PARTS
-    while width < len(hashes):
-        width *= 2
-    # Not the upper bits: prefixes are chosen by the order of the hashes.
-    return np.packbits(np.bincount(hashes & (width - 1), minlength=width) & 1, bitorder="little").view("<i8")
-
-
-def exact_forest(ids: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
-    """Links that connect what all pairs of these sets with at least this Jaccard similarity connect."""
-    sizes = np.array([len(x) for x in sets])
-    members = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
-    # Of the sets not reached yet: their numbers and the members of all of them, one after the other.
-    rest, flag, out = np.arange(len(ids)), np.zeros(members.max(initial=0) + 1, bool), []
-    own = np.split(members, np.cumsum(sizes)[:-1])
-
-    def without(gone: np.ndarray) -> None:
-        nonlocal rest, members
-        members, rest = members[np.repeat(~gone, sizes[rest])], rest[~gone]
-
-    while len(rest):
-        queue = [rest[0]]
-        without(np.arange(len(rest)) == 0)
-        while queue and len(rest):
-            at = queue.pop()
-            flag[own[at]] = True
-            common = np.add.reduceat(flag[members], np.concatenate(([0], np.cumsum(sizes[rest])[:-1])), dtype=np.int64)
-            flag[own[at]] = False
-            near = common * (1 + similarity) >= similarity * (sizes[rest] + sizes[at]) - 1e-6
-            reached = rest[near]
-            if len(reached):
-                without(near)
-                out += [(ids[at], ids[x]) for x in reached]
-                queue += reached.tolist()
-    return out
-
-
-def near_sets(a: Column, b: Column, n_a: Column, n_b: Column, similarity: float) -> Column:
-    """False only for sets below the similarity: a and b are their parities. Sizes so near that one is at most twice as long as the other."""
-    shorter = F.least(F.size(a), F.size(b))
-    fold = lambda x, i: F.get(x, i).bitwiseXOR(F.coalesce(F.get(x, i + shorter), F.lit(0)))
-    apart = F.aggregate(F.sequence(F.lit(0), shorter - 1), F.lit(0), lambda n, i: n + differing(fold(a, i), fold(b, i)))
-    return apart <= F.lit((1 - similarity) / (1 + similarity)) * (n_a + n_b) + F.lit(1e-6)
-
-
-def maybe_similar_links(points: DataFrame, similarity: float, hot: int = CROWDED, block: int = BLOCK_MEMBERS) -> DataFrame:
-    """Columns a < b of ids; they connect whatever the pairs at the similarity connect, and perhaps more. points: id, n (size of the set), prefix and bits (parities)."""
-    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = points.select("id", "n", F.posexplode("prefix").alias("at", "band"))
-    crowded = keyed.groupBy("band").agg(F.count("*").alias("members")).where(F.col("members") > hot)
-    crowded = cut(crowded.select("band", F.ceil(F.col("members") / block).cast("int").alias("blocks")))
-    some = bool(crowded.take(1))
-    thin = keyed.join(crowded, "band", "left_anti") if some else keyed
-    a, b = thin.alias("a"), thin.alias("b")
-    total = F.col("a.n") + F.col("b.n")
-    sized = F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * similarity - 1e-6
-    # At the first member that two sets share, what follows must suffice.
-    left = F.least(F.col("a.n") - F.col("a.at"), F.col("b.n") - F.col("b.at")) >= total * (similarity / (1 + similarity)) - 1e-6
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.id") < F.col("b.id")) & sized & left).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    wa, wb = (points.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"w_{x}")) for x in "ab")
-    found = pairs.join(wa, "a").join(wb, "b").where(near_sets(F.col("w_a"), F.col("w_b"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
-    if not some:
-        return found
-    members = keyed.join(crowded, "band").select("id", "band", "blocks").join(points.select("id", "n", "bits"), "id")
-    members = in_blocks(members, "band", parts)
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, group in pdf.groupby("band", sort=False):
-            group = group.sort_values("id")
-            widths = group["bits"].map(len).to_numpy()
-            # All pairs of which one has the width; others can be twice as wide at most.
-            for width in np.unique(widths):
-                some = group[(widths == width) | (widths == 2 * width)]
-                ids, ns, own = some["id"].to_numpy(), some["n"].to_numpy(), some["bits"].map(len).to_numpy() == width
-                bits = np.stack([np.bitwise_xor.reduce(np.asarray(x).reshape(-1, width), axis=0) for x in some["bits"]])
-                rest = np.arange(len(ids))
-                while len(rest):
-                    queue, rest = [rest[0]], rest[1:]
-                    while queue and len(rest):
-                        at = queue.pop()
-                        apart = np.bitwise_count((bits[rest] ^ bits[at]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-                        near = (apart <= (1 - similarity) / (1 + similarity) * (ns[rest] + ns[at]) + 1e-6) & (own[rest] | own[at])
-                        near &= np.minimum(ns[rest], ns[at]) >= similarity * np.maximum(ns[rest], ns[at]) - 1e-6
-                        reached, rest = rest[near], rest[~near]
-                        out += [(min(ids[at], ids[x]), max(ids[at], ids[x])) for x in reached]
-                        queue += reached.tolist()
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    return found.unionByName(members.groupBy("bucket", "i", "j").applyInPandas(forest, "a long, b long"))
-
-
-def in_blocks(members: DataFrame, group: str, parts: int) -> DataFrame:
-    """Members dealt into the blocks of their group; block i meets each block j, and the pair is named by the smaller and the larger. Groups of one block share a bucket with others."""
-    block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    bucket = F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(16 * parts))).otherwise(F.col(group))
-    members = members.withColumn("block", block).withColumn("bucket", bucket)
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    return members.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")).drop("block", "other", "blocks")
-
-
-#: Members of sets that a block of sets holds or so.
-BLOCK_HASHES = 1 << 20
-#: Ids that are sent to all executors rather than that texts are shuffled.
-MOST_BROADCAST = 500_000
-
-
-def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8, hot: int = CROWDED, block: int = BLOCK_MEMBERS) -> DataFrame:
-    """For each row of df: key and component, the smallest key that links reach from it. Keys are whole numbers. A link stands for a Jaccard similarity of the sets of shingles of at least the given one, and all such pairs are linked."""
-
-    @F.pandas_udf("digest binary, n int, prefix array<long>, bits array<long>")
-    def sketch(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle) for t in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "n": np.array([len(x) for x in sets], "int32"), "prefix": [x[: prefix_length(len(x), similarity)] for x in sets], "bits": [parities(x) for x in sets]})
-
-    @F.pandas_udf("digest binary, hashes binary")
-    def whole(texts: pd.Series) -> pd.DataFrame:
-        sets = [shingle_set(t, shingle).tobytes() for t in texts]
-        return pd.DataFrame({"digest": [xxhash.xxh3_128_digest(x) for x in sets], "hashes": sets})
-
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = cut(df.select(df[key].alias("key"), sketch(df[text]).alias("s")).select("key", "s.*"))
-    names = rows.groupBy("digest").agg(F.min("key").alias("id"))
-    first = rows.withColumnRenamed("key", "id").join(names, ["id", "digest"], "left_semi").dropDuplicates(["id", "digest"])
-    points = cut(first.select("digest", "id", "n", "prefix", "bits"))
-    maybe = components(maybe_similar_links(points.where("id IS NOT NULL"), similarity, hot, block))
-    # Links lie inside the groups that maybe_similar_links() connects: there all pairs are compared exactly, the sets made again from the texts.
-    near = cut(maybe.select(F.col("node").alias("id"), "root").join(points.select("id", "digest", "n"), "id"))
-    blocks = near.groupBy("root").agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_HASHES)).cast("int").alias("blocks"))
-    near = near.join(blocks, "root").select("id", "digest", "root", "blocks")
-    wanted = near.select("id").distinct()
-    # Written first, so that the sets are made of these texts alone.
-    texts = written(df.select(df[key].alias("id"), df[text].alias("text")).join(F.broadcast(wanted) if near.count() <= MOST_BROADCAST else wanted, "id", "left_semi"))
-    sets = texts.select("id", whole(F.col("text")).alias("s")).select("id", "s.*").dropDuplicates(["id", "digest"])
-    members = in_blocks(near.join(sets, ["id", "digest"]).select("id", "root", "blocks", "hashes"), "root", parts)
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, group in pdf.groupby("root", sort=False):
-            group = group.sort_values("id")
-            out += exact_forest(group["id"].to_numpy(), [np.frombuffer(x, "<i8") for x in group["hashes"]], similarity)
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-    joined = components(members.groupBy("bucket", "i", "j").applyInPandas(forest, "a long, b long"))
-    # The root of a component is its smallest id, and an id is the smallest key of its text.
-    named = names.join(joined.select(F.col("node").alias("id"), "root"), "id", "left").select("digest", F.coalesce("root", "id").alias("component"))
-    return rows.select("key", "digest").join(named, "digest").select(F.col("key").alias(key), "component")
-
-
 def to_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of df whose key is the smallest of their near-duplicates, each once. Rows without a key stay."""
-    found = near_duplicates_by_similarity(df.where(df[key].isNotNull()), key, text, shingle, similarity)
-    kept = found.where(F.col(key) == F.col("component")).select(F.col(key).alias("__key")).distinct()
-    without = df.where(df[key].isNull())
-    return df.join(kept, df[key] == kept["__key"], "left_semi").dropDuplicates([key]).unionByName(without)
+__all__ = ["fingerprints", "links", "near_duplicates", "near_duplicates_by_similarity", "one_of_each", "to_hex"]

@@ -139,6 +139,27 @@ def test_site_style(spark):
     assert site_style.main_text(df.limit(0)).count() == 0
 
 
+def test_entropy_decides(spark):
+    """Parts of a template that don't say what they are go, though their words change; an article in an element named like a widget stays. What elements say of themselves decides only where there are few pages."""
+    article = lambda i, name: f"<div class={name}><h1>Title {i}</h1>" + "".join(f"<p>text {i} {j} of some length</p>" for j in range(2 + i * 7 % 11)) + "</div>"
+    page = lambda i, name="x": f"<body><div class=a><span>menu {i}</span></div>{article(i, name)}<div class=b>words that are new: {i * 7}</div><div class=c>Same on all</div></body>"
+    want = lambda i: " ".join([f"Title {i}", *[f"text {i} {j} of some length" for j in range(2 + i * 7 % 11)]])
+    rows = [(i, "http://a.example/", page(i)) for i in range(60)] + [(100 + i, "http://b.example/", page(i, "widget")) for i in range(60)] + [(200, "http://c.example/", page(3, "widget")), (201, "http://d.example/", page(4))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for options in ({}, {"named": 0.0}, {"most_broadcast": 0}):
+        got = {r["page_id"]: r["text"] for r in site_style.main_text(df, **options).collect()}
+        assert all(got[i] == got[100 + i] == want(i) for i in range(60))
+    without = {r["page_id"]: r["text"] for r in site_style.main_text(df, presumed=10**9).collect()}
+    assert all(without[i] != got[i] and without[100 + i] != got[100 + i] for i in range(60))  # entropies left out
+    assert "Title" not in without[200] and "Same on all" in got[201]
+
+
+def test_extraction_by_entropy_alone(spark):
+    d = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{d}/pages.parquet")
+    assert site_style.main_text(pages, named=0.0).exceptAll(queries.op5_extraction(spark, d)).count() == 0
+
+
 @pytest.mark.parametrize(
     ("page", "want"),
     [
@@ -305,22 +326,17 @@ def test_simhash_edges(spark):
     assert len(got) == len(ODD) and all(r["fp"] == 0 and r["component"] == 0 for r in got if r["doc_id"] in (0, 1, 2))
     kept = simhash.one_of_each(odd(spark))
     assert kept.columns == odd(spark).columns and sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == [0, 3, 4]
+    assert simhash.one_of_each(odd(spark).limit(0)).count() == 0
+    # Texts that share a key are told apart; one of each component stays, and rows that repeat count once.
+    names = "doc_id long, text string, h string, n int, band string"
+    rows = [(5, "a b c d e f", "x", 1, "y"), (5, "g h i j k l", "x", 2, "y"), (5, "g h i j k l", "x", 2, "y"), (7, "g h i j k l", "z", 3, "y"), (8, None, "z", 3, "y"), (9, "", "z", 3, "y"), (10, "long " * 300_000, "z", 3, "y")]
+    for most in (10**6, 0):
+        kept = simhash.one_of_each(spark.createDataFrame(rows, names), most_broadcast=most)
+        assert kept.columns == ["doc_id", "text", "h", "n", "band"]
+        assert sorted((r["doc_id"], (r["text"] or "")[:3]) for r in kept.collect()) == [(5, "a b"), (5, "g h"), (8, ""), (10, "lon")]
     assert simhash.near_duplicates(odd(spark).limit(0)).count() == 0
 
 
-def test_bands():
-    """Whatever the number of documents: bits enough to tell them apart, and bands enough to let few pairs at the similarity slip."""
-    rng = np.random.default_rng(1)
-    for n in (0, 10_000, 300_000):
-        places = simhash.band_bits(n, 0.8)
-        assert 1 << places.shape[1] > n and all(len(set(p)) == len(p) for p in places.tolist())
-        a = rng.integers(0, 2, (2000, 512), np.uint8)
-        b = a ^ (rng.random(a.shape) < simhash.wide_distance(0.8) / 512)
-        keys = [simhash.bands(np.packbits(x, axis=1, bitorder="little").view("<i8"), places) for x in (a, b)]
-        assert (keys[0] == keys[1]).any(axis=1).mean() > 1 - 3 * simhash.MISSED  # bands share bits, so somewhat more slip than MISSED
-        assert len(np.unique(keys[0] >> places.shape[1])) == len(places)
-
-
 def test_similar_documents(spark):
     rng = np.random.default_rng(1)
     words = lambda n: [f"w{i}" for i in rng.integers(0, 10**6, n)]
@@ -332,8 +348,8 @@ def test_similar_documents(spark):
         rows += [(k, " ".join(w)), (k + 1, " ".join(near)), (k + 2, " ".join(half))]
         k += 3
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for hot, block in ((64, 2048), (1, 2)):
-        got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates_by_similarity(df, hot=hot, block=block).collect()}
+    for crowded, block, most in ((64, 2048, 10**6), (1, 2, 0)):
+        got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates_by_similarity(df, crowded=crowded, block=block, most_broadcast=most).collect()}
         assert got == {i: i - (i % 3 == 1) for i in range(k)}
 
 
@@ -352,8 +368,8 @@ def test_similar_documents_against_brute_force(spark):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
-    for hot, block in ((16, 2048), (1, 3)):
-        got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates_by_similarity(df, hot=hot, block=block).collect()}
+    for crowded, block, common in ((16, 2048, (8000, 3, 10**5)), (1, 3, (10**6, 10**6, 1)), (2, 2, (10**6, 2, 10**6))):  # what is taken for common changes nothing
+        got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates_by_similarity(df, crowded=crowded, block=block, common=common).collect()}
         assert got == reached(links, range(len(texts)))
 
 
