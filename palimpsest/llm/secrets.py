@@ -1,16 +1,22 @@
 """Secret scans. Three patterns find what looks like a secret anywhere; values in the context of credentials are also weighed by how many guesses an attacker would need.
 
-The guess cost of a value, in bits, is the least cost of cutting it into known words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over its positions. A value of at least MIN_BITS is a secret.
+The guess cost of a value, in bits, is the least cost of cutting it into known words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over its positions. A value of at least MIN_BITS is a secret. Words are ranked: parts of common passwords first, then the whole words of a public tokenizer's vocabulary, whose order is that of their frequency. Its path is a parameter.
 
-Null and empty texts have no spans. Whole texts are scanned. Repeated rows get equal results. Each row is scanned on its own, so nothing is shuffled.
+A walk or a repeat of more than LONGEST characters ends where it can't go on. So a position has a bounded number of steps, and time is linear in the length of a value; positions that cost as much as a secret already are not followed further.
+
+Null and empty texts have no spans. Whole texts and whole values are scanned, however long. Spans that start at one place are in the order of their kinds; a value of exactly MIN_BITS is a secret. Repeated rows get equal results, other columns play no part, and an empty table gives an empty result. Each row is scanned on its own, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import hashlib
+import heapq
+import json
 import math
 import re
+from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,7 +27,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")  # runs are taken whole, so shorter ones need not be matched and dropped
 #: Where a value is a credential: more names than the first pattern has, more punctuation in the value, and bearer headers.
 CONTEXT = re.compile(
-    r"(?<![A-Za-z0-9])(?:[a-z0-9]+[_-])*(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|(?:api|access|private|client|auth|encryption)[_-]?key|authorization)"
+    r"(?<![A-Za-z0-9])(?:password|passwd|passphrase|passcode|pwd|secret|token|credentials?|(?:api|access|private|client|auth|encryption)[_-]?key|authorization)"
     r"[\"']?\x20*(?::=|=>|[:=])\x20*(?:bearer\x20+|basic\x20+)?[\"']?([A-Za-z0-9!#$%&()*+,./:;<=>?@^_`{|}~-]{6,})",
     re.ASCII | re.IGNORECASE,
 )
@@ -38,7 +44,27 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "01234567890")
 NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
-LONGEST = max(map(len, COMMON))
+#: Characters of the longest word, and of a walk or repeat that can end before it must.
+LONGEST = 24
+DATES = math.log2(150 * 12 * 31)
+#: adjacent[a, b]: whether two characters, as code points below 128, are neighbours on a keyboard or in order.
+ADJACENT = np.zeros((128, 128), bool)
+for _a, _b in NEXT:
+    ADJACENT[ord(_a), ord(_b)] = True
+
+
+@cache
+def dictionary(vocabulary: str | None = None) -> dict[str, int]:
+    """The rank of each known word, from 1. vocabulary: a file of the tokenizers library whose word ends are marked; None for the public word vocabulary."""
+    if vocabulary is None:
+        import public_tokenizers
+
+        vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    with open(vocabulary, encoding="utf-8") as f:
+        ids = json.load(f)["model"]["vocab"]
+    words = [t.removesuffix("</w>") for t in sorted(ids, key=ids.get) if t.endswith("</w>")]
+    ranked = [*COMMON, *[w for w in words if 3 <= len(w) <= LONGEST and w.isascii() and w.isalpha()]]
+    return {w: i for i, w in reversed(list(enumerate(ranked, 1)))}
 
 
 def alphabet(value: str) -> float:
@@ -46,41 +72,60 @@ def alphabet(value: str) -> float:
     return math.log2(sum(n for pattern, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[^A-Za-z0-9]", 33)) if re.search(pattern, value)) or 1)
 
 
-def guess_bits(value: str, words: dict[str, int] | None = None) -> float:
-    """The least cost, in bits, of the cuts of value. words: rank of each known word, from 1."""
-    words = words or {w: i + 1 for i, w in enumerate(COMMON)}
-    longest = max(LONGEST, *map(len, words))
-    lower, plain, each = value.lower(), value.lower().translate(LEET), alphabet(value)
-    n = len(value)
-    best = [0.0] + [math.inf] * n
-    walk = [1] * (n + 1)  # length of the keyboard walk that starts here
-    for i in range(n - 2, -1, -1):
-        walk[i] = walk[i + 1] + 1 if lower[i : i + 2] in NEXT else 1
-    for i in range(n):
-        here = best[i]
-
-        def step(j: int, bits: float, here: float = here) -> None:
-            if here + bits < best[j]:
-                best[j] = here + bits
-
-        step(i + 1, each)
-        for j in range(i + 3, min(n, i + longest) + 1):
+class Runs:
+    """How far neighbours agree: ends(i) is the first place behind i whose pair is broken."""
+
+    def __init__(self, holds: np.ndarray) -> None:
+        self.breaks = np.append(np.flatnonzero(~holds), len(holds))
+
+    def end(self, i: int) -> int:
+        return int(self.breaks[np.searchsorted(self.breaks, i)])
+
+
+def guess_bits(value: str, words: dict[str, int] | None = None, enough: float = math.inf) -> float:
+    """The least cost, in bits, of the cuts of value; where that is not below `enough`, something not below it. words: rank of each known word, from 1."""
+    if not value:
+        return 0.0
+    words = dictionary() if words is None else words
+    lower, plain, each, n = value.lower(), value.lower().translate(LEET), alphabet(value), len(value)
+    if len(lower) != n:  # so that places hold
+        lower = plain = value
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
+    low = np.minimum(np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), "<u4"), 127)
+    walks = Runs(ADJACENT[low[:-1], low[1:]])
+    repeats = [Runs(codes[size:] == codes[:-size]) for size in range(1, 5) if size < n]
+    best, queue = {0: 0.0}, [0]
+
+    def step(j: int, bits: float) -> None:
+        if bits < best.get(j, math.inf):
+            if j not in best:
+                heapq.heappush(queue, j)
+            best[j] = bits
+
+    while queue:
+        i = heapq.heappop(queue)
+        here = best.pop(i) if i < n else best[n]
+        if i == n or here >= enough and queue:
+            continue
+        if here >= enough:  # all ways lead here
+            return here
+        step(i + 1, here + each)
+        for j in range(i + 3, min(n, i + LONGEST) + 1):
             rank = words.get(lower[i:j]) or words.get(plain[i:j])
             if rank:
                 changed = (lower[i:j] != value[i:j]) + (plain[i:j] != lower[i:j])
-                step(j, math.log2(rank) + 1 + 2 * changed)
+                step(j, here + math.log2(rank) + 1 + 2 * changed)
         if date := DATE.match(value, i):
-            step(date.end(), math.log2(150 * 12 * 31))
-        for j in range(i + 3, i + walk[i] + 1):
-            step(j, math.log2(len(NEXT)) + math.log2(j - i))
-        for size in (1, 2, 3, 4):  # the unit by brute force, then how often
-            unit = value[i : i + size]
-            j = i + size
-            while value.startswith(unit, j) and j + size <= n:
-                j += size
-            if len(unit) == size and (j - i) // size >= (3 if size == 1 else 2):
-                step(j, size * each + math.log2((j - i) // size))
-    return best[n]
+            step(date.end(), here + DATES)
+        end = walks.end(i) + 1 if i < n - 1 else i + 1
+        for j in (*range(i + 3, min(end, i + LONGEST) + 1), *([end] if end > i + LONGEST else [])):
+            step(j, here + math.log2(len(NEXT)) + math.log2(j - i))
+        for size, run in enumerate(repeats, 1):  # the unit by brute force, then how often
+            if i + size < n:
+                most = (run.end(i) + size - i) // size
+                for times in (*range(3 if size == 1 else 2, min(most, LONGEST // size) + 1), *([most] if most > LONGEST // size else [])):
+                    step(i + size * times, here + size * each + math.log2(times))
+    return best.get(n, enough)
 
 
 def spans(text: str | None, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:
@@ -90,7 +135,7 @@ def spans(text: str | None, min_bits: float = MIN_BITS) -> list[tuple[str, int,
     if "AKIA" in text:
         found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
-    found += [("guess", m.start(1), m.end(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1]) >= min_bits]
+    found += [("guess", m.start(1), m.end(1)) for m in CONTEXT.finditer(text) if guess_bits(m[1], enough=min_bits) >= min_bits]
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -4,6 +4,7 @@ import collections
 import gzip
 import hashlib
 import html
+import math
 import re
 import zlib
 
@@ -272,6 +273,66 @@ def test_guess_cost():
     assert secrets.redact("a token = 'abcdefgh12345' b") == "a [SECRET]' b" and secrets.redact(None) is None
 
 
+def cheapest(value, words):
+    """The least cost over all ways to cut a value, by trying each of them."""
+    each = secrets.alphabet(value)
+    near = lambda x: all(a + b in secrets.NEXT for a, b in zip(x.lower(), x.lower()[1:]))
+
+    def of(x):
+        costs = [len(x) * each]
+        for form, bits in ((x, 0), (x.lower(), 2), (x.lower().translate(secrets.LEET), 2 + 2 * (x != x.lower()))):
+            if form in words and form in (x.lower(), x.lower().translate(secrets.LEET)):
+                costs.append(math.log2(words[form]) + 1 + bits)
+        if secrets.DATE.match(x) and secrets.DATE.match(x).end() == len(x):
+            costs.append(math.log2(150 * 12 * 31))
+        if len(x) >= 3 and near(x):
+            costs.append(math.log2(len(secrets.NEXT)) + math.log2(len(x)))
+        for size in range(1, 5):
+            times = len(x) // size
+            if times >= (3 if size == 1 else 2) and x == x[:size] * times:
+                costs.append(size * each + math.log2(times))
+        return min(costs)
+
+    cuts = lambda x: [[x], *[[x[:k], *rest] for k in range(1, len(x)) for rest in cuts(x[k:])]] if x else [[]]
+    return min(sum(map(of, c)) for c in cuts(value))
+
+
+@given(st.lists(st.sampled_from(["pass", "Pass", "p4ss", "word", "a", "aa", "abab", "qwe", "123", "Z", "#", "x9"]), max_size=4).map("".join))
+def test_guess_cost_against_all_cuts(value):
+    value, words = value[:9], {"pass": 1, "word": 2, "password": 3}
+    want = cheapest(value, words)
+    assert secrets.guess_bits(value, words) == pytest.approx(want)
+    for enough in (5.0, 20.0, 45.0):
+        assert (secrets.guess_bits(value, words, enough) >= enough) == (want >= enough or abs(want - enough) < 1e-9 and secrets.guess_bits(value, words) >= enough)
+
+
+def test_guess_cost_of_long_values():
+    import time
+
+    rng, start = np.random.default_rng(1), time.perf_counter()
+    for unit in ("a", "ab", "abcd", "qwertyuiop", "password", "x9Q"):
+        secrets.spans("token := " + (unit * 1_000_000)[:1_000_000] + " end")
+    assert secrets.guess_bits("a" * 1_000_000, enough=45.0) < 45 < secrets.guess_bits("".join(chr(x) for x in rng.integers(33, 126, 1_000_000)), enough=45.0)
+    assert secrets.spans("a_" * 500_000 + "password_" * 100_000) == []
+    assert secrets.guess_bits("password" * 2000) > 45  # without a limit, to the end
+    assert time.perf_counter() - start < 30
+
+
+def test_no_secrets_in_prose():
+    for text in ("passphrase: understanding", "auth_key: unfortunately", "credential: everythings", "pwd = correcthorse", "The password: whatever you like, the token = something else", "Passcode: January2024"):
+        assert not [s for s in secrets.spans(text) if s[0] == "guess"], text
+
+
+def test_secrets_edges(spark):
+    names = "doc_id long, text string, spans string, n_hex string"
+    rows = [(0, None, "x", "y"), (1, "", "x", "y"), (2, SECRETS[0], "x", "y"), (2, SECRETS[0], "x", "y"), (None, "secret: " + "k7" * 100_000, "x", "y")]
+    df = spark.createDataFrame(rows, names)
+    got = df.select("doc_id", secrets.scan(F.col("text")).alias("s")).select("doc_id", "s.*").collect()
+    assert len(got) == len(rows) and [r["spans"] for r in got[:2]] == ["", ""] and got[2] == got[3] and got[4]["n_assign"] == 1
+    assert df.limit(0).select(secrets.scan(F.col("text")).alias("s")).count() == 0
+    assert df.withColumn("text", secrets.redacted(F.col("text"))).where("text LIKE '%k7k7%'").count() == 0
+
+
 def reached(links, nodes):
     parent = {n: n for n in nodes}
 
