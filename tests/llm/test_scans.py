@@ -429,7 +429,7 @@ def test_similar_documents_against_brute_force(spark):
     sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in texts]
     links = [(a, b) for a in range(len(sets)) for b in range(a) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
     df = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
-    for crowded, block, common in ((16, 2048, (8000, 3, 10**5)), (1, 3, (10**6, 10**6, 1)), (2, 2, (10**6, 2, 10**6))):  # what is taken for common changes nothing
+    for crowded, block, common in ((16, 2048, (8000, 3, 0.01, 10**5)), (2, 2, (10**6, 2, 0.02, 10**6))):  # what is taken for common changes nothing
         got = {r["doc_id"]: r["component"] for r in simhash.near_duplicates_by_similarity(df, crowded=crowded, block=block, common=common).collect()}
         assert got == reached(links, range(len(texts)))
 
