@@ -40,26 +40,64 @@ def fts_text(payload: Column, text: Column) -> Column:
     return F.coalesce(F.get_json_object(payload, "$.text"), text)
 
 
+def number_text(value: int | float) -> str:
+    """A number as JavaScript writes it, which is how texts were indexed: the shortest digits that stand for the double, with an exponent below 1e-6 and from 1e21 on."""
+    try:
+        x = float(value)
+    except OverflowError:
+        x = float("inf") if value > 0 else float("-inf")
+    if x != x or x in (float("inf"), float("-inf")):
+        return "NaN" if x != x else "Infinity" if x > 0 else "-Infinity"
+    if x == 0:
+        return "0"
+    mantissa, _, power = f"{abs(x)!r}".partition("e")
+    whole, _, part = mantissa.partition(".")
+    digits = (whole + part).lstrip("0")
+    point = len(whole.lstrip("0")) if whole.strip("0") else -(len(part) - len(part.lstrip("0")))
+    point += int(power or 0)
+    digits = digits.rstrip("0")
+    if 0 < point <= 21:
+        out = digits.ljust(point, "0") if len(digits) <= point else f"{digits[:point]}.{digits[point:]}"
+    elif -6 < point <= 0:
+        out = f"0.{'0' * -point}{digits}"
+    else:
+        e = point - 1
+        out = f"{digits[0]}{'.' + digits[1:] if len(digits) > 1 else ''}e{'+' if e > 0 else '-'}{abs(e)}"
+    return f"-{out}" if x < 0 else out
+
+
 def _leaf(value: object) -> str:
     if value is True or value is False:
         return "true" if value else "false"
-    if isinstance(value, float) and value.is_integer() and abs(value) < 1e21:
-        return str(int(value))
-    return str(value)
+    return number_text(value) if isinstance(value, (int, float)) else str(value)
+
+
+def _is_index(key: str) -> bool:
+    return key.isascii() and key.isdecimal() and str(int(key)) == key and int(key) < 2**32 - 1
 
 
 def leaves(value: object, path: str = "") -> list[str]:
     """`path: value` for each leaf in the order of the document; nulls have none. Keys that are whole numbers come first, in ascending order."""
-    if value is None:
-        return []
-    if isinstance(value, dict):
-        numbers = sorted((k for k in value if k.isdigit() and str(int(k)) == k), key=int)
-        items = [(k, value[k]) for k in numbers] + [(k, v) for k, v in value.items() if k not in set(numbers)]
-    elif isinstance(value, list):
-        items = [(str(i), v) for i, v in enumerate(value)]
-    else:
-        return [f"{path}: {_leaf(value)}"]
-    return [x for k, v in items for x in leaves(v, f"{path}.{k}" if path else k)]
+    return [f"{p}: {_leaf(v)}" for p, v in leaf_items(value, path)]
+
+
+def leaf_items(value: object, path: str = "") -> list[tuple[str, object]]:
+    """Path and value of each leaf. Goes into depth with a stack of its own, so that no payload is too deep."""
+    out, stack = [], [(path, value)]
+    while stack:
+        path, value = stack.pop()
+        if value is None:
+            continue
+        if isinstance(value, dict):
+            numbers = sorted((k for k in value if _is_index(k)), key=int)
+            items = [(k, value[k]) for k in [*numbers, *[k for k in value if not _is_index(k)]]]
+        elif isinstance(value, list):
+            items = [(str(i), v) for i, v in enumerate(value)]
+        else:
+            out.append((path, value))
+            continue
+        stack += [(f"{path}.{k}" if path else k, v) for k, v in reversed(items)]
+    return out
 
 
 def text_of(payload: Column) -> Column:
@@ -68,7 +106,7 @@ def text_of(payload: Column) -> Column:
     def one(p: str | None) -> str | None:
         try:
             return None if p is None else "\n".join(leaves(json.loads(p)))
-        except ValueError:
+        except (ValueError, RecursionError):
             return None
 
     @F.pandas_udf("string")
@@ -78,6 +116,23 @@ def text_of(payload: Column) -> Column:
     return of(payload)
 
 
+def leaf_rows(payload: Column) -> Column:
+    """The leaves of a JSON payload as an array of path, value (as text) and type, for F.inline(); empty for what isn't JSON."""
+    kinds = {bool: "boolean", int: "number", float: "number", str: "string"}
+
+    def one(p: str | None) -> list[dict]:
+        try:
+            return [] if p is None else [{"path": path, "value": _leaf(v), "type": kinds[type(v)]} for path, v in leaf_items(json.loads(p))]
+        except (ValueError, RecursionError):
+            return []
+
+    @F.pandas_udf("array<struct<path: string, value: string, type: string>>")
+    def of(payloads: pd.Series) -> pd.Series:
+        return pd.Series([one(p) for p in payloads], dtype=object)
+
+    return of(payload)
+
+
 def repo_text(repo: Column, card: Column) -> Column:
     """Searchable text of a repo: its name, and its card's name, description and skills, cut at 4000 characters."""
     skill = "array<struct<name: string, description: string, tags: array<string>>>"

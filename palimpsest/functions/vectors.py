@@ -77,13 +77,45 @@ def unpack_bits(packed: str | None, dim: int | None = None) -> list[float] | Non
     return (bits[: dim or len(bits)].astype(float) * 2 - 1).tolist()
 
 
-def decode(column: Column) -> Column:
-    """A vector stored either as JSON text or as base64 of int8."""
+def is_json(vec: Column) -> Column:
+    """Whether a vector is stored as JSON text."""
+    return F.coalesce(F.startswith(vec, F.lit("[")), F.lit(False))
+
+
+def base64_of(digits: Column) -> Column:
+    """Base64 of bytes in hexadecimal, in one line."""
+    return F.replace(F.base64(F.unhex(digits)), F.lit("\r\n"), F.lit(""))
+
+
+def packed_int8(vec: Column) -> Column:
+    """pack_int8() of a column: base64 of int8, from numbers cut at -1 and 1."""
+    byte = lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(255))), 2, "0")
+    return base64_of(F.array_join(F.transform(int8(vec), byte), ""))
+
 
-    @F.pandas_udf("array<double>")
-    def of(values: pd.Series) -> pd.Series:
-        import json
+def unpacked_int8(packed: Column) -> Column:
+    """unpack_int8() of a column; null for what isn't base64."""
+    digits = F.hex(F.try_to_binary(packed, F.lit("BASE64")))
+    byte = lambda i: F.conv(F.substring(digits, 2 * i + 1, F.lit(2)), 16, 10).cast("int")
+    signed = lambda x: F.when(x > 127, x - 256).otherwise(x) / 127
+    return F.when(F.length(digits) > 0, F.transform(F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1), lambda i: signed(byte(i))))
 
-        return values.map(lambda v: None if v is None else [float(x) for x in json.loads(v)] if v.startswith("[") else unpack_int8(v))
 
-    return of(column)
+def packed_bits(vec: Column) -> Column:
+    """pack_bits() of a column: base64 of the signs, the first bit on top, filled up with zeros."""
+    bits = sign_bits(vec)
+    byte = lambda i: F.lpad(F.conv(F.rpad(F.substring(bits, 8 * i + 1, F.lit(8)), 8, "0"), 2, 16), 2, "0")
+    return F.when(F.size(vec) == 0, "").otherwise(base64_of(F.array_join(F.transform(F.sequence(F.lit(0), F.ceil(F.size(vec) / 8).cast("int") - 1), byte), "")))
+
+
+def unpacked_bits(packed: Column, dim: int | None = None) -> Column:
+    """unpack_bits() of a column: 1 and -1; null for what isn't base64."""
+    digits = F.hex(F.try_to_binary(packed, F.lit("BASE64")))
+    n = F.least(F.length(digits) * 4, F.lit(dim)) if dim else F.length(digits) * 4
+    nibble = F.array_join(F.transform(F.split(digits, ""), lambda c: F.lpad(F.conv(c, 16, 2), 4, "0")), "")
+    return F.when(F.length(digits) > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.when(F.substring(nibble, i, F.lit(1)) == "1", 1.0).otherwise(-1.0)))
+
+
+def decode(column: Column) -> Column:
+    """A vector stored either as JSON text or as base64 of int8."""
+    return F.when(is_json(column), F.from_json(column, "array<double>")).otherwise(unpacked_int8(column))

@@ -77,3 +77,21 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("type"),
         F.col("props").alias("payload"),
     )
+
+
+def repos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A repo for each vector: with a card or without, and some without a vector."""
+    e = table(spark, sf_dir, "embeddings")
+    id, label = F.col("vec_id").cast("string"), F.col("label").cast("string")
+    about = F.when(F.col("vec_id") % 3 != 0, F.concat(F.lit("about "), label))
+    return e.select(
+        F.concat(F.lit("p"), label).alias("publisher"),
+        F.concat(F.lit("r"), id).alias("repo"),
+        F.sha2(id, 256).alias("head"),
+        (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(secs=F.floor(F.col("vec_id") / 3).cast("decimal(18,6)"))).alias("updated"),
+        F.lit(None).cast("string").alias("card_url"),
+        F.when(F.col("vec_id") % 4 != 0, F.to_json(F.struct(F.concat(F.lit("card "), id).alias("name"), about.alias("description")))).alias("card"),
+        F.concat(F.lit("r"), id).alias("text"),
+        F.when(F.col("vec_id") % 5 != 0, F.col("embedding")).alias("vec"),
+        F.lit(False).alias("stale"),
+    )

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.model import KEY, REPO
 from palimpsest.operators.log import matches
 
 
@@ -17,27 +20,42 @@ def events(log: DataFrame, patterns: list[str], first: int = 0, last: int | None
     return rows if last is None else rows.where(F.col("t") <= last)
 
 
-def fold_by(rows: DataFrame, key: list[str], value: Column, start: Column, step: Callable[[Column, Column], Column], order: str = "pos") -> DataFrame:
-    """key and state: step(state, value) over the values of each key in order. For keys of bounded history; see fold_groups() for others."""
-    pairs = rows.select(*key, F.struct(F.col(order).alias("o"), value.alias("v")).alias("e"))
-    return pairs.groupBy(*key).agg(F.aggregate(F.array_sort(F.collect_list("e")), start, lambda a, e: step(a, e["v"])).alias("state"))
-
-
-def fold_groups(rows: DataFrame, key: list[str], reduce: Callable[[dict, dict], dict], state_json: Callable[[dict], str], order: str = "pos") -> DataFrame:
-    """key and state, as JSON: reduce(state, event) in Python over the events of each key. Rows are dealt and sorted by Spark, and stream through the task, so a key's history is never held as a whole."""
-    ordered = rows.repartition(*key).sortWithinPartitions(*key, order)
+def commits(log: DataFrame, changes: DataFrame) -> DataFrame:
+    """The log with puts (id, cid, type, payload) and deletes (ids) of each commit, against the records of its parent: a put counts if it is of another version, a delete if the record was there. Commits without changes have empty arrays. A commit's changes fit into a row; a repo's history is never gathered."""
+    was = F.lag(F.when(F.col("op") == "put", F.col("cid"))).over(Window.partitionBy(*KEY).orderBy("pos"))
+    counts = F.when(F.col("op") == "put", ~F.col("cid").eqNullSafe(F.col("was"))).otherwise(F.col("was").isNotNull())
+    real = changes.withColumn("was", was).where(counts)
+    put = F.when(F.col("op") == "put", F.struct("id", "cid", "type", "payload"))
+    gone = F.when(F.col("op") == "delete", F.col("id"))
+    grouped = real.groupBy("pos").agg(F.array_sort(F.collect_list(put)).alias("puts"), F.array_sort(F.collect_list(gone)).alias("deletes"))
+    both = log.join(grouped, "pos", "left")
+    return both.withColumns({"puts": F.coalesce("puts", F.array().cast("array<struct<id: string, cid: string, type: string, payload: string>>")), "deletes": F.coalesce("deletes", F.array().cast("array<string>"))})
+
+
+def fold_groups(rows: DataFrame, key: list[str], reduce: Callable[[dict, dict], dict], state_json: Callable[[dict], str], order: str = "pos", start: DataFrame | None = None, load: Callable[[str], dict] = json.loads) -> DataFrame:
+    """key and state, as JSON: reduce(state, event) in Python over the events of each key. start: key and state of an earlier fold, which load() reads, to go on from. Rows are dealt and sorted by Spark, and stream through the task, so a key's history is never held as a whole."""
+    columns = rows.columns
+    rows = rows.withColumn("__start", F.lit(None).cast("string"))
+    if start is not None:
+        rows = rows.unionByName(start.select(*key, F.col("state").cast("string").alias("__start")), allowMissingColumns=True)
+    # A state to start from comes before all events.
+    ordered = rows.repartition(*key).sortWithinPartitions(*key, F.col("__start").isNull(), order)
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.select(*key).schema.fields)
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, state = None, {}
         for pdf in parts:
-            for event in pdf.to_dict("records"):
+            done = []
+            for *values, began in pdf[[*columns, "__start"]].itertuples(index=False, name=None):
+                event = dict(zip(columns, values, strict=True))
                 k = tuple(event[c] for c in key)
                 if k != at:
                     if at is not None:
-                        yield pd.DataFrame([(*at, state_json(state))], columns=[*key, "state"])
+                        done.append((*at, state_json(state)))
                     at, state = k, {}
-                state = reduce(state, event)
+                state = load(began) if isinstance(began, str) else reduce(state, event)
+            if done:
+                yield pd.DataFrame(done, columns=[*key, "state"])
         if at is not None:
             yield pd.DataFrame([(*at, state_json(state))], columns=[*key, "state"])
 
@@ -61,3 +79,65 @@ def metering(rows: DataFrame, amount: str, payer: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n"), F.sum(amount).alias("total"), F.countDistinct(payer).alias("payers"))
 
 
+def state_hash(state: object) -> str:
+    """A name for a state: whoever folds the same log by the same rules gets the same one."""
+    return hashlib.sha256(json.dumps(state, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]
+
+
+def claims(state: dict | None, event: dict) -> dict:
+    """A reducer: a commit of one put, whose payload names a slot that is free, owns the slot; any other commit is rejected as a whole."""
+    state = state or {"owner": {}, "rejected": 0, "commits": 0}
+    slot = json.loads(event["puts"][0]["payload"]).get("slot") if len(event["puts"]) == 1 and not event["deletes"] else None
+    free = slot is not None and slot not in state["owner"]
+    return {
+        "owner": {**state["owner"], slot: event["publisher"]} if free else state["owner"],
+        "rejected": state["rejected"] + (not free),
+        "commits": state["commits"] + 1,
+    }
+
+
+def territory(size: int = 6, per_commit: int = 1, alternate: bool = True) -> Callable[[dict | None, dict], dict]:
+    """A reducer for a board game over the log, with the rules as parameters: players take cells beside their own. A commit that breaks a rule is rejected as a whole, with the reason, and changes nothing else; one without changes joins."""
+
+    def broken(state: dict, board: dict, moves: set, event: dict) -> str | None:
+        """Why a commit can't stand, or None; fills in its moves meanwhile."""
+        player = event["publisher"]
+        if event["deletes"]:
+            return "a past move is deleted"
+        if len(event["puts"]) > per_commit:
+            return f"{len(event['puts'])} moves at once"
+        for put in event["puts"]:
+            name, cell = f"{player}/{put['id']}", json.loads(put["payload"]).get("cell") or [None, None]
+            if name in moves:
+                return "a past move is rewritten"
+            if not all(isinstance(c, int) and 0 <= c < size for c in cell):
+                return "the cell is off the board"
+            x, y = cell
+            if f"{x},{y}" in board:
+                return f"{x},{y} is taken"
+            beside = {f"{x + 1},{y}", f"{x - 1},{y}", f"{x},{y + 1}", f"{x},{y - 1}"}
+            if player in board.values() and not any(board.get(c) == player for c in beside):
+                return f"{x},{y} is not beside the player's own"
+            board[f"{x},{y}"] = player
+            moves.add(name)
+        return "two turns in a row" if alternate and state["last"] == player else None
+
+    def step(state: dict | None, event: dict) -> dict:
+        state = state or {"board": {}, "last": None, "seen": [], "moves": 0, "players": [], "rejected": []}
+        if not event["puts"] and not event["deletes"]:
+            return {**state, "players": list(dict.fromkeys([*state["players"], event["publisher"]]))}
+        board, moves = dict(state["board"]), set(state["seen"])
+        why = broken(state, board, moves, event)
+        if why:
+            return {**state, "rejected": [*state["rejected"], {"player": event["publisher"], "pos": event["pos"], "why": why}]}
+        return {**state, "board": board, "last": event["publisher"], "seen": sorted(moves), "moves": state["moves"] + len(event["puts"])}
+
+    return step
+
+
+def owners(log: DataFrame, changes: DataFrame, path: str = "$.slot") -> DataFrame:
+    """slot, owner, and the position of the claim, as claims() gives them, without going through one task: only commits of one put count, and of those the first of each slot. Its other commits are rejected."""
+    c = commits(log, changes).where((F.size("puts") == 1) & (F.size("deletes") == 0))
+    slot = F.get_json_object(F.col("puts")[0]["payload"], path)
+    first = c.select(*REPO, "pos", slot.alias("slot")).where("slot IS NOT NULL")
+    return first.groupBy("slot").agg(F.min_by("publisher", "pos").alias("owner"), F.min("pos").alias("pos"))

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.model import KEY
 
-MAX_FILE = 25_000_000
+#: Bytes of the largest file that rules get.
+MAX_FILE = 25 << 20
 
 
 def checker_of(type: Column, checkers: dict[str, str], other: str) -> Column:
@@ -40,8 +41,15 @@ def allowed(records: DataFrame, verdicts: DataFrame | None, checker: Column) ->
     return records.withColumn("checker", checker).join(good, [*KEY, "cid", "checker"], "left_semi").drop("checker")
 
 
+def allows(records: DataFrame, verdicts: DataFrame | None, checker: Column, publisher: str, repo: str, id: str, cid: str) -> bool:
+    """Whether one version of a record is served."""
+    one = records.where((F.col("publisher") == publisher.lower()) & (F.col("repo") == repo) & (F.col("id") == id) & (F.col("cid") == cid))
+    return verdicts is None or bool(allowed(one, verdicts, checker).take(1))
+
+
 def refused(records: DataFrame, verdicts: DataFrame, checker: Column) -> DataFrame:
-    return judged(records, verdicts, checker).where("reason IS NOT NULL")
+    """Records that the gate leaves out, and why, in key order."""
+    return judged(records, verdicts, checker).where("reason IS NOT NULL").orderBy(*KEY)
 
 
 def unchecked(records: DataFrame, verdicts: DataFrame, checker: Column) -> DataFrame:
@@ -128,16 +136,24 @@ def mismatches(schema: dict, value: Any, at: str = "#") -> list[str]:
 
 
 def reason_of(record: dict, base: Checks, types: dict[str, Checks], context: dict | None = None) -> str | None:
-    """Why a record is refused, or None: is its type listed, base schema, type's schema, base rules, type's rules; the first refusal counts. Files are fetched by rules alone, after the schemas."""
+    """Why a record is refused, or None: is its type listed, base schema, type's schema, base rules, type's rules; the first refusal counts. context["file"] is what the record's file holds, or a function that fetches it, which is called only if the schemas let the record in and there are rules."""
     if types and record.get("type") not in types:
         return f"type {record.get('type')} is not listed"
     own = types.get(record.get("type"), Checks())
     for schema in (base.schema, own.schema):
         if schema and (errors := mismatches(schema, record.get("payload"))):
             return "; ".join(errors[-3:])
-    for rule in [*base.rules, *own.rules]:
+    rules = [*base.rules, *own.rules]
+    if not rules:
+        return None
+    context = dict(context or {})
+    if callable(context.get("file")):
+        context["file"] = context["file"]()
+    if len(context.get("file") or b"") > MAX_FILE:
+        return f"its file is over {MAX_FILE >> 20} MB"
+    for rule in rules:
         try:
-            said = rule.validate(record, {**(context or {}), "params": rule.params})
+            said = rule.validate(record, {**context, "params": rule.params})
         except Exception as e:  # a rule that fails refuses
             said = str(e)
         if said is not True:
@@ -145,12 +161,47 @@ def reason_of(record: dict, base: Checks, types: dict[str, Checks], context: dic
     return None
 
 
-def check_missing(records: DataFrame, verdicts: DataFrame, checker: Column, base: Checks, types: dict[str, Checks], most: int, seed: int | None = None) -> DataFrame:
-    """Verdicts on up to `most` unchecked records, in random order, so that records that can't be checked don't hold up the rest."""
-    batch = unchecked(records, verdicts, checker).orderBy(F.rand(random.randrange(1 << 30) if seed is None else seed)).limit(most)
-
-    @F.pandas_udf("string")
-    def why(type: pd.Series, payload: pd.Series) -> pd.Series:
-        return pd.Series([reason_of({"type": t, "payload": json.loads(p)}, base, types) for t, p in zip(type, payload, strict=True)], dtype=object)
-
-    return batch.select(*KEY, "cid", "checker", why("type", "payload").alias("reason"))
+def check_missing(records: DataFrame, verdicts: DataFrame, checker: Column, base: Checks, types: dict[str, Checks], most: int | None = None, seed: int | None = None, files: DataFrame | None = None) -> DataFrame:
+    """Verdicts on unchecked records: key, cid, checker and reason.
+
+    most: only so many, in random order, so that records that can't be checked don't hold up the rest; None: all, with no order. files: cid and content, for records whose payload names one as src. A payload that is no JSON is refused. A record whose file is missing, or whose check can't be carried out, gets no verdict, and is unchecked as before.
+    """
+    batch = unchecked(records, verdicts, checker)
+    if most is not None:
+        batch = batch.orderBy(F.rand(random.randrange(1 << 30) if seed is None else seed)).limit(most)
+    src = F.get_json_object("payload", "$.src")
+    batch = batch.withColumn("__src", src)
+    if files is None:
+        batch = batch.withColumn("__file", F.lit(None).cast("binary"))
+    else:
+        batch = batch.join(files.select(F.col("cid").alias("__cid"), F.substring("content", 1, MAX_FILE + 1).alias("__file")), F.col("__src") == F.col("__cid"), "left").drop("__cid")
+    with_files = files is not None
+
+    @F.pandas_udf("done boolean, reason string")
+    def why(publisher: pd.Series, repo: pd.Series, id: pd.Series, cid: pd.Series, type: pd.Series, payload: pd.Series, src: pd.Series, file: pd.Series) -> pd.DataFrame:
+        out = []
+        for p, r, i, c, t, text, s, f in zip(publisher, repo, id, cid, type, payload, src, file, strict=True):
+
+            def fetch(s=s, f=f):
+                if s is not None and f is None and with_files:
+                    raise FileNotFoundError(s)
+                return f
+
+            try:
+                record = {"id": i, "type": t, "cid": c, "payload": json.loads(text)}
+            except (TypeError, ValueError, RecursionError):
+                out.append((True, "its payload is not JSON"))
+                continue
+            try:
+                out.append((True, reason_of(record, base, types, {"publisher": p, "repo": r, "file": fetch})))
+            except Exception:  # not the record's fault: a later run tries again
+                out.append((False, None))
+        return pd.DataFrame(out, columns=["done", "reason"])
+
+    said = batch.select(*KEY, "cid", "checker", why(*KEY, "cid", "type", "payload", "__src", "__file").alias("said"))
+    return said.where("said.done").select(*KEY, "cid", "checker", "said.reason")
+
+
+def with_verdicts(verdicts: DataFrame, new: DataFrame) -> DataFrame:
+    """verdicts with the new ones in place of those on the same records."""
+    return verdicts.join(new.select(*KEY), KEY, "left_anti").unionByName(new.select(verdicts.columns))

@@ -1,20 +1,24 @@
-"""BM25 over phrases. Statistics are those of the whole table, before any filter."""
+"""BM25 over phrases. Statistics are those of the whole table, before any filter.
+
+A table of texts is searched in one scan: what a query finds in a row is counted in the row, and only rows with a hit leave it. An index, postings() and lengths(), is searched by its terms alone.
+"""
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from palimpsest.functions.text import MAX_TERMS, tokens
+from palimpsest.functions.text import MAX_TERMS, accents, tokens
+from palimpsest.operators.numbering import cut
 
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 
 
 def phrases(query: str) -> list[list[str]]:
     """The phrases of a query: each word as its tokens. Words without letters and digits have none."""
-    import re
     import unicodedata
 
     words = list(dict.fromkeys(re.findall(r'[^\s"]+', query.lower())))[:MAX_TERMS]
@@ -27,38 +31,84 @@ def tokenized(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn("tokens", tokens(F.col(text))).withColumn("len", F.size("tokens"))
 
 
-def frequencies(df: DataFrame, key: list[str], wanted: list[list[str]]) -> DataFrame:
-    """key, len and f0, f1, ...: how often each phrase occurs, for the rows with one at least. df: tokenized(). Only tokens of the query leave the rows."""
-    terms = sorted({t for p in wanted for t in p})
-    found = df.select(*key, "len", F.posexplode(F.transform("tokens", lambda t: F.when(t.isin(terms), t))).alias("at", "term")).where("term IS NOT NULL")
+def pattern(term: str) -> str:
+    """A regular expression of the term with or without marks on its letters."""
+    marked, plain = accents()
+    return "".join(f"[{c}{''.join(m for m, p in zip(marked, plain, strict=True) if p.lower() == c)}]" if c in plain.lower() else re.escape(c) for c in term)
+
+
+def counted(df: DataFrame, key: list[str], wanted: list[list[str]], text: str = "text") -> DataFrame:
+    """key, len and f0, f1, ...: how often each phrase occurs in a row. Only rows that hold the letters of a word of each phrase are folded and cut into tokens; folding changes letters, not where tokens end."""
+    held = df.select(*key, F.coalesce(F.col(text), F.lit("")).alias("held"))
+    first = "|".join(dict.fromkeys(pattern(max(p, key=len)) for p in wanted))
+    found = held.select(*key, F.regexp_count("held", F.lit(r"[\p{L}\p{N}]+")).alias("len"), F.when(F.col("held").rlike(f"(?iu){first}"), tokens(F.col("held"))).alias("tokens"))
 
-    def places(term: str, shift: int) -> Column:
-        return F.collect_list(F.when(F.col("term") == term, F.col("at") - shift))
+    def times(phrase: list[str]) -> Column:
+        here = lambda t, i: reduce(lambda a, b: a & b, [t == phrase[0], *[F.get("tokens", i + j) == w for j, w in enumerate(phrase[1:], 1)]])
+        return F.coalesce(F.size(F.filter("tokens", here if len(phrase) > 1 else lambda t: t == phrase[0])), F.lit(0)).cast("double")
 
-    f = [F.size(reduce(F.array_intersect, [places(t, i) for i, t in enumerate(p)])) if len(p) > 1 else F.count_if(F.col("term") == p[0]) for p in wanted]
-    counted = found.groupBy(*key, "len").agg(*[c.cast("double").alias(f"f{i}") for i, c in enumerate(f)])
-    return counted.where(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(wanted))]))
+    return found.select(*key, "len", *[times(p).alias(f"f{i}") for i, p in enumerate(wanted)])
 
 
-def statistics(df: DataFrame) -> DataFrame:
-    """One row: n_docs and avg_len of df, which is tokenized()."""
-    return df.agg(F.count("*").alias("n_docs"), F.avg("len").alias("avg_len"))
+def scores(found: DataFrame, key: list[str], n: int, n_docs: Column, avg_len: Column, spread: list[Column]) -> DataFrame:
+    """key and score. found: key, len and f0, f1, ...; spread: in how many rows each phrase occurs."""
+
+    def part(i: int) -> Column:
+        idf = F.log((n_docs - spread[i] + 0.5) / (spread[i] + 0.5))
+        f = F.col(f"f{i}")
+        return F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / avg_len))
+
+    return found.select(*key, reduce(lambda a, b: a + b, [part(i) for i in range(n)]).alias("score"))
 
 
 def bm25(df: DataFrame, key: list[str], query: str, text: str = "text") -> DataFrame:
-    """key and score of the rows that have a word of the query. No words: no rows."""
+    """key and score of the rows that have a word of the query. No words: no rows. One scan, whose hits are written to the shared folder; the statistics are observed meanwhile."""
     wanted = phrases(query)
-    held = tokenized(df.select(*key, text), text)
     if not wanted:
-        return held.where(F.lit(False)).select(*key, F.lit(0.0).alias("score"))
-    found = frequencies(held, key, wanted)
-    # Two rows of one line each: broadcast is safe.
-    spread = found.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
-    scored = found.crossJoin(F.broadcast(statistics(held))).crossJoin(F.broadcast(spread))
+        return df.where(F.lit(False)).select(*key, F.lit(0.0).alias("score"))
+    seen = Observation()
+    every = counted(df, key, wanted, text)
+    some = [F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(wanted))]
+    hits = every.observe(seen, F.count("*").alias("n_docs"), F.sum("len").alias("total"), *some).where(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(wanted))]))
+    hits = cut(hits)
+    of = seen.get
+    return scores(hits, key, len(wanted), F.lit(float(of["n_docs"])), F.lit((of["total"] or 0) / max(of["n_docs"], 1) or 1.0), [F.lit(float(of[f"n{i}"])) for i in range(len(wanted))])
 
-    def part(i: int) -> Column:
-        idf = F.log((F.col("n_docs") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5))
-        f = F.col(f"f{i}")
-        return F.when(idf > 0, idf).otherwise(LEAST_IDF) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
-    return scored.select(*key, reduce(lambda a, b: a + b, [part(i) for i in range(len(wanted))]).alias("score"))
+def postings(df: DataFrame, key: str = "rowseq", text: str = "text") -> DataFrame:
+    """term, key, len and places: where each term occurs in each row. In the order of terms, so that a file holds a range of them and a search reads few."""
+    held = df.select(key, tokens(F.col(text)).alias("tokens")).select(key, F.size("tokens").alias("len"), F.posexplode("tokens").alias("at", "term"))
+    grouped = held.groupBy("term", key, "len").agg(F.array_sort(F.collect_list("at")).alias("places"))
+    return grouped.repartitionByRange("term", key).sortWithinPartitions("term", key)
+
+
+def lengths(df: DataFrame, text: str = "text") -> DataFrame:
+    """One row: n_docs and total, the number of rows and of their tokens."""
+    return tokenized(df.select(text), text).agg(F.count("*").alias("n_docs"), F.coalesce(F.sum("len"), F.lit(0)).alias("total"))
+
+
+def renewed(index: DataFrame, gone: DataFrame, new: DataFrame, key: str = "rowseq", text: str = "text") -> DataFrame:
+    """postings() after rows have gone (their keys; changed rows too) and others came."""
+    return index.join(gone.select(key), key, "left_anti").select(index.columns).unionByName(postings(new, key, text)).repartitionByRange("term", key).sortWithinPartitions("term", key)
+
+
+def bm25_of(index: DataFrame, sizes: DataFrame, query: str, key: str = "rowseq") -> DataFrame:
+    """The same as bm25() from postings() and lengths(). Only the query's terms are read."""
+    wanted = phrases(query)
+    if not wanted:
+        return index.where(F.lit(False)).select(key, F.lit(0.0).alias("score"))
+    terms = sorted({t for p in wanted for t in p})
+    held = index.where(F.col("term").isin(terms)).groupBy(key, "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+
+    def starts(term: str, shift: int) -> Column:
+        return F.transform(F.coalesce(F.col("at")[term], F.array().cast("array<int>")), lambda x: x - shift)
+
+    def times(phrase: list[str]) -> Column:
+        return F.size(reduce(F.array_intersect, [starts(t, j) for j, t in enumerate(phrase)])).cast("double")
+
+    found = held.select(key, "len", *[times(p).alias(f"f{i}") for i, p in enumerate(wanted)])
+    found = found.where(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in range(len(wanted))]))
+    spread = found.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in range(len(wanted))])
+    # Two rows of one line each: broadcast is safe.
+    both = found.crossJoin(F.broadcast(sizes)).crossJoin(F.broadcast(spread))
+    return scores(both, [key], len(wanted), F.col("n_docs").cast("double"), F.col("total") / F.col("n_docs"), [F.col(f"n{i}") for i in range(len(wanted))])

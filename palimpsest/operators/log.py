@@ -80,7 +80,7 @@ def repo_diff(changes: DataFrame, before: int | None, after: int) -> DataFrame:
 
 
 def diff_since(changes: DataFrame, before: int, after: int, known: DataFrame) -> DataFrame:
-    """The same from the changes between alone. known: key and cid of the records that are indexed; a put counts if they have another cid or none, a delete if they have the id."""
+    """The same from the changes between alone. known: key and cid of the records that are indexed; a put counts if they have another cid or none, a delete if they have the id. A repo of which nothing is known is new: all of its changes count."""
     last = changes.where((F.col("pos") > before) & (F.col("pos") <= after)).groupBy(*KEY).agg(F.max_by(F.struct("op", "cid"), "pos").alias("c"))
     both = last.join(known.select(*KEY, F.col("cid").alias("old")), KEY, "left")
     counts = F.when(F.col("c.op") == "put", ~F.col("c.cid").eqNullSafe(F.col("old"))).otherwise(F.col("old").isNotNull())
@@ -100,3 +100,20 @@ def moved(log: DataFrame, patterns: list[str], since: int | None, publishers: li
     return bool(log.where(F.col("repo").isin(names) & (F.col("t") > since)).take(1))
 
 
+def verify(log: DataFrame, patterns: list[str], root_hash: str, t: int) -> bool:
+    """Whether a stitch is what the log gives: the heads up to its block, folded anew, have its root."""
+    return root(stitch(log, patterns, t)).first()["root"] == root_hash
+
+
+def read_record(changes: DataFrame, publisher: str, repo: str, id: str) -> DataFrame:
+    """The record as the log has it now, whatever an index holds: one row or none."""
+    one = changes.where((F.lower("publisher") == publisher.lower()) & (F.col("repo") == repo) & (F.col("id") == id))
+    last = one.groupBy(*KEY).agg(F.max_by(F.struct("op", "cid", "type", "payload"), "pos").alias("c"))
+    return last.where("c.op = 'put'").select(*KEY, "c.cid", "c.type", "c.payload")
+
+
+def list_repo(changes: DataFrame, publisher: str, repo: str) -> DataFrame:
+    """The records of a repo as the log has them now."""
+    one = changes.where((F.lower("publisher") == publisher.lower()) & (F.col("repo") == repo))
+    last = one.groupBy(*KEY).agg(F.max_by(F.struct("op", "cid", "type", "payload"), "pos").alias("c"))
+    return last.where("c.op = 'put'").select(*KEY, "c.cid", "c.type", "c.payload")

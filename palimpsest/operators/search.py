@@ -7,19 +7,29 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import fts_text
 from palimpsest.functions.vectors import cosine
-from palimpsest.operators.lexical import bm25
+from palimpsest.operators.lexical import bm25, bm25_of
 from palimpsest.operators.ranking import RRF_K, fuse, ranked, top
 
 POOL = 50
 
 
 def clamp(k: object, default: int = 10, most: int = 50) -> int:
+    """A number of results: whole, 1 to most; the default for what is no number, and for 0."""
     try:
-        return max(1, min(most, int(float(k))))  # type: ignore[arg-type]
+        return max(1, min(most, int(float(k)) or default))  # type: ignore[arg-type]
     except (TypeError, ValueError, OverflowError):
         return default
 
 
+def exactly(k: object, default: int = 10, most: int = 50) -> int:
+    """The same for callers that are told: what is no whole number from 1 to most is an error."""
+    if k is None:
+        return default
+    if isinstance(k, bool) or not isinstance(k, int) or not 1 <= k <= most:
+        raise ValueError(f"k must be a whole number from 1 to {most}")
+    return k
+
+
 def filters(publisher: list[str] | None = None, repo: list[str] | None = None, type: list[str] | None = None) -> Column:
     """All given lists must match; publishers in any case."""
     kept = F.lit(True)
@@ -30,24 +40,25 @@ def filters(publisher: list[str] | None = None, repo: list[str] | None = None, t
 
 
 def search(
-    records: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, k: int = 10, mode: str = "hybrid", where: Column | None = None, allowed: DataFrame | None = None, rrf_score: bool = True, payload_text: bool = False
+    records: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, k: int = 10, mode: str = "hybrid", where: Column | None = None, allowed: DataFrame | None = None, rrf_score: bool = True, payload_text: bool = False,
+    pool: int | None = None, index: tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """publisher, repo, id, cid, type, payload, score and place of the k best hits.
 
-    records: with rowseq; vectors: rowseq and vec. where: an exact filter; allowed: rowseqs that a gate lets in. Both come before ranks, but not before the statistics of full text. rrf_score: scores of a single list are 1 / (60 + rank) too; else the cosine or BM25 score itself. payload_text: full text reads the payload's text first.
+    records: with rowseq; vectors: rowseq and vec. where: an exact filter; allowed: rowseqs that a gate lets in. Both come before ranks, but not before the statistics of full text. rrf_score: scores of a single list are 1 / (60 + rank) too; else the cosine or BM25 score itself. payload_text: full text reads the payload's text first. pool: how many of each list are fused; at least k and 50 unless it is given. index: postings and lengths, so that no text is read.
     """
     mode = mode if mode in ("semantic", "lexical") else "hybrid"
     kept = records if where is None else records.where(where)
     if allowed is not None:
         kept = kept.join(allowed, "rowseq", "left_semi")
-    keys, pool = kept.select("rowseq"), max(k, POOL)
+    keys, pool = kept.select("rowseq"), pool or max(k, POOL)
     lists = []
     if mode != "lexical" and vectors is not None and vector is not None:
         scored = vectors.join(keys, "rowseq", "left_semi").where("vec IS NOT NULL").select("rowseq", cosine(F.col("vec"), vector).alias("score"))
         lists.append(ranked(top(scored, pool, "rowseq"), "rowseq"))
     if mode != "semantic":
         corpus = records.withColumn("text", fts_text(F.col("payload"), F.col("text"))) if payload_text else records
-        scored = bm25(corpus, ["rowseq"], query).join(keys, "rowseq", "left_semi")
+        scored = (bm25(corpus, ["rowseq"], query) if index is None else bm25_of(*index, query)).join(keys, "rowseq", "left_semi")
         lists.append(ranked(top(scored, pool, "rowseq"), "rowseq"))
     if len(lists) == 2:
         best = fuse(lists[0], lists[1], "rowseq", k)
@@ -62,6 +73,15 @@ def search(
     return kept.join(F.broadcast(best.select("rowseq", "score", "place")), "rowseq").select("publisher", "repo", "id", "cid", "type", "payload", "score", "place").orderBy("place")
 
 
+def search_by_vector(
+    records: DataFrame, vectors: DataFrame, vector: list[float], k: int = 10, mode: str = "semantic", keywords: str = "", type: str | None = None, allowed: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None
+) -> DataFrame:
+    """search() as a server has it: by a vector, with keywords beside it. A single list has its own scores, cosine or BM25, and as many candidates as results; full text reads the payload's text first."""
+    mode = mode if mode in ("lexical", "hybrid") else "semantic"
+    where = None if type is None else filters(type=[type])
+    return search(records, vectors, keywords, vector, k, mode, where, allowed, rrf_score=False, payload_text=True, pool=max(k, POOL) if mode == "hybrid" else k, index=index)
+
+
 def ranked_place() -> Column:
     from pyspark.sql import Window
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.model import KEY
+from palimpsest.operators.numbering import numbered
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY, seq: str = "rowseq") -> DataFrame:
@@ -14,8 +15,8 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str] = KEY, seq: str = "row
     merged = new.join(old.select(*key, seq), key, "left")
     fresh = merged.where(F.col(seq).isNull()).drop(seq)
     most = old.agg(F.coalesce(F.max(seq), F.lit(-1)).alias("most"))
-    # New rows of one commit; numbering them takes one task, as it does in a row store.
-    fresh = fresh.crossJoin(F.broadcast(most)).withColumn(seq, F.col("most") + F.row_number().over(Window.orderBy(*key))).drop("most")
+    # One row: broadcast is safe.
+    fresh = numbered(fresh, key, seq).crossJoin(F.broadcast(most)).withColumn(seq, F.col("most") + 1 + F.col(seq)).drop("most")
     return kept.unionByName(merged.where(F.col(seq).isNotNull()).select(old.columns)).unionByName(fresh.select(old.columns))
 
 
@@ -23,6 +24,11 @@ def delete(old: DataFrame, keys: DataFrame, key: list[str] = KEY) -> DataFrame:
     return old.join(keys.select(*key), key, "left_anti")
 
 
+def delete_verdicts(verdicts: DataFrame, gone: DataFrame, key: list[str] = KEY) -> DataFrame:
+    """verdicts without those on deleted records (gone: keys): a verdict goes with its record."""
+    return delete(verdicts, gone, key)
+
+
 def apply_changes(records: DataFrame, changes: DataFrame, key: list[str] = KEY) -> DataFrame:
     """records after puts and deletes. changes: key, op and the other columns of records but rowseq. Applying them twice changes nothing more."""
     puts = changes.where("op = 'put'").select([c for c in records.columns if c != "rowseq"])

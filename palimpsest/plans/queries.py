@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest import model
@@ -12,6 +13,7 @@ from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
 from palimpsest.model import KEY, REPO, ZERO_HEAD, table
 from palimpsest.operators import fold, gate, lexical, log, maintain, ranking, search, upsert
+from palimpsest.operators.numbering import numbered
 from palimpsest.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,9 +103,12 @@ def lexical_tokens(s, d):
     return model.records(s, d).select("rowseq", F.array_join(tx.tokens(F.col("text")), " ").alias("tokens"))
 
 
-@query("SELECT event_id, coalesce(json_extract_string(props, '$.text'), event_type) AS text FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'said ' || event_type WHEN event_id % 3 = 1 THEN '' ELSE event_type END AS text FROM events")
 def fts_text_source(s, d):
-    return table(s, d, "events").select("event_id", tx.fts_text(F.col("props"), F.col("event_type")).alias("text"))
+    """A payload's text counts before the record's, an empty one too; a null one doesn't."""
+    said = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("said "), "event_type")).when(F.col("event_id") % 3 == 1, "")
+    payload = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(said.alias("text"), "value"))).otherwise(F.to_json(F.struct("value", said.alias("text")), {"ignoreNullFields": "false"}))
+    return table(s, d, "events").select("event_id", tx.fts_text(payload, F.col("event_type")).alias("text"))
 
 
 @query(f"WITH {TOKENS} SELECT count(*) AS n_docs, round(avg(len(tokens)), 6) AS avg_len, count(*) FILTER (list_contains(tokens, 'moron')) AS n_with FROM toks")
@@ -129,6 +134,35 @@ def bm25_filtered_keeps_global_stats(s, d):
     return ranking.top(found, 20, "rowseq").select("rowseq", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {TOKENS}, t AS (SELECT rowseq, len(tokens) AS len, unnest(tokens) AS term, unnest(range(len(tokens))) AS place FROM toks) SELECT term, rowseq, CAST(len AS INTEGER) AS len, array_to_string(list(place ORDER BY place), ',') AS places FROM t GROUP BY term, rowseq, len")
+def fts_postings(s, d):
+    """The index that a store keeps."""
+    return lexical.postings(model.records(s, d)).select("term", "rowseq", "len", F.array_join(F.col("places").cast("array<string>"), ",").alias("places"))
+
+
+@query(f"WITH {TOKENS}, {bm25_sql([['of', 'the'], ['moron']])} SELECT rowseq, round(score, 6) AS score FROM lex0 ORDER BY round(score, 9) DESC, rowseq LIMIT 20")
+def bm25_indexed(s, d):
+    """A search of postings, by its terms alone."""
+    r = model.records(s, d)
+    return ranking.top(lexical.bm25_of(lexical.postings(r), lexical.lengths(r), "of-the moron"), 20, "rowseq").select("rowseq", F.round("score", 6).alias("score"))
+
+
+def own_scores(df: DataFrame) -> DataFrame:
+    return df.select(F.col("id").cast("long").alias("rowseq"), "place", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {SEMANTIC}, {RECORDS} SELECT rowseq, CAST(row_number() OVER (ORDER BY round(s.score, 9) DESC, rowseq) AS INTEGER) AS place, round(s.score, 6) AS score FROM sem0 s JOIN records r USING (rowseq) WHERE r.type = 'page' QUALIFY place <= 10")
+def search_d1_semantic(s, d):
+    """By a vector: cosines themselves, of one type."""
+    return own_scores(search.search_by_vector(model.records(s, d), vectors(s, d), vector(s, d), type="page"))
+
+
+@query(f"WITH {TOKENS}, {bm25_sql([['moron'], ['scum'], ['thing', 'of']])} SELECT rowseq, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, rowseq) AS INTEGER) AS place, round(score, 6) AS score FROM lex0 QUALIFY place <= 10")
+def search_d1_lexical(s, d):
+    """By keywords: BM25 itself."""
+    return own_scores(search.search_by_vector(model.records(s, d), vectors(s, d), vector(s, d), mode="lexical", keywords=QUERY))
+
+
 def hybrid_sql(kept: str, score: str = "score", k: int = 10) -> str:
     return f"""WITH {TOKENS}, {VERDICTS}, {SEMANTIC}, {bm25_sql([['moron'], ['scum'], ['thing', 'of']])},
 ok AS ({kept}),
@@ -159,6 +193,14 @@ def hybrid_search_filtered(s, d):
     return hits(search.search(model.records(s, d), vectors(s, d), QUERY, vector(s, d), where=search.filters(repo=["en", "de"], type=["page"])))
 
 
+@query(hybrid_sql("SELECT r.rowseq FROM records r JOIN verdicts v ON r.publisher = v.publisher AND r.repo = v.repo AND r.id = v.id AND r.cid = v.cid AND 'check-' || r.type = v.checker AND v.reason IS NULL"))
+def search_d1_hybrid(s, d):
+    """Both lists fused, behind a gate, from postings."""
+    r = model.records(s, d)
+    index = lexical.postings(r), lexical.lengths(r)
+    return hits(search.search_by_vector(r, vectors(s, d), vector(s, d), mode="hybrid", keywords=QUERY, allowed=gate.allowed(r, model.verdicts(s, d), checker()).select("rowseq"), index=index))
+
+
 @query(f"WITH {SEMANTIC} SELECT rowseq, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, rowseq) AS INTEGER) AS place, round(1.0::DOUBLE / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, rowseq)), 9) AS score FROM sem0 WHERE rowseq IN (SELECT doc_id FROM documents) QUALIFY place <= 10")
 def single_mode_rrf_score(s, d):
     found = search.search(model.records(s, d), vectors(s, d), QUERY, vector(s, d), mode="semantic")
@@ -184,15 +226,39 @@ def repos_find_newest(s, d):
     return model.update_log(s, d).groupBy(*REPO).agg(F.max_by("head", "pos").alias("head"), F.max("ts").alias("updated")).orderBy(F.desc("updated"), *REPO).limit(20)
 
 
-@query(f"WITH {SEMANTIC} SELECT d.source AS publisher, d.lang AS repo, round(max(score), 6) AS score FROM sem0 JOIN documents d ON d.doc_id = rowseq GROUP BY ALL ORDER BY round(max(score), 9) DESC, publisher, repo LIMIT 10")
+REPOS = """repos AS (SELECT 'p' || label AS publisher, 'r' || vec_id AS repo, sha256(CAST(vec_id AS VARCHAR)) AS head, TIMESTAMP '2024-01-01' + to_seconds(vec_id // 3) AS updated,
+  CASE WHEN vec_id % 4 <> 0 THEN 'card ' || vec_id END AS name, CASE WHEN vec_id % 4 <> 0 AND vec_id % 3 <> 0 THEN 'about ' || label END AS description, CASE WHEN vec_id % 5 <> 0 THEN embedding END AS vec FROM embeddings)"""
+
+
+@query(f"WITH {REPOS}, q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = {VECTOR}), c AS (SELECT publisher, repo, head, name, description, list_cosine_similarity(vec::DOUBLE[], v) AS score FROM repos, q WHERE vec IS NOT NULL) SELECT publisher, repo, head, name, description, round(score, 6) AS score FROM c ORDER BY round(score, 9) DESC, publisher, repo LIMIT 20")
 def repos_find_semantic(s, d):
-    best = scored(s, d).join(model.records(s, d), "rowseq").groupBy(*REPO).agg(F.max("score").alias("score"))
-    return best.orderBy(F.desc(F.round("score", 9)), *REPO).limit(10).select(*REPO, F.round("score", 6).alias("score"))
+    """Repos by the vectors of their cards; those without one don't count."""
+    return maintain.repos_find(model.repos(s, d), vector(s, d)).select(*REPO, "head", "name", "description", F.round("score", 6).alias("score"))
 
 
-@query("SELECT DISTINCT lang AS repo, regexp_replace(lang, '[-_.]+', ' ', 'g') AS text FROM documents")
+@query(f"WITH {REPOS} SELECT publisher, repo, head, name, description, strftime(updated, '%Y-%m-%d %H:%M:%S') AS updated FROM repos WHERE publisher = 'p1' ORDER BY repos.updated DESC, publisher, repo LIMIT 20")
+def repos_find_of_publisher(s, d):
+    return maintain.repos_find(model.repos(s, d), publisher="P1").select(*REPO, "head", "name", "description", F.date_format("updated", "yyyy-MM-dd HH:mm:ss").alias("updated"))
+
+
+@query(f"WITH {REPOS} SELECT publisher, repo, head, name FROM repos WHERE repo = 'r7'")
+def repos_get(s, d):
+    p = model.repos(s, d).where("repo = 'r7'").first()["publisher"]
+    return maintain.repos_get(model.repos(s, d), p.upper(), "r7").select(*REPO, "head", F.get_json_object("card", "$.name").alias("name"))
+
+
+CARDS = """cards AS (SELECT p_partkey, 'part-' || p_partkey || '__v.' || p_size AS repo, p_partkey % 3 <> 0 AS has, p_name, CASE WHEN p_partkey % 50 = 1 THEN repeat(p_name || ' ', 400) ELSE p_type END AS about, p_brand, p_type FROM part)"""
+
+
+@query(f"""WITH {CARDS} SELECT repo, left(regexp_replace(repo, '[-_.]+', ' ', 'g') || CASE WHEN has THEN chr(10) || p_name || chr(10) || about || chr(10) || p_brand || chr(10) || p_type || chr(10) || 'tag' ELSE '' END, 4000) AS text FROM cards""")
 def repo_text(s, d):
-    return table(s, d, "documents").select(F.col("lang").alias("repo")).distinct().withColumn("text", tx.repo_text(F.col("repo"), F.lit(None).cast("string")))
+    """Names with punctuation, and cards with skills and tags, some too long; some repos have none."""
+    p = table(s, d, "part")
+    about = F.when(F.col("p_partkey") % 50 == 1, F.repeat(F.concat("p_name", F.lit(" ")), 400)).otherwise(F.col("p_type"))
+    skills = F.array(F.struct(F.col("p_brand").alias("name"), F.lit(None).cast("string").alias("description"), F.array("p_type", F.lit("tag")).alias("tags")))
+    card = F.when(F.col("p_partkey") % 3 != 0, F.to_json(F.struct(F.col("p_name").alias("name"), about.alias("description"), skills.alias("skills"))))
+    repo = F.concat(F.lit("part-"), F.col("p_partkey").cast("string"), F.lit("__v."), F.col("p_size").cast("string"))
+    return p.select(repo.alias("repo"), tx.repo_text(repo, card).alias("text"))
 
 
 # Gate
@@ -244,7 +310,7 @@ def check_records(s, d):
     e = table(s, d, "events")
     r = e.select(F.col("event_id").cast("string").alias("id"), F.lit("p").alias("publisher"), F.lit("r").alias("repo"), F.lit("c").alias("cid"), F.col("event_type").alias("type"), F.col("props").alias("payload"))
     none = r.where(F.lit(False)).select(*KEY, "cid", F.lit("x").alias("checker"))
-    return gate.check_missing(r, none, F.lit("x"), base, types, 1 << 30, 1).select(F.col("id").cast("long").alias("event_id"), "reason")
+    return gate.check_missing(r, none, F.lit("x"), base, types).select(F.col("id").cast("long").alias("event_id"), "reason")
 
 
 # Listings and aggregates
@@ -286,18 +352,35 @@ def daily_quota(s, d):
     return maintain.daily(model.update_log(s, d))
 
 
-@query("SELECT count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS payers FROM events WHERE event_id // 100 BETWEEN 1 AND 8")
+@query("SELECT count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS payers FROM events WHERE event_id // 100 BETWEEN 1 AND (SELECT max(event_id) // 100 - 1 FROM events)")
 def metering(s, d):
+    """A bill for all whole blocks but the first and the last."""
     e = table(s, d, "events").withColumn("t", F.floor(F.col("event_id") / 100))
-    return fold.metering(log.log_range(e, 1, 8), "value", "user_id").withColumn("total", F.round("total", 4))
+    return fold.metering(log.log_range(e, 1, end_of(s, d) // 100 - 1), "value", "user_id").withColumn("total", F.round("total", 4))
+
+
+# Log and stitches. Where a query has an earlier point, it is the middle of the log, whatever its length; END is its end.
+
+END = "(SELECT max(event_id) FROM events)"
+HALF = "(SELECT max(event_id) // 2 FROM events)"
+HALF_T = "(SELECT max(event_id // 100) // 2 FROM events)"
 
 
-# Log and stitches
+def end_of(s, d) -> int:
+    return table(s, d, "events").agg(F.max("event_id")).first()[0]
 
 
-@query(f"WITH {LOG} SELECT pos, t, publisher, repo, parent, head FROM log WHERE t BETWEEN 2 AND 5")
+def half_of(s, d) -> int:
+    return end_of(s, d) // 2
+
+
+def half_t(s, d) -> int:
+    return end_of(s, d) // 100 // 2
+
+
+@query(f"WITH {LOG} SELECT pos, t, publisher, repo, parent, head FROM log WHERE t BETWEEN {HALF_T} AND {END} // 100")
 def log_range(s, d):
-    return log.log_range(model.update_log(s, d), 2, 5).select("pos", "t", *REPO, "parent", "head")
+    return log.log_range(model.update_log(s, d), half_t(s, d), end_of(s, d) // 100).select("pos", "t", *REPO, "parent", "head")
 
 
 @query(f"WITH {LOG} SELECT max(t) AS t FROM log")
@@ -316,14 +399,21 @@ _followed(["*"], "TRUE", "pattern_filter_star")
 _followed(["/^u1[0-9]*/(click|view)$/"], "regexp_matches(publisher || '/' || repo, '^u1[0-9]*/(click|view)$')", "pattern_filter_regex")
 
 
-@query("SELECT p || '/' || r AS pattern FROM (VALUES ('u1'), ('u2')) a(p), (VALUES ('click'), ('view')) b(r)")
+def _names(s, d) -> tuple[list[str], list[str]]:
+    """A catalogue of publishers and repos: 25 and 5 names."""
+    return [r[0] for r in table(s, d, "nation").select("n_name").collect()], [r[0] for r in table(s, d, "region").select("r_name").collect()]
+
+
+@query("SELECT n_name || '/' || r_name AS pattern FROM nation, region")
 def pattern_expand(s, d):
-    return s.createDataFrame([(p,) for p in log.patterns_of(publishers=["u1", "u2"], repos=["click", "view"])], "pattern string")
+    publishers, repos = _names(s, d)
+    return s.createDataFrame([(p,) for p in log.patterns_of(publishers=publishers, repos=repos)], "pattern string")
 
 
-@query("SELECT unnest(['click', 'view']) AS repo")
+@query("SELECT DISTINCT r_name AS repo FROM region")
 def repo_names(s, d):
-    return s.createDataFrame([(r,) for r in log.repo_names(["u1/click", "view", "u2/click"]) or []], "repo string")
+    publishers, repos = _names(s, d)
+    return s.createDataFrame([(r,) for r in log.repo_names(log.patterns_of(publishers=publishers, repos=repos)) or []], "repo string")
 
 
 STITCH = "SELECT publisher, repo, max_by(head, pos) AS head, max(pos) AS pos FROM log WHERE {} GROUP BY ALL"
@@ -334,15 +424,16 @@ def stitch_heads(s, d):
     return log.stitch(model.update_log(s, d), ["*"])
 
 
-@query(f"WITH {LOG} {STITCH.format('t <= 4')}")
+@query(f"WITH {LOG} {STITCH.format(f't <= {HALF_T}')}")
 def stitch_heads_as_of(s, d):
-    return log.stitch(model.update_log(s, d), ["*"], 4)
+    return log.stitch(model.update_log(s, d), ["*"], half_t(s, d))
 
 
 @query(f"WITH {LOG} {STITCH.format('TRUE')}")
 def stitch_incremental(s, d):
     entries = model.update_log(s, d)
-    return log.stitch(entries, ["*"], since=(log.stitch(entries, ["*"], 4), 4))
+    middle = half_t(s, d)
+    return log.stitch(entries, ["*"], since=(log.stitch(entries, ["*"], middle), middle))
 
 
 @query(f"""WITH {LOG}, heads AS ({STITCH.format("repo IN ('click', 'view')")}), h AS (SELECT sha256(publisher || '/' || repo || '/' || head) AS h FROM heads)
@@ -351,33 +442,41 @@ def stitch_root(s, d):
     return log.root(log.stitch(model.update_log(s, d), ["click", "view"]))
 
 
-@query(f"WITH {LOG}, a AS ({STITCH.format('t <= 4')}), b AS ({STITCH.format('t <= 7')}) SELECT b.publisher, b.repo, a.head AS \"from\", b.head AS \"to\" FROM b LEFT JOIN a ON a.publisher = b.publisher AND a.repo = b.repo WHERE a.head IS DISTINCT FROM b.head")
+@query(f"WITH {LOG}, a AS ({STITCH.format(f't <= {HALF_T}')}), b AS ({STITCH.format('TRUE')}) SELECT b.publisher, b.repo, a.head AS \"from\", b.head AS \"to\" FROM b LEFT JOIN a ON a.publisher = b.publisher AND a.repo = b.repo WHERE a.head IS DISTINCT FROM b.head")
 def heads_diff(s, d):
     entries = model.update_log(s, d)
-    return log.heads_diff(log.stitch(entries, ["*"], 7), log.stitch(entries, ["*"], 4))
+    return log.heads_diff(log.stitch(entries, ["*"]), log.stitch(entries, ["*"], half_t(s, d)))
+
+
+@query("SELECT TRUE AS now, FALSE AS earlier")
+def verify_stitch(s, d):
+    """A stitch holds if the log gives it again up to its block; it doesn't stand for another block."""
+    entries, middle, end = model.update_log(s, d), half_t(s, d), end_of(s, d) // 100
+    root = log.root(log.stitch(entries, ["*"], end)).first()["root"]
+    return s.createDataFrame([(log.verify(entries, ["*"], root, end), log.verify(entries, ["*"], root, middle))], "now boolean, earlier boolean")
 
 
-def state_sql(pos: int) -> str:
+def state_sql(pos: str) -> str:
     return f"(SELECT publisher, repo, id, c.cid AS cid, c.type AS type, c.payload AS payload FROM (SELECT publisher, repo, id, max_by(struct_pack(op := op, cid := cid, type := type, payload := payload), pos) AS c FROM changes WHERE pos <= {pos} GROUP BY ALL) WHERE c.op = 'put')"
 
 
-@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid, type, payload FROM {state_sql(600)}")
+@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid, type, payload FROM {state_sql(END)}")
 def state_at(s, d):
-    return log.state_at(model.changes(s, d), 600)
+    return log.state_at(model.changes(s, d), end_of(s, d))
 
 
 DIFF = "SELECT publisher, repo, id, CASE WHEN b.cid IS NULL THEN 'delete' ELSE 'put' END AS op, b.cid AS cid FROM {} a FULL JOIN {} b USING (publisher, repo, id) WHERE a.cid IS DISTINCT FROM b.cid"
 
 
-@query(f"WITH {CHANGES} {DIFF.format(state_sql(300), state_sql(600))}")
+@query(f"WITH {CHANGES} {DIFF.format(state_sql(HALF), state_sql(END))}")
 def repo_diff_full(s, d):
-    return log.repo_diff(model.changes(s, d), 300, 600)
+    return log.repo_diff(model.changes(s, d), half_of(s, d), end_of(s, d))
 
 
-@query(f"WITH {CHANGES} {DIFF.format(state_sql(300), state_sql(600))}")
+@query(f"WITH {CHANGES} {DIFF.format(state_sql(HALF), state_sql(END))}")
 def diff_since(s, d):
     c = model.changes(s, d)
-    return log.diff_since(c, 300, 600, log.state_at(c, 300))
+    return log.diff_since(c, half_of(s, d), end_of(s, d), log.state_at(c, half_of(s, d)))
 
 
 @query(f"WITH {LOG} SELECT pos, parent, coalesce(lag(head) OVER (PARTITION BY publisher, repo ORDER BY pos), '0x0') AS was FROM log")
@@ -385,14 +484,14 @@ def commit_parents(s, d):
     return log.parents(model.update_log(s, d)).select("pos", "parent", F.coalesce("was", F.lit(ZERO_HEAD)).alias("was"))
 
 
-@query(f"WITH {LOG} SELECT count(*) > 0 AS moved FROM log WHERE repo IN ('click') AND t > 3")
+@query(f"WITH {LOG} SELECT count(*) > 0 AS moved FROM log WHERE repo IN ('click') AND t > {HALF_T}")
 def log_moved(s, d):
-    return s.createDataFrame([(log.moved(model.update_log(s, d), ["u1/click", "click"], 3),)], "moved boolean")
+    return s.createDataFrame([(log.moved(model.update_log(s, d), ["u1/click", "click"], half_t(s, d)),)], "moved boolean")
 
 
 # Sets by key
 
-UPSERT = f"""WITH {CHANGES}, s3 AS (SELECT publisher, repo, id, cid FROM {state_sql(300)}), s6 AS (SELECT publisher, repo, id, cid FROM {state_sql(600)}),
+UPSERT = f"""WITH {CHANGES}, s3 AS (SELECT publisher, repo, id, cid FROM {state_sql(HALF)}), s6 AS (SELECT publisher, repo, id, cid FROM {state_sql(END)}),
 old AS (SELECT CAST(row_number() OVER (ORDER BY publisher, repo, id) - 1 AS BIGINT) AS rowseq, * FROM s3), fresh AS (SELECT * FROM s6 ANTI JOIN old USING (publisher, repo, id)),
 merged AS (SELECT o.rowseq, o.publisher, o.repo, o.id, coalesce(n.cid, o.cid) AS cid FROM old o LEFT JOIN s6 n USING (publisher, repo, id)
 UNION ALL SELECT (SELECT max(rowseq) FROM old) + row_number() OVER (ORDER BY publisher, repo, id), * FROM fresh)"""
@@ -400,8 +499,7 @@ UNION ALL SELECT (SELECT max(rowseq) FROM old) + row_number() OVER (ORDER BY pub
 
 def _old(s, d) -> tuple[DataFrame, DataFrame]:
     c = model.changes(s, d)
-    three = log.state_at(c, 300).select(*KEY, "cid")
-    return three.withColumn("rowseq", (F.row_number().over(Window.orderBy(*KEY)) - 1).cast("long")), log.state_at(c, 600).select(*KEY, "cid")
+    return numbered(log.state_at(c, half_of(s, d)).select(*KEY, "cid"), KEY, "rowseq"), log.state_at(c, end_of(s, d)).select(*KEY, "cid")
 
 
 @query(f"{UPSERT} SELECT rowseq, publisher, repo, id, cid FROM merged")
@@ -416,12 +514,12 @@ def delete_records(s, d):
     return upsert.delete(old, new)
 
 
-@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid FROM {state_sql(600)}")
+@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid FROM {state_sql(END)}")
 def apply_changes(s, d):
     """Applying the difference to the older records gives the newer."""
     c = model.changes(s, d)
     old, _ = _old(s, d)
-    return upsert.apply_changes(old, log.diff_since(c, 300, 600, log.state_at(c, 300))).drop("rowseq")
+    return upsert.apply_changes(old, log.diff_since(c, half_of(s, d), end_of(s, d), log.state_at(c, half_of(s, d)))).drop("rowseq")
 
 
 @query(f"{UPSERT} SELECT publisher, repo, id, cid FROM s3 UNION ALL SELECT * FROM fresh")
@@ -435,9 +533,14 @@ def fts_backfill(s, d):
 FOLD = "SELECT user_id, list_reduce(list_prepend(7::BIGINT, list(CAST(length(event_type) AS BIGINT) ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS state FROM events WHERE {} GROUP BY user_id"
 
 
-def _fold(s, d, where: str) -> DataFrame:
-    e = table(s, d, "events").where(where)
-    return fold.fold_by(e, ["user_id"], F.length("event_type").cast("long"), F.lit(7).cast("long"), lambda a, x: (a * 31 + x) % 1000003, "event_id")
+def _fold(s, d, where: str, start: DataFrame | None = None) -> DataFrame:
+    """A reducer in Python over the events of each user, which stream through the tasks in their order."""
+
+    def reduce(state: dict, event: dict) -> dict:
+        return {"s": (state.get("s", 7) * 31 + len(event["event_type"])) % 1000003}
+
+    e = table(s, d, "events").where(where).select("user_id", "event_id", "event_type")
+    return fold.fold_groups(e, ["user_id"], reduce, lambda x: str(x["s"]), "event_id", start, lambda x: {"s": int(x)}).withColumn("state", F.col("state").cast("long"))
 
 
 @query(FOLD.format("TRUE"))
@@ -445,31 +548,45 @@ def fold_state(s, d):
     return _fold(s, d, "TRUE")
 
 
-@query(FOLD.format("event_id < 500"))
+@query(FOLD.format(f"event_id < {HALF}"))
 def fold_until(s, d):
-    return _fold(s, d, "event_id < 500")
+    return _fold(s, d, f"event_id < {half_of(s, d)}")
 
 
 @query(FOLD.format("TRUE"))
 def fold_resume(s, d):
     """The state at one point, then the events behind it: the same as a fold over all."""
-    e = table(s, d, "events")
-    step = lambda a, x: (a * 31 + x) % 1000003
-    rest = e.where("event_id >= 500").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_id", F.length("event_type").cast("long").alias("v")))).alias("rest"))
-    both = _fold(s, d, "event_id < 500").join(rest, "user_id", "full_outer")
-    rest_or_none = F.coalesce("rest", F.array().cast("array<struct<event_id: bigint, v: bigint>>"))
-    return both.select("user_id", F.aggregate(rest_or_none, F.coalesce("state", F.lit(7).cast("long")), lambda a, x: step(a, x["v"])).alias("state"))
+    middle = half_of(s, d)
+    return _fold(s, d, f"event_id >= {middle}", _fold(s, d, f"event_id < {middle}"))
 
 
 @query(FOLD.format("TRUE"))
 def fold_python(s, d):
-    """The same by a reducer in Python."""
+    """The same by another reducer, over whole events, whose state is read back as JSON."""
 
     def reduce(state: dict, event: dict) -> dict:
-        return {"s": (state.get("s", 7) * 31 + len(event["event_type"])) % 1000003}
+        return {"s": (state.get("s", 7) * 31 + len(event["event_type"])) % 1000003, "n": state.get("n", 0) + 1}
+
+    found = fold.fold_groups(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], reduce, json.dumps, "event_id")
+    return found.select("user_id", F.get_json_object("state", "$.s").cast("long").alias("state"))
+
+
+COMMITS = f"WITH {CHANGES}, w AS (SELECT *, lag(cid) OVER (PARTITION BY publisher, repo, id ORDER BY pos) AS was FROM changes)"
 
-    found = fold.fold_groups(table(s, d, "events").select("user_id", "event_id", "event_type"), ["user_id"], reduce, lambda x: str(x["s"]), "event_id")
-    return found.select("user_id", F.col("state").cast("long").alias("state"))
+
+@query(f"{COMMITS} SELECT pos, publisher, CASE WHEN op = 'put' AND cid IS DISTINCT FROM was THEN id END AS put, CASE WHEN op = 'delete' AND was IS NOT NULL THEN id END AS gone FROM w")
+def commit_changes(s, d):
+    """What each commit changes against its parent; one that puts what is there, or deletes what isn't, changes nothing."""
+    c = model.changes(s, d)
+    both = fold.commits(c.select("pos", "publisher"), c)
+    return both.select("pos", "publisher", F.get(F.col("puts")["id"], F.lit(0)).alias("put"), F.get("deletes", F.lit(0)).alias("gone"))
+
+
+@query(f"{COMMITS} SELECT id AS slot, min_by(publisher, pos) AS owner, min(pos) AS pos FROM w WHERE op = 'put' AND cid IS DISTINCT FROM was GROUP BY id")
+def claims_of_valid_commits(s, d):
+    """The first valid claim of each slot; a commit that changes nothing claims nothing."""
+    c = model.changes(s, d)
+    return fold.owners(c.select("pos", *REPO), c, "$.k")
 
 
 @query(f"WITH {CHANGES} SELECT id AS slot, min_by(publisher, pos) AS owner, count(*) AS claims FROM changes WHERE op = 'put' GROUP BY id")
@@ -485,24 +602,48 @@ def scoreboard(s, d):
 # References
 
 
-@query(f"WITH {CHANGES} SELECT a.publisher, a.repo, a.id, b.cid, b.type FROM {state_sql(300)} a LEFT JOIN {state_sql(600)} b USING (publisher, repo, id)")
+@query(f"WITH {CHANGES} SELECT a.publisher, a.repo, a.id, b.cid, b.type FROM {state_sql(HALF)} a LEFT JOIN {state_sql(END)} b USING (publisher, repo, id)")
 def pin_references(s, d):
     c = model.changes(s, d)
-    return maintain.pin_references(log.state_at(c, 300).select(*KEY), log.state_at(c, 600))
+    return maintain.pin_references(log.state_at(c, half_of(s, d)).select(*KEY), log.state_at(c, end_of(s, d)))
 
 
-@query(f"WITH {CHANGES} SELECT a.publisher, a.repo, a.id, a.cid, b.cid AS now FROM {state_sql(300)} a LEFT JOIN {state_sql(600)} b USING (publisher, repo, id) WHERE a.cid IS DISTINCT FROM b.cid")
+@query(f"WITH {CHANGES} SELECT a.publisher, a.repo, a.id, a.cid, b.cid AS now FROM {state_sql(HALF)} a LEFT JOIN {state_sql(END)} b USING (publisher, repo, id) WHERE a.cid IS DISTINCT FROM b.cid")
 def stale_citations(s, d):
     c = model.changes(s, d)
-    return maintain.stale_references(log.state_at(c, 300).select(*KEY, "cid"), log.state_at(c, 600))
+    return maintain.stale_references(log.state_at(c, half_of(s, d)).select(*KEY, "cid"), log.state_at(c, end_of(s, d)))
 
 
 # Texts and vectors
 
 
-@query("SELECT event_id, 'k: ' || json_extract_string(props, '$.k') AS text FROM events")
+NUMBER = "regexp_replace(CAST({} AS VARCHAR), '\\.0$', '')"
+
+
+def nested() -> Column:
+    """A payload with nested values, arrays, numbers of all kinds, booleans, nulls, empty containers and keys that are numbers."""
+    k = F.get_json_object("props", "$.k").cast("int")
+    inner = F.struct("value", (F.col("value") > 50).alias("large"), F.array(k, k + 1).alias("ks"), F.array().cast("array<int>").alias("none"))
+    tiny = F.lit(1e-7) * F.lit(1.0)
+    named = F.struct(F.col("event_type").alias("type"), F.lit(None).cast("string").alias("nothing"), inner.alias("in"), k.alias("10"), F.lit("two").alias("2"), F.lit("").alias("²"), tiny.alias("tiny"))
+    return F.to_json(named, {"ignoreNullFields": "false"})
+
+
+K = "json_extract_string(props, '$.k')"
+LEAVES = f"""[{{'path': '2', 'value': 'two', 'type': 'string'}}, {{'path': '10', 'value': {K}, 'type': 'number'}}, {{'path': 'type', 'value': event_type, 'type': 'string'}}, {{'path': 'in.value', 'value': {NUMBER.format('value')}, 'type': 'number'}},
+  {{'path': 'in.large', 'value': CASE WHEN value > 50 THEN 'true' ELSE 'false' END, 'type': 'boolean'}}, {{'path': 'in.ks.0', 'value': {K}, 'type': 'number'}}, {{'path': 'in.ks.1', 'value': CAST(CAST({K} AS INTEGER) + 1 AS VARCHAR), 'type': 'number'}},
+  {{'path': '²', 'value': '', 'type': 'string'}}, {{'path': 'tiny', 'value': '1e-7', 'type': 'number'}}]"""
+
+
+@query(f"SELECT event_id, array_to_string(list_transform({LEAVES}, lambda x: x.path || ': ' || x.value), chr(10)) AS text FROM events")
 def text_of(s, d):
-    return table(s, d, "events").select("event_id", tx.text_of(F.col("props")).alias("text"))
+    return table(s, d, "events").select("event_id", tx.text_of(nested()).alias("text"))
+
+
+@query(f"WITH l AS (SELECT event_id, unnest({LEAVES}) AS x FROM events) SELECT event_id, x.path AS path, x.value AS value, x.type AS type FROM l")
+def leaf_rows(s, d):
+    """A row for each leaf."""
+    return table(s, d, "events").select("event_id", F.inline(tx.leaf_rows(nested())))
 
 
 @query("WITH h AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_aggregate(list_transform(v, lambda x: abs(x)), 'sum') / sqrt(list_inner_product(v, v)), 6) AS total FROM h")
@@ -521,6 +662,43 @@ def sign_bits(s, d):
     return table(s, d, "embeddings").select("vec_id", vx.sign_bits(F.col("embedding")).alias("bits"))
 
 
+BYTES = "base64(from_hex(array_to_string(list_transform(embedding, lambda x: printf('%02X', (CAST(greatest(-127, least(127, floor(x::DOUBLE * 127 + 0.5))) AS INTEGER) + 256) % 256)), '')))"
+SIGNS = "array_to_string(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN '1' ELSE '0' END), '')"
+
+
+@query(f"SELECT vec_id, {BYTES} AS packed, base64(from_hex(array_to_string(list_transform(range(8), lambda i: printf('%02X', CAST(list_reduce(list_transform(range(8), lambda j: CASE WHEN substr({SIGNS}, i * 8 + j + 1, 1) = '1' THEN 1 << (7 - j) ELSE 0 END), lambda a, b: a + b) AS INTEGER))), ''))) AS bits FROM embeddings")
+def packed_vectors(s, d):
+    return table(s, d, "embeddings").select("vec_id", vx.packed_int8(F.col("embedding")).alias("packed"), vx.packed_bits(F.col("embedding")).alias("bits"))
+
+
+@query("SELECT vec_id, CAST(list_sum(list_transform(embedding, lambda x: greatest(-127, least(127, floor(x::DOUBLE * 127 + 0.5))))) AS BIGINT) AS total, CAST(list_sum(list_transform(embedding, lambda x: CASE WHEN x >= 0 THEN 1 ELSE -1 END)) AS DOUBLE) AS signs FROM embeddings")
+def unpacked_vectors(s, d):
+    """There and back again; what isn't base64 gives none."""
+    e, total = table(s, d, "embeddings"), lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    whole = e.select("vec_id", vx.unpacked_int8(vx.packed_int8(F.col("embedding"))).alias("v"), vx.unpacked_bits(vx.packed_bits(F.col("embedding"))).alias("b"), vx.unpacked_int8(F.lit("?")).alias("bad"))
+    return whole.where("bad IS NULL").select("vec_id", F.round(total("v") * 127).cast("long").alias("total"), total("b").alias("signs"))
+
+
+@query(f"WITH v AS (SELECT vec_id AS rowseq, vec_id % 2 = 0 AS old, {BYTES} AS packed FROM embeddings), n AS (SELECT *, row_number() OVER (PARTITION BY old ORDER BY rowseq) AS k FROM v) SELECT rowseq, old AND k > 100 AS json, CASE WHEN NOT old OR k <= 100 THEN packed END AS packed FROM n")
+def pack_legacy_vectors(s, d):
+    """Vectors that are stored as JSON are rewritten, a hundred a run, the oldest first."""
+    mixed = F.when(F.col("vec_id") % 2 == 0, F.to_json("embedding")).otherwise(vx.packed_int8(F.col("embedding")))
+    done = maintain.pack_vectors(table(s, d, "embeddings").select(F.col("vec_id").alias("rowseq"), mixed.alias("vec")), 100)
+    return done.select("rowseq", vx.is_json(F.col("vec")).alias("json"), F.when(~vx.is_json(F.col("vec")), F.col("vec")).alias("packed"))
+
+
+@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid, type FROM {state_sql(END)} WHERE publisher = 'u7' AND repo = 'events' ORDER BY id")
+def live_repo(s, d):
+    """A repo as the log has it now."""
+    return log.list_repo(model.changes(s, d), "U7", "events").drop("payload").orderBy("id")
+
+
+@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid, payload FROM {state_sql(END)} WHERE publisher = 'u7' AND repo = 'events' AND id = (SELECT min(id) FROM changes WHERE publisher = 'u7')")
+def live_record(s, d):
+    c = model.changes(s, d)
+    return log.read_record(c, "u7", "events", c.where("publisher = 'u7'").agg(F.min("id")).first()[0]).drop("type")
+
+
 @query("SELECT doc_id AS rowseq FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings) ORDER BY doc_id LIMIT 100")
 def embed_missing_batch(s, d):
     return maintain.missing_vectors(model.records(s, d), vectors(s, d), 100).select("rowseq")

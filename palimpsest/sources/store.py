@@ -1,12 +1,15 @@
 """Snapshots of an index: rows and the stitch that they stand for, visible together or not at all.
 
-A snapshot is a folder of Parquet tables. CURRENT, a small file beside them, names the one that counts and is replaced last, so a crash before leaves the old state. All files go through Hadoop's file system, so a store can lie wherever Spark reads.
+A snapshot is a folder of Parquet tables. What counts is the pointer with the largest number, CURRENT.<number>, a small file that names the folder of each table. It is written under another name and renamed to one that no file has, which is atomic, and it is written last; so a crash at any point leaves the state before. All files go through Hadoop's file system, so a store can lie wherever Spark reads.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
+import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -41,14 +44,33 @@ class Files:
         finally:
             stream.close()
 
-    def write(self, name: str, data: bytes) -> None:
-        """Through a temporary name, so that readers see the old or the new file."""
-        stream = self.fs.create(self.path(f"{name}.tmp"), True)
+    def put(self, name: str, data: bytes) -> None:
+        """A new file, whole or not at all: readers never see half of it. Fails if the name is taken."""
+        partial = self.path(f"_{name}.{uuid.uuid4().hex}")
+        stream = self.fs.create(partial, False)
         stream.write(bytearray(data))
         stream.close()
-        self.fs.delete(self.path(name), False)
-        if not self.fs.rename(self.path(f"{name}.tmp"), self.path(name)):
-            raise OSError(f"could not replace {name}")
+        if self.fs.exists(self.path(name)) or not self.fs.rename(partial, self.path(name)):
+            self.fs.delete(partial, False)
+            raise OSError(f"{name} is there already, or could not be written")
+
+    def versions(self, name: str) -> list[int]:
+        if not self.fs.exists(self.path("")):
+            return []
+        found = (re.fullmatch(rf"{re.escape(name)}\.(\d+)", f.getPath().getName()) for f in self.fs.listStatus(self.path("")))
+        return sorted(int(m[1]) for m in found if m)
+
+    def latest(self, name: str) -> bytes | None:
+        """What was last put under the name by replace()."""
+        found = self.versions(name)
+        return self.read(f"{name}.{found[-1]:012d}") if found else None
+
+    def replace(self, name: str, data: bytes) -> None:
+        """Readers by latest() see the old or the new content. Of old versions the last stays, for readers that are at it."""
+        found = self.versions(name)
+        self.put(f"{name}.{(found[-1] + 1 if found else 0):012d}", data)
+        for n in found[:-1]:
+            self.fs.delete(self.path(f"{name}.{n:012d}"), False)
 
 
 class SnapshotStore:
@@ -60,12 +82,13 @@ class SnapshotStore:
         if now and embedder and now[1].embedder and now[1].embedder != embedder:
             raise ValueError(f"the index was written with embedder {now[1].embedder}, not {embedder}: their vectors don't compare")
 
+    def pointer(self) -> dict | None:
+        raw = self.files.latest("CURRENT")
+        return None if raw is None else json.loads(raw)
+
     def current(self) -> tuple[int, Stitch] | None:
-        raw = self.files.read("CURRENT")
-        if raw is None:
-            return None
-        held = json.loads(raw)
-        return held.pop("snapshot"), Stitch(**held)
+        held = self.pointer()
+        return None if held is None else (held["snapshot"], Stitch(**held["stitch"]))
 
     def load(self, patterns: list[str] | None = None) -> Stitch | None:
         """The saved stitch; None if there is none, or if it was for other patterns, so that the index starts over."""
@@ -73,20 +96,38 @@ class SnapshotStore:
         return None if now is None or patterns is not None and now[1].patterns != patterns else now[1]
 
     def table(self, name: str) -> DataFrame | None:
-        now = self.current()
-        if now is None or not self.files.fs.exists(self.files.path(f"snap={now[0]}/{name}")):
+        held = self.pointer()
+        if held is None or name not in held["tables"]:
             return None
-        return self.spark.read.parquet(f"{self.root}/snap={now[0]}/{name}")
+        return self.spark.read.parquet(f"{self.root}/snap={held['tables'][name]}/{name}")
 
     def save(self, stitch: Stitch, tables: dict[str, DataFrame]) -> int:
-        now = self.current()
-        n = now[0] + 1 if now else 0
+        """Tables that aren't given stay as they are. With other patterns than before the index starts over: old tables go."""
+        held = self.pointer()
+        n = held["snapshot"] + 1 if held else 0
+        kept = held["tables"] if held and held["stitch"]["patterns"] == stitch.patterns else {}
         for name, df in tables.items():
             df.write.mode("overwrite").parquet(f"{self.root}/snap={n}/{name}")
         stitch.embedder = stitch.embedder or self.embedder
-        self.files.write("CURRENT", json.dumps({"snapshot": n, **asdict(stitch)}, sort_keys=True).encode())
+        self._point(n, kept | dict.fromkeys(tables, n), stitch)
         return n
 
+    def _point(self, n: int, tables: dict[str, int], stitch: Stitch) -> None:
+        self.files.replace("CURRENT", json.dumps({"snapshot": n, "tables": tables, "stitch": asdict(stitch)}, sort_keys=True).encode())
+
+    def get_meta(self, key: str, default: object = None) -> object:
+        now = self.current()
+        return default if now is None else now[1].meta.get(key, default)
+
+    def set_meta(self, key: str, value: object) -> None:
+        """A value beside the stitch, such as up to where the log was checked. Needs a snapshot."""
+        held = self.pointer()
+        if held is None:
+            raise LookupError("nothing is saved yet")
+        stitch = Stitch(**held["stitch"])
+        stitch.meta = {**stitch.meta, key: value}
+        self._point(held["snapshot"], held["tables"], stitch)
+
 
 class MemoryStore:
     """The same without files, for tests and previews."""
@@ -101,7 +142,32 @@ class MemoryStore:
         return self.held[1].get(name) if self.held else None
 
     def save(self, stitch: Stitch, tables: dict[str, DataFrame]) -> int:
-        self.held = stitch, tables
+        kept = self.held[1] if self.held and self.held[0].patterns == stitch.patterns else {}
+        self.held = stitch, {**kept, **tables}
+        return 0
+
+    def get_meta(self, key: str, default: object = None) -> object:
+        return self.held[0].meta.get(key, default) if self.held else default
+
+    def set_meta(self, key: str, value: object) -> None:
+        self.held[0].meta[key] = value
+
+
+class RecordStore:
+    """The stitch alone, as the record "stitch" of a repo of the indexer's own. read: gives its payload, or None; commit: takes a record to publish."""
+
+    def __init__(self, read: Callable[[], dict | None], commit: Callable[[dict], object]) -> None:
+        self.read, self.commit = read, commit
+
+    def load(self, patterns: list[str] | None = None) -> Stitch | None:
+        held = self.read()
+        return None if held is None or patterns is not None and held["patterns"] != patterns else Stitch(**held)
+
+    def table(self, name: str) -> None:
+        return None
+
+    def save(self, stitch: Stitch, tables: dict[str, DataFrame]) -> int:
+        self.commit({"id": "stitch", "type": "stitch", "payload": asdict(stitch)})
         return 0
 
 
@@ -110,35 +176,67 @@ def view(records: DataFrame) -> DataFrame:
     return records.select("publisher", "repo", "id", "cid", "type", "payload").orderBy("publisher", "repo", "id")
 
 
-def write_view(records: DataFrame, stitch: Stitch, path: str) -> dict:
-    """The view as JSON lines in a new folder named by the root, and a manifest that points to it, replaced last. Fails if what was written can't be read back."""
+def write_view(records: DataFrame, stitch: Stitch, path: str, refused: DataFrame | None = None) -> dict:
+    """The view as JSON lines in a new folder named by the root, and a manifest that points to it, replaced last. refused: what a gate left out, and why. Fails if what was written can't be read back."""
     spark, files = records.sparkSession, Files(records.sparkSession, path)
     rows = f"{path}/root={stitch.root}"
     view(records).write.mode("overwrite").json(rows)
     n = spark.read.text(rows).count()
     manifest = {"root": stitch.root, "t": stitch.t, "records": n, "rows": rows}
-    files.write("manifest.json", json.dumps(manifest, sort_keys=True).encode())
-    if json.loads(files.read("manifest.json") or b"{}") != manifest:
+    if refused is not None:
+        manifest["refused"] = f"{path}/refused={stitch.root}"
+        refused.write.mode("overwrite").json(manifest["refused"])
+    files.replace("manifest", json.dumps(manifest, sort_keys=True).encode())
+    if read_manifest(spark, path) != manifest:
         raise OSError("the view did not land")
     return manifest
 
 
+def read_manifest(spark: SparkSession, path: str) -> dict | None:
+    raw = Files(spark, path).latest("manifest")
+    return None if raw is None else json.loads(raw)
+
+
+def publish_view(manifest: dict, commit: Callable[[dict], object], read: Callable[[str], dict | None]) -> dict:
+    """A record "view" that points to a view, published by commit; fails if read("view") doesn't give it back."""
+    record = {"id": "view", "type": "view", "payload": {"src": manifest["rows"], "root": manifest["root"], "t": manifest["t"], "records": manifest["records"]}}
+    commit(record)
+    if (read("view") or {}).get("payload") != record["payload"]:
+        raise OSError("the view did not land")
+    return record
+
+
 def seed(records: DataFrame) -> DataFrame:
     """The records without vectors: whoever starts from them embeds anew."""
     return records.withColumn("vec", F.lit(None).cast("array<float>"))
 
 
+def write_seed(store: SnapshotStore, root: str) -> SnapshotStore:
+    """A new store with the stitch and the records of another, without vectors and without the name of what made them."""
+    now = store.load()
+    if now is None:
+        raise LookupError("nothing is saved yet")
+    out = SnapshotStore(store.spark, root)
+    out.save(Stitch(now.root, now.t, now.patterns), {"records": seed(store.table("records")), **{n: store.table(n) for n in ("heads", "verdicts") if store.table(n) is not None}})
+    return out
+
+
 class Blobs:
     """Content-addressed bytes: a file is named by the SHA-256 of its content."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.files = Files(spark, root)
+        self.spark, self.root, self.files = spark, root, Files(spark, root)
 
     def put(self, data: bytes) -> str:
         cid = hashlib.sha256(data).hexdigest()
-        if self.files.read(cid) is None:
-            self.files.write(cid, data)
+        if not self.files.fs.exists(self.files.path(cid)):
+            self.files.put(cid, data)
         return cid
 
+    def table(self) -> DataFrame:
+        """cid, bytes and content of all blobs, to join."""
+        found = self.spark.read.format("binaryFile").load(self.root)
+        return found.select(F.element_at(F.split("path", "/"), -1).alias("cid"), F.col("length").alias("bytes"), "content").where("cid RLIKE '^[0-9a-f]{64}$'")
+
     def get(self, cid: str) -> bytes | None:
         return self.files.read(cid)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import threading
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -31,59 +30,36 @@ def update(log: DataFrame, patterns: list[str], store: Any, lens: Callable[[Data
     return now
 
 
-class Coalesced:
-    """Runs a step in the background: one runs, and at most one more waits, for all who asked meanwhile."""
-
-    def __init__(self, step: Callable[[], Any]) -> None:
-        self.step, self.lock, self.running, self.waiting = step, threading.Lock(), False, False
-        self.idle = threading.Condition(self.lock)
-        self.runs = 0
-
-    def trigger(self) -> None:
-        with self.lock:
-            if self.running:
-                self.waiting = True
-                return
-            self.running = True
-        threading.Thread(target=self._run, daemon=True).start()
-
-    def _run(self) -> None:
-        while True:
-            try:
-                self.step()
-            finally:
-                with self.lock:
-                    self.runs += 1
-                    if not self.waiting:
-                        self.running = False
-                        self.idle.notify_all()
-                        break
-                    self.waiting = False
-
-    def wait(self, seconds: float = 60) -> bool:
-        with self.lock:
-            return self.idle.wait_for(lambda: not self.running, seconds)
-
-
-def follow(spark: SparkSession, path: str, schema: str, patterns: list[str], on_batch: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100) -> StreamingQuery:
-    """Followed entries of a growing folder of Parquet logs, a micro-batch at a time; a batch may come twice after a crash."""
+def follow(spark: SparkSession, path: str, schema: str, patterns: list[str], on_batch: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100, every: str | None = None) -> StreamingQuery:
+    """Followed entries of a growing folder of Parquet logs, a micro-batch at a time; a batch may come twice after a crash. every: go on, with a batch at this interval; what comes while one runs waits for the next, together. None: end with what is there."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).where(matches(patterns))
-    return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    when = {"processingTime": every} if every else {"availableNow": True}
+    return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
-def streaming_fold(events: DataFrame, key: str, reduce: Callable[[dict, dict], dict]) -> DataFrame:
-    """key, pos and state (JSON): the fold of each key so far, whenever it moves. Events of a micro-batch are put in order of pos; the state is in Spark's state store."""
+def streaming_fold(events: DataFrame, key: str, reduce: Callable[[dict, dict], dict], hold: int = 0, repeats: bool = False) -> DataFrame:
+    """key, pos and state (JSON): the fold of each key so far, whenever it moves; the state is in Spark's state store.
+
+    Events of a micro-batch are put in order of pos. hold: events wait until one that is so many positions later has come, so that those that come late by less are put in order too. An event at or before what is folded is never dropped in silence: it is an error, or, if the source is known to repeat events (repeats), taken for a repeat.
+    """
 
     def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, pos = (json.loads(state.get[0]), state.get[1]) if state.exists else ({}, -1)
-        for event in pd.concat(list(parts)).sort_values("pos").to_dict("records"):
-            if event["pos"] > pos:  # a replayed event is known
-                held, pos = reduce(held, event), int(event["pos"])
-        state.update((json.dumps(held, sort_keys=True), pos))
+        held, pos, waiting = (json.loads(state.get[0]), state.get[1], json.loads(state.get[2])) if state.exists else ({}, -1, [])
+        new = [{c: x.item() if hasattr(x, "item") else x for c, x in e.items()} for e in pd.concat(list(parts)).to_dict("records")]
+        late = [e["pos"] for e in new if e["pos"] <= pos]
+        if late and not repeats:
+            raise ValueError(f"position {min(late)} of {k[0]} came after {pos} was folded")
+        waiting = list({e["pos"]: e for e in sorted([*waiting, *[e for e in new if e["pos"] > pos]], key=lambda e: e["pos"])}.values())
+        ripe = waiting[-1]["pos"] - hold if waiting else pos
+        for event in waiting:
+            if event["pos"] <= ripe:
+                held, pos = reduce(held, event), event["pos"]
+        waiting = [e for e in waiting if e["pos"] > pos]
+        state.update((json.dumps(held, sort_keys=True), pos, json.dumps(waiting, default=str)))
         yield pd.DataFrame([(k[0], pos, json.dumps(held, sort_keys=True))], columns=[key, "pos", "state"])
 
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, pos long, state string", "state string, pos long", "update", GroupStateTimeout.NoTimeout)
+    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, pos long, state string", "state string, pos long, waiting string", "update", GroupStateTimeout.NoTimeout)
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
@@ -91,4 +67,4 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-__all__ = ["Coalesced", "SnapshotStore", "follow", "streaming_fold", "update", "windowed_counts"]
+__all__ = ["SnapshotStore", "follow", "streaming_fold", "update", "windowed_counts"]

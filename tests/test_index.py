@@ -1,12 +1,12 @@
-import threading
-import time
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import model
-from palimpsest.operators import fold, gate, log, maintain, upsert
-from palimpsest.sources.store import Blobs, MemoryStore, SnapshotStore, Stitch, seed, write_view
+from palimpsest.operators import fold, gate, log, maintain, rules, upsert
+from palimpsest.operators.numbering import numbered
+from palimpsest.sources.store import Blobs, Files, MemoryStore, RecordStore, SnapshotStore, Stitch, publish_view, read_manifest, seed, write_seed, write_view
 from palimpsest.streaming import follow
 
 D = "/root/testdata/sf0.001"
@@ -111,19 +111,127 @@ def test_memory_store_view_blobs(spark, tmp_path):
     assert blobs.get(cid) == b"\x00\xffabc" and blobs.put(b"\x00\xffabc") == cid and blobs.get("0" * 64) is None
 
 
-def test_triggers_coalesce():
-    gate_, runs = threading.Event(), []
+def test_pointer_survives_a_crash(spark, tmp_path, monkeypatch):
+    """Whatever step of replacing the pointer fails, the state before is there, and the next save works."""
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    store.save(Stitch("r1", 1, ["*"]), {"records": spark.range(3), "verdicts": spark.range(7)})
+    for step in ("put", "replace"):
+        def crash(*_):
+            raise OSError("lost")
+
+        with monkeypatch.context() as m:
+            m.setattr(Files, step, crash)
+            with pytest.raises(OSError):
+                store.save(Stitch("r2", 2, ["*"]), {"records": spark.range(5)})
+        assert store.load().root == "r1" and store.table("records").count() == 3
+    store.save(Stitch("r2", 2, ["*"]), {"records": spark.range(5)})
+    assert store.load().root == "r2" and store.table("records").count() == 5 and store.table("verdicts").count() == 7  # tables that aren't given stay
+    store.set_meta("checked", 9)
+    assert store.get_meta("checked") == 9 and store.get_meta("none", 0) == 0 and store.table("records").count() == 5
+    store.save(Stitch("r3", 3, ["other"]), {"records": spark.range(1)})
+    assert store.table("verdicts") is None  # other patterns: started over
+    with pytest.raises(OSError):
+        store.files.put("CURRENT.000000000000", b"x")
+        store.files.put("CURRENT.000000000000", b"y")
+
+
+def test_other_stores(spark, tmp_path):
+    held = {}
+    store = RecordStore(lambda: held.get("stitch"), lambda r: held.update({r["id"]: r["payload"]}))
+    assert store.load() is None
+    store.save(Stitch("r", 4, ["a"]), {})
+    assert store.load(["a"]).t == 4 and store.load(["b"]) is None
+    one = SnapshotStore(spark, str(tmp_path / "a"), "e1")
+    one.save(Stitch("r", 1, ["*"]), {"records": model.records(spark, D).limit(5).withColumn("vec", F.array(F.lit(1.0))), "heads": spark.range(1)})
+    two = write_seed(one, str(tmp_path / "b"))
+    assert two.table("records").where("vec IS NULL").count() == 5 and two.load().embedder is None and two.load().root == "r"
+    manifest = write_view(model.records(spark, D).limit(3), Stitch("r1", 1, ["*"]), str(tmp_path / "v"), refused=spark.range(2))
+    landed = {}
+    assert publish_view(manifest, lambda r: landed.update({r["id"]: r}), landed.get)["payload"]["records"] == 3 and read_manifest(spark, str(tmp_path / "v")) == manifest
+    with pytest.raises(OSError):
+        publish_view(manifest, lambda r: None, lambda i: None)
+    blobs = Blobs(spark, str(tmp_path / "blobs"))
+    cid = blobs.put(b"abc")
+    assert [tuple(r) for r in blobs.table().collect()] == [(cid, 3, bytearray(b"abc"))]
+
+
+def test_checks_of_bad_payloads_and_files(spark):
+    seen = "publisher string, repo string, id string, cid string, type string, payload string"
+    rows = [("p", "r", "1", "c", "t", None), ("p", "r", "2", "c", "t", "{no"), ("p", "r", "3", "c", "t", '{"src": "f1"}'), ("p", "r", "4", "c", "t", '{"src": "gone"}'), ("p", "r", "5", "c", "t", "{}"), ("p", "r", "6", "c", "t", '{"src": "big"}')]
+    records = spark.createDataFrame(rows, seen)
+    none = records.where("false").select("publisher", "repo", "id", "cid", F.lit("k").alias("checker"), F.lit("").alias("reason"))
+    files = spark.createDataFrame([("f1", b"abc"), ("big", b"x" * (gate.MAX_FILE + 5))], "cid string, content binary")
+    base = gate.Checks(rules=[gate.Rule("own", lambda r, c: True if c["publisher"] == "p" and c["repo"] == "r" and r["cid"] == "c" and r["id"] in "3456" and c["file"] in (None, b"abc") else f"bad {c['file']}")])
+    got = {r["id"]: r["reason"] for r in gate.check_missing(records, none, F.lit("k"), base, {}, files=files).collect()}
+    assert got == {"1": "its payload is not JSON", "2": "its payload is not JSON", "3": None, "5": None, "6": "its file is over 25 MB"}  # 4 waits for its file
+    assert gate.check_missing(records, none, F.lit("k"), gate.Checks(), {}, most=2, seed=1).count() == 2
+    late = gate.Checks({"required": ["x"]}, base.rules)
+    assert {r["reason"] for r in gate.check_missing(records.where("id = '4'"), none, F.lit("k"), late, {}, files=files).collect()} == {"# lacks x"}  # files only behind schemas
+    verdicts = gate.with_verdicts(none, gate.check_missing(records, none, F.lit("k"), base, {}, files=files))
+    assert gate.allows(records, verdicts, F.lit("k"), "P", "r", "3", "c") and not gate.allows(records, verdicts, F.lit("k"), "p", "r", "1", "c") and gate.allows(records, None, None, "p", "r", "1", "c")
+    assert [r["id"] for r in gate.refused(records, verdicts, F.lit("k")).collect()] == ["1", "2", "6"]
+    assert upsert.delete_verdicts(verdicts, records.where("id = '1'")).count() == verdicts.count() - 1
+
+
+def test_rule_forms():
+    cid = "a" * 64
+    config = {"schema": "b" * 64, "rules": {"check": "0xp/checks/size", "with": {"most": 3}}, "types": {"t": {"description": "things", "rules": [cid, {"check": "0xp/checks/size", "with": {"most": 3}}]}, "u": "words"}}
+    check = {"cid": "v1", "type": "check", "payload": {"src": "c" * 64, "params": {"type": "object", "required": ["most"]}}}
+    content = {"b" * 64: {"type": "object"}, "c" * 64: "code", cid: "more"}
+    out, sources = rules.resolve(config, content.__getitem__, lambda p, r, i: check if (p, r, i) == ("0xp", "checks", "size") else None)
+    assert out["schema"] == {"type": "object"} and out["rules"] == [{"check": "0xp/checks/size", "record": "v1", "src": "c" * 64, "with": {"most": 3}}]
+    assert rules.sources_in(out) == ["c" * 64, cid] and sources == {"c" * 64: "code", cid: "more"} and out["types"]["u"] == "words"
+    assert [rules.description(t) for t in config["types"].values()] == ["things", "words"] and rules.sources_in(config) == [cid]
+    base, types = rules.checks_of(out, {"c" * 64: lambda r, c: len(r["payload"]) <= c["params"]["most"] or "too many", cid: lambda r, c: True})
+    assert gate.reason_of({"type": "t", "payload": {}}, base, types) is None and gate.reason_of({"type": "t", "payload": dict.fromkeys("abcd")}, base, types) == "0xp/checks/size: too many"
+    for bad, error in (({"rules": "0xp/checks/none"}, LookupError), ({"rules": 7}, ValueError), ({"schema": "x"}, ValueError), ({"rules": {"check": "0xp/checks/size"}}, ValueError)):
+        with pytest.raises(error):
+            rules.resolve(bad, content.__getitem__, lambda p, r, i: check if i == "size" else None)
+    with pytest.raises(ValueError, match="grants"):
+        rules.resolve({"rules": "0xp/c/n"}, content.__getitem__, lambda *a: {**check, "payload": {"src": "s", "needs": "network"}})
+    for bad in (config, {"rules": [cid]}):
+        with pytest.raises((ValueError, LookupError)):
+            rules.checks_of(bad, {})
+
+
+def test_numbers_without_gaps(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"), F.lit("x").alias("n"))
+    got = numbered(df.repartition(7), ["k"], "i", 5).collect()
+    assert sorted((r["k"], r["i"]) for r in got) == [(k, k + 5) for k in range(1000)] and numbered(df.limit(0), ["k"], "i").count() == 0
+
+
+def test_reducers():
+    event = lambda pos, who, puts=(), deletes=(): {"pos": pos, "publisher": who, "puts": [{"id": i, "payload": json.dumps(p)} for i, p in puts], "deletes": list(deletes)}
+    state = None
+    for e in (event(0, "a"), event(1, "a", [("x", {"slot": "x"})]), event(2, "b", [("x", {"slot": "x"})]), event(3, "b", [("y", {"slot": "y"})]), event(4, "c", [("1", {"slot": "z"}), ("2", {"slot": "w"})])):
+        state = fold.claims(state, e)
+    assert state == {"owner": {"x": "a", "y": "b"}, "rejected": 3, "commits": 5}
+    moves = [event(0, "a"), event(1, "a", [("m0", {"cell": [0, 0]})]), event(2, "b", [("m0", {"cell": [5, 5]})]), event(3, "a", [("m1", {"cell": [0, 1]})]), event(4, "a", [("m2", {"cell": [0, 2]})])]
+    cheats = [event(5, "b", [("m0", {"cell": [4, 5]})]), event(6, "b", [("m1", {"cell": [0, 0]})]), event(7, "b", [("m1", {"cell": [2, 2]})]), event(8, "b", [("m1", {"cell": [6, 5]})]), event(9, "b", [], ["m0"]), event(10, "b", [("m1", {"cell": [4, 5]}), ("m2", {"cell": [3, 5]})])]
+
+    def play(**how):
+        state, step = None, fold.territory(**how)
+        for e in moves + cheats:
+            state = step(state, e)
+        return state
 
-    def step():
-        runs.append(1)
-        gate_.wait(5)
+    game = play()
+    assert game["board"] == {"0,0": "a", "5,5": "b", "0,1": "a"} and game["players"] == ["a"] and game["moves"] == 3
+    assert [r["why"] for r in game["rejected"]] == ["two turns in a row", "a past move is rewritten", "0,0 is taken", "2,2 is not beside the player's own", "the cell is off the board", "a past move is deleted", "2 moves at once"]
+    other = play(per_commit=3, alternate=False)
+    assert other["moves"] == 6 and len(other["rejected"]) == 5 and fold.state_hash(other) != fold.state_hash(game) == fold.state_hash(play())
 
-    c = follow.Coalesced(step)
-    for _ in range(10):
-        c.trigger()
-    time.sleep(0.1)
-    gate_.set()
-    assert c.wait(10) and len(runs) == 2
+
+def test_live_reads_and_verified_stitches(spark):
+    c, entries = model.changes(spark, D), model.update_log(spark, D)
+    want = {(r["publisher"], r["id"]): r["cid"] for r in log.state_at(c, 10**9).collect()}
+    who, id = next(iter(want))
+    assert log.read_record(c, who.upper(), "events", id).first()["cid"] == want[(who, id)] and log.read_record(c, who, "events", "none").count() == 0
+    assert log.list_repo(c, who, "events").count() == sum(p == who for p, _ in want)
+    root = log.root(log.stitch(entries, ["click"], 5)).first()["root"]
+    assert log.verify(entries, ["click"], root, 5) and not log.verify(entries, ["click"], root, 6) and not log.verify(entries.where("pos <> 10"), ["*"], root, 5)
+    both = fold.commits(entries, c.limit(0))
+    assert both.where("size(puts) = 0 AND size(deletes) = 0").count() == entries.count()
 
 
 def test_fold_orders_and_resumes(spark):
@@ -147,19 +255,46 @@ def test_streams(spark, tmp_path):
     q = follow.follow(spark, str(tmp_path / "log"), schema, ["click"], lambda df, i: got.append(df.count()), str(tmp_path / "c1"), 2)
     assert q.awaitTermination(120) and sum(got) == entries.where("repo = 'click'").count()
 
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "log"))
-    folded = follow.streaming_fold(stream.select("publisher", "pos"), "publisher", lambda s, e: {"n": s.get("n", 0) + 1})
-    q = folded.writeStream.format("memory").queryName("folded").outputMode("update").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
-    assert q.awaitTermination(120)
-    last = spark.table("folded").groupBy("publisher").agg(F.max_by("state", "pos").alias("s")).collect()
-    want = {r["publisher"]: r["count"] for r in entries.groupBy("publisher").count().collect()}
-    assert {r["publisher"]: int(r["s"].split(":")[1].strip(" }")) for r in last} == want
+    # What comes while a batch runs waits for the next, together.
+    (tmp_path / "grows").mkdir()
+    batches = []
+    q = follow.follow(spark, str(tmp_path / "grows"), schema, ["*"], lambda df, i: batches.append(df.count()), str(tmp_path / "c3"), every="1 second")
+    try:
+        for _ in range(4):
+            entries.limit(10).write.mode("append").parquet(str(tmp_path / "grows"))
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    assert sum(batches) == 40 and len(batches) <= 4
+
+
+def test_streaming_fold(spark, tmp_path):
+    """Events that come late are put in order as far as they are held back, and never dropped in silence."""
+    order = lambda s, e: {"seen": [*s.get("seen", []), e["pos"]]}
+    (tmp_path / "in").mkdir()
+
+    def run(name, parts, **how):
+        folder = tmp_path / name
+        folder.mkdir()
+        stream = spark.readStream.schema("k string, pos long").option("maxFilesPerTrigger", 1).json(str(folder))
+        rows = []
+        for i, part in enumerate(parts):
+            (folder / f"{i}.json").write_text("\n".join(json.dumps({"k": "a", "pos": p}) for p in part))
+            folded = follow.streaming_fold(stream, "k", order, **how)
+            q = folded.writeStream.foreachBatch(lambda df, i: rows.extend(df.collect())).outputMode("update").option("checkpointLocation", str(tmp_path / f"c-{name}")).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        return json.loads(rows[-1]["state"])["seen"]
+
+    assert run("late", [[1, 2, 5], [3, 4, 9], [20]], hold=5) == [1, 2, 3, 4, 5, 9]
+    assert run("again", [[1, 2], [2, 3]], repeats=True) == [1, 2, 3]
+    with pytest.raises(Exception, match="came after"):
+        run("lost", [[1, 5], [3]])
 
 
 def test_cards_and_vectors(spark):
     repos = spark.createDataFrame([("0xab", "field-notes", "h1", None, None, "field notes", [1.0], True), ("0xab", "b", "h2", None, None, "b", [2.0], True)], "publisher string, repo string, head string, card_url string, card string, text string, vec array<float>, stale boolean").withColumn("updated", F.current_timestamp())
     fetched = spark.createDataFrame([("0xab", "field-notes", "h1", "u", None), ("0xab", "b", "old", "u", "{}")], "publisher string, repo string, head string, card_url string, card string")
-    rows = {r["repo"]: r for r in maintain.cards_apply(repos, fetched, 1, "0xr").collect()}
+    rows = {r["repo"]: r for r in maintain.cards_apply(repos, fetched, maintain.Network("u:x", "eip155:1", "0xR")).collect()}
     assert not rows["field-notes"]["stale"] and rows["field-notes"]["vec"] == [1.0]  # the same text keeps its vector
     assert rows["b"]["stale"]  # fetched for another head
     records = spark.createDataFrame([(i, f"text {i}") for i in range(5)], "rowseq long, text string")
@@ -167,6 +302,17 @@ def test_cards_and_vectors(spark):
     assert sorted(r["rowseq"] for r in maintain.embed_missing(records, vectors, maintain.HashedWords(8), 2).collect()) == [0, 1, 2]
 
 
+def test_cards_bind(spark):
+    """A card speaks for a repo if the first extension of the network's uri names it, its publisher, the chain and the registry."""
+    network = maintain.Network("u:x", "eip155:1", "0xR")
+    card = lambda **o: json.dumps({"name": "n", "description": 5, "capabilities": {"extensions": [{"uri": "u:other", "params": {}}, {"uri": o.pop("uri", "u:x"), "params": {"publisher": "0xAB", "repo": "r", "chainId": "eip155:1", "dataRegistry": "0xr", **o}}]}})
+    cards = [card(), card(publisher="0xac"), card(repo="R"), card(chainId="eip155:2"), card(dataRegistry="0x"), card(uri="u:y"), "{", None, card(more="x" * 70_000), "[]"]
+    df = spark.createDataFrame([(i, c, "0xab", "r") for i, c in enumerate(cards)], "i int, card string, publisher string, repo string")
+    assert [r["i"] for r in df.where(maintain.card_binds(F.col("card"), F.col("publisher"), F.col("repo"), network)).collect()] == [0]
+    records = spark.createDataFrame([("p", "r", "@card", '{"url": "https://x"}'), ("p", "s", "@card", '{"url": "ftp://x"}'), ("p", "t", "x", '{"url": "https://x"}')], "publisher string, repo string, id string, payload string")
+    assert [tuple(r) for r in maintain.card_urls(records).collect()] == [("p", "r", "https://x")]
+
+
 def test_patterns():
     assert log.repo_names(["a/x", "y", "b/x"]) == ["x", "y"] and log.repo_names(["*"]) is None and log.repo_names(["/r/"]) is None
     assert log.patterns_of(["a/b"], ["p"], ["r"]) == ["a/b"] and log.patterns_of(None, ["p", "q"], ["r"]) == ["p/r", "q/r"] and log.patterns_of(repos=["r"]) == ["r"]
