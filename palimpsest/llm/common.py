@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.operators.numbering import cut, shared_dir
+
 #: The white space that ends a word, as a character class of Java's and Python's regular expressions.
 SPACE = r"[\x20\x09-\x0D]"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -20,24 +21,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only where none is set, as in tests."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, computed once, written to the shared folder and read from there."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
-
-
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The same as a Parquet table, which is smaller than a checkpoint where rows hold texts."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.parquet(path)
 
 
@@ -90,3 +77,6 @@ def shingle_hashes(text: str | None, shingle: int) -> tuple[int, Iterator[np.nda
             yield np.fromiter((xxhash.xxh64_intdigest(joined[a:b], SEED) for a, b in zip(first[at : at + BLOCK].tolist(), last[at : at + BLOCK].tolist(), strict=True)), "<u8")
 
     return n, blocks()
+
+
+__all__ = ["cut", "let", "n_words", "shared_dir", "shingle_hashes", "table", "window_hashes", "word_hashes", "words", "written"]

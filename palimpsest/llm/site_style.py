@@ -12,7 +12,6 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -234,7 +233,7 @@ def parsed(rows: DataFrame) -> DataFrame:
                 numbers: dict[tuple[int, ...], int] = {}
                 told = [(numbers.setdefault(paths, len(numbers)), b) for paths, b in blocks]
                 ancestors = [[(signed(p), *found[p][:2]) for p in paths] for paths in numbers]
-                packed.append(zlib.compress(json.dumps([ancestors, told], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"), 1))
+                packed.append(json.dumps([ancestors, told], ensure_ascii=False, separators=(",", ":")).encode("utf-8", "surrogatepass"))
             items = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in NODE.split(", ")])
             nodes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), items)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in range(5)], pa.array(roots, pa.int64()), pa.array(totals, pa.int64()), pa.array(packed, pa.binary()), nodes], names=schema.names)
@@ -268,7 +267,7 @@ def style_tree(pages: DataFrame, presumed: int = PRESUMED) -> DataFrame:
 
 def kept_text(packed: bytes, odds: dict[int, tuple[float, float, bool]], named: float = NAMED) -> str:
     """The blocks of a page, packed by parsed(), without those in branches of low importance. odds: branch, part and main by path."""
-    ancestors, blocks = json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))
+    ancestors, blocks = json.loads(packed.decode("utf-8", "surrogatepass"))
     keep = []
     for paths in ancestors:
         within, stays = 0.0, True
@@ -286,7 +285,8 @@ def kept_text(packed: bytes, odds: dict[int, tuple[float, float, bool]], named:
 
 def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", presumed: int = PRESUMED, named: float = NAMED, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """key, url, text and n_chars for each row of df. named: weight of what elements say of themselves; 0 leaves it to the entropies."""
-    pages = written(parsed(keyed(df, key, url, page)))
+    # Text is most of what is written, and shrinks by more than half.
+    pages = written(parsed(keyed(df, key, url, page)), "zstd")
     tree = cut(style_tree(pages, presumed))
     odds = F.collect_list(F.struct("path", "branch", "part", "main")).alias("odds")
     if tree.count() <= most_broadcast:
