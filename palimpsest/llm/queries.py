@@ -14,11 +14,11 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.pmod(F.crc32(F.encode(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "UTF-8")), F.lit(5)) == 0
     model = toxicity.train(docs, table(spark, sf_dir, "labels").where(~held_out))
     scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.scores(F.col("text"), model).alias("s"))
-    return scored.select("doc_id", "held_out", "s.score", F.when(F.col("s.score") >= 0.5, 1).otherwise(0).alias("predicted"), F.size("s.offending").alias("n_offending"))
+    return scored.select("doc_id", "held_out", "s.score", F.when(F.col("s.score") >= 0.5, 1).otherwise(0).alias("predicted"), toxicity.listed(F.col("s.offending")).alias("offending"))
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.round_trip(table(spark, sf_dir, "pages")).where("gap IS NULL")
+    found = warc.without_gaps(warc.round_trip(table(spark, sf_dir, "pages")))
     return found.select(
         warc.page_key("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", warc.page_key("refers_to").cast("long").alias("refers_to")
     )
@@ -56,6 +56,8 @@ def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         bottomk.to_hex(F.col("edited_sketch")).alias("edited_fingerprint"),
         bottomk.resemblance(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
         bottomk.resemblance(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        bottomk.containment(F.col("sketch"), F.col("edited_sketch")).alias("contained_in_edited"),
+        bottomk.distinct_shingles(F.col("sketch")).alias("n_shingles"),
     )
 
 

@@ -2,7 +2,7 @@
 
 Features of a sentence are its lower-case words and their first letters. The classifier is fitted on a bounded sample of labelled documents (at most MAX_TOXIC and MAX_CLEAN, chosen by a hash, either kind weighted back to its share); everything is scored.
 
-Null and empty texts have no sentence and score 0, so predicted is 0. Rows that share a key share a label, toxic if any of them is. Without toxic labels all scores are 0. Repeated rows get equal scores; an empty table gives an empty result.
+Null and empty texts have no sentence and score 0, so predicted is 0. Whole texts are scored, however long. Other columns play no part, and a score of exactly one half counts as toxic. Rows that share a key share a label, toxic if any of them is. Without toxic labels all scores are 0. Repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -163,3 +163,8 @@ def scores(text: Column, model: Model) -> Column:
         return pd.DataFrame({"score": [s for s, _ in rows], "offending": [[{"start": a, "end": b, "score": p} for a, b, p in o] for _, o in rows]})
 
     return of(text)
+
+
+def listed(offending: Column) -> Column:
+    """The places of offending sentences as text: start:end (code points, end exclusive), joined by commas."""
+    return F.array_join(F.transform(offending, lambda x: F.concat(x["start"].cast("string"), F.lit(":"), x["end"].cast("string"))), ",")

@@ -121,6 +121,58 @@ def test_salvage(which, place, damage, zipped):
     assert [n for n in names if n in others] == others and None not in names
 
 
+def names_of(data):
+    found = list(warc.salvage(data))
+    assert [r.start for r in found] == [0, *[r.end for r in found[:-1]]] and found[-1].end == len(data)
+    return [(r.get("warc-record-id"), r.suspect) if r.reason is None else r.reason for r in found]
+
+
+def test_salvage_of_members_with_many_records():
+    """An archive compressed as a whole is read like any other; of a damaged one what comes before the damage is kept."""
+    rng = np.random.default_rng(1)
+    parts = [record(i, rng.bytes(3000)) for i in range(8)]
+    each = [(f"<urn:x-page:{i}>", False) for i in range(8)]
+    whole = gzip.compress(b"".join(parts), mtime=0)
+    assert names_of(whole) == each and names_of(gzip.compress(b"".join(parts[:3]), mtime=0) + gzip.compress(b"".join(parts[3:]), mtime=0)) == each
+    cut = bytearray(whole)
+    cut[len(cut) // 2 :] = b""
+    got = names_of(bytes(cut) + gzip.compress(parts[7], mtime=0))
+    assert got[:3] == each[:3] and "member" in got[-2] and got[-1] == each[7]
+    bad = bytearray(b"".join(parts[:4]))
+    bad[len(parts[0]) + 500] ^= 1
+    inner = names_of(gzip.compress(bytes(bad), mtime=0))
+    assert inner == [each[0], "another block digest", each[2], each[3]]
+
+
+def test_salvage_of_records_within_damaged_ones():
+    """A record inside the payload of a damaged one isn't taken for one of the archive's own."""
+    inside, after = record(5, b"inner payload"), record(6, b"after")
+    outer = record(1, b"before " + inside + b" behind")
+    flipped = bytearray(outer)
+    flipped[outer.index(b"before")] ^= 1
+    assert names_of(bytes(flipped) + after) == ["another block digest", ("<urn:x-page:6>", False)]
+    no_end = outer[:-4] + b"xxxx"
+    assert names_of(no_end + after) == ["no end of the record where its length says", ("<urn:x-page:6>", False)]
+    longer = outer.replace(b"Content-Length: %d" % len(outer.partition(b"\r\n\r\n")[2][:-4]), b"Content-Length: %d" % (len(outer) + 100), 1)
+    got = names_of(longer + after * 40)
+    assert got[0].startswith("no end") and got[1] == ("<urn:x-page:5>", True) and got[-1] == ("<urn:x-page:6>", False)
+
+
+def test_archives_by_bytes(spark, tmp_path):
+    """Large and small pages, and a url beyond a megabyte: archives are about as large as wanted, and no page is missing."""
+    rng = np.random.default_rng(2)
+    rows = [(i, "u" * (2_000_000 if i == 3 else 5), rng.bytes(200_000 if i % 10 == 0 else 20).hex()) for i in range(60)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    warc.write_warc(df, str(tmp_path / "w"), archive=500_000)
+    sizes = [f.stat().st_size for f in (tmp_path / "w").glob("part-*")]
+    assert max(sizes) < 900_000 and len(sizes) >= 2
+    got = warc.read_warc(spark, str(tmp_path / "w")).collect()
+    assert len(got) == 60 and all(r["gap"] is None and not r["suspect"] for r in got)
+    same = spark.createDataFrame([(i, "u", "same page " * 30) for i in range(50)], "page_id long, url string, html string")
+    for most in (10, 0):
+        assert warc.deduplicated(same, most_broadcast=most).where("first = 0").count() == 49
+
+
 def test_extraction(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{D}/pages.parquet").collect()}
     for r in queries.op5_extraction(spark, D).collect():
