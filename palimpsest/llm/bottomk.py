@@ -1,6 +1,6 @@
 """Bottom-k sketches of documents: the k smallest hashes of the distinct shingles of a text. Sketches of parts merge into the sketch of the whole, and two sketches estimate resemblance (Jaccard), containment and the number of distinct shingles.
 
-A sketch is an ascending array of at most k longs. A text of fewer words than a shingle has one shingle, all of its words; a text without words has none and an empty sketch; null counts as empty. Two empty sketches resemble each other fully, an empty and another one not at all. Equal texts have equal sketches.
+A sketch is an ascending array of at most k longs. A text of fewer words than a shingle has one shingle, all of its words; a text without words has none and an empty sketch; null counts as empty. Two empty sketches resemble each other fully, an empty and another one not at all. Equal texts have equal sketches; repeated rows stay. Whole texts are hashed, however long. Of rows with one key the next is that with the next larger text. Other columns stay out of it, whatever their names, and an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -1,8 +1,8 @@
 """Sharding by best-fit-decreasing bin packing: indivisible groups, largest first, each enter the open shard with the least room that still holds them.
 
-Groups are the rows of equal text. What is packed one by one is bounded: the groups above a share of the total size (there are at most as many as shares) and the buckets into which a hash deals all smaller groups. Only these units, a few thousand whatever the size of the corpus, are gathered and packed on the driver.
+Groups are the rows of equal text. Either the number of shards is given, and the smallest capacity that needs no more is sought, or the capacity, and there are as many shards as it takes. What is packed one by one is bounded: the groups above a share of the total size (there are at most as many as shares) and the buckets into which a hash deals all smaller groups. Only these units, a few thousand or some dozens for each shard, whatever the size of the corpus, are gathered and packed on the driver.
 
-Null texts form a group of their own with size 1, like empty ones. Repeated rows belong to one group. Empty tables give an empty result. A single group above the capacity gets a shard of its own.
+Null texts form a group of their own with size 1, like empty ones. Repeated rows belong to one group. Groups of one size are taken in the order of their digests, and of shards with the same room the one opened first gets a group. Texts of any length count whole. Other columns play no part. Empty tables give an empty result. A single group above the capacity gets a shard of its own.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut
 
-#: Groups above 1 / LARGE of the total size are packed one by one; smaller ones in one of BUCKETS buckets.
-LARGE = 8192
-BUCKETS = 4096
+#: Small groups are dealt into so many buckets at least, or so many for each shard; groups above half of a bucket's mean size are packed one by one.
+BUCKETS, BUCKETS_A_SHARD = 4096, 16
 #: Parts of a shard in which its rows are numbered.
 PARTS = 512
 
@@ -95,8 +94,8 @@ def into_shards(sizes: list[int], shards: int) -> list[int]:
     return best
 
 
-def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = 8) -> DataFrame:
-    """For each row of df: key, size (UTF-8 bytes and 1), text_crc32, shard and slot, its place in the shard. Shards have nearly equal sizes, and equal texts share one."""
+def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int | None = 8, capacity: int | None = None) -> DataFrame:
+    """For each row of df: key, size (UTF-8 bytes and 1), text_crc32, shard and slot, its place in the shard. Equal texts share a shard. With a number of shards these have nearly equal sizes; with a capacity, which wins, there are as few shards as best-fit decreasing needs."""
     rows = df.select(df[key].alias("key"), F.coalesce(df[text], F.lit("")).alias("text"), df[text].isNull().alias("none"))
     rows = rows.select(
         "key", (F.octet_length("text").cast("long") + 1).alias("size"), F.crc32(F.encode("text", "UTF-8")).alias("text_crc32"), F.when(F.col("none"), "").otherwise(F.sha2("text", 256)).alias("digest")
@@ -104,13 +103,14 @@ def shard(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     rows = cut(rows)
     groups = rows.groupBy("digest").agg(F.sum("size").alias("size"))
     total = rows.agg(F.sum("size")).first()[0] or 0
-    bucket = F.pmod(F.xxhash64("digest"), F.lit(BUCKETS)).cast("int")
-    large = F.col("size") * LARGE > total
+    buckets = max(BUCKETS, BUCKETS_A_SHARD * (ceil(total / capacity) if capacity else shards or 1))
+    bucket = F.pmod(F.xxhash64("digest"), F.lit(buckets)).cast("int")
+    large = F.col("size") * (2 * buckets) > total
     units = groups.groupBy(F.when(large, F.col("digest")).alias("digest"), F.when(~large, bucket).alias("bucket")).agg(F.sum("size").alias("size"))
     packed = sorted(((r["size"], r["digest"] or "", -1 if r["bucket"] is None else r["bucket"], r["digest"] is not None) for r in units.collect()), reverse=True)
-    places = into_shards([p[0] for p in packed], shards)
+    places = best_fit_decreasing([p[0] for p in packed], capacity) if capacity else into_shards([p[0] for p in packed], shards or 1)
     spark = df.sparkSession
-    held = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  at most LARGE or BUCKETS rows
+    held = lambda rows, schema: F.broadcast(spark.createDataFrame(rows, schema))  # noqa: E731  at most 2 * buckets or buckets rows
     alone = held([(p[1], s) for p, s in zip(packed, places, strict=True) if p[3]], "digest string, alone int")
     among = held([(p[2], s) for p, s in zip(packed, places, strict=True) if not p[3]], "bucket int, among int")
     dealt = rows.withColumn("bucket", bucket).join(alone, "digest", "left").join(among, "bucket", "left")

@@ -220,6 +220,16 @@ def test_best_fit_decreasing(sizes, capacity):
     assert sorted(filled.values()) == want
 
 
+def test_sharding_by_capacity(spark, docs):
+    total = sum(len(r["text"].encode()) + 1 for r in docs.values())
+    for capacity in (total // 5, total // 40):
+        filled = collections.Counter()
+        for r in sharding.shard(spark.read.parquet(f"{D}/documents.parquet"), capacity=capacity).collect():
+            filled[r["shard"]] += r["size"]
+        largest = max(len(r["text"].encode()) + 1 for r in docs.values())
+        assert max(filled.values()) <= max(capacity, largest) and len(filled) <= 1.25 * total / capacity + 2
+
+
 def test_sharding_edges(spark):
     rows = sharding.shard(odd(spark)).collect()
     assert len(rows) == len(ODD) and len({r["shard"] for r in rows if r["doc_id"] == 3}) == 1
