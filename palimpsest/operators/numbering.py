@@ -36,3 +36,17 @@ def numbered(df: DataFrame, order: list[str], name: str, first: Column | int = 0
     within = F.row_number().over(Window.partitionBy("__range").orderBy(*order))
     first = F.lit(first) if isinstance(first, int) else first
     return dealt.join(starts, "__range").withColumn(name, (first + F.col("__start") + within - 1).cast("long")).drop("__range", "__start")
+
+
+def running(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with, under each name of sums, the sum of a column over all rows before in the order; rows that tie have an order of their own. Ranges as in numbered()."""
+    dealt = cut(df.repartitionByRange(*order)).withColumn("__range", F.spark_partition_id())
+    totals = dealt.groupBy("__range").agg(*[F.sum(F.col(c).cast("double")).alias(n) for n, c in sums.items()]).orderBy("__range").collect()
+    at, starts = dict.fromkeys(sums, 0.0), []
+    for r in totals:
+        starts.append((r["__range"], *[float(at[n]) for n in sums]))
+        at = {n: at[n] + (r[n] or 0.0) for n in sums}
+    starts = F.broadcast(df.sparkSession.createDataFrame(starts, "__range int, " + ", ".join(f"__{n} double" for n in sums)))
+    before = Window.partitionBy("__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    added = {n: F.col(f"__{n}") + F.coalesce(F.sum(F.col(c).cast("double")).over(before), F.lit(0.0)) for n, c in sums.items()}
+    return dealt.join(starts, "__range").select(*df.columns, *[x.alias(n) for n, x in added.items()])
