@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, n_words
+from palimpsest.operators.numbering import numbered, running
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
@@ -26,19 +27,20 @@ LEVELS = 3
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """A row for each source of sizes (source, size): source_key, source, source_size and target.
 
-    Sources fill like vessels of width weight and volume epochs * size: in the order of size by weight, a source is full if the level at which the rest would stand is above its brim. This table has a row for each source; it alone goes through a single task.
+    Sources fill like vessels of width weight and volume epochs * size: in the order of size by weight, a source is full if the level at which the rest would stand is above its brim. Sources are numbered, and what lies before each is summed, by ranges of their order, so that no task sees them all, however many there are.
     """
     by_source = sizes.groupBy("source_key").agg(F.first("source").alias("source"), F.sum("size").alias("source_size"))
-    turn = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    by_source = by_source.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), turn % len(weights)))
-    everything = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    by_source = by_source.withColumn("brim", epochs * F.col("source_size") / F.col("weight"))
-    before = Window.orderBy("brim", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    full = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0.0))
-    left = F.sum(F.col("source_size")).over(everything) * share - full(epochs * F.col("source_size").cast("double"))
-    by_source = by_source.withColumn("level", F.try_divide(left, F.sum("weight").over(everything) - full("weight")))
-    level = F.min_by(F.when(F.col("brim") > F.col("level"), F.col("level")), F.when(F.col("brim") > F.col("level"), F.struct("brim", "source_key"))).over(everything)
-    target = F.least(epochs * F.col("source_size").cast("double"), F.coalesce(level * F.col("weight"), epochs * F.col("source_size").cast("double")))
+    by_source = numbered(by_source.withColumn("none", F.col("source").isNull()), ["none", "source"], "turn").drop("none")
+    by_source = by_source.withColumn("weight", F.get(F.array(*[F.lit(float(w)) for w in weights]), (F.col("turn") % len(weights)).cast("int"))).drop("turn")
+    volume = epochs * F.col("source_size").cast("double")
+    by_source = cut(by_source.withColumns({"volume": volume, "brim": volume / F.col("weight")}))
+    words, width = by_source.agg(F.sum("source_size"), F.sum("weight")).first()
+    if not words:
+        return by_source.select("source_key", "source", "source_size", F.lit(0.0).alias("target"))
+    before = running(by_source, ["brim", "source_key"], {"full": "volume", "taken": "weight"})
+    level = F.try_divide(F.lit(float(words) * share) - F.col("full"), F.lit(float(width)) - F.col("taken"))
+    first = before.withColumn("level", level).where("brim > level").agg(F.min_by("level", F.struct("brim", "source_key"))).first()[0]
+    target = F.col("volume") if first is None else F.least("volume", F.lit(first) * F.col("weight"))
     return by_source.select("source_key", "source", "source_size", target.alias("target"))
 
 
@@ -104,6 +106,8 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
 def mixed_rows(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The rows of df, each as often as the mix takes it. Rows that share key and source stand or fall together: each is taken as often as the most taken of them."""
-    taken = mix(df, key, text, source, **options).where("epochs_taken > 0").groupBy(F.col(key).alias("__key"), F.col(source).alias("__source")).agg(F.max("epochs_taken").alias("__n"))
-    joined = df.join(taken, df[key].eqNullSafe(taken["__key"]) & df[source].eqNullSafe(taken["__source"]))
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*[df[c] for c in df.columns])
+    taken = mix(df, key, text, source, **options).where("epochs_taken > 0").groupBy(F.col(key).alias("k_"), F.col(source).alias("s_")).agg(F.max("epochs_taken").alias("n_"))
+    joined = df.join(taken, df[key].eqNullSafe(taken["k_"]) & df[source].eqNullSafe(taken["s_"]))
+    # As a struct, so that no name of df's columns is in the way.
+    rows = joined.select(F.struct(*[df[c] for c in df.columns]).alias("row"), taken["n_"].alias("n"))
+    return rows.select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")

@@ -147,7 +147,9 @@ def test_mixing_edges(spark):
     rows = mixing.mix(odd(spark)).collect()
     assert len(rows) == len(ODD) and all(r["epochs_taken"] == 0 for r in rows if r["size"] == 0)
     assert mixing.mix(odd(spark).limit(0)).count() == 0
-    assert mixing.mixed_rows(odd(spark)).columns == odd(spark).columns
+    clashing = odd(spark).withColumns({c: F.lit(c) for c in ("__key", "__source", "__n", "k_", "s_", "n_", "n", "row", "turn", "brim")})
+    assert mixing.mixed_rows(clashing).columns == clashing.columns and mixing.mixed_rows(clashing).where("__n <> '__n' OR n <> 'n'").count() == 0
+    assert mixing.mixed_rows(odd(spark)).count() == mixing.mixed_rows(clashing).count() and mixing.mixed_rows(odd(spark).limit(0)).count() == 0
     assert mixing.mix(spark.createDataFrame([(1, "", "s")], "doc_id long, text string, source string")).first()["target"] == 0
 
 
