@@ -488,6 +488,7 @@ def test_similar_documents_against_brute_force(spark):
 
 @pytest.mark.parametrize("links", [[], [(1, 2), (2, 3), (5, 6), (3, 3)], [(i, i + 1) for i in range(40)], [(0, i) for i in range(30)] + [(29, 99)]])
 def test_components(spark, links):
-    got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     nodes = {x for link in links if link[0] != link[1] for x in link}
-    assert got == reached([x for x in links if x[0] != x[1]], nodes)
+    for most in (10**6, 0):
+        got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), most_broadcast=most).collect()}
+        assert got == reached([x for x in links if x[0] != x[1]], nodes)
