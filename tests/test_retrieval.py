@@ -87,9 +87,9 @@ def test_text_of(spark):
 
 
 def test_repo_text_and_cards(spark):
-    card = json.dumps({"name": "N", "description": "D", "skills": [{"name": "s", "tags": ["x", "y"]}], "capabilities": {"extensions": [{"uri": "u", "params": {"publisher": "0xAB", "repo": "field-notes", "chainId": 1, "registry": "0xR"}}]}})
+    card = json.dumps({"name": "N", "description": "D", "skills": [{"name": "s", "tags": ["x", "y"]}], "capabilities": {"extensions": [{"uri": "u", "params": {"publisher": "0xAB", "repo": "field-notes", "chainId": "eip155:1", "dataRegistry": "0xR"}}]}})
     df = spark.createDataFrame([("0xab", "field-notes", card), ("0xab", "other", card), ("0xab", "field-notes", None)], "publisher string, repo string, card string")
-    rows = df.select(tx.repo_text(F.col("repo"), F.col("card")), maintain.card_binds(F.col("card"), F.col("publisher"), F.col("repo"), 1, "0xr")).collect()
+    rows = df.select(tx.repo_text(F.col("repo"), F.col("card")), maintain.card_binds(F.col("card"), F.col("publisher"), F.col("repo"), maintain.Network("u", "eip155:1", "0xr"))).collect()
     assert [tuple(r) for r in rows] == [("field notes\nN\nD\ns\nx\ny", True), ("other\nN\nD\ns\nx\ny", False), ("field notes", False)]
 
 
@@ -107,6 +107,6 @@ def test_cosine_edges(spark):
     assert [r[0] for r in df.select(vx.cosine(F.col("v"), [1.0, 0.0])).collect()] == [1.0, 0.0, 0.0, None, 1.0]
 
 
-@pytest.mark.parametrize(("k", "want"), [(None, 10), (3.9, 3), (0, 1), (99, 50), ("x", 10)])
+@pytest.mark.parametrize(("k", "want"), [(None, 10), (3.9, 3), (0, 10), (-5, 1), (99, 50), ("x", 10)])
 def test_clamp(k, want):
     assert search.clamp(k) == want
