@@ -93,9 +93,8 @@ def test_quality_of_long_texts(spark):
 
 
 @settings(max_examples=30, deadline=None)
-@given(st.lists(st.sampled_from(["aa", "b", "cc", "*", "\n", "ddd", "aa\n"]), max_size=60))
-def test_repeated_words(words):
-    spark = __import__("pyspark").sql.SparkSession.getActiveSession()
+@given(words=st.lists(st.sampled_from(["aa", "b", "cc", "*", "\n", "ddd", "aa\n"]), max_size=60))
+def test_repeated_words(spark, words):
     text = " ".join(words)
     r = quality.signals(spark.createDataFrame([(text,)], "text string")).first()
     assert base_counts(text)[:5] == (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"])
