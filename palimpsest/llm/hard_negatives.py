@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,10 +83,13 @@ class PivotTable:
 
 
 class Block:
-    def __init__(self, row: tuple, dims: int) -> None:
+    """A row of a batch of blocks; its arrays are views of the batch."""
+
+    def __init__(self, batch: pa.RecordBatch, at: int, dims: int, prefix: str = "") -> None:
+        of = lambda name: batch.column(prefix + name)[at]
         for name, kind in ARRAYS.items():
-            setattr(self, name, np.frombuffer(getattr(row, name), kind))
-        self.block, n = row.block, row.n
+            setattr(self, name, np.frombuffer(of(name).as_buffer(), kind))
+        self.block, n = of("block").as_py(), of("n").as_py()
         self.vectors, self.distances, self.positives = self.vectors.reshape(n, dims), self.distances.reshape(n, -1), self.positives.reshape(n, -1, 2)
 
 
@@ -155,13 +159,13 @@ class Miner:
 
         return run
 
-    def pairs(self, parts: Iterator[pd.DataFrame]) -> Iterator[tuple[Block, Block]]:
-        a = None
-        for pdf in parts:
-            left = pdf[[f"a_{c}" for c in NAMES]].set_axis(NAMES, axis=1)
-            for x, y in zip(left.itertuples(index=False), pdf[NAMES].itertuples(index=False), strict=True):
-                a = a if a and a.block == x.block else Block(x, self.dims)
-                yield a, Block(y, self.dims)
+    def pairs(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, Block]]:
+        for batch in batches:
+            a = None
+            for at in range(batch.num_rows):
+                if a is None or a.block != batch.column("a_block")[at].as_py():
+                    a = Block(batch, at, self.dims, "a_")
+                yield a, Block(batch, at, self.dims)
 
     def survivors(self, a: Block, b: Block, low: np.ndarray, high: np.ndarray, same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
         """Exact scores of a block's anchors with the rows that any of them may want, the places of these rows, and which pairs count: those whose labels are the same, or differ, and whose score may lie between low and high as far as brackets tell."""
@@ -175,10 +179,10 @@ class Miner:
         at = np.flatnonzero(pair.any(axis=0))
         return (products(a.vectors, b.vectors[at]), at, pair[:, at]) if len(at) else None
 
-    def best_positives(self, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best_positives(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """id of an anchor, and key and score of its best rows of the same label, for pairs of blocks. As long as one block of anchors goes on, what it has found rules out more."""
         at, floor = None, np.zeros(0)
-        for a, b in self.pairs(parts):
+        for a, b in self.pairs(batches):
             if a.block != at:
                 at, floor = a.block, np.full(len(a.keys), -np.inf)
             if (left := self.survivors(a, b, floor, np.full(len(a.keys), np.inf), same=True)) is None:
@@ -188,11 +192,11 @@ class Miner:
             full = out.groupby("at")["score"].agg(["size", "min"])
             full = full[full["size"] == self.positives]
             floor[full.index] = np.maximum(floor[full.index], full["min"])
-            yield pd.DataFrame({"id": a.ids[out["at"].to_numpy(np.int64)], "key": out["key"], "score": out["score"]})
+            yield pa.RecordBatch.from_pydict({"id": a.ids[out["at"].to_numpy(np.int64)], "key": out["key"].to_numpy(np.int64), "score": out["score"].to_numpy(np.int64)})
 
-    def best_negatives(self, parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def best_negatives(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """id of an anchor, the place of a positive among its positives, and the best rows of other labels within the shares of the positive's score, for pairs of blocks."""
-        for a, b in self.pairs(parts):
+        for a, b in self.pairs(batches):
             p = a.positives[:, :, 1]
             real, p = p != NONE, np.where(p != NONE, p, 0)
             low, high = np.where(real, self.low * p / 100, np.inf).min(axis=1), np.where(real, self.high * p / 100, -np.inf).max(axis=1)
@@ -202,7 +206,8 @@ class Miner:
             for j in range(self.positives):
                 within = pair & real[:, j : j + 1] & (100 * scores >= self.low * p[:, j : j + 1]) & (100 * scores <= self.high * p[:, j : j + 1])
                 out = [(a.ids[i], j, a.keys[i], a.positives[i, j, 0], p[i, j], b.keys[rows[c]], scores[i, c]) for i, c in best(scores, b.keys[rows], within, self.negatives)]
-                yield pd.DataFrame(out, columns=["id", "place", "anchor", "positive", "positive_score", "negative", "negative_score"])
+                columns = zip(*out, strict=True) if out else [[]] * 7
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)) for c in columns], names=["id", "place", "anchor", "positive", "positive_score", "negative", "negative_score"])
 
 
 def hard_negatives(
@@ -227,22 +232,24 @@ def hard_negatives(
     placed = written(placed)
     blocks = written(placed.repartitionByRange("pivot", "distance", "key").sortWithinPartitions("pivot", "distance", "key").mapInPandas(miner.pack(rows, False), BLOCK))
     mine = placed.where("anchor").drop("anchor", "pivot", "distance")
+    n_anchors = mine.count()
 
     def against(chosen: DataFrame, step, schema: str) -> DataFrame:
-        asked = written(chosen.repartitionByRange("id").mapInPandas(miner.pack(anchors, True), BLOCK))
+        # As many tasks as fill some blocks each.
+        asked = written(chosen.repartition(max(math.ceil(n_anchors / (GROUP * anchors)), 1)).mapInPandas(miner.pack(anchors, True), BLOCK))
         n_blocks, n_asked = blocks.count(), asked.count()
         slices, groups = max(math.ceil(n_blocks / SLICE), min(n_blocks, parts), 1), max(math.ceil(n_asked / GROUP), 1)
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
         deal = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
         left = asked.select(deal(groups).alias("group"), every(slices).alias("slice"), *[F.col(c).alias(f"a_{c}") for c in NAMES])
         right = blocks.select(deal(slices).alias("slice"), every(groups).alias("group"), *NAMES)
-        return left.join(right, ["group", "slice"]).mapInPandas(step, schema)
+        return left.join(right, ["group", "slice"]).mapInArrow(step, schema)
 
     found = written(against(mine, miner.best_positives, "id long, key long, score long"))
     order = [F.desc("score"), "key"]
     found = found.withColumn("place", F.row_number().over(Window.partitionBy("id").orderBy(*order))).where(F.col("place") <= positives)
     chosen = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "key", "score"))), lambda p: F.struct(p["key"].alias("key"), p["score"].alias("score"))).alias("positives"))
-    found = against(mine.join(chosen, "id"), miner.best_negatives, "id long, place int, anchor long, positive long, positive_score long, negative long, negative_score long")
+    found = against(mine.join(chosen, "id"), miner.best_negatives, "id long, place long, anchor long, positive long, positive_score long, negative long, negative_score long")
     rank = F.row_number().over(Window.partitionBy("id", "place").orderBy(F.desc("negative_score"), "negative"))
     found = found.withColumn("rank", rank).where(F.col("rank") <= negatives)
     return found.select(F.col("anchor").alias("anchor_id"), F.col("positive").alias("positive_id"), "rank", F.col("negative").alias("negative_id"), "positive_score", "negative_score")

@@ -193,7 +193,7 @@ def test_periodic_rows(spark):
     runs = {i: [tuple(y) for y in x["runs"]] for i, x in got.items()}
     assert [runs[i] for i in (1, 2, 3, 4)] == [[]] * 4 and runs[5] == [(0, 6, 1)] and runs[6] == runs[None] == [(1, 8, 2)]
     assert got[6]["collapsed"] == "x a b y" and got[4]["collapsed"] == "a a a a a" and got[1]["collapsed"] == ""
-    assert runs[7] == [(0, 27, 3)] and got[7]["collapsed"] == "a b\u00a0c"
+    assert runs[7] == [(0, 18, 2)] and got[7]["collapsed"] == "a b\u00a0c"
     assert runs[8] == [(40_000, 30_000, 1)] and got[8]["n_words"] == 70_000
     assert runs[9] == [(0, 6, 1), (6, 6, 1)] and tuple(got[9]["strongest"]) == (0, 6, 1)
     assert got[1]["strongest"] is None and got[1]["runs_sha256"] == hashlib.sha256().hexdigest() and got[6]["runs_sha256"] == hashlib.sha256(b"1,8,2\n").hexdigest()
