@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; a temporary one only on a single machine where none is set, as in tests."""
+    """The folder that driver and executors share, the application's own below spark.checkpoint.dir; a temporary one only on a single machine where none is set, as in tests. It goes when the application ends, and intermediate tables with it."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and context.master.split("[")[0] != "local":
             raise RuntimeError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(context.getCheckpointDir())
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
     return context.getCheckpointDir()
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
 from palimpsest.model import KEY, REPO, ZERO_HEAD, table
 from palimpsest.operators import fold, gate, lexical, log, maintain, ranking, search, upsert
-from palimpsest.operators.numbering import numbered
+from palimpsest.operators.numbering import numbered, shared_dir
 from palimpsest.sources import store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -528,6 +529,35 @@ def fts_backfill(s, d):
     return upsert.backfill(old.drop("rowseq"), new)
 
 
+# Snapshots
+
+
+def _saved(s, d) -> store.SnapshotStore:
+    """A store whose records are those of the middle of the log, with what changed until three quarters and until the end behind it."""
+    c, kept = model.changes(s, d), store.SnapshotStore(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}")
+    points = [half_of(s, d), half_of(s, d) + half_of(s, d) // 2, end_of(s, d)]
+    kept.save(store.Stitch("", points[0], ["*"]), {"records": numbered(log.state_at(c, points[0]), KEY, "rowseq")})
+    for before, after in zip(points, points[1:], strict=False):
+        moved = log.diff_since(c, before, after, kept.table("records")).join(log.state_at(c, after).drop("cid"), KEY, "left")
+        kept.save(store.Stitch("", after, ["*"]), {"records": upsert.delta(kept.table("records"), moved)})
+    return kept
+
+
+@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid, type, payload FROM {state_sql(END)}")
+def snapshot_merged(s, d):
+    """Records read through two deltas."""
+    return _saved(s, d).table("records").select(*KEY, "cid", "type", "payload")
+
+
+@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid, type, payload FROM {state_sql(END)}")
+def snapshot_compacted(s, d):
+    """The same after the deltas became one, and that one part of the whole."""
+    kept = _saved(s, d)
+    kept.compact("records", most=1, share=float("inf"))
+    kept.compact("records", share=0)
+    return kept.table("records").select(*KEY, "cid", "type", "payload")
+
+
 # Folds
 
 FOLD = "SELECT user_id, list_reduce(list_prepend(7::BIGINT, list(CAST(length(event_type) AS BIGINT) ORDER BY event_id)), lambda a, x: (a * 31 + x) % 1000003) AS state FROM events WHERE {} GROUP BY user_id"

@@ -290,7 +290,7 @@ def pinned(index: Index, payload: dict, names: list[str], publisher: str, repo:
 
 
 class Quota:
-    """How much was published on each day, by all together, in a store's meta."""
+    """How much was published on each day, by all together, in a store's meta, where it outlives updates. A place is taken before the commit, so that writers at the same time can't take more than there are, and given back if it fails."""
 
     def __init__(self, store: Any) -> None:
         self.store = store
@@ -298,8 +298,12 @@ class Quota:
     def used(self, day: str) -> int:
         return int(self.store.get_meta(f"published:{day}", 0))
 
-    def count(self, day: str) -> None:
-        self.store.set_meta(f"published:{day}", self.used(day) + 1)
+    def take(self, day: str, most: int) -> bool:
+        """Whether there was a place left."""
+        return self.store.change_meta(f"published:{day}", lambda n: n + 1 if n < most else None, 0) is not None
+
+    def give_back(self, day: str) -> None:
+        self.store.change_meta(f"published:{day}", lambda n: max(n - 1, 0), 0)
 
 
 def publish(
@@ -339,9 +343,14 @@ def publish(
     if reason:
         raise Refused(422, reason)
     entry = {"publisher": publisher, "repo": repo, "day": day, **record}
+    if not quota.take(day, config.publish_per_day):
+        raise Refused(429, "the day's quota is used up")
     if commit:
-        commit(entry)
-    quota.count(day)
+        try:
+            commit(entry)
+        except BaseException:
+            quota.give_back(day)
+            raise
     return entry
 
 

@@ -12,21 +12,33 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from palimpsest.model import REPO
 from palimpsest.operators.log import heads_diff, matches, root, stitch
-from palimpsest.sources.store import SnapshotStore, Stitch
-
-
-def update(log: DataFrame, patterns: list[str], store: Any, lens: Callable[[DataFrame], dict[str, DataFrame] | None]) -> str:
-    """One update step: fold the log behind the saved stitch into heads, and if their root moved let the lens apply the moved heads, then save its tables together with the stitch. A crash before the save repeats the step, so a lens must bear being applied twice."""
-    saved = store.load(patterns)
-    was = store.table("heads") if saved else None
-    last = log.agg(F.max("t")).first()[0] or 0
-    heads = stitch(log, patterns, last, (was, saved.t) if saved and was is not None else None)
-    now = root(heads).first()["root"]
-    if saved is None or now != saved.root:
-        empty = heads.where(F.lit(False)) if was is None else was
-        tables = lens(heads_diff(heads, empty)) or {}
-        store.save(Stitch(now, last, patterns), {"heads": heads, **tables})
+from palimpsest.sources.store import Conflict, Delta, SnapshotStore, Stitch
+
+
+def update(log: DataFrame, patterns: list[str], store: Any, lens: Callable[[DataFrame], dict[str, DataFrame | Delta] | None], tries: int = 3) -> str:
+    """One update step: fold the log behind the saved stitch into heads, and if their root moved let the lens apply the moved heads, then save what it gives, tables or deltas, together with the stitch. Of the heads only those that moved are written. A crash before the save repeats the step, and so does another writer who saves meanwhile, so a lens must bear being applied twice."""
+    for left in reversed(range(tries)):
+        version = store.version
+        saved = store.load(patterns)
+        was = store.table("heads") if saved else None
+        last = log.agg(F.max("t")).first()[0] or 0
+        heads = stitch(log, patterns, last, (was, saved.t) if saved and was is not None else None)
+        now = root(heads).first()["root"]
+        if saved is not None and now == saved.root:
+            return now
+        moved = heads_diff(heads, heads.where(F.lit(False)) if was is None else was)
+        tables = lens(moved) or {}
+        fresh = heads.join(moved.select(*REPO), REPO, "left_semi")
+        try:
+            store.save(Stitch(now, last, patterns), {"heads": Delta(REPO, fresh) if was is not None else heads, **tables}, version)
+            break
+        except Conflict:
+            if not left:
+                raise
+    for name in ("heads", *tables):
+        store.compact(name)
     return now
 
 

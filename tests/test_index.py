@@ -115,12 +115,12 @@ def test_pointer_survives_a_crash(spark, tmp_path, monkeypatch):
     """Whatever step of replacing the pointer fails, the state before is there, and the next save works."""
     store = SnapshotStore(spark, str(tmp_path / "s"))
     store.save(Stitch("r1", 1, ["*"]), {"records": spark.range(3), "verdicts": spark.range(7)})
-    for step in ("put", "replace"):
+    for whose, step in ((Files, "put"), (Files, "_write"), (SnapshotStore, "_write"), (SnapshotStore, "_commit")):
         def crash(*_):
             raise OSError("lost")
 
         with monkeypatch.context() as m:
-            m.setattr(Files, step, crash)
+            m.setattr(whose, step, crash)
             with pytest.raises(OSError):
                 store.save(Stitch("r2", 2, ["*"]), {"records": spark.range(5)})
         assert store.load().root == "r1" and store.table("records").count() == 3

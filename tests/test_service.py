@@ -114,7 +114,7 @@ def test_update_pipeline(spark):
     config = s.Config(repos=["shop"])
 
     def stitch():
-        store.save(Stitch("root", 2, ["shop"], meta=store.held[0].meta if store.held else {}), {})
+        store.save(Stitch("root", 2, ["shop"]), {})
         return "root"
 
     store.save(Stitch("", 0, ["shop"]), {})
