@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.text import fts_text
 from palimpsest.functions.vectors import cosine
+from palimpsest.operators.fulltext import Kept
 from palimpsest.operators.lexical import bm25, bm25_of
 from palimpsest.operators.ranking import RRF_K, fuse, ranked, top
 
@@ -41,25 +42,31 @@ def filters(publisher: list[str] | None = None, repo: list[str] | None = None, t
 
 def search(
     records: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, k: int = 10, mode: str = "hybrid", where: Column | None = None, allowed: DataFrame | None = None, rrf_score: bool = True, payload_text: bool = False,
-    pool: int | None = None, index: tuple[DataFrame, DataFrame] | None = None,
+    pool: int | None = None, index: Kept | tuple[DataFrame, DataFrame] | None = None,
 ) -> DataFrame:
     """publisher, repo, id, cid, type, payload, score and place of the k best hits.
 
-    records: with rowseq; vectors: rowseq and vec. where: an exact filter; allowed: rowseqs that a gate lets in. Both come before ranks, but not before the statistics of full text. rrf_score: scores of a single list are 1 / (60 + rank) too; else the cosine or BM25 score itself. payload_text: full text reads the payload's text first. pool: how many of each list are fused; at least k and 50 unless it is given. index: postings and lengths, so that no text is read.
+    records: with rowseq; vectors: rowseq and vec. where: an exact filter; allowed: rowseqs that a gate lets in. Both come before ranks, but not before the statistics of full text. rrf_score: scores of a single list are 1 / (60 + rank) too; else the cosine or BM25 score itself. payload_text: full text reads the payload's text first. pool: how many of each list are fused; at least k and 50 unless it is given. index: a kept full-text index, or postings and lengths, so that no text is read.
+
+    Vectors and full text are of the records that there are: only a filter or a gate joins them with records. The k best are known before records are read, so that all else is left out of the scan.
     """
     mode = mode if mode in ("semantic", "lexical") else "hybrid"
     kept = records if where is None else records.where(where)
     if allowed is not None:
         kept = kept.join(allowed, "rowseq", "left_semi")
-    keys, pool = kept.select("rowseq"), pool or max(k, POOL)
+    keys, pool = None if where is None and allowed is None else kept.select("rowseq"), pool or max(k, POOL)
+    among = lambda df: df if keys is None else df.join(keys, "rowseq", "left_semi")
     lists = []
     if mode != "lexical" and vectors is not None and vector is not None:
-        scored = vectors.join(keys, "rowseq", "left_semi").where("vec IS NOT NULL").select("rowseq", cosine(F.col("vec"), vector).alias("score"))
+        scored = among(vectors.where("vec IS NOT NULL")).select("rowseq", cosine(F.col("vec"), vector).alias("score"))
         lists.append(ranked(top(scored, pool, "rowseq"), "rowseq"))
     if mode != "semantic":
-        corpus = records.withColumn("text", fts_text(F.col("payload"), F.col("text"))) if payload_text else records
-        scored = (bm25(corpus, ["rowseq"], query) if index is None else bm25_of(*index, query)).join(keys, "rowseq", "left_semi")
-        lists.append(ranked(top(scored, pool, "rowseq"), "rowseq"))
+        if isinstance(index, Kept):
+            found = index.top(query, pool, keys)
+        else:
+            corpus = records.withColumn("text", fts_text(F.col("payload"), F.col("text"))) if payload_text else records
+            found = top(among(bm25(corpus, ["rowseq"], query) if index is None else bm25_of(*index, query)), pool, "rowseq")
+        lists.append(ranked(found, "rowseq"))
     if len(lists) == 2:
         best = fuse(lists[0], lists[1], "rowseq", k)
     elif lists:
@@ -69,12 +76,14 @@ def search(
     else:
         return kept.where(F.lit(False)).select("publisher", "repo", "id", "cid", "type", "payload", F.lit(0.0).alias("score"), F.lit(0).alias("place"))
     best = best.withColumn("place", ranked_place())
-    # Only the k best are looked up; k is at most a hundred or so.
-    return kept.join(F.broadcast(best.select("rowseq", "score", "place")), "rowseq").select("publisher", "repo", "id", "cid", "type", "payload", "score", "place").orderBy("place")
+    # At most k rows, which name those to look up.
+    found = best.select("rowseq", "score", "place").collect()
+    named = records.sparkSession.createDataFrame(found, best.select("rowseq", "score", "place").schema)
+    return kept.where(F.col("rowseq").isin([r["rowseq"] for r in found])).join(F.broadcast(named), "rowseq").select("publisher", "repo", "id", "cid", "type", "payload", "score", "place").orderBy("place")
 
 
 def search_by_vector(
-    records: DataFrame, vectors: DataFrame, vector: list[float], k: int = 10, mode: str = "semantic", keywords: str = "", type: str | None = None, allowed: DataFrame | None = None, index: tuple[DataFrame, DataFrame] | None = None
+    records: DataFrame, vectors: DataFrame, vector: list[float], k: int = 10, mode: str = "semantic", keywords: str = "", type: str | None = None, allowed: DataFrame | None = None, index: Kept | tuple[DataFrame, DataFrame] | None = None
 ) -> DataFrame:
     """search() as a server has it: by a vector, with keywords beside it. A single list has its own scores, cosine or BM25, and as many candidates as results; full text reads the payload's text first."""
     mode = mode if mode in ("lexical", "hybrid") else "semantic"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from collections.abc import Callable
@@ -13,7 +14,7 @@ from palimpsest import model
 from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
 from palimpsest.model import KEY, REPO, ZERO_HEAD, table
-from palimpsest.operators import fold, gate, lexical, log, maintain, ranking, search, upsert
+from palimpsest.operators import fold, fulltext, gate, lexical, log, maintain, ranking, search, upsert
 from palimpsest.operators.numbering import numbered, shared_dir
 from palimpsest.sources import store
 
@@ -75,6 +76,16 @@ def checker() -> Column:
 # Retrieval
 
 
+def kept_index(s: SparkSession, d: str) -> fulltext.Kept:
+    """The full-text index of the records, kept in the shared folder: built when it is first asked for, and anew when the files have changed."""
+    files = store.Files(s, f"{d}/documents.parquet")
+    listed = sorted(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}" for f in files.fs.listStatus(files.path("")))
+    kept = store.SnapshotStore(s, f"{shared_dir(s)}/fulltext-{hashlib.sha256(' '.join(listed).encode()).hexdigest()[:32]}")
+    if kept.load() is None:
+        kept.save(store.Stitch("", 0, ["*"]), fulltext.built(model.records(s, d)))
+    return fulltext.Kept(kept.table)
+
+
 @query(f"WITH {SEMANTIC} SELECT rowseq, round(score, 6) AS score FROM sem0 ORDER BY round(score, 9) DESC, rowseq LIMIT 20")
 def semantic_topk(s, d):
     return ranking.top(scored(s, d), 20, "rowseq").select("rowseq", F.round("score", 6).alias("score"))
@@ -120,9 +131,34 @@ def bm25_corpus_stats(s, d):
 
 @query(f"WITH {TOKENS}, {bm25_sql([['moron'], ['scum']])} SELECT rowseq, round(score, 6) AS score FROM lex0 ORDER BY round(score, 9) DESC, rowseq LIMIT 20")
 def bm25_topk(s, d):
+    """From a kept index, without reading ranges that can't hold a hit."""
+    return kept_index(s, d).top("moron scum", 20).select("rowseq", F.round("score", 6).alias("score"))
+
+
+@query(SQL["bm25_topk"])
+def bm25_scanned(s, d):
+    """The same by a scan of all texts."""
     return ranking.top(lexical.bm25(model.records(s, d), ["rowseq"], "moron scum"), 20, "rowseq").select("rowseq", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {TOKENS}, {bm25_sql([['the'], ['of'], ['moron']])} SELECT rowseq, round(score, 6) AS score FROM lex0 ORDER BY round(score, 9) DESC, rowseq LIMIT 20")
+def bm25_updated(s, d):
+    """From an index over older texts of a part of the records, after an update that changes them, brings the others, and deletes what was never there now; two segments of it are one before the last."""
+    r = model.records(s, d).select("rowseq", "text")
+    kept = store.SnapshotStore(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}")
+    middle = r.agg(F.max("rowseq")).first()[0] // 2
+    older = F.when(F.length("text") % 2 == 0, F.concat(F.lit("moron of "), F.substring("text", 1, 50))).otherwise(F.col("text"))
+    old = r.where(F.col("rowseq") <= middle).withColumn("text", older).unionByName(r.where(F.col("rowseq") <= middle).withColumn("rowseq", F.col("rowseq") + 10_000_000))
+    stitch = store.Stitch("", 0, ["*"])
+    kept.save(stitch, fulltext.built(old))
+    kept.save(stitch, fulltext.renewed(kept.table, old.where(F.col("rowseq") > 10_000_000), r.where(F.col("rowseq") > middle)))
+    kept.save(stitch, fulltext.merged(kept.table))
+    changed = r.where((F.col("rowseq") <= middle) & (F.length("text") % 2 == 0))
+    left = old.where("rowseq = 10000000").unionByName(old.join(changed.select("rowseq"), "rowseq", "left_semi"))
+    kept.save(stitch, fulltext.renewed(kept.table, left, changed))
+    return fulltext.Kept(kept.table).top("the of moron", 20).select("rowseq", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {TOKENS}, {bm25_sql([['of', 'the'], ['moron']])} SELECT rowseq, round(score, 6) AS score FROM lex0 ORDER BY round(score, 9) DESC, rowseq LIMIT 20")
 def bm25_phrase(s, d):
     return ranking.top(lexical.bm25(model.records(s, d), ["rowseq"], "of-the moron"), 20, "rowseq").select("rowseq", F.round("score", 6).alias("score"))
@@ -180,13 +216,13 @@ def hits(df: DataFrame) -> DataFrame:
 
 @query(hybrid_sql("SELECT rowseq FROM records"))
 def hybrid_search(s, d):
-    return hits(search.search(model.records(s, d), vectors(s, d), QUERY, vector(s, d)))
+    return hits(search.search(model.records(s, d), vectors(s, d), QUERY, vector(s, d), index=kept_index(s, d)))
 
 
 @query(hybrid_sql("SELECT r.rowseq FROM records r JOIN verdicts v ON r.publisher = v.publisher AND r.repo = v.repo AND r.id = v.id AND r.cid = v.cid AND 'check-' || r.type = v.checker AND v.reason IS NULL"))
 def hybrid_search_gated(s, d):
     r = model.records(s, d)
-    return hits(search.search(r, vectors(s, d), QUERY, vector(s, d), allowed=gate.allowed(r, model.verdicts(s, d), checker()).select("rowseq")))
+    return hits(search.search(r, vectors(s, d), QUERY, vector(s, d), allowed=gate.allowed(r, model.verdicts(s, d), checker()).select("rowseq"), index=kept_index(s, d)))
 
 
 @query(hybrid_sql("SELECT rowseq FROM records WHERE repo IN ('en', 'de') AND type = 'page'"))
@@ -198,8 +234,7 @@ def hybrid_search_filtered(s, d):
 def search_d1_hybrid(s, d):
     """Both lists fused, behind a gate, from postings."""
     r = model.records(s, d)
-    index = lexical.postings(r), lexical.lengths(r)
-    return hits(search.search_by_vector(r, vectors(s, d), vector(s, d), mode="hybrid", keywords=QUERY, allowed=gate.allowed(r, model.verdicts(s, d), checker()).select("rowseq"), index=index))
+    return hits(search.search_by_vector(r, vectors(s, d), vector(s, d), mode="hybrid", keywords=QUERY, allowed=gate.allowed(r, model.verdicts(s, d), checker()).select("rowseq"), index=kept_index(s, d)))
 
 
 @query(f"WITH {SEMANTIC} SELECT rowseq, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, rowseq) AS INTEGER) AS place, round(1.0::DOUBLE / (60 + row_number() OVER (ORDER BY round(score, 9) DESC, rowseq)), 9) AS score FROM sem0 WHERE rowseq IN (SELECT doc_id FROM documents) QUALIFY place <= 10")

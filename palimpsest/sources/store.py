@@ -45,7 +45,7 @@ class Stitch:
 
 @dataclass
 class Delta:
-    """What changes in a table: rows to put in place of those with the same key, and keys to delete. No key comes twice. Where a key is in both, its row counts."""
+    """What changes in a table: rows to put in place of those with the same key, and keys to delete. No key comes twice. Where a key is in both, its row counts. Without a key, rows are put behind those that are there."""
 
     key: list[str]
     puts: DataFrame | None = None
@@ -72,6 +72,8 @@ def newest(deltas: list[DataFrame], key: list[str]) -> DataFrame:
     """The last row for each key of deltas, oldest first."""
     if len(deltas) == 1:
         return deltas[0]
+    if not key:
+        return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), deltas)
     every = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [d.withColumn("__n", F.lit(n)) for n, d in enumerate(deltas)])
     rest = [c for c in every.columns if c not in (*key, "__n")]
     return every.groupBy(*key).agg(F.max_by(F.struct(*rest), "__n").alias("__row")).select(*key, "__row.*")
@@ -83,7 +85,9 @@ def merged(whole: DataFrame | None, deltas: list[DataFrame], key: list[str]) ->
         return whole
     last = newest(deltas, key)
     live = last.where(~F.col("__gone")).drop("__gone")
-    return live if whole is None else without(whole, last, key).unionByName(live, allowMissingColumns=True)
+    if whole is None:
+        return live
+    return (without(whole, last, key) if key else whole).unionByName(live, allowMissingColumns=True)
 
 
 class Files:
