@@ -7,7 +7,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.model import KEY, REPO
@@ -74,9 +74,11 @@ def first_claims(rows: DataFrame, slot: str, by: str = "publisher", order: str =
     return rows.groupBy(slot).agg(F.min_by(by, order).alias("owner"), F.count("*").alias("claims"))
 
 
-def metering(rows: DataFrame, amount: str, payer: str) -> DataFrame:
-    """Sums of a range of the log: number, total, distinct payers."""
-    return rows.agg(F.count("*").alias("n"), F.sum(amount).alias("total"), F.countDistinct(payer).alias("payers"))
+def metering(rows: DataFrame, amount: str, payer: str, payload: str | None = None, failed: Column | None = None, by: list[str] | None = None) -> DataFrame:
+    """Sums of a range of the log, whole or by columns: number, total, distinct payers, bytes of payloads, and how many failed."""
+    more = [] if payload is None else [F.sum(F.octet_length(payload)).alias("bytes")]
+    more += [] if failed is None else [F.count_if(failed).alias("reverted")]
+    return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum(amount).alias("total"), F.countDistinct(payer).alias("payers"), *more)
 
 
 def state_hash(state: object) -> str:
@@ -85,54 +87,25 @@ def state_hash(state: object) -> str:
 
 
 def claims(state: dict | None, event: dict) -> dict:
-    """A reducer: a commit of one put, whose payload names a slot that is free, owns the slot; any other commit is rejected as a whole."""
+    """A reducer: a commit of one put, whose payload names a slot that is free, owns the slot; any other commit is rejected as a whole. The state is changed in place, so that a fold of n commits costs n steps."""
     state = state or {"owner": {}, "rejected": 0, "commits": 0}
     slot = json.loads(event["puts"][0]["payload"]).get("slot") if len(event["puts"]) == 1 and not event["deletes"] else None
-    free = slot is not None and slot not in state["owner"]
-    return {
-        "owner": {**state["owner"], slot: event["publisher"]} if free else state["owner"],
-        "rejected": state["rejected"] + (not free),
-        "commits": state["commits"] + 1,
-    }
-
-
-def territory(size: int = 6, per_commit: int = 1, alternate: bool = True) -> Callable[[dict | None, dict], dict]:
-    """A reducer for a board game over the log, with the rules as parameters: players take cells beside their own. A commit that breaks a rule is rejected as a whole, with the reason, and changes nothing else; one without changes joins."""
-
-    def broken(state: dict, board: dict, moves: set, event: dict) -> str | None:
-        """Why a commit can't stand, or None; fills in its moves meanwhile."""
-        player = event["publisher"]
-        if event["deletes"]:
-            return "a past move is deleted"
-        if len(event["puts"]) > per_commit:
-            return f"{len(event['puts'])} moves at once"
-        for put in event["puts"]:
-            name, cell = f"{player}/{put['id']}", json.loads(put["payload"]).get("cell") or [None, None]
-            if name in moves:
-                return "a past move is rewritten"
-            if not all(isinstance(c, int) and 0 <= c < size for c in cell):
-                return "the cell is off the board"
-            x, y = cell
-            if f"{x},{y}" in board:
-                return f"{x},{y} is taken"
-            beside = {f"{x + 1},{y}", f"{x - 1},{y}", f"{x},{y + 1}", f"{x},{y - 1}"}
-            if player in board.values() and not any(board.get(c) == player for c in beside):
-                return f"{x},{y} is not beside the player's own"
-            board[f"{x},{y}"] = player
-            moves.add(name)
-        return "two turns in a row" if alternate and state["last"] == player else None
-
-    def step(state: dict | None, event: dict) -> dict:
-        state = state or {"board": {}, "last": None, "seen": [], "moves": 0, "players": [], "rejected": []}
-        if not event["puts"] and not event["deletes"]:
-            return {**state, "players": list(dict.fromkeys([*state["players"], event["publisher"]]))}
-        board, moves = dict(state["board"]), set(state["seen"])
-        why = broken(state, board, moves, event)
-        if why:
-            return {**state, "rejected": [*state["rejected"], {"player": event["publisher"], "pos": event["pos"], "why": why}]}
-        return {**state, "board": board, "last": event["publisher"], "seen": sorted(moves), "moves": state["moves"] + len(event["puts"])}
-
-    return step
+    if slot is None or slot in state["owner"]:
+        state["rejected"] += 1
+    else:
+        state["owner"][slot] = event["publisher"]
+    state["commits"] += 1
+    return state
+
+
+def fold_several(rows: DataFrame, key: list[str], reducers: dict[str, Callable[[dict, dict], dict]], state_json: Callable[[dict], str] = json.dumps, order: str = "pos") -> DataFrame:
+    """key and a column for each reducer: several folds over one pass of the events, which are dealt and sorted once. So rules are compared without folding the log for each of them."""
+
+    def every(state: dict, event: dict) -> dict:
+        return {n: r(state.get(n, {}), event) for n, r in reducers.items()}
+
+    both = fold_groups(rows, key, every, lambda s: json.dumps({n: state_json(x) for n, x in s.items()}), order)
+    return both.select(*key, *[F.get_json_object("state", f"$.{n}").alias(n) for n in reducers])
 
 
 def owners(log: DataFrame, changes: DataFrame, path: str = "$.slot") -> DataFrame:

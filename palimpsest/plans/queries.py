@@ -17,6 +17,7 @@ from palimpsest.model import KEY, REPO, ZERO_HEAD, table
 from palimpsest.operators import fold, fulltext, gate, lexical, log, maintain, ranking, search, upsert
 from palimpsest.operators.numbering import numbered, shared_dir
 from palimpsest.sources import store
+from palimpsest.streaming import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -388,11 +389,11 @@ def daily_quota(s, d):
     return maintain.daily(model.update_log(s, d))
 
 
-@query("SELECT count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS payers FROM events WHERE event_id // 100 BETWEEN 1 AND (SELECT max(event_id) // 100 - 1 FROM events)")
+@query("SELECT event_id // 100 AS t, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS payers, sum(strlen(props)) AS bytes, count(*) FILTER (event_type = 'error') AS reverted FROM events GROUP BY ALL")
 def metering(s, d):
-    """A bill for all whole blocks but the first and the last."""
+    """A bill for each block."""
     e = table(s, d, "events").withColumn("t", F.floor(F.col("event_id") / 100))
-    return fold.metering(log.log_range(e, 1, end_of(s, d) // 100 - 1), "value", "user_id").withColumn("total", F.round("total", 4))
+    return fold.metering(e, "value", "user_id", "props", F.col("event_type") == "error", ["t"]).withColumn("total", F.round("total", 4))
 
 
 # Log and stitches. Where a query has an earlier point, it is the middle of the log, whatever its length; END is its end.
@@ -636,6 +637,20 @@ def fold_python(s, d):
     return found.select("user_id", F.get_json_object("state", "$.s").cast("long").alias("state"))
 
 
+@query(FOLD.format("TRUE"))
+def fold_stream(s, d):
+    """The same by a stream over the events, which wait for those that come late; the last of each user are folded once it is quiet."""
+
+    def reduce(state: dict, event: dict) -> dict:
+        return {"s": (state.get("s", 7) * 31 + len(event["event_type"])) % 1000003}
+
+    files = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    stream = files.select("user_id", F.col("event_id").alias("pos"), "event_type", "ts")
+    work = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
+    last = follow.drained(follow.streaming_fold(stream, "user_id", reduce, hold=200, quiet=1000), "user_id", f"{work}/said", f"{work}/state")
+    return last.select("user_id", F.get_json_object("state", "$.s").cast("long").alias("state"))
+
+
 COMMITS = f"WITH {CHANGES}, w AS (SELECT *, lag(cid) OVER (PARTITION BY publisher, repo, id ORDER BY pos) AS was FROM changes)"
 
 

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
+from pyspark.sql.types import DataType, IntegralType, StructType
 
 from palimpsest.model import REPO
 from palimpsest.operators.log import heads_diff, matches, root, stitch
@@ -49,29 +52,111 @@ def follow(spark: SparkSession, path: str, schema: str, patterns: list[str], on_
     return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
-def streaming_fold(events: DataFrame, key: str, reduce: Callable[[dict, dict], dict], hold: int = 0, repeats: bool = False) -> DataFrame:
-    """key, pos and state (JSON): the fold of each key so far, whenever it moves; the state is in Spark's state store.
-
-    Events of a micro-batch are put in order of pos. hold: events wait until one that is so many positions later has come, so that those that come late by less are put in order too. An event at or before what is folded is never dropped in silence: it is an error, or, if the source is known to repeat events (repeats), taken for a repeat.
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def plain(value: Any, kind: DataType) -> Any:
+    """A value as Python has it: what comes from a batch and what waited in the state are the same to a reducer. Whole numbers beside nulls come as floats."""
+    if value is None or value is pd.NaT or isinstance(value, float) and value != value:
+        return None
+    if isinstance(kind, IntegralType):
+        return int(value)
+    if isinstance(value, pd.Timestamp):
+        return value.to_pydatetime()
+    if isinstance(value, np.ndarray):
+        return [plain(x, kind.elementType) for x in value]
+    return value.item() if hasattr(value, "item") else value
+
+
+class Folding(StatefulProcessor):
+    """The fold of one key: its state and position as a value, events that wait as a list with the types of the events, and a timer that ends the wait."""
+
+    def __init__(self, schema: StructType, reduce: Callable[[dict, dict], dict], hold: int, repeats: bool, quiet: int | None) -> None:
+        self.schema, self.reduce, self.hold, self.repeats, self.quiet = schema, reduce, hold, repeats, quiet
+        self.names, self.pos, self.kinds = schema.names, schema.names.index("pos"), [f.dataType for f in schema.fields]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.folded = handle.getValueState("folded", "state string, pos long")
+        self.waiting = handle.getListState("waiting", self.schema)
+
+    def _plain(self, event: Any) -> tuple:
+        return tuple(plain(x, k) for x, k in zip(event, self.kinds, strict=True))
+
+    def _fold(self, key: tuple, events: list[tuple], ripe: float, state: dict, pos: int) -> Iterator[pd.DataFrame]:
+        left = [e for e in events if e[self.pos] > ripe]
+        for e in events:
+            if e[self.pos] <= ripe:
+                state, pos = self.reduce(state, dict(zip(self.names, e, strict=True))), e[self.pos]
+        said = json.dumps(state, sort_keys=True)
+        self.folded.update((said, pos))
+        if left:
+            self.waiting.put(left)
+        else:
+            self.waiting.clear()
+        yield pd.DataFrame([(key[0], pos, said, len(left))], columns=["key", "pos", "state", "waiting"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        state, pos = (json.loads(self.folded.get()[0]), self.folded.get()[1]) if self.folded.exists() else ({}, -1)
+        new = [self._plain(e) for part in rows for e in part[self.names].itertuples(index=False, name=None)]
+        late = [e[self.pos] for e in new if e[self.pos] <= pos]
+        if late and not self.repeats:
+            raise ValueError(f"position {min(late)} of {key[0]} came after {pos} was folded")
+        old = [self._plain(e) for e in self.waiting.get()] if self.waiting.exists() else []
+        events = sorted({e[self.pos]: e for e in [*old, *[e for e in new if e[self.pos] > pos]]}.values(), key=lambda e: e[self.pos])
+        if self.quiet is not None:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.quiet)
+        yield from self._fold(key, events, events[-1][self.pos] - self.hold if events else pos, state, pos)
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        """The key has been quiet: what waits is folded."""
+        if self.waiting.exists():
+            held = self.folded.get()
+            events = [self._plain(e) for e in self.waiting.get()]
+            yield from self._fold(key, events, float("inf"), json.loads(held[0]), held[1])
+
+    def close(self) -> None:
+        pass
+
+
+def streaming_fold(events: DataFrame, key: str, reduce: Callable[[dict, dict], dict], hold: int = 0, repeats: bool = False, quiet: int | None = None) -> DataFrame:
+    """key, pos, state (JSON) and waiting (events that wait): the fold of each key so far, whenever it moves; the state is in Spark's state store, in RocksDB.
+
+    Events of a micro-batch are put in order of pos. hold: events wait until one of their key that is so many positions later has come, so that those that come late by less are put in order too. quiet: milliseconds after which a key without new events isn't waited for any longer, so that its last events are folded. An event at or before what is folded is never dropped in silence: it is an error, or, if the source is known to repeat events (repeats), taken for a repeat. A reducer sees values of the same types whether their event waited or not.
     """
-
-    def step(k: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held, pos, waiting = (json.loads(state.get[0]), state.get[1], json.loads(state.get[2])) if state.exists else ({}, -1, [])
-        new = [{c: x.item() if hasattr(x, "item") else x for c, x in e.items()} for e in pd.concat(list(parts)).to_dict("records")]
-        late = [e["pos"] for e in new if e["pos"] <= pos]
-        if late and not repeats:
-            raise ValueError(f"position {min(late)} of {k[0]} came after {pos} was folded")
-        waiting = list({e["pos"]: e for e in sorted([*waiting, *[e for e in new if e["pos"] > pos]], key=lambda e: e["pos"])}.values())
-        ripe = waiting[-1]["pos"] - hold if waiting else pos
-        for event in waiting:
-            if event["pos"] <= ripe:
-                held, pos = reduce(held, event), event["pos"]
-        waiting = [e for e in waiting if e["pos"] > pos]
-        state.update((json.dumps(held, sort_keys=True), pos, json.dumps(waiting, default=str)))
-        yield pd.DataFrame([(k[0], pos, json.dumps(held, sort_keys=True))], columns=[key, "pos", "state"])
-
+    spark, names = events.sparkSession, [c for c in events.columns if c != key]
+    if spark.conf.get("spark.sql.streaming.stateStore.providerClass") != ROCKS:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    schema = StructType([events.schema[key], *[events.schema[n] for n in names]])
     kind = events.schema[key].dataType.simpleString()
-    return events.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, pos long, state string", "state string, pos long, waiting string", "update", GroupStateTimeout.NoTimeout)
+    folded = events.select(key, *names).groupBy(key).transformWithStateInPandas(Folding(schema, reduce, hold, repeats, quiet), f"key {kind}, pos long, state string, waiting long", "Update", "None" if quiet is None else "ProcessingTime")
+    return folded.withColumnRenamed("key", key)
+
+
+def drained(folded: DataFrame, key: str, path: str, checkpoint: str, seconds: float = 120) -> DataFrame:
+    """Runs a streaming_fold() that has a quiet time until all that its source has now is folded and nothing waits; the last state of each key. What it says is written to path, a folder for each batch."""
+    spark, kind = folded.sparkSession, folded.schema[key].dataType.simpleString()
+    out = folded.writeStream.foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{path}/batch={n}")).outputMode("update").option("checkpointLocation", checkpoint)
+    # Timers go off in batches without data, which never end; the first of them tells that the source has no more.
+    q, end = out.trigger(processingTime="200 milliseconds").start(), time.monotonic() + seconds
+    try:
+        while not any(p["numInputRows"] == 0 for p in q.recentProgress) and q.isActive and time.monotonic() < end:
+            time.sleep(0.2)
+        while True:
+            said = spark.read.schema(f"{key} {kind}, pos long, state string, waiting long, batch long").option("ignoreMissingFiles", "true").parquet(path)
+            last = said.groupBy(key).agg(F.max_by(F.struct("pos", "state", "waiting"), "batch").alias("s")).select(key, "s.*")
+            if not last.where("waiting > 0").take(1):
+                break
+            if q.exception() is not None or time.monotonic() > end:
+                raise q.exception() or TimeoutError(f"events still wait after {seconds} seconds")
+            time.sleep(0.2)
+    finally:
+        q.stop()
+    # Read anew, as the query may have written more batches, without rows, before it ended.
+    said = spark.read.schema(f"{key} {kind}, pos long, state string, waiting long, batch long").parquet(path)
+    return said.groupBy(key).agg(F.max_by(F.struct("pos", "state"), "batch").alias("s")).select(key, "s.*")
 
 
 def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

@@ -173,12 +173,15 @@ def test_checks_of_bad_payloads_and_files(spark):
     assert upsert.delete_verdicts(verdicts, records.where("id = '1'")).count() == verdicts.count() - 1
 
 
-def test_rule_forms():
+def test_rule_forms(spark):
     cid = "a" * 64
     config = {"schema": "b" * 64, "rules": {"check": "0xp/checks/size", "with": {"most": 3}}, "types": {"t": {"description": "things", "rules": [cid, {"check": "0xp/checks/size", "with": {"most": 3}}]}, "u": "words"}}
     check = {"cid": "v1", "type": "check", "payload": {"src": "c" * 64, "params": {"type": "object", "required": ["most"]}}}
     content = {"b" * 64: {"type": "object"}, "c" * 64: "code", cid: "more"}
-    out, sources = rules.resolve(config, content.__getitem__, lambda p, r, i: check if (p, r, i) == ("0xp", "checks", "size") else None)
+    asked = []
+    records = spark.createDataFrame([("0xP", "checks", "size", "v1", "check", json.dumps(check["payload"])), ("0xp", "checks", "other", "v2", "check", "{}")], "publisher string, repo string, id string, cid string, type string, payload string")
+    out, sources = rules.resolve(config, content.__getitem__, lambda names: asked.append(names) or rules.published(records, names))
+    assert asked == [[("0xp", "checks", "size")]]  # all at once
     assert out["schema"] == {"type": "object"} and out["rules"] == [{"check": "0xp/checks/size", "record": "v1", "src": "c" * 64, "with": {"most": 3}}]
     assert rules.sources_in(out) == ["c" * 64, cid] and sources == {"c" * 64: "code", cid: "more"} and out["types"]["u"] == "words"
     assert [rules.description(t) for t in config["types"].values()] == ["things", "words"] and rules.sources_in(config) == [cid]
@@ -186,9 +189,9 @@ def test_rule_forms():
     assert gate.reason_of({"type": "t", "payload": {}}, base, types) is None and gate.reason_of({"type": "t", "payload": dict.fromkeys("abcd")}, base, types) == "0xp/checks/size: too many"
     for bad, error in (({"rules": "0xp/checks/none"}, LookupError), ({"rules": 7}, ValueError), ({"schema": "x"}, ValueError), ({"rules": {"check": "0xp/checks/size"}}, ValueError)):
         with pytest.raises(error):
-            rules.resolve(bad, content.__getitem__, lambda p, r, i: check if i == "size" else None)
+            rules.resolve(bad, content.__getitem__, lambda names: {n: check for n in names if n[2] == "size"})
     with pytest.raises(ValueError, match="grants"):
-        rules.resolve({"rules": "0xp/c/n"}, content.__getitem__, lambda *a: {**check, "payload": {"src": "s", "needs": "network"}})
+        rules.resolve({"rules": "0xp/c/n"}, content.__getitem__, lambda names: {n: {**check, "payload": {"src": "s", "needs": "network"}} for n in names})
     for bad in (config, {"rules": [cid]}):
         with pytest.raises((ValueError, LookupError)):
             rules.checks_of(bad, {})
@@ -206,20 +209,32 @@ def test_reducers():
     for e in (event(0, "a"), event(1, "a", [("x", {"slot": "x"})]), event(2, "b", [("x", {"slot": "x"})]), event(3, "b", [("y", {"slot": "y"})]), event(4, "c", [("1", {"slot": "z"}), ("2", {"slot": "w"})])):
         state = fold.claims(state, e)
     assert state == {"owner": {"x": "a", "y": "b"}, "rejected": 3, "commits": 5}
-    moves = [event(0, "a"), event(1, "a", [("m0", {"cell": [0, 0]})]), event(2, "b", [("m0", {"cell": [5, 5]})]), event(3, "a", [("m1", {"cell": [0, 1]})]), event(4, "a", [("m2", {"cell": [0, 2]})])]
-    cheats = [event(5, "b", [("m0", {"cell": [4, 5]})]), event(6, "b", [("m1", {"cell": [0, 0]})]), event(7, "b", [("m1", {"cell": [2, 2]})]), event(8, "b", [("m1", {"cell": [6, 5]})]), event(9, "b", [], ["m0"]), event(10, "b", [("m1", {"cell": [4, 5]}), ("m2", {"cell": [3, 5]})])]
 
-    def play(**how):
-        state, step = None, fold.territory(**how)
-        for e in moves + cheats:
-            state = step(state, e)
-        return state
 
-    game = play()
-    assert game["board"] == {"0,0": "a", "5,5": "b", "0,1": "a"} and game["players"] == ["a"] and game["moves"] == 3
-    assert [r["why"] for r in game["rejected"]] == ["two turns in a row", "a past move is rewritten", "0,0 is taken", "2,2 is not beside the player's own", "the cell is off the board", "a past move is deleted", "2 moves at once"]
-    other = play(per_commit=3, alternate=False)
-    assert other["moves"] == 6 and len(other["rejected"]) == 5 and fold.state_hash(other) != fold.state_hash(game) == fold.state_hash(play())
+def test_reducers_beside_each_other(spark):
+    """Two rules over one pass: by the strict one a record can't be put again, by the other it can."""
+
+    def strict(state, event):
+        taken = state.get("ids", [])
+        return {"ids": taken if event["op"] == "delete" or event["id"] in taken else sorted([*taken, event["id"]])}
+
+    def loose(state, event):
+        left = [i for i in state.get("ids", []) if i != event["id"]]
+        return {"ids": left if event["op"] == "delete" else sorted([*left, event["id"]])}
+
+    c = model.changes(spark, D).select("publisher", "pos", "id", "op")
+    found = fold.fold_several(c, ["publisher"], {"strict": strict, "loose": loose}).collect()
+    assert len(found) == c.select("publisher").distinct().count()
+    for r in found:
+        for name, reduce in (("strict", strict), ("loose", loose)):
+            alone = {}
+            for e in c.where(F.col("publisher") == r["publisher"]).orderBy("pos").collect() if r["publisher"] in ("u1", "u7") else ():
+                alone = reduce(alone, e.asDict())
+            assert not alone or json.loads(r[name]) == alone
+    live = log.state_at(model.changes(spark, D), 10**9).groupBy("publisher").agg(F.sort_array(F.collect_list("id")).alias("ids"))
+    want = {r["publisher"]: r["ids"] for r in live.collect()}
+    assert {r["publisher"]: json.loads(r["loose"])["ids"] for r in found if json.loads(r["loose"])["ids"]} == want
+    assert fold.state_hash(found[0]["loose"]) == fold.state_hash(found[0]["loose"])
 
 
 def test_live_reads_and_verified_stitches(spark):
@@ -291,6 +306,22 @@ def test_streaming_fold(spark, tmp_path):
         run("lost", [[1, 5], [3]])
 
 
+def test_streaming_fold_of_quiet_keys(spark, tmp_path):
+    """Keys that go quiet are flushed, and a reducer sees timestamps as such whether their events waited or not."""
+    (tmp_path / "in").mkdir()
+
+    def kinds(state, event):
+        return {"pos": [*state.get("pos", []), event["pos"]], "kinds": sorted({*state.get("kinds", []), type(event["ts"]).__name__, type(event["n"]).__name__}), "last": str(event["ts"])}
+
+    said = [("a", 1, "2024-01-01T00:00:01", 1), ("b", 2, "2024-01-01T00:00:02", None), ("a", 9, "2024-01-01T00:00:09", 2), ("a", 4, "2024-01-01T00:00:04", 3), ("b", 3, None, 4)]
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps({"k": k, "pos": p, "ts": t, "n": n}) for k, p, t, n in said))
+    stream = spark.readStream.schema("k string, pos long, ts timestamp, n int").json(str(tmp_path / "in"))
+    folded = follow.streaming_fold(stream, "k", kinds, hold=5, quiet=500)
+    last = {r["k"]: (r["pos"], json.loads(r["state"])) for r in follow.drained(folded, "k", str(tmp_path / "out"), str(tmp_path / "c")).collect()}
+    assert last["a"][0] == 9 and last["a"][1]["pos"] == [1, 4, 9] and last["a"][1]["kinds"] == ["datetime", "int"] and last["a"][1]["last"] == "2024-01-01 00:00:09"
+    assert last["b"][1]["pos"] == [2, 3] and set(last["b"][1]["kinds"]) == {"NoneType", "datetime", "int"}
+
+
 def test_cards_and_vectors(spark):
     repos = spark.createDataFrame([("0xab", "field-notes", "h1", None, None, "field notes", [1.0], True), ("0xab", "b", "h2", None, None, "b", [2.0], True)], "publisher string, repo string, head string, card_url string, card string, text string, vec array<float>, stale boolean").withColumn("updated", F.current_timestamp())
     fetched = spark.createDataFrame([("0xab", "field-notes", "h1", "u", None), ("0xab", "b", "old", "u", "{}")], "publisher string, repo string, head string, card_url string, card string")
