@@ -80,13 +80,38 @@ def repo_diff(changes: DataFrame, before: int | None, after: int) -> DataFrame:
 
 
 def diff_since(changes: DataFrame, before: int, after: int, known: DataFrame) -> DataFrame:
-    """The same from the changes between alone. known: key and cid of the records that are indexed; a put counts if they have another cid or none, a delete if they have the id. A repo of which nothing is known is new: all of its changes count."""
+    """The same from the changes between alone. known: key and cid of the records that are indexed; a put counts if they have another cid or none, a delete if they have the id. One position holds for all repos; where they have their own, or some are new, diff_by_repo() tells."""
     last = changes.where((F.col("pos") > before) & (F.col("pos") <= after)).groupBy(*KEY).agg(F.max_by(F.struct("op", "cid"), "pos").alias("c"))
     both = last.join(known.select(*KEY, F.col("cid").alias("old")), KEY, "left")
     counts = F.when(F.col("c.op") == "put", ~F.col("c.cid").eqNullSafe(F.col("old"))).otherwise(F.col("old").isNotNull())
     return both.where(counts).select(*KEY, "c.op", "c.cid")
 
 
+def spans(now: DataFrame, was: DataFrame) -> DataFrame:
+    """publisher, repo, after (null for a new repo) and until: between which positions the heads moved."""
+    w = was.select(*REPO, F.col("head").alias("from"), F.col("pos").alias("after"))
+    return now.join(w, REPO, "left").where(~F.col("head").eqNullSafe(F.col("from"))).select(*REPO, "after", F.col("pos").alias("until"))
+
+
+def diff_by_repo(changes: DataFrame, spans: DataFrame, known: DataFrame) -> DataFrame:
+    """What changed in each repo between its own positions: key, op, cid, type and payload. spans: publisher, repo, after and until. known: key and cid of the records that are indexed.
+
+    A repo with an `after` needs the changes behind it alone; a put counts if known has another cid or none, a delete if it has the id. A repo without one is new to the index, or lost: its whole state until then counts, and what known has beside it is deleted. Changes before the smallest `after` are left out of the scan for all but the repos that are read whole; those are few, and are met by a join of their own.
+    """
+    older = spans.where(F.col("after").isNotNull())
+    first = older.agg(F.min("after")).first()[0]
+    recent = changes.where(F.col("pos") > (first if first is not None else 0)).join(older, REPO).where((F.col("pos") > F.col("after")) & (F.col("pos") <= F.col("until")))
+    whole = spans.where(F.col("after").isNull())
+    entire = changes.join(whole, REPO).where(F.col("pos") <= F.col("until"))
+    last = recent.unionByName(entire).groupBy(*KEY).agg(F.max_by(F.struct("op", "cid", "type", "payload"), "pos").alias("c"))
+    # What a whole repo had and has no more: a delete that no change tells.
+    held = known.join(whole.select(*REPO), REPO, "left_semi").select(*KEY)
+    gone = held.join(last.select(*KEY), KEY, "left_anti").select(*KEY, F.struct(F.lit("delete").alias("op"), *[F.lit(None).cast("string").alias(c) for c in ("cid", "type", "payload")]).alias("c"))
+    both = last.unionByName(gone).join(known.select(*KEY, F.col("cid").alias("old")), KEY, "left")
+    counts = F.when(F.col("c.op") == "put", ~F.col("c.cid").eqNullSafe(F.col("old"))).otherwise(F.col("old").isNotNull())
+    return both.where(counts).select(*KEY, "c.op", "c.cid", "c.type", "c.payload")
+
+
 def parents(log: DataFrame) -> DataFrame:
     """The log with was, the head before each commit in its repo, for comparing with parent."""
     return log.withColumn("was", F.lag("head").over(Window.partitionBy(*REPO).orderBy("pos")))

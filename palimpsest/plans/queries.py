@@ -516,6 +516,40 @@ def diff_since(s, d):
     return log.diff_since(c, half_of(s, d), end_of(s, d), log.state_at(c, half_of(s, d)))
 
 
+AFTER = f"CASE WHEN user_id % 3 = 0 THEN -1 ELSE {HALF} + user_id END"
+BY_REPO = f"""WITH {CHANGES}, spans AS (SELECT DISTINCT 'u' || user_id AS publisher, {AFTER} AS after FROM events),
+old AS (SELECT publisher, repo, id, c.cid AS cid FROM (SELECT c.publisher, repo, id, max_by(struct_pack(op := op, cid := cid), pos) AS c FROM changes c JOIN spans s ON c.publisher = s.publisher AND pos <= after GROUP BY ALL) WHERE c.op = 'put')"""
+
+
+def _spans(s, d) -> DataFrame:
+    """Where an index stands that has followed some publishers for longer than others, and every third not at all."""
+    number = F.col("user_id")
+    after = F.when(number % 3 != 0, half_of(s, d) + number)
+    return table(s, d, "events").select(F.concat(F.lit("u"), number.cast("string")).alias("publisher"), F.lit("events").alias("repo"), after.alias("after")).distinct().withColumn("until", F.lit(end_of(s, d)).cast("long"))
+
+
+def _known(s, d, spans: DataFrame) -> DataFrame:
+    c = model.changes(s, d).join(spans.where("after IS NOT NULL"), REPO).where("pos <= after")
+    return log.state_at(c, end_of(s, d)).select(*KEY, "cid")
+
+
+@query(f"{BY_REPO} {DIFF.format('old', state_sql(END))}")
+def diff_by_repo(s, d):
+    """Differences from each repo's own position; of repos that are new to the index all that they have, however old."""
+    spans = _spans(s, d)
+    return log.diff_by_repo(model.changes(s, d), spans, _known(s, d, spans)).select(*KEY, "op", "cid")
+
+
+@query(f"WITH {CHANGES} SELECT publisher, repo, id, cid, type, payload FROM {state_sql(END)}")
+def index_updates(s, d):
+    """The records of an index after two update steps, the second of them with what moved since the middle of the log alone."""
+    c, kept = model.changes(s, d), store.SnapshotStore(s, f"{shared_dir(s)}/index-{uuid.uuid4().hex}")
+    entries = c.select("pos", F.floor(F.col("pos") / 100).cast("long").alias("t"), *REPO, F.sha2(F.col("pos").cast("string"), 256).alias("head"))
+    for t in (half_t(s, d), end_of(s, d) // 100):
+        follow.update(entries.where(F.col("t") <= t), ["*"], kept, follow.indexing(c, kept))
+    return kept.table("records").select(*KEY, "cid", "type", "payload")
+
+
 @query(f"WITH {LOG} SELECT pos, parent, coalesce(lag(head) OVER (PARTITION BY publisher, repo ORDER BY pos), '0x0') AS was FROM log")
 def commit_parents(s, d):
     return log.parents(model.update_log(s, d)).select("pos", "parent", F.coalesce("was", F.lit(ZERO_HEAD)).alias("was"))

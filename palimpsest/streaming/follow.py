@@ -15,13 +15,16 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import DataType, IntegralType, StructType
 
-from palimpsest.model import REPO
-from palimpsest.operators.log import heads_diff, matches, root, stitch
+from palimpsest.functions.text import text_of
+from palimpsest.model import KEY, REPO
+from palimpsest.operators import fulltext, upsert
+from palimpsest.operators.log import diff_by_repo, heads_diff, matches, root, spans, stitch
+from palimpsest.operators.numbering import cut
 from palimpsest.sources.store import Conflict, Delta, SnapshotStore, Stitch
 
 
 def update(log: DataFrame, patterns: list[str], store: Any, lens: Callable[[DataFrame], dict[str, DataFrame | Delta] | None], tries: int = 3) -> str:
-    """One update step: fold the log behind the saved stitch into heads, and if their root moved let the lens apply the moved heads, then save what it gives, tables or deltas, together with the stitch. Of the heads only those that moved are written. A crash before the save repeats the step, and so does another writer who saves meanwhile, so a lens must bear being applied twice."""
+    """One update step: fold the log behind the saved stitch into heads, and if their root moved let the lens apply the moved heads, then save what it gives, tables or deltas, together with the stitch. The moved heads are publisher, repo, from, to, and the positions after and until. Of the heads only those that moved are written. A crash before the save repeats the step, and so does another writer who saves meanwhile, so a lens must bear being applied twice."""
     for left in reversed(range(tries)):
         version = store.version
         saved = store.load(patterns)
@@ -31,7 +34,8 @@ def update(log: DataFrame, patterns: list[str], store: Any, lens: Callable[[Data
         now = root(heads).first()["root"]
         if saved is not None and now == saved.root:
             return now
-        moved = heads_diff(heads, heads.where(F.lit(False)) if was is None else was)
+        before = heads.where(F.lit(False)) if was is None else was
+        moved = heads_diff(heads, before).join(spans(heads, before), REPO)
         tables = lens(moved) or {}
         fresh = heads.join(moved.select(*REPO), REPO, "left_semi")
         try:
@@ -45,6 +49,24 @@ def update(log: DataFrame, patterns: list[str], store: Any, lens: Callable[[Data
     return now
 
 
+def indexing(changes: DataFrame, store: Any) -> Callable[[DataFrame], dict[str, DataFrame | Delta]]:
+    """A lens for update() that keeps records, with their texts, and their full-text index. What it reads follows what moved: the changes behind each repo's own position; so does what it writes."""
+
+    def lens(moved: DataFrame) -> dict[str, DataFrame | Delta]:
+        held = store.table("records") if store.load() else None
+        none = moved.sparkSession.createDataFrame([], "rowseq long, publisher string, repo string, id string, cid string, type string, payload string, text string")
+        known = none if held is None else held
+        diff = cut(diff_by_repo(changes, moved.select(*REPO, "after", "until"), known).withColumn("text", text_of(F.col("payload"))))
+        change = upsert.delta(known, diff)
+        puts = cut(change.puts)
+        if held is None:
+            return {"records": puts, **fulltext.built(puts)}
+        gone = known.join(diff.select(*KEY), KEY, "left_semi").select("rowseq", "text")
+        return {"records": Delta(KEY, puts, change.gone), **fulltext.renewed(store.table, cut(gone), puts.select("rowseq", "text"))}
+
+    return lens
+
+
 def follow(spark: SparkSession, path: str, schema: str, patterns: list[str], on_batch: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100, every: str | None = None) -> StreamingQuery:
     """Followed entries of a growing folder of Parquet logs, a micro-batch at a time; a batch may come twice after a crash. every: go on, with a batch at this interval; what comes while one runs waits for the next, together. None: end with what is there."""
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).where(matches(patterns))

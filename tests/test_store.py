@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import model
-from palimpsest.operators import log, upsert
+from palimpsest.operators import fulltext, lexical, log, upsert
 from palimpsest.operators.numbering import numbered
 from palimpsest.plans import service
 from palimpsest.sources.store import Conflict, Delta, MemoryStore, SnapshotStore, Stitch, merged
@@ -188,3 +188,29 @@ def test_delta_is_apply_changes(spark):
     by_delta = merged(old, [upsert.delta(old, moved).rows()], model.KEY)
     want = upsert.apply_changes(old, moved)
     assert sorted(map(tuple, by_delta.select(old.columns).collect())) == sorted(map(tuple, want.select(old.columns).collect()))
+
+
+def test_indexing(spark, tmp_path):
+    """An update keeps records and their full text as they are in the log, and repos that are new bring their older history."""
+    c, store = model.changes(spark, D), SnapshotStore(spark, str(tmp_path / "s"))
+    entries = c.select("pos", F.floor(F.col("pos") / 100).cast("long").alias("t"), *model.REPO, F.sha2(F.col("pos").cast("string"), 256).alias("head"))
+    early = entries.where("publisher <> 'u7'")
+    follow.update(early.where("t <= 4"), ["*"], store, follow.indexing(c, store))
+    assert store.table("records").where("publisher = 'u7'").count() == 0
+    follow.update(entries, ["*"], store, follow.indexing(c, store))
+    want = {tuple(r) for r in log.state_at(c, 10**9).select(*model.KEY, "cid").collect()}
+    rows = store.table("records").collect()
+    assert {(r["publisher"], r["repo"], r["id"], r["cid"]) for r in rows} == want and len({r["rowseq"] for r in rows}) == len(rows)
+    kept, docs = fulltext.Kept(store.table), store.table("records").select("rowseq", "text")
+    pairs = lambda df: sorted((r["rowseq"], round(r["score"], 9)) for r in df.collect())
+    assert pairs(kept.scores("k 17")) == pairs(lexical.bm25(docs, ["rowseq"], "k 17")) != []
+
+
+def test_diff_by_repo(spark):
+    change = lambda pos, repo, id, op="put": (pos, "p", repo, id, op, None if op == "delete" else f"c{pos}", "t", "{}")
+    c = spark.createDataFrame([change(1, "new", "a"), change(2, "old", "x"), change(3, "lost", "m"), change(5, "new", "b"), change(6, "old", "y"), change(7, "old", "x", "delete"), change(8, "lost", "n"), change(9, "old", "z")], "pos long, publisher string, repo string, id string, op string, cid string, type string, payload string")
+    spans = spark.createDataFrame([("p", "new", None, 9), ("p", "old", 3, 8), ("p", "lost", None, 9)], "publisher string, repo string, after long, until long")
+    known = spark.createDataFrame([("p", "old", "x", "c2"), ("p", "lost", "m", "c3"), ("p", "lost", "unknown", "c0"), ("p", "other", "q", "c0")], "publisher string, repo string, id string, cid string")
+    got = sorted((r["repo"], r["id"], r["op"], r["cid"]) for r in log.diff_by_repo(c, spans, known).collect())
+    assert got == [("lost", "n", "put", "c8"), ("lost", "unknown", "delete", None), ("new", "a", "put", "c1"), ("new", "b", "put", "c5"), ("old", "x", "delete", None), ("old", "y", "put", "c6")]
+    assert log.diff_by_repo(c, spans.limit(0), known).count() == 0
