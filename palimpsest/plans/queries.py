@@ -7,14 +7,14 @@ import json
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest import model
 from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
 from palimpsest.model import KEY, REPO, ZERO_HEAD, table
-from palimpsest.operators import fold, fulltext, gate, lexical, log, maintain, ranking, search, upsert
+from palimpsest.operators import commits, fold, fulltext, gate, hashtree, lexical, log, maintain, nearest, ranking, search, upsert
 from palimpsest.operators.numbering import numbered, shared_dir
 from palimpsest.sources import store
 from palimpsest.streaming import follow
@@ -255,6 +255,44 @@ def rrf_fuse(s, d):
     return fused.select("rowseq", "semantic_rank", "lexical_rank", F.round("score", 9).alias("score"))
 
 
+# Many queries at once: every vector whose id is divisible by 20, against all
+
+NEAREST = """e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_transform(embedding, lambda x: x >= 0) AS s FROM embeddings), q AS (SELECT * FROM e WHERE vec_id % 20 = 0),
+pairs AS (SELECT q.vec_id AS query, e.vec_id AS rowseq, round(list_cosine_similarity(q.v, e.v), 9) AS score, list_sum(list_transform(list_zip(q.s, e.s), lambda x: CASE WHEN x[1] <> x[2] THEN 1 ELSE 0 END)) AS apart FROM q, e),
+exact AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, rowseq) AS INTEGER) AS place FROM pairs QUALIFY place <= 10),
+pool AS (SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY query ORDER BY apart, rowseq) <= 80),
+pooled AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, rowseq) AS INTEGER) AS place FROM pool QUALIFY place <= 10)"""
+
+
+def _asked(s, d) -> tuple[DataFrame, DataFrame]:
+    rows = table(s, d, "embeddings").select(F.col("vec_id").alias("key"), F.col("embedding").alias("vec"))
+    return rows.where(F.col("key") % 20 == 0), rows
+
+
+def _places(found: DataFrame) -> DataFrame:
+    return found.select("query", F.col("key").alias("rowseq"), "place", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {NEAREST} SELECT query, rowseq, place, round(score, 6) AS score FROM exact")
+def nearest_exact(s, d):
+    return _places(nearest.nearest(*_asked(s, d), pool=None))
+
+
+@query(f"WITH {NEAREST} SELECT query, rowseq, place, round(score, 6) AS score FROM pooled")
+def nearest_by_signs(s, d):
+    """Of a pool of 80 by their signs the 10 nearest."""
+    return _places(nearest.nearest(*_asked(s, d)))
+
+
+@query(f"WITH {NEAREST} SELECT round(count(p.rowseq) / count(*), 6) AS recall, round(avg(x.score), 6) AS exact_score, (SELECT round(avg(score), 6) FROM pooled) AS pooled_score FROM exact x LEFT JOIN pooled p ON x.query = p.query AND x.rowseq = p.rowseq")
+def nearest_recall(s, d):
+    """How much of the 10 nearest a pool by signs holds, and how near what it gives is beside them."""
+    exact, pooled = (nearest.nearest(*_asked(s, d), pool=pool) for pool in (None, nearest.POOL))
+    pooled = pooled.select("query", "key", F.col("score").alias("got"))
+    both = exact.join(pooled, ["query", "key"], "full_outer")
+    return both.agg(F.round(F.count_if(F.col("score").isNotNull() & F.col("got").isNotNull()) / F.count("score"), 6).alias("recall"), F.round(F.avg("score"), 6).alias("exact_score"), F.round(F.avg("got"), 6).alias("pooled_score"))
+
+
 # Repos
 
 
@@ -485,12 +523,51 @@ def heads_diff(s, d):
     return log.heads_diff(log.stitch(entries, ["*"]), log.stitch(entries, ["*"], half_t(s, d)))
 
 
-@query("SELECT TRUE AS now, FALSE AS earlier")
+def root_sql(heads: str) -> str:
+    return f"(SELECT sha256(concat_ws(',', count(*), {', '.join(f"coalesce(sum(CAST('0x' || substr(h, {1 + 8 * i}, 8) AS BIGINT)), 0)" for i in range(8))})) FROM (SELECT sha256(publisher || '/' || repo || '/' || head) AS h FROM ({heads})))"
+
+
+@query(f"WITH {LOG}, r AS (SELECT {root_sql(STITCH.format('TRUE'))} AS root, {root_sql(STITCH.format(f't <= {HALF_T}'))} AS before) SELECT root, TRUE AS now, root = before AS earlier FROM r")
 def verify_stitch(s, d):
     """A stitch holds if the log gives it again up to its block; it doesn't stand for another block."""
     entries, middle, end = model.update_log(s, d), half_t(s, d), end_of(s, d) // 100
-    root = log.root(log.stitch(entries, ["*"], end)).first()["root"]
-    return s.createDataFrame([(log.verify(entries, ["*"], root, end), log.verify(entries, ["*"], root, middle))], "now boolean, earlier boolean")
+    root = log.root(log.stitch(entries, ["*"], end)).select("root")
+    holds = lambda t, name: log.root(log.stitch(entries, ["*"], t)).select(F.col("root").alias(name))
+    # One row each.
+    return root.crossJoin(holds(end, "a")).crossJoin(holds(middle, "b")).select("root", (F.col("a") == F.col("root")).alias("now"), (F.col("b") == F.col("root")).alias("earlier"))
+
+
+def tree_sql(heads: str, name: str) -> str:
+    """The nodes of the hash tree over heads, two levels below its root, as a table."""
+    return f"""{name}_l AS (SELECT *, sha256(publisher || '/' || repo) AS place, sha256(publisher || '/' || repo || '/' || head) AS leaf FROM {heads}),
+{name}_2 AS (SELECT left(place, 2) AS prefix, sha256(string_agg(leaf, '' ORDER BY place)) AS hash, CAST(count(*) AS BIGINT) AS n FROM {name}_l GROUP BY ALL),
+{name}_1 AS (SELECT left(prefix, 1) AS prefix, sha256(string_agg(prefix[2] || hash, '' ORDER BY prefix)) AS hash, CAST(sum(n) AS BIGINT) AS n FROM {name}_2 GROUP BY left(prefix, 1)),
+{name}_0 AS (SELECT '' AS prefix, sha256(string_agg(prefix || hash, '' ORDER BY prefix)) AS hash, CAST(sum(n) AS BIGINT) AS n FROM {name}_1),
+{name} AS (SELECT CAST(2 AS INTEGER) AS level, * FROM {name}_2 UNION ALL SELECT 1, * FROM {name}_1 UNION ALL SELECT 0, * FROM {name}_0)"""
+
+
+NOW = f"{LOG}, now AS ({STITCH.format('TRUE')})"
+
+
+@query(f"WITH {NOW}, {tree_sql('now', 'nodes')} SELECT level, prefix, hash, n FROM nodes")
+def hash_tree(s, d):
+    return hashtree.tree(log.stitch(model.update_log(s, d), ["*"]), 2)
+
+
+@query(f"WITH {NOW}, was AS ({STITCH.format(f't < {END} // 100')}) SELECT publisher, repo, n.head AS mine, w.head AS theirs FROM now n FULL JOIN was w USING (publisher, repo) WHERE n.head IS DISTINCT FROM w.head")
+def replica_difference(s, d):
+    """Where a replica that lacks the last block differs, found from the root downwards."""
+    entries = model.update_log(s, d)
+    return hashtree.replica_difference(log.stitch(entries, ["*"]), log.stitch(entries, ["*"], end_of(s, d) // 100 - 1), 2)
+
+
+@query(f"""WITH {NOW}, {tree_sql('now', 'nodes')}, p AS (SELECT min(publisher || '/' || repo) AS name, sha256(min(publisher || '/' || repo)) AS place FROM now)
+SELECT CAST(3 AS INTEGER) AS level, l.place AS name, leaf AS hash FROM nodes_l l, p WHERE left(l.place, 2) = left(p.place, 2) UNION ALL SELECT level, prefix, hash FROM nodes, p WHERE level = 1 OR level = 2 AND left(prefix, 1) = left(place, 1)""")
+def head_proof(s, d):
+    """What shows that the root holds the head of one repo, the first by its name."""
+    heads = log.stitch(model.update_log(s, d), ["*"])
+    publisher, repo = heads.agg(F.min(F.concat_ws("/", *REPO))).first()[0].split("/")
+    return hashtree.head_proof(heads, hashtree.tree(heads, 2), 2, publisher, repo)
 
 
 def state_sql(pos: str) -> str:
@@ -555,6 +632,43 @@ def commit_parents(s, d):
     return log.parents(model.update_log(s, d)).select("pos", "parent", F.coalesce("was", F.lit(ZERO_HEAD)).alias("was"))
 
 
+FORKED = f"{LOG}, forked AS (SELECT pos, t, publisher, repo, head, CASE WHEN pos % 5 = 0 THEN coalesce(lag(head, 2) OVER (PARTITION BY publisher, repo ORDER BY pos), '0x0') ELSE parent END AS parent FROM log)"
+
+
+def forked(s, d) -> DataFrame:
+    """The log, where every fifth commit was made beside the one before it."""
+    entries = model.update_log(s, d)
+    two = F.lag("head", 2).over(Window.partitionBy(*REPO).orderBy("pos"))
+    return entries.withColumn("parent", F.when(F.col("pos") % 5 == 0, F.coalesce(two, F.lit(ZERO_HEAD))).otherwise(F.col("parent")))
+
+
+@query(f"WITH {FORKED} SELECT publisher, repo, parent, count(*) AS n FROM forked GROUP BY ALL HAVING count(*) > 1")
+def forks(s, d):
+    return commits.forks(forked(s, d))
+
+
+@query(f"WITH {FORKED}, kept AS (SELECT * FROM forked WHERE t <> {HALF_T}) SELECT publisher, repo, head, parent FROM kept k WHERE parent <> '0x0' AND NOT EXISTS (SELECT 1 FROM kept o WHERE o.publisher = k.publisher AND o.repo = k.repo AND o.head = k.parent)")
+def commit_gaps(s, d):
+    """Commits whose parents are missing, as a block of the log is."""
+    return commits.gaps(forked(s, d).where(F.col("t") != half_t(s, d)))
+
+
+@query(f"WITH RECURSIVE {FORKED}, walk AS (SELECT publisher, repo, head, CAST(1 AS BIGINT) AS depth, head AS first FROM forked WHERE parent = '0x0' UNION ALL SELECT f.publisher, f.repo, f.head, depth + 1, first FROM forked f JOIN walk w ON f.publisher = w.publisher AND f.repo = w.repo AND f.parent = w.head) SELECT publisher, repo, head, depth, first FROM walk")
+def commit_depths(s, d):
+    return commits.depths(forked(s, d))
+
+
+@query(f"""WITH RECURSIVE {FORKED}, ends AS (SELECT publisher, repo, max_by(head, pos) FILTER (t <= {HALF_T}) AS "from", max_by(head, pos) AS "to" FROM forked GROUP BY ALL),
+after AS (SELECT publisher, repo, "to" AS head FROM ends UNION ALL SELECT f.publisher, f.repo, f.parent FROM forked f JOIN after a USING (publisher, repo, head) WHERE f.parent <> '0x0'),
+before AS (SELECT publisher, repo, "from" AS head FROM ends WHERE "from" IS NOT NULL UNION ALL SELECT f.publisher, f.repo, f.parent FROM forked f JOIN before a USING (publisher, repo, head) WHERE f.parent <> '0x0')
+SELECT publisher, repo, "from", "to", head FROM after ANTI JOIN before USING (publisher, repo, head) JOIN ends USING (publisher, repo)""")
+def commits_between(s, d):
+    """What the last commit of each repo has in its history and that of the middle of the log has not."""
+    entries, middle = forked(s, d), half_t(s, d)
+    ends = entries.groupBy(*REPO).agg(F.max_by(F.when(F.col("t") <= middle, F.col("head")), F.when(F.col("t") <= middle, F.col("pos"))).alias("from"), F.max_by("head", "pos").alias("to"))
+    return commits.commits_between(entries, ends)
+
+
 @query(f"WITH {LOG} SELECT count(*) > 0 AS moved FROM log WHERE repo IN ('click') AND t > {HALF_T}")
 def log_moved(s, d):
     return s.createDataFrame([(log.moved(model.update_log(s, d), ["u1/click", "click"], half_t(s, d)),)], "moved boolean")
