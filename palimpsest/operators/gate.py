@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from palimpsest.functions import schemas
 from palimpsest.model import KEY
 
 #: Bytes of the largest file that rules get.
@@ -99,7 +100,7 @@ def gates_of(base: Checks, types: dict[str, Checks]) -> Gates | None:
 
 
 def mismatches(schema: dict, value: Any, at: str = "#") -> list[str]:
-    """Errors of a value under a subset of JSON Schema: type, enum, const, required, properties, additionalProperties, items, lengths, bounds, pattern."""
+    """Errors of one value, as schemas.errors_of() tells them of a column: for what is published here, and for schemas that have no expression."""
     import re
 
     kinds = {"object": dict, "array": list, "string": str, "number": (int, float), "integer": int, "boolean": bool, "null": type(None)}
@@ -117,11 +118,9 @@ def mismatches(schema: dict, value: Any, at: str = "#") -> list[str]:
     if isinstance(value, dict):
         out += [f"{at} lacks {k}" for k in schema.get("required", []) if k not in value]
         known = schema.get("properties", {})
-        for k, v in value.items():
-            if k in known:
-                out += mismatches(known[k], v, f"{at}/{k}")
-            elif schema.get("additionalProperties") is False:
-                out.append(f"{at} has {k}, which is not allowed")
+        out += [e for k in sorted(known) if k in value for e in mismatches(known[k], value[k], f"{at}/{k}")]
+        if schema.get("additionalProperties") is False:
+            out += [f"{at} has {k}, which is not allowed" for k in sorted(set(value) - set(known))]
     if isinstance(value, list):
         if "items" in schema:
             out += [e for i, v in enumerate(value) for e in mismatches(schema["items"], v, f"{at}/{i}")]
@@ -161,47 +160,80 @@ def reason_of(record: dict, base: Checks, types: dict[str, Checks], context: dic
     return None
 
 
-def check_missing(records: DataFrame, verdicts: DataFrame, checker: Column, base: Checks, types: dict[str, Checks], most: int | None = None, seed: int | None = None, files: DataFrame | None = None) -> DataFrame:
-    """Verdicts on unchecked records: key, cid, checker and reason.
+def said_by_columns(type: Column, payload: Column, base: Checks, types: dict[str, Checks]) -> Column:
+    """Why a record is refused as far as types and schemas tell, or null; in the JVM. The first refusal counts."""
+    value = schemas.parsed(payload)
 
-    most: only so many, in random order, so that records that can't be checked don't hold up the rest; None: all, with no order. files: cid and content, for records whose payload names one as src. A payload that is no JSON is refused. A record whose file is missing, or whose check can't be carried out, gets no verdict, and is unchecked as before.
-    """
-    batch = unchecked(records, verdicts, checker)
-    if most is not None:
-        batch = batch.orderBy(F.rand(random.randrange(1 << 30) if seed is None else seed)).limit(most)
-    src = F.get_json_object("payload", "$.src")
-    batch = batch.withColumn("__src", src)
-    if files is None:
-        batch = batch.withColumn("__file", F.lit(None).cast("binary"))
-    else:
-        batch = batch.join(files.select(F.col("cid").alias("__cid"), F.substring("content", 1, MAX_FILE + 1).alias("__file")), F.col("__src") == F.col("__cid"), "left").drop("__cid")
-    with_files = files is not None
+    def of(schema: dict) -> Column:
+        wrong = schemas.errors_of(schema, value)
+        return F.when(F.size(wrong) > 0, F.array_join(F.slice(wrong, F.greatest(F.size(wrong) - 2, F.lit(1)), F.lit(3)), "; "))
+
+    why = [F.when(value.isNull(), "its payload is not JSON")]
+    if types:
+        why.append(F.when(~F.coalesce(type.isin(list(types)), F.lit(False)), F.concat(F.lit("type "), F.coalesce(type, F.lit("None")), F.lit(" is not listed"))))
+    if base.schema:
+        why.append(of(base.schema))
+    why += [F.when(type == t, of(c.schema)) for t, c in sorted(types.items()) if c.schema]
+    return F.coalesce(*why, F.lit(None).cast("string"))
+
+
+def said_by_rules(batch: DataFrame, base: Checks, types: dict[str, Checks], fetch: Callable[[str], bytes | None] | None) -> DataFrame:
+    """key, cid, checker and reason by what Python has to tell: rules, and schemas without an expression. batch: with __src and, where no fetch() is given, __file."""
 
     @F.pandas_udf("done boolean, reason string")
     def why(publisher: pd.Series, repo: pd.Series, id: pd.Series, cid: pd.Series, type: pd.Series, payload: pd.Series, src: pd.Series, file: pd.Series) -> pd.DataFrame:
         out = []
         for p, r, i, c, t, text, s, f in zip(publisher, repo, id, cid, type, payload, src, file, strict=True):
 
-            def fetch(s=s, f=f):
+            def content(s=s, f=f):
+                if s is not None and f is None and fetch:
+                    f = fetch(s)
                 if s is not None and f is None and with_files:
                     raise FileNotFoundError(s)
                 return f
 
             try:
-                record = {"id": i, "type": t, "cid": c, "payload": json.loads(text)}
+                out.append((True, reason_of({"id": i, "type": t, "cid": c, "payload": json.loads(text)}, base, types, {"publisher": p, "repo": r, "file": content})))
             except (TypeError, ValueError, RecursionError):
                 out.append((True, "its payload is not JSON"))
-                continue
-            try:
-                out.append((True, reason_of(record, base, types, {"publisher": p, "repo": r, "file": fetch})))
             except Exception:  # not the record's fault: a later run tries again
                 out.append((False, None))
         return pd.DataFrame(out, columns=["done", "reason"])
 
+    with_files = fetch is not None or "__file" in batch.columns
+    batch = batch if "__file" in batch.columns else batch.withColumn("__file", F.lit(None).cast("binary"))
     said = batch.select(*KEY, "cid", "checker", why(*KEY, "cid", "type", "payload", "__src", "__file").alias("said"))
     return said.where("said.done").select(*KEY, "cid", "checker", "said.reason")
 
 
+def check_missing(
+    records: DataFrame, verdicts: DataFrame, checker: Column, base: Checks, types: dict[str, Checks], most: int | None = None, seed: int | None = None, files: DataFrame | Callable[[str], bytes | None] | None = None
+) -> DataFrame:
+    """Verdicts on unchecked records: key, cid, checker and reason.
+
+    Types and schemas are column expressions and judge all records in the JVM. Only records that they let in and whose type has rules go to Python, and only these get their files. files: cid and content, a table that those records alone are joined with, or a function that reads one, called in the task when a record's rules come to it, so that a task holds one file at a time.
+
+    most: only so many, in random order, so that records that can't be checked don't hold up the rest; None: all, with no order. A payload that is no JSON is refused. A record whose file is missing, or whose check can't be carried out, gets no verdict, and is unchecked as before.
+    """
+    batch = unchecked(records, verdicts, checker)
+    if most is not None:
+        batch = batch.orderBy(F.rand(random.randrange(1 << 30) if seed is None else seed)).limit(most)
+    told = [base, *types.values()]
+    in_columns = all(c.schema is None or schemas.expressible(c.schema) for c in told)
+    ruled = F.lit(bool(base.rules)) | F.coalesce(F.col("type").isin([t for t, c in types.items() if c.rules]), F.lit(False)) if any(c.rules for c in told) else F.lit(False)
+    judged = batch.withColumn("reason", said_by_columns(F.col("type"), F.col("payload"), base, types) if in_columns else F.lit(None).cast("string"))
+    out = [*KEY, "cid", "checker", "reason"]
+    if in_columns and not any(c.rules for c in told):
+        return judged.select(*out)
+    asks = F.col("reason").isNull() & (ruled if in_columns else F.lit(True))
+    left = judged.where(asks).drop("reason").withColumn("__src", F.get_json_object("payload", "$.src"))
+    if isinstance(files, DataFrame):
+        left = left.join(files.select(F.col("cid").alias("__cid"), F.substring("content", 1, MAX_FILE + 1).alias("__file")), F.col("__src") == F.col("__cid"), "left").drop("__cid")
+    # Schemas have spoken: a rule is all that is left to hear.
+    rules = (Checks(None, base.rules), {t: Checks(None, c.rules) for t, c in types.items()}) if in_columns else (base, types)
+    return judged.where(~asks).select(*out).unionByName(said_by_rules(left, *rules, files if callable(files) else None))
+
+
 def with_verdicts(verdicts: DataFrame, new: DataFrame) -> DataFrame:
     """verdicts with the new ones in place of those on the same records."""
     return verdicts.join(new.select(*KEY), KEY, "left_anti").unionByName(new.select(verdicts.columns))

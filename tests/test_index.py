@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from palimpsest import model
+from palimpsest.functions import schemas
 from palimpsest.operators import fold, gate, log, maintain, rules, upsert
 from palimpsest.operators.numbering import numbered
 from palimpsest.sources.store import Blobs, Files, MemoryStore, RecordStore, SnapshotStore, Stitch, publish_view, read_manifest, seed, write_seed, write_view
@@ -173,6 +174,44 @@ def test_checks_of_bad_payloads_and_files(spark):
     assert upsert.delete_verdicts(verdicts, records.where("id = '1'")).count() == verdicts.count() - 1
 
 
+def test_schemas_as_columns(spark):
+    """Column expressions and the check of one value tell the same errors, in the same order."""
+    schema = {
+        "type": "object", "required": ["n", "s"], "additionalProperties": False,
+        "properties": {"s": {"type": "string", "minLength": 2, "maxLength": 4, "pattern": "^[a-zé]+$"}, "n": {"type": ["integer", "null"], "minimum": 1, "maximum": 9}, "e": {"enum": ["x", 1, None, True]}, "c": {"const": 2.5}, "a.b": {"type": "boolean"},
+                       "l": {"type": "array", "minItems": 1, "maxItems": 2, "items": {"type": "object", "required": ["k"], "properties": {"k": {"type": "number"}}}}},
+    }
+    values = [{}, {"n": 1, "s": "ab"}, {"n": 0, "s": "a"}, {"n": 10, "s": "abcde"}, {"n": 2.5, "s": "AB"}, {"n": 2.0, "s": "éé"}, {"n": None, "s": 5}, {"n": True, "s": "ab", "z": 1, "y": 2}, {"n": 1, "s": "ab", "e": 1}, {"n": 1, "s": "ab", "e": 2}, {"n": 1, "s": "ab", "e": None},
+              {"n": 1, "s": "ab", "e": False}, {"n": 1, "s": "ab", "c": 2.5}, {"n": 1, "s": "ab", "c": "2.5"}, {"n": 1, "s": "ab", "a.b": 0}, {"n": 1, "s": "ab", "l": []}, {"n": 1, "s": "ab", "l": [{"k": 1}, {}, {"k": "x"}]}, {"n": 1, "s": "ab", "l": {"k": 1}}, [1], "text", None, 3]
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(values)], "i int, payload string")
+    got = {r["i"]: r["e"] for r in df.select("i", schemas.errors_of(schema, schemas.parsed(F.col("payload"))).alias("e")).collect()}
+    for i, v in enumerate(values):
+        if v != {"n": 1, "s": "ab", "e": False}:  # in Python False is 0; here it is no number
+            assert got[i] == gate.mismatches(schema, v), v
+    assert not schemas.expressible({"properties": {"a": {"items": {"enum": [[1]]}}}}) and schemas.expressible(schema)
+    assert spark.createDataFrame([("{no",)], "p string").where(schemas.parsed(F.col("p")).isNull()).count() == 1
+
+
+def test_files_only_for_rules(spark, tmp_path):
+    """No file of a refused record is read, nor of one without rules; where nothing needs Python, none runs."""
+    rows = [("p", "r", str(i), "c", t, payload) for i, (t, payload) in enumerate([("a", '{"src": "f0"}'), ("a", '{"src": "f1", "n": 1}'), ("b", '{"src": "f2", "n": 1}'), ("z", '{"src": "f3", "n": 1}'), ("a", "no"), ("a", '{"n": 2}'), ("a", '{"src": "gone", "n": 1}')])]
+    records = spark.createDataFrame(rows, "publisher string, repo string, id string, cid string, type string, payload string")
+    none = records.where("false").select("publisher", "repo", "id", "cid", F.lit("k").alias("checker"), F.lit("").alias("reason"))
+
+    def fetch(name):
+        (tmp_path / name).write_text("read")
+        return None if name == "gone" else name.encode()
+
+    base, types = gate.Checks({"required": ["n"]}), {"a": gate.Checks(rules=[gate.Rule("own", lambda r, c: c["file"] in (None, b"f1") or "bad file")]), "b": gate.Checks({"properties": {"n": {"maximum": 5}}})}
+    got = {r["id"]: r["reason"] for r in gate.check_missing(records, none, F.lit("k"), base, types, files=fetch).collect()}
+    assert got == {"0": "# lacks n", "1": None, "2": None, "3": "type z is not listed", "4": "its payload is not JSON", "5": None}  # 6 waits for its file
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["f1", "gone"]
+    plain = gate.check_missing(records, none, F.lit("k"), base, {"a": gate.Checks(), "b": types["b"]})
+    assert "Python" not in plain._jdf.queryExecution().toString() and plain.count() == 7
+    odd = gate.check_missing(records, none, F.lit("k"), gate.Checks({"properties": {"n": {"enum": [[1], 1]}}, "required": ["n"]}), {})  # has no expression
+    assert {r["id"]: r["reason"] for r in odd.collect()} == {**dict.fromkeys("1236"), "0": "# lacks n", "4": "its payload is not JSON", "5": "#/n is not one of the listed values"}
+
+
 def test_rule_forms(spark):
     cid = "a" * 64
     config = {"schema": "b" * 64, "rules": {"check": "0xp/checks/size", "with": {"most": 3}}, "types": {"t": {"description": "things", "rules": [cid, {"check": "0xp/checks/size", "with": {"most": 3}}]}, "u": "words"}}
