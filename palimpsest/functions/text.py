@@ -116,19 +116,21 @@ def text_of(payload: Column) -> Column:
     return of(payload)
 
 
-def leaf_rows(payload: Column) -> Column:
-    """The leaves of a JSON payload as an array of path, value (as text) and type, for F.inline(); empty for what isn't JSON."""
+def leaves_of(payload: str | None) -> list[tuple[str, str, str]]:
+    """Path, value (as text) and type of each leaf of a JSON payload; none for what isn't JSON."""
     kinds = {bool: "boolean", int: "number", float: "number", str: "string"}
+    try:
+        return [] if payload is None else [(path, _leaf(v), kinds[type(v)]) for path, v in leaf_items(json.loads(payload))]
+    except (ValueError, RecursionError):
+        return []
 
-    def one(p: str | None) -> list[dict]:
-        try:
-            return [] if p is None else [{"path": path, "value": _leaf(v), "type": kinds[type(v)]} for path, v in leaf_items(json.loads(p))]
-        except (ValueError, RecursionError):
-            return []
+
+def leaf_rows(payload: Column) -> Column:
+    """The leaves of a JSON payload as an array of path, value and type, for F.inline()."""
 
     @F.pandas_udf("array<struct<path: string, value: string, type: string>>")
     def of(payloads: pd.Series) -> pd.Series:
-        return pd.Series([one(p) for p in payloads], dtype=object)
+        return pd.Series([[dict(zip(("path", "value", "type"), x, strict=True)) for x in leaves_of(p)] for p in payloads], dtype=object)
 
     return of(payload)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,6 +40,61 @@ def repo_names(patterns: list[str]) -> list[str] | None:
     return list(dict.fromkeys(p.split("/", 1)[-1] for p in patterns))
 
 
+def expanded(publishers: DataFrame, repos: DataFrame) -> DataFrame:
+    """pattern: each repo of each publisher, from tables of names (publisher; repo)."""
+    # One row: the names of a configuration.
+    names = repos.agg(F.collect_set("repo").alias("repos"))
+    return publishers.select("publisher").distinct().crossJoin(F.broadcast(names)).select("publisher", F.explode("repos").alias("repo")).select(F.concat("publisher", F.lit("/"), "repo").alias("pattern"))
+
+
+def pattern_parts(patterns: DataFrame) -> DataFrame:
+    """pattern, kind (pair, name, star or regex), publisher in lower case, repo, regex, and prefix: what every text that the regular expression finds must begin with, where it says so at its beginning; else null."""
+    p = F.col("pattern")
+    kind = F.when(p == "*", "star").when(F.startswith(p, F.lit("/")), "regex").when(F.contains(p, F.lit("/")), "pair").otherwise("name")
+    inner = F.regexp_replace(F.regexp_replace(p, "^/", ""), "/$", "")
+    begins = F.regexp_extract(inner, r"^\^([\w/-]+)", 1)
+    # A quantifier that allows none takes the last letter; alternatives count only within one group behind the beginning.
+    begins = F.when(F.substring(inner, F.length(begins) + 2, F.lit(1)).isin("*", "?", "{"), F.left(begins, F.length(begins) - 1)).otherwise(begins)
+    sure = ~F.contains(inner, F.lit("|")) | inner.rlike(r"^\^[\w/-]+\([^()]*\)[^()|]*$")
+    return patterns.select(
+        "pattern", kind.alias("kind"),
+        F.when(kind == "pair", F.lower(F.substring_index(p, "/", 1))).alias("publisher"),
+        F.when(kind == "pair", F.substring(p, F.instr(p, "/") + 1, F.length(p))).when(kind == "name", p).alias("repo"),
+        F.when(kind == "regex", inner).alias("regex"),
+        F.when((kind == "regex") & sure & (F.length(begins) > 0), begins).alias("prefix"),
+    ).distinct()
+
+
+def names_in(patterns: DataFrame) -> DataFrame:
+    """repo: the repo names in a table of patterns; none if one of them can match any name."""
+    parts = pattern_parts(patterns)
+    some = parts.agg(F.max(F.col("kind").isin("star", "regex")).alias("some"))  # one row
+    return parts.select("repo").where("repo IS NOT NULL").distinct().crossJoin(F.broadcast(some)).where("NOT some").select("repo")
+
+
+def followed(repos: DataFrame, patterns: DataFrame) -> DataFrame:
+    """publisher and repo of the repos that a table of patterns (pattern) names, each once. Pairs and names are hash joins. Regular expressions that say how a text begins are met by that beginning, cut to each length that occurs, and tried on what they meet; the others are tried on every distinct repo."""
+    parts = pattern_parts(patterns)
+    full = F.concat(F.lower("publisher"), F.lit("/"), F.col("repo"))
+    names = repos.select(*REPO).distinct().withColumn("full", full).withColumn("low", F.lower("publisher"))
+    of = lambda kind: parts.where(F.col("kind") == kind)
+    pairs = names.join(of("pair").select(F.col("publisher").alias("low"), "repo"), ["low", "repo"], "left_semi")
+    bare = names.join(of("name").select("repo"), "repo", "left_semi")
+    one = lambda df, **named: F.broadcast(df.agg(*[c.alias(n) for n, c in named.items()]))  # noqa: E731  a single row
+    star = names.crossJoin(one(of("star"), every=F.count("*"))).where("every > 0")
+    starts = of("regex").where("prefix IS NOT NULL").select("regex", "prefix")
+    cut = names.crossJoin(one(starts, sizes=F.collect_set(F.length("prefix")))).select("*", F.explode("sizes").alias("size")).where(F.length("full") >= F.col("size"))
+    found = cut.withColumn("prefix", F.left("full", F.col("size"))).join(starts, "prefix").where(F.rlike("full", F.col("regex")))
+    rest = names.crossJoin(one(of("regex").where("prefix IS NULL"), all=F.collect_set("regex"))).where(F.exists("all", lambda r: F.rlike("full", r)))
+    every = [df.select(*REPO) for df in (pairs, bare, star, found, rest)]
+    return reduce(DataFrame.unionByName, every).distinct()
+
+
+def by_patterns(log: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The entries of followed repos. Patterns meet repos, of which there are few, and these the log."""
+    return log.join(followed(log, patterns), REPO, "left_semi")
+
+
 def log_range(log: DataFrame, first: int, last: int) -> DataFrame:
     """Entries of the blocks from first to last, both included."""
     return log.where(F.col("t").between(first, last))

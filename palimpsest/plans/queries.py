@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest import model
+from palimpsest.functions import tables
 from palimpsest.functions import text as tx
 from palimpsest.functions import vectors as vx
 from palimpsest.model import KEY, REPO, ZERO_HEAD, table
@@ -474,21 +475,34 @@ _followed(["*"], "TRUE", "pattern_filter_star")
 _followed(["/^u1[0-9]*/(click|view)$/"], "regexp_matches(publisher || '/' || repo, '^u1[0-9]*/(click|view)$')", "pattern_filter_regex")
 
 
-def _names(s, d) -> tuple[list[str], list[str]]:
-    """A catalogue of publishers and repos: 25 and 5 names."""
-    return [r[0] for r in table(s, d, "nation").select("n_name").collect()], [r[0] for r in table(s, d, "region").select("r_name").collect()]
+def _names(s, d) -> tuple[DataFrame, DataFrame]:
+    """A catalogue of publishers and repos."""
+    return table(s, d, "nation").select(F.col("n_name").alias("publisher")), table(s, d, "region").select(F.col("r_name").alias("repo"))
 
 
 @query("SELECT n_name || '/' || r_name AS pattern FROM nation, region")
 def pattern_expand(s, d):
-    publishers, repos = _names(s, d)
-    return s.createDataFrame([(p,) for p in log.patterns_of(publishers=publishers, repos=repos)], "pattern string")
+    return log.expanded(*_names(s, d))
 
 
 @query("SELECT DISTINCT r_name AS repo FROM region")
 def repo_names(s, d):
-    publishers, repos = _names(s, d)
-    return s.createDataFrame([(r,) for r in log.repo_names(log.patterns_of(publishers=publishers, repos=repos)) or []], "repo string")
+    return log.names_in(log.expanded(*_names(s, d)))
+
+
+PATTERNS = """patterns AS (SELECT DISTINCT CASE p_partkey % 5 WHEN 0 THEN 'U' || p_size || '/click' WHEN 1 THEN p_brand WHEN 2 THEN '/^u' || p_size || '[02]?\\/(view|error)$/' WHEN 3 THEN '/' || p_size || '.signup$/' ELSE p_type || '/purchase' END AS pattern FROM part)"""
+
+
+@query(f"""WITH {LOG0}, {PATTERNS}, repos AS (SELECT DISTINCT publisher, repo, publisher || '/' || repo AS name FROM log0),
+hit AS (SELECT DISTINCT publisher, repo FROM repos, patterns WHERE CASE WHEN starts_with(pattern, '/') THEN regexp_matches(name, pattern[2:-2]) WHEN contains(pattern, '/') THEN lower(split_part(pattern, '/', 1)) || substr(pattern, strpos(pattern, '/')) = name ELSE pattern = repo END)
+SELECT pos, publisher, repo FROM log0 SEMI JOIN hit USING (publisher, repo)""")
+def pattern_table(s, d):
+    """What is followed by a table of patterns of all kinds, one for each part."""
+    p, size = table(s, d, "part"), F.col("p_size").cast("string")
+    kind = F.col("p_partkey") % 5
+    pattern = F.when(kind == 0, F.concat(F.lit("U"), size, F.lit("/click"))).when(kind == 1, F.col("p_brand")).when(kind == 2, F.concat(F.lit("/^u"), size, F.lit("[02]?\\/(view|error)$/")))
+    pattern = pattern.when(kind == 3, F.concat(F.lit("/"), size, F.lit(".signup$/"))).otherwise(F.concat("p_type", F.lit("/purchase")))
+    return log.by_patterns(model.update_log(s, d), p.select(pattern.alias("pattern"))).select("pos", *REPO)
 
 
 STITCH = "SELECT publisher, repo, max_by(head, pos) AS head, max(pos) AS pos FROM log WHERE {} GROUP BY ALL"
@@ -799,6 +813,19 @@ def fold_stream(s, d):
     return last.select("user_id", F.get_json_object("state", "$.s").cast("long").alias("state"))
 
 
+@query(f"SELECT s.user_id, s.state, events, clicks FROM ({FOLD.format('TRUE')}) s JOIN (SELECT user_id, count(*) AS events, count(*) FILTER (event_type = 'click') AS clicks FROM events GROUP BY ALL) c USING (user_id)")
+def fold_sql(s, d):
+    """Two folds in one pass, called from SQL as a table function over a partitioned and ordered table."""
+    reducers = {
+        "hash": lambda state, event: {"s": (state.get("s", 7) * 31 + len(event["event_type"])) % 1000003},
+        "clicks": lambda state, event: {"n": state.get("n", 0) + (event["event_type"] == "click")},
+    }
+    tables.register(s, reducers, "fold_hash")
+    e = table(s, d, "events").select("user_id", "event_id", "event_type")
+    found = s.sql("SELECT * FROM fold_hash(TABLE({e}), 'user_id', 'event_id')", e=e)
+    return found.select("user_id", F.get_json_object("hash", "$.s").cast("long").alias("state"), "events", F.get_json_object("clicks", "$.n").cast("long").alias("clicks"))
+
+
 COMMITS = f"WITH {CHANGES}, w AS (SELECT *, lag(cid) OVER (PARTITION BY publisher, repo, id ORDER BY pos) AS was FROM changes)"
 
 
@@ -874,6 +901,14 @@ def leaf_rows(s, d):
     return table(s, d, "events").select("event_id", F.inline(tx.leaf_rows(nested())))
 
 
+@query(SQL["leaf_rows"])
+def leaf_table(s, d):
+    """The same by a table function, called from SQL beside the rows."""
+    tables.register(s)
+    e = table(s, d, "events").select("event_id", nested().alias("payload"))
+    return s.sql("SELECT event_id, path, value, type FROM {e}, LATERAL leaves(payload)", e=e)
+
+
 @query("WITH h AS (SELECT vec_id, embedding[1:16]::DOUBLE[] AS v FROM embeddings) SELECT vec_id, round(v[1] / sqrt(list_inner_product(v, v)), 6) AS first, round(list_aggregate(list_transform(v, lambda x: abs(x)), 'sum') / sqrt(list_inner_product(v, v)), 6) AS total FROM h")
 def matryoshka(s, d):
     m = table(s, d, "embeddings").select("vec_id", vx.matryoshka(F.col("embedding"), 16).alias("v"))

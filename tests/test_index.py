@@ -383,6 +383,19 @@ def test_cards_bind(spark):
     assert [tuple(r) for r in maintain.card_urls(records).collect()] == [("p", "r", "https://x")]
 
 
+def test_pattern_tables(spark):
+    """A table of patterns names what a list of them does, and what says how it begins says it truly."""
+    repos = [("0xAB", "click"), ("0xab", "view"), ("p", "click"), ("abc", "x"), ("abd", "x"), ("q", "ab/c")]
+    log_ = spark.createDataFrame([(i, p, r) for i, (p, r) in enumerate(repos * 2)], "pos long, publisher string, repo string")
+    for patterns in (["0xAb/click"], ["click", "x"], ["*"], ["/^ab/"], ["/^abc*/"], ["/^abc?d/"], ["/^abc|^p/"], ["/^ab(c|d)/"], ["/^abc{0}d/"], ["/iew$/"], ["/^(abc|p)/", "q/ab/c"], [], ["/^0xab\\/v/", "P/click"]):
+        table = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+        got = sorted(r["pos"] for r in log.by_patterns(log_, table).collect())
+        assert got == sorted(r["pos"] for r in log_.where(log.matches(patterns)).collect()), patterns
+        names = log.repo_names(patterns)
+        if patterns:
+            assert sorted(r["repo"] for r in log.names_in(table).collect()) == sorted(names or [])
+
+
 def test_patterns():
     assert log.repo_names(["a/x", "y", "b/x"]) == ["x", "y"] and log.repo_names(["*"]) is None and log.repo_names(["/r/"]) is None
     assert log.patterns_of(["a/b"], ["p"], ["r"]) == ["a/b"] and log.patterns_of(None, ["p", "q"], ["r"]) == ["p/r", "q/r"] and log.patterns_of(repos=["r"]) == ["r"]
