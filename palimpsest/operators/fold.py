@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.model import KEY, REPO
 from palimpsest.operators.log import matches
+from palimpsest.operators.numbering import numbered
 
 
 def events(log: DataFrame, patterns: list[str], first: int = 0, last: int | None = None) -> DataFrame:
@@ -81,6 +82,19 @@ def metering(rows: DataFrame, amount: str, payer: str, payload: str | None = Non
     return rows.groupBy(*(by or [])).agg(F.count("*").alias("n"), F.sum(amount).alias("total"), F.countDistinct(payer).alias("payers"), *more)
 
 
+def growth(changes: DataFrame, sizes: list[int]) -> DataFrame:
+    """How an index grows with those whom it follows: for each number n of publishers, taken in the order in which they first came, followers (fewer, if there are not so many), commits, records there are at the end, embeds (puts of another version than before, which a follower embeds), and reverted (changes that change nothing). One pass for all numbers: a change counts for every n that its publisher is among."""
+    came = changes.groupBy("publisher").agg(F.min("pos").alias("first"))
+    order = numbered(came, ["first", "publisher"], "number")
+    was = F.lag(F.when(F.col("op") == "put", F.col("cid"))).over(Window.partitionBy(*KEY).orderBy("pos"))
+    real = F.when(F.col("op") == "put", ~F.col("cid").eqNullSafe(F.col("was"))).otherwise(F.col("was").isNotNull())
+    last = F.lead("pos").over(Window.partitionBy(*KEY).orderBy("pos")).isNull() & (F.col("op") == "put")
+    told = changes.withColumn("was", was).withColumn("last", last).withColumn("real", real)
+    each = told.groupBy("publisher").agg(F.count("*").alias("commits"), F.count_if("last").alias("records"), F.count_if(F.col("real") & (F.col("op") == "put")).alias("embeds"), F.count_if(~F.col("real")).alias("reverted"))
+    among = each.join(order, "publisher").withColumn("n", F.explode(F.array(*[F.lit(n) for n in sizes]))).where(F.col("number") < F.col("n"))
+    return among.groupBy("n").agg(F.count("*").alias("followed"), *[F.sum(c).alias(c) for c in ("commits", "records", "embeds", "reverted")])
+
+
 def state_hash(state: object) -> str:
     """A name for a state: whoever folds the same log by the same rules gets the same one."""
     return hashlib.sha256(json.dumps(state, sort_keys=True, separators=(",", ":"), default=str).encode()).hexdigest()[:16]

@@ -14,6 +14,10 @@ from palimpsest.model import KEY, REPO
 MAX_CARD = 64 * 1024
 
 
+#: Texts that are embedded together.
+BATCH = 32
+
+
 class HashedWords:
     """An embedder without a model: words hashed into dimensions. Texts that share words are near. id names the space."""
 
@@ -44,11 +48,13 @@ def missing_vectors(records: DataFrame, vectors: DataFrame, most: int, allowed:
 
 
 def embed_missing(records: DataFrame, vectors: DataFrame, embedder, most: int, allowed: DataFrame | None = None) -> DataFrame:
-    """vectors and those of up to `most` more records."""
+    """vectors and those of up to `most` more records. Texts go to the embedder in batches of its own size (its attribute batch, BATCH without one): a quantized model may give a text another vector in other company, and then asks for 1."""
+    size = max(1, getattr(embedder, "batch", BATCH))
 
     @F.pandas_udf("array<float>")
     def embedded(texts: pd.Series) -> pd.Series:
-        return pd.Series(embedder.embed([t or "" for t in texts]))
+        every = [t or "" for t in texts]
+        return pd.Series([v for at in range(0, len(every), size) for v in embedder.embed(every[at : at + size])], dtype=object)
 
     batch = missing_vectors(records, vectors, most, allowed).select("rowseq", embedded("text").alias("vec"))
     return vectors.where("vec IS NOT NULL").select("rowseq", "vec").unionByName(batch)

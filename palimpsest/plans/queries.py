@@ -435,6 +435,16 @@ def metering(s, d):
     return fold.metering(e, "value", "user_id", "props", F.col("event_type") == "error", ["t"]).withColumn("total", F.round("total", 4))
 
 
+@query(f"""WITH {CHANGES}, w AS (SELECT *, lag(cid) OVER (PARTITION BY publisher, repo, id ORDER BY pos) AS was, lead(pos) OVER (PARTITION BY publisher, repo, id ORDER BY pos) IS NULL AS last FROM changes),
+came AS (SELECT publisher, row_number() OVER (ORDER BY min(pos), publisher) AS number FROM changes GROUP BY publisher),
+sizes AS (SELECT unnest([8, 32, 96]) AS n)
+SELECT n, count(DISTINCT w.publisher) AS followed, count(*) AS commits, count(*) FILTER (last AND op = 'put') AS records, count(*) FILTER (op = 'put' AND cid IS DISTINCT FROM was) AS embeds,
+count(*) FILTER (op = 'put' AND cid IS NOT DISTINCT FROM was OR op = 'delete' AND was IS NULL) AS reverted FROM w JOIN came USING (publisher) JOIN sizes ON number <= n GROUP BY n""")
+def growth(s, d):
+    """What an index of 8, 32 and 96 publishers costs."""
+    return fold.growth(model.changes(s, d), [8, 32, 96])
+
+
 # Log and stitches. Where a query has an earlier point, it is the middle of the log, whatever its length; END is its end.
 
 END = "(SELECT max(event_id) FROM events)"

@@ -14,9 +14,10 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.operators import gate, maintain, search
+from palimpsest.operators import fulltext, gate, maintain, search
 from palimpsest.operators import log as ops_log
 from palimpsest.operators.log import matches, patterns_of, repo_names
+from palimpsest.operators.rules import listed
 from palimpsest.sources.store import Blobs
 
 MAX_FILE = 5 << 20
@@ -45,6 +46,9 @@ class Config:
     publisher: str | None = None
     name: str = "index"
     instructions: str | None = None
+    network: str | None = None
+    schema: dict | str | None = None
+    rules: list = field(default_factory=list)
 
     @property
     def patterns(self) -> list[str]:
@@ -85,7 +89,7 @@ def follows(patterns: list[str], publisher: str | None, repo: str) -> bool:
 
 @dataclass
 class Index:
-    """An index to serve: records with rowseq, vectors, verdicts and their checker, an embedder for queries, blobs, the changes of the log for reads past the index, postings and lengths for full text, repos with their cards, and how to publish."""
+    """An index to serve: records with rowseq, vectors, verdicts and their checker, an embedder for queries, blobs, the changes of the log for reads past the index, a kept full-text index, or postings and lengths, repos with their cards, and how to publish."""
 
     spark: SparkSession
     records: DataFrame
@@ -95,7 +99,7 @@ class Index:
     embedder: Any = None
     blobs: Blobs | None = None
     changes: DataFrame | None = None
-    postings: tuple[DataFrame, DataFrame] | None = None
+    postings: fulltext.Kept | tuple[DataFrame, DataFrame] | None = None
     repos: DataFrame | None = None
     publish: Callable[[dict], dict] | None = None
 
@@ -225,6 +229,25 @@ def tools_of(own: list[Tool] | None = None, types: list[str] | None = None, conf
     return found
 
 
+def index_of(config: Config, spark: SparkSession, store: Any, embedder: Any = None, changes: DataFrame | None = None, checks: tuple[gate.Checks, dict[str, gate.Checks]] | None = None, own: list[Tool] | None = None) -> tuple[Index, dict[str, Tool]]:
+    """What a configuration serves from a store, and its tools: repos with their cards, or records with their vectors, their kept full text where it is saved, and, with checks, behind their gate."""
+    tools = tools_of(own, config=config)
+    if config.index == "repos":
+        repos = store.table("repos")
+        if repos is None:
+            raise LookupError("the store has no repos")
+        return Index(spark, records=store.table("records"), embedder=embedder, changes=changes, repos=repos), tools
+    records, gates = store.table("records"), gate.gates_of(*checks) if checks else None
+    if records is None:
+        raise LookupError("the store has no records")
+    verdicts = store.table("verdicts") if gates else None
+    if gates and verdicts is None:  # nothing is checked yet, so nothing is served
+        verdicts = records.where(F.lit(False)).select("publisher", "repo", "id", "cid", F.lit("").alias("checker"), F.lit(None).cast("string").alias("reason"))
+    checker = gate.checker_of(F.col("type"), gates.by_type, gates.other) if gates else None
+    kept = fulltext.Kept(store.table) if store.table("fts_sizes") is not None else None
+    return Index(spark, records, store.table("vectors"), verdicts, checker, embedder, changes=changes, postings=kept), tools
+
+
 def dispatch(index: Index, message: dict, tools: dict[str, Tool], name: str = "index", instructions: str | None = None) -> dict | None:
     """The answer to a JSON-RPC message; None for notifications. A tool that fails answers with its error."""
     if "id" not in message:
@@ -396,5 +419,5 @@ class ViewCache:
 
 def manifest(config: Config, base_url: str, tools: dict[str, Tool]) -> dict:
     """What an index is and how to use it."""
-    out = {"name": config.name, "index": config.index, "repos": repo_names(config.patterns) or [], "types": config.types, "tools": list(tools), "search": f"{base_url}/search", "view": f"{base_url}/view.json"}
+    out = {"name": config.name, "network": config.network, "schema": config.schema, "rules": listed(config.rules), "index": config.index, "repos": repo_names(config.patterns) or [], "types": config.types, "tools": list(tools), "search": f"{base_url}/search", "view": f"{base_url}/view.json"}
     return {**out, **({"publish": f"{base_url}/publish", "connect": f"{base_url}/connect"} if config.publish_repos else {})}

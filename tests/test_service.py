@@ -4,10 +4,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from palimpsest.operators import gate
+from palimpsest import model
+from palimpsest.operators import fulltext, gate, maintain
 from palimpsest.operators.maintain import HashedWords
 from palimpsest.plans import service as s
-from palimpsest.sources.store import Blobs, MemoryStore, Stitch
+from palimpsest.sources.store import Blobs, MemoryStore, SnapshotStore, Stitch
+
+D = "/root/testdata/sf0.001"
 
 
 @pytest.fixture(scope="module")
@@ -148,3 +151,42 @@ def test_config(spark):
     assert s.read_config('{"follow": ["0xa/v"], "publish_view": "v", "publisher": "0xb"}').publish_view == "v"  # another's repo of this name
     assert s.read_config('{"repos": ["a"]}', {"INDEX_PUBLISH_PER_DAY": "7", "INDEX_NAME": "mine"}).publish_per_day == 7
     assert "connect" in s.manifest(s.Config(publish_repos=["a"]), "u", {}) and "connect" not in s.manifest(s.Config(), "u", {})
+
+
+def test_index_of_a_configuration(spark, tmp_path):
+    """The configuration says which index is served; a gate shows nothing before it has been checked."""
+
+    class Batches:
+        """An embedder whose vectors say how many texts came together."""
+
+        id, batch = "batches", 2
+
+        def embed(self, texts):
+            return [[float(len(texts)), 1.0] for _ in texts]
+
+        def query(self, text):
+            return [1.0, 1.0]
+
+    store = SnapshotStore(spark, str(tmp_path / "s"))
+    records = spark.createDataFrame([(i, "p", "r", str(i), f"c{i}", "note", json.dumps({"text": f"alpha {i}"}), f"alpha {i}") for i in range(6)], "rowseq long, publisher string, repo string, id string, cid string, type string, payload string, text string")
+    with pytest.raises(LookupError):
+        s.index_of(s.Config(), spark, store)
+    none = records.limit(0).select("rowseq", F.lit(None).cast("array<float>").alias("vec"))
+    embedder = Batches()
+    store.save(Stitch("r", 1, ["*"]), {"records": records, "vectors": maintain.embed_missing(records, none, embedder, 100), **fulltext.built(records)})
+    index, tools = s.index_of(s.Config(types=["note"]), spark, store, embedder)
+    assert isinstance(index.postings, fulltext.Kept) and [r["id"] for r in tools["search"].run(index, {"query": "alpha 3", "mode": "lexical", "k": 1})] == ["3"]
+    assert store.table("vectors").where("vec[0] <= 2").count() == 6  # the embedder never saw more than two at once
+    checks = gate.Checks({"required": ["text"]}), {}
+    gated, _ = s.index_of(s.Config(), spark, store, embedder, checks=checks)
+    assert gated.served().count() == 0
+    store.save(Stitch("r", 1, ["*"]), {"verdicts": gate.check_missing(records, gated.verdicts, gated.checker, *checks)})
+    assert s.index_of(s.Config(), spark, store, embedder, checks=checks)[0].served().count() == 6
+    with pytest.raises(LookupError):
+        s.index_of(s.Config(index="repos"), spark, store)
+    store.save(Stitch("r", 1, ["*"]), {"repos": model.repos(spark, D)})
+    index, tools = s.index_of(s.Config(index="repos"), spark, store, embedder)
+    assert list(tools) == ["find", "repo", "read"] and len(tools["find"].run(index, {"k": 3})) == 3
+    said = s.manifest(s.Config(network="net", schema={"type": "object"}, rules="x"), "u", tools)
+    assert said["network"] == "net" and said["schema"] == {"type": "object"} and said["rules"] == ["x"]
+
