@@ -1,19 +1,20 @@
 """Secret scans. Three patterns find what looks like a secret anywhere; values in the context of credentials are also weighed by how many guesses an attacker would need.
 
-The guess cost of a value, in bits, is the least cost of cutting it into known words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over its positions. A value of at least MIN_BITS is a secret. Words are ranked: parts of common passwords first, then the whole words of a public tokenizer's vocabulary, whose order is that of their frequency. Its path is a parameter.
+The guess cost of a value, in bits, is the least cost of cutting it into known words, dates, repeats, keyboard walks and brute-force spans, found by dynamic programming over its positions. Two kinds of spans are cheap as anyone knows them: separators between words, and what stands in place of a secret: addresses without credentials, references to variables, and blanks to fill in. A value of at least MIN_BITS is a secret. Words are ranked: parts of common passwords first, then the words of a public tokenizer's vocabulary, whose order is that of their frequency; and those, and pieces of words, of a vocabulary for many languages, at the same rank of its own. The paths are parameters.
 
-A walk or a repeat of more than LONGEST characters ends where it can't go on. So a position has a bounded number of steps, and time is linear in the length of a value; positions that cost as much as a secret already are not followed further.
+Every cut is considered, at whatever length. A walk or a repeat is only begun where none that began before in the same stretch is as good for all that follow, so that few places of a long stretch begin one; their ends are filled in by array operations. Positions that cost as much as a secret already are not followed further.
 
 Null and empty texts have no spans. Whole texts and whole values are scanned, however long. Spans that start at one place are in the order of their kinds; a value of exactly MIN_BITS is a secret. Repeated rows get equal results, other columns play no part, and an empty table gives an empty result. Each row is scanned on its own, so nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
-import heapq
 import json
 import math
 import re
+from array import array
 from functools import cache
 
 import numpy as np
@@ -44,27 +45,59 @@ LEET = str.maketrans("013457@$!", "oieastasi")
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./", "abcdefghijklmnopqrstuvwxyz", "01234567890")
 NEXT = {a + b for row in ROWS for a, b in zip(row, row[1:], strict=False)} | {b + a for row in ROWS for a, b in zip(row, row[1:], strict=False)}
 DATE = re.compile(r"(?:19|20)\d\d(?:[-/._]?(?:0[1-9]|1[0-2])(?:[-/._]?(?:0[1-9]|[12]\d|3[01]))?)?|(?:0[1-9]|[12]\d|3[01])[-/._]?(?:0[1-9]|1[0-2])[-/._]?(?:19|20)?\d\d")
-#: Characters of the longest word, and of a walk or repeat that can end before it must.
-LONGEST = 24
 DATES = math.log2(150 * 12 * 31)
+#: Bits of a character between words.
+SEPARATORS, SEPARATOR = "-_./:", math.log2(5)
+#: What stands in place of a secret, and the bits that it takes to guess which: an address without credentials, query or long numbers; a reference to a variable; a blank to fill in.
+SHAPES = [
+    (re.compile(r"[a-z][a-z0-9+]{1,9}://[A-Za-z][A-Za-z.-]*(?::\d{2,5})?(?:/[A-Za-z._-]*)*(?![A-Za-z0-9@?#&=%+:/])"), 24.0),
+    (re.compile(r"(?:process\.env|os\.environ|os\.getenv|env|config|settings|secrets|vars|self|this)(?:[.\[(]+[\"']?[A-Za-z_]+[\"']?[\])]*)+(?![A-Za-z0-9])"), 20.0),
+    (re.compile(r"\$(?:[A-Za-z_]+|\{[A-Za-z_.]+\}|\([A-Za-z_. -]+\))(?![A-Za-z0-9])"), 16.0),
+    (re.compile(r"<[A-Za-z_. -]+>|\{\{?[A-Za-z_. -]+\}?\}|%[A-Za-z_]+%"), 16.0),
+]
 #: adjacent[a, b]: whether two characters, as code points below 128, are neighbours on a keyboard or in order.
 ADJACENT = np.zeros((128, 128), bool)
 for _a, _b in NEXT:
     ADJACENT[ord(_a), ord(_b)] = True
 
 
+def _words_of(path: str) -> list[str]:
+    """Words of a vocabulary in its order: of a JSON file of the tokenizers library those whose end is marked, of a file of ranks all of letters, without the blank before them."""
+    if path.endswith(".json"):
+        with open(path, encoding="utf-8") as f:
+            ids = json.load(f)["model"]["vocab"]
+        found = [t.removesuffix("</w>") for t in sorted(ids, key=ids.get) if t.endswith("</w>")]
+    else:
+        with open(path, "rb") as f:
+            tokens = [base64.b64decode(line.split()[0]) for line in f if line.strip()]
+        found = [t.decode("utf-8", "replace").removeprefix(" ").lower() for t in tokens]
+    return [w for w in found if len(w) >= 3 and w.isascii() and w.isalpha()]
+
+
 @cache
-def dictionary(vocabulary: str | None = None) -> dict[str, int]:
-    """The rank of each known word, from 1. vocabulary: a file of the tokenizers library whose word ends are marked; None for the public word vocabulary."""
-    if vocabulary is None:
+def dictionary(*vocabularies: str) -> dict[str, int]:
+    """The rank of each known word, from 1, the least of those it has. vocabularies: files of the tokenizers library, or of ranks; by default the public word vocabulary and that for many languages. A word of a second vocabulary takes as many more guesses as it comes later, and one bit, as an attacker tries both."""
+    if not vocabularies:
         import public_tokenizers
 
-        vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    with open(vocabulary, encoding="utf-8") as f:
-        ids = json.load(f)["model"]["vocab"]
-    words = [t.removesuffix("</w>") for t in sorted(ids, key=ids.get) if t.endswith("</w>")]
-    ranked = [*COMMON, *[w for w in words if 3 <= len(w) <= LONGEST and w.isascii() and w.isalpha()]]
-    return {w: i for i, w in reversed(list(enumerate(ranked, 1)))}
+        vocabularies = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    out: dict[str, int] = {}
+    for n, path in enumerate(vocabularies):
+        for i, w in enumerate([*(COMMON if n == 0 else []), *_words_of(path)], 1):
+            out[w] = min(out.get(w, i << n), i << n)
+    return out
+
+
+class Lexicon:
+    """All beginnings, from three letters on, of the words of a dictionary."""
+
+    held: tuple[dict[str, int], set[str]] | None = None
+
+    @classmethod
+    def of(cls, words: dict[str, int]) -> set[str]:
+        if cls.held is None or cls.held[0] is not words:
+            cls.held = words, {w[:k] for w in words for k in range(3, len(w) + 1)}
+        return cls.held[1]
 
 
 def alphabet(value: str) -> float:
@@ -72,14 +105,10 @@ def alphabet(value: str) -> float:
     return math.log2(sum(n for pattern, n in (("[a-z]", 26), ("[A-Z]", 26), ("[0-9]", 10), ("[^A-Za-z0-9]", 33)) if re.search(pattern, value)) or 1)
 
 
-class Runs:
-    """How far neighbours agree: ends(i) is the first place behind i whose pair is broken."""
-
-    def __init__(self, holds: np.ndarray) -> None:
-        self.breaks = np.append(np.flatnonzero(~holds), len(holds))
-
-    def end(self, i: int) -> int:
-        return int(self.breaks[np.searchsorted(self.breaks, i)])
+def ends(holds: np.ndarray) -> list[int]:
+    """For each place, and the one behind the last, the first at or behind it whose pair is broken."""
+    breaks = np.append(np.flatnonzero(~holds), len(holds))
+    return breaks[np.searchsorted(breaks, np.arange(len(holds) + 1))].tolist()
 
 
 def guess_bits(value: str, words: dict[str, int] | None = None, enough: float = math.inf) -> float:
@@ -87,45 +116,77 @@ def guess_bits(value: str, words: dict[str, int] | None = None, enough: float =
     if not value:
         return 0.0
     words = dictionary() if words is None else words
+    begins = Lexicon.of(words)
     lower, plain, each, n = value.lower(), value.lower().translate(LEET), alphabet(value), len(value)
     if len(lower) != n:  # so that places hold
         lower = plain = value
     codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), "<u4")
     low = np.minimum(np.frombuffer(lower.encode("utf-32-le", "surrogatepass"), "<u4"), 127)
-    walks = Runs(ADJACENT[low[:-1], low[1:]])
-    repeats = [Runs(codes[size:] == codes[:-size]) for size in range(1, 5) if size < n]
-    best, queue = {0: 0.0}, [0]
+    walks = ends(ADJACENT[low[:-1], low[1:]])
+    repeats = [(size, ends(codes[size:] == codes[:-size]), 3 if size == 1 else 2) for size in range(1, 5) if size < n]
+    best = array("d", [math.inf]) * (n + 1)
+    filled = np.frombuffer(best)  # the same numbers, for operations on many
+    best[0], last = 0.0, 0
+    begun: dict[tuple, list[tuple[int, float]]] = {}
 
     def step(j: int, bits: float) -> None:
-        if bits < best.get(j, math.inf):
-            if j not in best:
-                heapq.heappush(queue, j)
+        nonlocal last
+        if bits < best[j]:
             best[j] = bits
-
-    while queue:
-        i = heapq.heappop(queue)
-        here = best.pop(i) if i < n else best[n]
-        if i == n or here >= enough and queue:
+            if bits < enough and j > last:
+                last = j
+
+    def fill(places: slice, bits: np.ndarray) -> None:
+        """bits: ascending, so that those below `enough` come first."""
+        nonlocal last
+        np.minimum(filled[places], bits, out=filled[places])
+        live = int(np.searchsorted(bits, enough))
+        if live:
+            last = max(last, places.start + (live - 1) * (places.step or 1))
+
+    def worth(stretch: tuple, i: int, here: float, shortest: int) -> bool:
+        """Whether no step that began before in a stretch is as good at all its places: it costs more by a part that is the largest for the shortest step."""
+        held = begun.setdefault(stretch, [])
+        for a, bits in held:
+            if here >= bits + math.log2((i - a + shortest) / shortest):
+                return False
+        held.append((i, here))
+        return True
+
+    i = -1
+    while i < min(last, n - 1):
+        i += 1
+        here = best[i]
+        if here >= enough:
             continue
-        if here >= enough:  # all ways lead here
-            return here
-        step(i + 1, here + each)
-        for j in range(i + 3, min(n, i + LONGEST) + 1):
-            rank = words.get(lower[i:j]) or words.get(plain[i:j])
-            if rank:
-                changed = (lower[i:j] != value[i:j]) + (plain[i:j] != lower[i:j])
+        if here + each < best[i + 1]:
+            step(i + 1, here + each)
+        j = i + 3
+        while j <= n and ((x := lower[i:j]) in begins or plain[i:j] in begins):
+            if rank := words.get(x) or words.get(plain[i:j]):
+                changed = (x != value[i:j]) + (plain[i:j] != x)
                 step(j, here + math.log2(rank) + 1 + 2 * changed)
-        if date := DATE.match(value, i):
+            j += 1
+        c = value[i]
+        if c in SEPARATORS and i:
+            step(i + 1, here + SEPARATOR)
+        if c in "0123456789" and (date := DATE.match(value, i)):
             step(date.end(), here + DATES)
-        end = walks.end(i) + 1 if i < n - 1 else i + 1
-        for j in (*range(i + 3, min(end, i + LONGEST) + 1), *([end] if end > i + LONGEST else [])):
-            step(j, here + math.log2(len(NEXT)) + math.log2(j - i))
-        for size, run in enumerate(repeats, 1):  # the unit by brute force, then how often
-            if i + size < n:
-                most = (run.end(i) + size - i) // size
-                for times in (*range(3 if size == 1 else 2, min(most, LONGEST // size) + 1), *([most] if most > LONGEST // size else [])):
-                    step(i + size * times, here + size * each + math.log2(times))
-    return best.get(n, enough)
+        if c in "$<{%" or not i or not value[i - 1].isalnum():
+            for shape, bits in SHAPES:
+                if found := shape.match(value, i):
+                    step(found.end(), here + bits)
+        end = walks[i] + 1
+        if end >= i + 3 and i < n - 1 and worth(("walk", end), i, here, 3):
+            fill(slice(i + 3, end + 1), here + math.log2(len(NEXT)) + np.log2(np.arange(3, end - i + 1)))
+        for size, run, least in repeats:  # the unit by brute force, then how often
+            if i + size < n and run[i] - i >= size * (least - 1):
+                most = (run[i] + size - i) // size
+                if worth((size, run[i], i % size), i, here, size * least):
+                    fill(slice(i + size * least, i + size * most + 1, size), here + size * each + np.log2(np.arange(least, most + 1)))
+    if best[n] < math.inf:
+        return best[n]
+    return float(filled[(filled >= enough) & (filled < math.inf)].min())  # so much at least, as all ways lead past such places
 
 
 def spans(text: str | None, min_bits: float = MIN_BITS) -> list[tuple[str, int, int]]:

@@ -330,12 +330,15 @@ def cheapest(value, words):
     each = secrets.alphabet(value)
     near = lambda x: all(a + b in secrets.NEXT for a, b in zip(x.lower(), x.lower()[1:]))
 
-    def of(x):
+    def of(x, at):
         costs = [len(x) * each]
         for form, bits in ((x, 0), (x.lower(), 2), (x.lower().translate(secrets.LEET), 2 + 2 * (x != x.lower()))):
             if form in words and form in (x.lower(), x.lower().translate(secrets.LEET)):
                 costs.append(math.log2(words[form]) + 1 + bits)
-        if secrets.DATE.match(x) and secrets.DATE.match(x).end() == len(x):
+        if at and x in secrets.SEPARATORS and len(x) == 1:
+            costs.append(secrets.SEPARATOR)
+        costs += [bits for shape, bits in secrets.SHAPES if (m := shape.match(value, at)) and m.end() == at + len(x) and (x[0] in "$<{%" or not at or not value[at - 1].isalnum())]
+        if (m := secrets.DATE.match(value, at)) and m.end() == at + len(x):
             costs.append(math.log2(150 * 12 * 31))
         if len(x) >= 3 and near(x):
             costs.append(math.log2(len(secrets.NEXT)) + math.log2(len(x)))
@@ -346,7 +349,7 @@ def cheapest(value, words):
         return min(costs)
 
     cuts = lambda x: [[x], *[[x[:k], *rest] for k in range(1, len(x)) for rest in cuts(x[k:])]] if x else [[]]
-    return min(sum(map(of, c)) for c in cuts(value))
+    return min(sum(of(x, sum(map(len, c[:k]))) for k, x in enumerate(c)) for c in cuts(value))
 
 
 @given(st.lists(st.sampled_from(["pass", "Pass", "p4ss", "word", "a", "aa", "abab", "qwe", "123", "Z", "#", "x9"]), max_size=4).map("".join))
@@ -370,6 +373,48 @@ def test_guess_cost_of_long_values():
     assert time.perf_counter() - start < 30
 
 
+def least_of(value, words):
+    """The same for long values, by all spans that begin at each place."""
+    each, n = secrets.alphabet(value), len(value)
+    low, best = value.lower(), [0.0] + [math.inf] * len(value)
+    for i in range(n):
+        best[i + 1] = min(best[i + 1], best[i] + each)
+        for j in range(i + 1, n + 1):
+            x = value[i:j]
+            if low[i:j] in words:
+                best[j] = min(best[j], best[i] + math.log2(words[low[i:j]]) + 1 + 2 * (x != low[i:j]))
+            if j - i >= 3 and all(a + b in secrets.NEXT for a, b in zip(low[i:j], low[i + 1 : j], strict=False)):
+                best[j] = min(best[j], best[i] + math.log2(len(secrets.NEXT)) + math.log2(j - i))
+            for size in range(1, 5):
+                times = (j - i) // size
+                if times >= (3 if size == 1 else 2) and x == x[:size] * times:
+                    best[j] = min(best[j], best[i] + size * each + math.log2(times))
+    return best[n]
+
+
+@given(st.lists(st.tuples(st.sampled_from(["a", "ab", "qw", "qwe", "abc", "asdf", "x", "zaq", "pass", "Qw"]), st.integers(1, 14)), min_size=1, max_size=4))
+def test_guess_cost_of_long_stretches(parts):
+    """Walks and repeats of more than a few dozen characters are cut wherever it is cheapest, among them inside of a word that is cheap."""
+    value, words = "".join(u * n for u, n in parts)[:90], {"pass": 1, "abcabc": 1, "qwq": 2, "asdfasdfasdf": 3, "werty": 4}
+    assert secrets.guess_bits(value, words) == pytest.approx(least_of(value, words))
+
+
+def test_no_secrets_in_references():
+    """Words of other languages, blanks, references and addresses are no secrets; what is added to them may be."""
+    for text in ("credential: responsabilidad", "passphrase: confidentialite", "passphrase = your-secret-key-goes-here", "access_key = process.env.DATABASE_URL", "credentials: https://example.com/path/to/page",
+                 "api_key: ${SERVICE_API_KEY}", "client-secret: <your client secret>", "access_key = {{vault.access_key}}", "auth_key=os.environ['AUTH_KEY']", "private_key = config.keys.private", "pwd: %PASSWORD%"):
+        assert not [s for s in secrets.spans(text) if s[0] == "guess"], text
+    for text in ("credentials: https://me:Xk29fQzvwTrpm@example.com/", "access_key = process.env.X9kQz72mLpVt4", "passphrase: geheim-X9kQz72mLpVt4", "access_key: ${X9kQz72mLpVt4}", "credential = https://example.com/x?sig=Xk29fQzvwTrpm81"):
+        assert [s for s in secrets.spans(text) if s[0] == "guess"], text
+
+
+def test_guesses_beside_base_spans():
+    """The method finds places that no pattern of the base has."""
+    text = "passphrase: X9#kQz!72mLp and authorization: Bearer Zk8vQ2pL0sRt5 end"
+    found = secrets.spans(text)
+    assert [k for k, _, _ in found] == ["guess", "guess"] and not [s for s in found if s[0] != "guess"]
+
+
 def test_no_secrets_in_prose():
     for text in ("passphrase: understanding", "auth_key: unfortunately", "credential: everythings", "pwd = correcthorse", "The password: whatever you like, the token = something else", "Passcode: January2024"):
         assert not [s for s in secrets.spans(text) if s[0] == "guess"], text
