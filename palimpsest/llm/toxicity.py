@@ -2,7 +2,7 @@
 
 Features of a sentence are its lower-case words and their first letters. The classifier is fitted on a bounded sample of labelled documents (at most MAX_TOXIC and MAX_CLEAN, chosen by a hash, either kind weighted back to its share); everything is scored.
 
-Null and empty texts have no sentence and score 0, so predicted is 0. Whole texts are scored, however long. Other columns play no part, and a score of exactly one half counts as toxic. Rows that share a key share a label, toxic if any of them is. Without toxic labels all scores are 0. Repeated rows get equal scores; an empty table gives an empty result.
+Null and empty texts have no sentence and score 0, so predicted is 0. Whole texts are scored, however long. Other columns play no part, and a score of exactly one half counts as toxic. Rows that share a key share a label, toxic if any of them is; one of their texts is learnt from, the first by a hash. Without toxic labels all scores are 0. Repeated rows get equal scores; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -139,7 +139,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counts = {r["y"]: r["n"] for r in by_key.groupBy("y").agg(F.count("*").alias("n")).collect()}
     some = lambda y, n: by_key.where(F.col("y") == y).orderBy(F.xxhash64("key"), "key").limit(n)
     sample = some(1, max_toxic).unionByName(some(0, max_clean))
-    sample = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(sample), "key").dropDuplicates(["key"])
+    sample = docs.select(docs[key].alias("key"), docs[text].alias("text")).join(F.broadcast(sample), "key")
+    # Of the texts of one key the first by a hash, so that training again gives the same model.
+    sample = sample.groupBy("key", "y").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     clean_weight, toxic_weight = max(1.0, counts.get(0, 0) / max_clean), max(1.0, counts.get(1, 0) / max_toxic)
 
     def learn(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

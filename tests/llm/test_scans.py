@@ -58,6 +58,17 @@ def test_toxicity_edges(spark):
     assert odd(spark).select(toxicity.scores(F.col("text"), none).alias("s")).where("s.score = 0").count() == len(ODD)
 
 
+def test_toxicity_of_keys_with_several_texts(spark):
+    """The same model however rows are dealt, whatever columns of the same names there are beside; none from empty tables."""
+    rows = [(i, f"you are {'vile scum' if i % 3 == 0 else 'kind people'} number {k}", "x", 1) for i in range(40) for k in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, key string, y int")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0), 5) for i in range(40)], "doc_id long, toxic int, y int")
+    one, two = toxicity.train(docs.repartition(1), labels), toxicity.train(docs.orderBy(F.desc("text")).repartition(7), labels)
+    assert one.weights == two.weights and one.bias == two.bias and one.score("vile scum")[0] > 0.5 > one.score("kind people")[0]
+    assert toxicity.train(docs.limit(0), labels).score("vile scum")[0] == 0 == toxicity.train(docs, labels.limit(0)).score("vile scum")[0]
+    assert docs.limit(0).select(toxicity.scores(F.col("text"), one).alias("s")).count() == 0
+
+
 def test_toxicity_of_a_larger_table(spark):
     """Beyond the bounds of the sample both kinds keep their share: a table copied 100 times gives a model as good as the table itself."""
     d = "/root/testdata/sf0.01"
