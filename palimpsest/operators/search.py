@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +42,21 @@ def filters(publisher: list[str] | None = None, repo: list[str] | None = None, t
     return kept
 
 
+def _among(df: DataFrame, keys: DataFrame | None) -> DataFrame:
+    return df if keys is None else df.join(keys, "rowseq", "left_semi")
+
+
+def _of_records(make: Callable[[DataFrame | None], DataFrame], records: DataFrame, keys: DataFrame | None) -> DataFrame:
+    """A top list (rowseq, score) of records alone. make: gives it, from among these rowseqs, or of all."""
+    if keys is not None:
+        return make(keys)
+    found = make(None)
+    rows = found.collect()
+    named = [r["rowseq"] for r in rows]
+    there = {r["rowseq"] for r in records.where(F.col("rowseq").isin(named)).select("rowseq").collect()}
+    return records.sparkSession.createDataFrame(rows, found.schema) if there >= set(named) else make(records.select("rowseq"))
+
+
 def search(
     records: DataFrame, vectors: DataFrame | None, query: str, vector: list[float] | None, k: int = 10, mode: str = "hybrid", where: Column | None = None, allowed: DataFrame | None = None, rrf_score: bool = True, payload_text: bool = False,
     pool: int | None = None, index: Kept | tuple[DataFrame, DataFrame] | None = None,
@@ -48,25 +65,31 @@ def search(
 
     records: with rowseq; vectors: rowseq and vec. where: an exact filter; allowed: rowseqs that a gate lets in. Both come before ranks, but not before the statistics of full text. rrf_score: scores of a single list are 1 / (60 + rank) too; else the cosine or BM25 score itself. payload_text: full text reads the payload's text first. pool: how many of each list are fused; at least k and 50 unless it is given. index: a kept full-text index, or postings and lengths, so that no text is read.
 
-    Vectors and full text are of the records that there are: only a filter or a gate joins them with records. The k best are known before records are read, so that all else is left out of the scan.
+    Only a filter or a gate joins vectors and full text with records. Without either a list is made first, and its rows, a pool at most, are looked up; only if one of them is no record (any more) is the list made anew from a join. The k best are known before records are read, so that all else is left out of the scan.
     """
     mode = mode if mode in ("semantic", "lexical") else "hybrid"
     kept = records if where is None else records.where(where)
     if allowed is not None:
         kept = kept.join(allowed, "rowseq", "left_semi")
     keys, pool = None if where is None and allowed is None else kept.select("rowseq"), pool or max(k, POOL)
-    among = lambda df: df if keys is None else df.join(keys, "rowseq", "left_semi")
     lists = []
     if mode != "lexical" and vectors is not None and vector is not None:
-        scored = among(vectors.where("vec IS NOT NULL")).select("rowseq", cosine(F.col("vec"), vector).alias("score"))
-        lists.append(ranked(top(scored, pool, "rowseq"), "rowseq"))
+
+        def semantic(keys: DataFrame | None) -> DataFrame:
+            scored = _among(vectors.where("vec IS NOT NULL"), keys).select("rowseq", cosine(F.col("vec"), vector).alias("score"))
+            return top(scored, pool, "rowseq")
+
+        lists.append(ranked(_of_records(semantic, records, keys), "rowseq"))
     if mode != "semantic":
-        if isinstance(index, Kept):
-            found = index.top(query, pool, keys)
-        else:
+
+        def lexical(keys: DataFrame | None) -> DataFrame:
+            if isinstance(index, Kept):
+                return index.top(query, pool, keys)
             corpus = records.withColumn("text", fts_text(F.col("payload"), F.col("text"))) if payload_text else records
-            found = top(among(bm25(corpus, ["rowseq"], query) if index is None else bm25_of(*index, query)), pool, "rowseq")
-        lists.append(ranked(found, "rowseq"))
+            return top(_among(bm25(corpus, ["rowseq"], query) if index is None else bm25_of(*index, query), keys), pool, "rowseq")
+
+        # A scan of the records finds records alone.
+        lists.append(ranked(lexical(keys) if index is None else _of_records(lexical, records, keys), "rowseq"))
     if len(lists) == 2:
         best = fuse(lists[0], lists[1], "rowseq", k)
     elif lists:

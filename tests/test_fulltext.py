@@ -91,3 +91,7 @@ def test_search_without_filters_joins_nothing(spark, tmp_path):
     assert found.count() == 3 and "LeftSemi" not in found._jdf.queryExecution().toString()
     gated = search.search(records, vectors, "alpha", [0.0, 1.0], k=3, allowed=records.where("rowseq < 2").select("rowseq"), index=fulltext.Kept(store.table))
     assert {r["id"] for r in gated.collect()} == {"0", "1"}
+    # Vectors of what is no record take no places.
+    gone = records.where("rowseq % 2 = 0")
+    found = search.search(gone, vectors, "alpha", [0.0, 1.0], k=10, index=fulltext.Kept(store.table)).collect()
+    assert len(found) == 10 and all(int(r["id"]) % 2 == 0 for r in found)
