@@ -69,9 +69,14 @@ def indexing(changes: DataFrame, store: Any) -> Callable[[DataFrame], dict[str,
 
 def follow(spark: SparkSession, path: str, schema: str, patterns: list[str], on_batch: Callable[[DataFrame, int], None], checkpoint: str, files: int = 100, every: str | None = None) -> StreamingQuery:
     """Followed entries of a growing folder of Parquet logs, a micro-batch at a time; a batch may come twice after a crash. every: go on, with a batch at this interval; what comes while one runs waits for the next, together. None: end with what is there."""
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path).where(matches(patterns))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path)
+    return following(stream, patterns, on_batch, checkpoint, every)
+
+
+def following(stream: DataFrame, patterns: list[str], on_batch: Callable[[DataFrame, int], None], checkpoint: str, every: str | None = None) -> StreamingQuery:
+    """follow() for any stream of entries, such as that of a feed (sources/feed.py)."""
     when = {"processingTime": every} if every else {"availableNow": True}
-    return stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**when).start()
+    return stream.where(matches(patterns)).writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).trigger(**when).start()
 
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -186,4 +191,4 @@ def windowed_counts(events: DataFrame, width: str = "1 hour", late: str = "10 mi
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"))
 
 
-__all__ = ["SnapshotStore", "follow", "streaming_fold", "update", "windowed_counts"]
+__all__ = ["SnapshotStore", "follow", "following", "streaming_fold", "update", "windowed_counts"]
