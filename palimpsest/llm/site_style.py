@@ -1,6 +1,6 @@
 """Main text of web pages by site style trees. The pages of a host are merged into one tree whose nodes are element paths (tag, class and id, without their digits). How important a node is follows from two entropies over the host's pages: of its presentation (the row of child elements, and how often the element stands there) and of its content (the text). Menus, notices, headers and footers look alike on all pages and often say the same; articles differ in both.
 
-The importance of a node is a sum of log odds. The entropies, the node's share of the host's text and its share of links count with the evidence that there is, (m - 1) / (m - 1 + PRESUMED) for m pages. What the element says of itself (tag, role, class, id) is a prior, of weight NAMED, that entropies can overrule either way: a plain div that never changes its look is dropped, an article in an element called "widget" stays. On a host with a page or two the prior decides. Parts of an article (paragraphs, headings, and elements within a node of high presentation entropy) are kept with it unless they repeat from page to page. Branches with a sum below 0 are removed from each page.
+The importance of a node is a sum of log odds. The entropies, the node's share of the host's text and its share of links count with the evidence that there is, (m - 1) / (m - 1 + PRESUMED) for m pages. What the element says of itself (tag, role, class, id) is a prior, of weight NAMED. It fades as evidence comes, to FADED of itself: on a host with up to three pages it decides, from the fourth on it is too little to remove a branch or to keep one, so that the entropies have to agree or overrule it. A plain div that never changes its look is dropped, an article in an element called "widget" stays. Parts of an article (paragraphs, headings, and elements within a node of high presentation entropy) are kept with it unless they repeat from page to page. Branches with a sum below 0 are removed from each page.
 
 Pages of a host with the same text count once. The tree is a table: a row for each host and path, from counts by group, so that no host meets in one task. Pages are read once; what was read is written to the shared folder. The tree is sent to all executors where it has at most MOST_BROADCAST rows, else each page gets the rows of its own paths by a join.
 
@@ -27,6 +27,8 @@ from palimpsest.llm.common import cut, written
 PRESUMED = 4
 #: Log odds of an element that says nothing of itself, of the words and tags of an article or of something else, and of lying within an article.
 PLAIN, NAMED, WITHIN = 1.5, 2.5, 2.0
+#: What is left of the prior where there is evidence enough: less than PLAIN.
+FADED = 0.5
 #: Weights of the entropy of presentation (against 0.5) and of content (below 0.5), of the share of text (against 0.3) and of links (above 0.5).
 LOOK, SAY, SHARE, LINKS = 3.0, 8.0, 3.0, 4.0
 #: Looks in equal shares that count as the most varied presentation; a node has no more of them on a larger host.
@@ -241,8 +243,8 @@ def parsed(rows: DataFrame) -> DataFrame:
     return rows.select("k", "h", "host", "key", "url", "page").mapInArrow(read, schema)
 
 
-def style_tree(pages: DataFrame, presumed: int = PRESUMED) -> DataFrame:
-    """The merged trees: host, path, pages, look and say (the entropies, 0 to 1), and log odds: branch, part (of an element that shares the fate of another), and main, whether what lies within is part of an article. pages: parsed()."""
+def style_tree(pages: DataFrame, presumed: int = PRESUMED, shown: float = 1.0) -> DataFrame:
+    """The merged trees: host, path, pages, look and say (the entropies, 0 to 1), and log odds: branch, part (of an element that shares the fate of another), and main, whether what lies within is part of an article, and prior, what is left of the weight of names. pages: parsed(). shown: weight of the evidence; 0 leaves out what the trees show."""
     found = pages.select("host", "root", "total", F.inline("nodes"))
     once = found.groupBy("host", "path", "root").agg(*[F.first(c).alias(c) for c in ("total", "chars", "links", "content", "style")])
     values = F.array(*[F.struct(F.lit(c).alias("of"), F.col(c).alias("value")) for c in ("content", "style")])
@@ -259,21 +261,22 @@ def style_tree(pages: DataFrame, presumed: int = PRESUMED) -> DataFrame:
     above = lambda c: F.greatest(c, F.lit(0.0))
     return tree.select(
         "host", "path", "pages", "look", "say",
-        (F.col("evidence") * (look + share + repeats + in_links)).alias("branch"),
-        (F.col("evidence") * (above(look) + above(share) + repeats)).alias("part"),
-        (F.col("evidence") * (F.col("look") - 0.5) > 0.1).alias("main"),
+        (shown * F.col("evidence") * (look + share + repeats + in_links)).alias("branch"),
+        (shown * F.col("evidence") * (above(look) + above(share) + repeats)).alias("part"),
+        (shown * F.col("evidence") * (F.col("look") - 0.5) > 0.1).alias("main"),
+        F.greatest(1 - F.col("evidence"), F.lit(FADED)).alias("prior"),
     )
 
 
-def kept_text(packed: bytes, odds: dict[int, tuple[float, float, bool]], named: float = NAMED) -> str:
-    """The blocks of a page, packed by parsed(), without those in branches of low importance. odds: branch, part and main by path."""
+def kept_text(packed: bytes, odds: dict[int, tuple[float, float, bool, float]], named: float = NAMED) -> str:
+    """The blocks of a page, packed by parsed(), without those in branches of low importance. odds: branch, part, main and prior by path."""
     ancestors, blocks = json.loads(packed.decode("utf-8", "surrogatepass"))
     keep = []
     for paths in ancestors:
         within, stays = 0.0, True
         for path, kind, part in paths:
-            branch, as_part, main = odds.get(path, (0.0, 0.0, False))
-            total = PLAIN + named * kind + (max(within, WITHIN) + as_part if part else within + branch)
+            branch, as_part, main, prior = odds.get(path, (0.0, 0.0, False, 1.0))
+            total = PLAIN + named * prior * kind + (max(within, WITHIN) + as_part if part else within + branch)
             if kind == HIDDEN or total < 0:
                 stays = False
                 break
@@ -283,23 +286,23 @@ def kept_text(packed: bytes, odds: dict[int, tuple[float, float, bool]], named:
     return " ".join(b for i, b in blocks if keep[i])
 
 
-def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", presumed: int = PRESUMED, named: float = NAMED, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """key, url, text and n_chars for each row of df. named: weight of what elements say of themselves; 0 leaves it to the entropies."""
+def main_text(df: DataFrame, key: str = "page_id", url: str = "url", page: str = "html", presumed: int = PRESUMED, named: float = NAMED, most_broadcast: int = MOST_BROADCAST, shown: float = 1.0) -> DataFrame:
+    """key, url, text and n_chars for each row of df. named: weight of what elements say of themselves; 0 leaves it to the entropies. shown: weight of the entropies; 0 leaves it to what is left of the names."""
     # Text is most of what is written, and shrinks by more than half.
     pages = written(parsed(keyed(df, key, url, page)), "zstd")
-    tree = cut(style_tree(pages, presumed))
-    odds = F.collect_list(F.struct("path", "branch", "part", "main")).alias("odds")
+    tree = cut(style_tree(pages, presumed, shown))
+    odds = F.collect_list(F.struct("path", "branch", "part", "main", "prior")).alias("odds")
     if tree.count() <= most_broadcast:
         joined = pages.drop("nodes").join(F.broadcast(tree.groupBy("host").agg(odds)), "host", "left")
     else:
         # Both sides of the join are written tables, so that a common path of a large host can be split. A page has few paths, so its list is small.
         own = pages.select("k", "h", "host", F.explode("nodes.path").alias("path")).join(tree, ["host", "path"]).groupBy("k", "h").agg(odds)
         joined = pages.drop("nodes").join(own.withColumnRenamed("k", "k_").withColumnRenamed("h", "h_"), (F.col("k") == F.col("k_")) & (F.col("h") == F.col("h_")), "left")
-    joined = joined.select("key", "url", "host", "blocks", "odds.path", "odds.branch", "odds.part", "odds.main")
+    joined = joined.select("key", "url", "host", "blocks", "odds.path", "odds.branch", "odds.part", "odds.main", "odds.prior")
 
     @F.pandas_udf("string")
-    def text(blocks: pd.Series, path: pd.Series, branch: pd.Series, part: pd.Series, main: pd.Series) -> pd.Series:
-        return pd.Series([kept_text(b, {} if p is None else dict(zip(p.tolist(), zip(*row, strict=True), strict=True)), named) for b, p, *row in zip(blocks, path, branch, part, main, strict=True)], dtype=object)
+    def text(blocks: pd.Series, path: pd.Series, branch: pd.Series, part: pd.Series, main: pd.Series, prior: pd.Series) -> pd.Series:
+        return pd.Series([kept_text(b, {} if p is None else dict(zip(p.tolist(), zip(*row, strict=True), strict=True)), named) for b, p, *row in zip(blocks, path, branch, part, main, prior, strict=True)], dtype=object)
 
-    done = joined.select("key", "url", text("blocks", "path", "branch", "part", "main").alias("text"))
+    done = joined.select("key", "url", text("blocks", "path", "branch", "part", "main", "prior").alias("text"))
     return done.select(F.col("key").alias(key), F.col("url").alias(url), "text", F.length("text").cast("long").alias("n_chars"))
