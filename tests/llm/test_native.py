@@ -231,6 +231,32 @@ def test_sharding_by_capacity(spark, docs):
         assert max(filled.values()) <= max(capacity, largest) and len(filled) <= 1.25 * total / capacity + 2
 
 
+def test_sharding_by_capacity_in_tasks(spark, docs):
+    """Units packed in one task or many, sent to all executors or joined: no shard above the capacity, equal texts together, few shards more, and the same however rows are dealt."""
+    texts = {k: r["text"] for k, r in docs.items()}
+    df = spark.read.parquet(f"{D}/documents.parquet")
+    size = lambda t: len((t or "").encode()) + 1
+    capacity = max(30_000, *[sum(size(t) for t in texts.values() if t == x) for x in set(texts.values())])
+    total = sum(map(size, texts.values()))
+    n = {}
+    for units, most in ((10**6, 10**6), (40, 10**6), (40, 0)):
+        got = sharding.shard(df, capacity=capacity, units_a_task=units, most_broadcast=most).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(texts)
+        filled, where, slots = collections.defaultdict(int), collections.defaultdict(set), collections.defaultdict(list)
+        for r in got:
+            filled[r["shard"]] += r["size"]
+            where[texts[r["doc_id"]]].add(r["shard"])
+            slots[r["shard"]].append(r["slot"])
+        assert max(filled.values()) <= capacity and all(len(w) == 1 for w in where.values()) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+        assert sorted(filled) == list(range(len(filled)))
+        n[units, most] = len(filled), sorted((r["doc_id"], r["shard"], r["slot"]) for r in got)
+    assert n[40, 10**6] == n[40, 0]
+    again = sharding.shard(df.orderBy(F.desc("text")).repartition(5), capacity=capacity, units_a_task=40, most_broadcast=0).collect()
+    assert sorted((r["doc_id"], r["shard"], r["slot"]) for r in again) == n[40, 0][1]
+    assert total / capacity <= n[10**6, 10**6][0] <= n[40, 0][0] <= 1.1 * total / capacity + 12
+    assert sharding.shard(odd(spark).limit(0), capacity=10).count() == 0 and sharding.shard(odd(spark), capacity=3, units_a_task=1).count() == len(ODD)
+
+
 def test_sharding_edges(spark):
     rows = sharding.shard(odd(spark)).collect()
     assert len(rows) == len(ODD) and len({r["shard"] for r in rows if r["doc_id"] == 3}) == 1
