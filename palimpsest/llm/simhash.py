@@ -116,9 +116,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     """For each row of df: key, fp (the fingerprint as a long) and component, the smallest key that links reach from it."""
     rows = cut(df.select(df[key].alias("key"), fingerprints(df[text], shingle).alias("fp")))
     points = rows.groupBy("fp").agg(F.min("key").alias("least"))
-    # Fingerprints are few bytes and their keys many: dealt out again, as the table alone would lie in few tasks.
+    # Fingerprints are few bytes and their keys many: dealt out again, as the table alone would lie in few tasks. By a hash of its own, as Spark leaves out a repartition by what the groups lie by already.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = components(links(points.select("fp").repartition(parts, "fp"), distance, hot))
+    joined = components(links(points.select("fp").repartition(parts, F.xxhash64("fp")), distance, hot))
     # Most fingerprints have no link: the few that have are joined to the others' table, then the result to the rows.
     classes = points.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Written, so that both sides of a join are plain tables, of which Spark can split a key with very many rows.
