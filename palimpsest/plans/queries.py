@@ -816,7 +816,8 @@ def fold_stream(s, d):
     def reduce(state: dict, event: dict) -> dict:
         return {"s": (state.get("s", 7) * 31 + len(event["event_type"])) % 1000003}
 
-    files = s.readStream.schema(table(s, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    # As a pattern, which takes a file as well as a folder of files.
+    files = s.readStream.schema(table(s, d, "events").schema).parquet(f"{d}/events.parque[t]")
     stream = files.select("user_id", F.col("event_id").alias("pos"), "event_type", "ts")
     work = f"{shared_dir(s)}/stream-{uuid.uuid4().hex}"
     last = follow.drained(follow.streaming_fold(stream, "user_id", reduce, hold=200, quiet=1000), "user_id", f"{work}/said", f"{work}/state")

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,6 +8,7 @@ from palimpsest import model
 from palimpsest.functions import schemas
 from palimpsest.operators import fold, gate, log, maintain, rules, upsert
 from palimpsest.operators.numbering import numbered
+from palimpsest.plans import queries
 from palimpsest.sources.store import Blobs, Files, MemoryStore, RecordStore, SnapshotStore, Stitch, publish_view, read_manifest, seed, write_seed, write_view
 from palimpsest.streaming import follow
 
@@ -361,6 +363,28 @@ def test_streaming_fold_of_quiet_keys(spark, tmp_path):
     assert last["b"][1]["pos"] == [2, 3] and set(last["b"][1]["kinds"]) == {"NoneType", "datetime", "int"}
 
 
+def test_drained_waits_for_a_long_batch(spark, tmp_path):
+    """A batch that takes longer than events may wait idle is waited for: nothing is given in part."""
+
+    def slow(state, event):
+        time.sleep(0.2)
+        return {"n": state.get("n", 0) + 1}
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "0.json").write_text("\n".join(json.dumps({"k": "a", "pos": p}) for p in range(40)))
+    folded = follow.streaming_fold(spark.readStream.schema("k string, pos long").json(str(tmp_path / "in")), "k", slow, hold=5, quiet=500)
+    last = follow.drained(folded, "k", str(tmp_path / "out"), str(tmp_path / "c"), seconds=3).collect()
+    assert [(r["k"], r["pos"], json.loads(r["state"])) for r in last] == [("a", 39, {"n": 40})]
+
+
+def test_streaming_fold_of_a_folder(spark, tmp_path):
+    """A table that is a folder of files is streamed whole."""
+    events = spark.read.parquet(f"{D}/events.parquet").where("user_id < 5")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    got, want = (sorted(tuple(r) for r in queries.QUERIES[q](spark, str(tmp_path)).collect()) for q in ("fold_stream", "fold_state"))
+    assert got == want and len(got) == events.select("user_id").distinct().count()
+
+
 def test_cards_and_vectors(spark):
     repos = spark.createDataFrame([("0xab", "field-notes", "h1", None, None, "field notes", [1.0], True), ("0xab", "b", "h2", None, None, "b", [2.0], True)], "publisher string, repo string, head string, card_url string, card string, text string, vec array<float>, stale boolean").withColumn("updated", F.current_timestamp())
     fetched = spark.createDataFrame([("0xab", "field-notes", "h1", "u", None), ("0xab", "b", "old", "u", "{}")], "publisher string, repo string, head string, card_url string, card string")
