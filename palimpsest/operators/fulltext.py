@@ -1,9 +1,9 @@
 """A kept full-text index: an inverted index in segments, beside the records in a store, and BM25 searches that read a part of it.
 
-fts_postings: a row for each segment, term and range of PART rows: seg, term, part, n (rows with the term), most (how often it occurs in one of them), least (the fewest tokens of one), and `rows`, an array of rowseq, len and places. In the order of terms and ranges, so that a search reads the row groups of its terms.
+fts_postings: a row for each segment, term and range of PART rows: seg, term, part, n (rows with the term), most (how often it occurs in one of them), least (the fewest tokens of one), and its rows as blocks.py packs them. In the order of terms and ranges, so that a search reads the row groups of its terms.
 fts_gone:     rowseq and before: what segments before that one say of a row no longer holds.
 fts_terms:    term and df, in how many rows it occurs now.
-fts_sizes:    one row: n_docs, total (tokens), and segs, the number of segments so far.
+fts_sizes:    one row: n_docs, total (tokens), segs, the number of segments so far, and part, the rows of a range.
 
 A save adds a segment for rows that are new or changed, and names the rows that went; nothing is rewritten. Statistics are merged: the numbers of rows, tokens and rows with a term change by what came and went. merged() makes one segment of all.
 
@@ -18,32 +18,31 @@ import math
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.text import tokens
+from palimpsest.operators.blocks import NAMES, dropped, in_order, inverted, rows_of
 from palimpsest.operators.lexical import K1, LEAST_IDF, B, phrases
-from palimpsest.operators.numbering import cut
+from palimpsest.operators.numbering import cut, written
 from palimpsest.operators.ranking import top
 from palimpsest.sources.store import Delta
 
 #: Rows of a range.
-PART = 256
+PART = 1024
 #: Ranges that are named one by one to a scan.
 MOST_NAMED = 1000
+#: Rows of ranges with lost rows that are sent to all executors.
+MOST_SENT = 25_000_000
 #: Scores that differ by less may tie.
 MARGIN = 2e-9
 
 
-def segment(df: DataFrame, seg: int, text: str = "text", part: int = PART) -> DataFrame:
-    """The postings of rows (rowseq and text). One shuffle gathers them, by term and range, which no term makes large; one puts them in order."""
-    held = df.select("rowseq", tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens"))
-    each = held.select(F.floor(F.col("rowseq") / part).cast("long").alias("part"), "rowseq", F.size("tokens").alias("len"), F.posexplode("tokens").alias("at", "term"))
-    rows = each.repartition("term", "part").groupBy("term", "part", "rowseq", "len").agg(F.array_sort(F.collect_list("at")).alias("places"))
-    blocks = rows.groupBy("term", "part").agg(
-        F.count("*").cast("int").alias("n"), F.max(F.size("places")).alias("most"), F.min("len").alias("least"), F.array_sort(F.collect_list(F.struct("rowseq", "len", "places"))).alias("rows")
-    )
-    return blocks.select(F.lit(seg).alias("seg"), "*").repartitionByRange("term", "part").sortWithinPartitions("term", "part")
+def segment(df: DataFrame, text: str = "text", part: int = PART) -> DataFrame:
+    """The postings of rows (rowseq and text) as blocks, written where the rows are; in_order() puts them together."""
+    return written(inverted(df.select("rowseq", tokens(F.coalesce(F.col(text), F.lit(""))).alias("tokens")), part))
 
 
 def sizes(df: DataFrame, text: str = "text") -> DataFrame:
@@ -56,42 +55,61 @@ def spread(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("term").agg(F.sum("n").alias("df"))
 
 
+def spread_of(df: DataFrame, text: str = "text") -> DataFrame:
+    """The same of rows, without their postings."""
+    return df.select(F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
 def built(df: DataFrame, text: str = "text", part: int = PART) -> dict[str, DataFrame]:
     """The tables of an index over all rows, to save."""
-    blocks = cut(segment(df, 0, text, part))
+    blocks = segment(df, text, part)
+    total = blocks.agg(F.coalesce(F.sum(F.size("packed") - 3 * F.col("n") - 1), F.lit(0)).cast("long").alias("total")).first()["total"]
     return {
-        "fts_postings": blocks,
+        "fts_postings": in_order(blocks).select(F.lit(0).alias("seg"), "*"),
         "fts_gone": df.sparkSession.createDataFrame([], "rowseq long, before int"),
         "fts_terms": spread(blocks).repartitionByRange("term").sortWithinPartitions("term"),
-        "fts_sizes": sizes(df, text).withColumn("segs", F.lit(1)),
+        "fts_sizes": df.sparkSession.createDataFrame([(df.count(), total, 1, part)], "n_docs long, total long, segs int, part int"),
     }
 
 
-def renewed(table: Callable[[str], DataFrame | None], gone: DataFrame, new: DataFrame, text: str = "text", part: int = PART) -> dict[str, DataFrame | Delta]:
-    """What to save when rows went and came. gone: rowseq and the text that the index has of it; new: rowseq and text; a changed row is in both. table: gives the tables as they are."""
+def renewed(table: Callable[[str], DataFrame | None], gone: DataFrame, new: DataFrame, text: str = "text", part: int | None = None) -> dict[str, DataFrame | Delta]:
+    """What to save when rows went and came. gone: rowseq and the text that the index has of it; new: rowseq and text; a changed row is in both. table: gives the tables as they are. part: as the index has it."""
     was = table("fts_sizes").first()
+    if part not in (None, was["part"]):
+        raise ValueError(f"the ranges of this index have {was['part']} rows")
     came, went = sizes(new, text).first(), sizes(gone, text).first()
-    blocks = cut(segment(new, was["segs"], text, part))
-    change = spread(blocks).select("term", F.col("df").alias("by")).unionByName(spread(segment(gone, 0, text, part)).select("term", (-F.col("df")).alias("by"))).groupBy("term").agg(F.sum("by").alias("by"))
+    blocks = segment(new, text, was["part"])
+    change = spread(blocks).select("term", F.col("df").alias("by")).unionByName(spread_of(gone, text).select("term", (-F.col("df")).alias("by"))).groupBy("term").agg(F.sum("by").alias("by"))
     # As many terms as the changed rows have: the table of terms is only looked up.
-    terms = change.join(table("fts_terms"), "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("by")).alias("df"))
-    now = (was["n_docs"] + came["n_docs"] - went["n_docs"], was["total"] + came["total"] - went["total"], was["segs"] + 1)
+    terms = cut(change.join(table("fts_terms"), "term", "left").select("term", (F.coalesce("df", F.lit(0)) + F.col("by")).alias("df")))
+    now = (was["n_docs"] + came["n_docs"] - went["n_docs"], was["total"] + came["total"] - went["total"], was["segs"] + 1, was["part"])
     return {
-        "fts_postings": Delta([], blocks),
+        "fts_postings": Delta([], in_order(blocks).select(F.lit(was["segs"]).alias("seg"), "*")),
         "fts_gone": Delta(["rowseq"], gone.select("rowseq", F.lit(was["segs"]).alias("before"))),
         "fts_terms": Delta(["term"], terms.where("df > 0"), terms.where("df <= 0").select("term")),
-        "fts_sizes": gone.sparkSession.createDataFrame([now], "n_docs long, total long, segs int"),
+        "fts_sizes": gone.sparkSession.createDataFrame([now], "n_docs long, total long, segs int, part int"),
     }
 
 
+def without(blocks: DataFrame, gone: DataFrame, part: int) -> DataFrame:
+    """Blocks without the rows that no longer hold. A range with such rows has for each of its rows, in order, the first segment that holds of it, so that a row is looked up by its place. Up to MOST_SENT rows, 4 bytes each, are sent to all executors."""
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(part, np.int32)
+        out[(pdf["rowseq"] % part).to_numpy()] = pdf["before"].to_numpy()
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "first": [out]})
+
+    by = cut(gone.withColumn("part", F.floor(F.col("rowseq") / part).cast("long")).groupBy("part").applyInPandas(first, "part long, first array<int>"))
+    both = blocks.join(F.broadcast(by) if by.count() * part <= MOST_SENT else by, "part", "left")
+    lost = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda j: F.get("first", F.get("packed", j)) > F.col("seg"))
+    return dropped(both.withColumn("lost", F.when(F.col("first").isNull(), F.array().cast("array<int>")).otherwise(lost)))
+
+
 def merged(table: Callable[[str], DataFrame | None]) -> dict[str, DataFrame]:
     """One segment of all, without what is gone, to save in place of them."""
-    rows = Kept(table).live(table("fts_postings"))
-    blocks = rows.groupBy("term", "part").agg(
-        F.count("*").cast("int").alias("n"), F.max(F.size("places")).alias("most"), F.min("len").alias("least"), F.array_sort(F.collect_list(F.struct("rowseq", "len", "places"))).alias("rows")
-    )
+    part = table("fts_sizes").first()["part"]
     return {
-        "fts_postings": blocks.select(F.lit(0).alias("seg"), "*").repartitionByRange("term", "part").sortWithinPartitions("term", "part"),
+        "fts_postings": in_order(without(table("fts_postings"), table("fts_gone"), part)).select(F.lit(0).alias("seg"), "*"),
         "fts_gone": table("fts_gone").limit(0),
         "fts_terms": table("fts_terms").repartitionByRange("term").sortWithinPartitions("term"),
         "fts_sizes": table("fts_sizes").withColumn("segs", F.lit(1)),
@@ -106,10 +124,11 @@ class Kept:
         self.postings, self.gone = table("fts_postings"), table("fts_gone")
         said = table("fts_sizes").first()
         self.n_docs, self.avg_len, self.segs = float(said["n_docs"]), (said["total"] or 0) / max(said["n_docs"], 1) or 1.0, said["segs"]
+        self.size = said["part"]
 
-    def live(self, blocks: DataFrame) -> DataFrame:
-        """term, part, rowseq, len and places of the rows of these blocks that still hold."""
-        rows = blocks.select("seg", "term", "part", F.explode("rows").alias("r")).select("seg", "term", "part", "r.*")
+    def live(self, blocks: DataFrame, places: bool = False) -> DataFrame:
+        """term, part, rowseq, len and f of the rows of these blocks that still hold, and places if asked for."""
+        rows = blocks.select("seg", "term", "part", F.explode(rows_of(self.size, places)).alias("r")).select("seg", "term", "part", "r.*")
         if self.segs == 1:
             return rows.drop("seg")
         return rows.join(self.gone, "rowseq", "left").where("before IS NULL OR seg >= before").drop("seg", "before")
@@ -160,7 +179,7 @@ class Kept:
 
     def _few(self) -> bool:
         """Whether the bounds of all ranges are few enough for the driver."""
-        return self.n_docs / PART * self.segs <= 100 * MOST_NAMED
+        return self.n_docs / self.size * self.segs <= 100 * MOST_NAMED
 
     def _top_of_many(self, terms: list[str], idfs: dict[str, float], k: int, kept: Callable[[DataFrame], DataFrame]) -> DataFrame:
         """The same where the bounds are a table of their own: only the first ranges come to the driver."""
@@ -189,18 +208,20 @@ class Kept:
         idf = reduce(lambda a, t: F.when(F.col("term") == t, idfs[t]).otherwise(a), terms, F.lit(0.0))
         rows = self.live(blocks.where(F.col("term").isin(terms)))
         # Parts are summed in the order of the query's words, as elsewhere: so scores are the same to the last digit.
-        each = rows.groupBy("rowseq").agg(F.map_from_entries(F.collect_list(F.struct("term", self.part(F.size("places").cast("double"), F.col("len"), idf).alias("x")))).alias("by"))
+        each = rows.groupBy("rowseq").agg(F.map_from_entries(F.collect_list(F.struct("term", self.part(F.col("f").cast("double"), F.col("len"), idf).alias("x")))).alias("by"))
         return each.select("rowseq", reduce(lambda a, b: a + b, [F.coalesce(F.col("by")[t], F.lit(0.0)) for t in terms]).alias("score"))
 
     def _phrases(self, wanted: list[list[str]]) -> DataFrame:
         terms = sorted({t for p in wanted for t in p})
-        rows = self.live(self.postings.where(F.col("term").isin(terms))).groupBy("rowseq", "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
+        rows = self.live(self.postings.where(F.col("term").isin(terms)), places=True).groupBy("rowseq", "len").agg(F.map_from_entries(F.collect_list(F.struct("term", "places"))).alias("at"))
         starts = lambda t, shift: F.transform(F.coalesce(F.col("at")[t], F.array().cast("array<int>")), lambda x: x - shift)
         found = rows.select("rowseq", "len", *[F.size(reduce(F.array_intersect, [starts(t, j) for j, t in enumerate(p)])).cast("double").alias(f"f{i}") for i, p in enumerate(wanted)])
         n = range(len(wanted))
+        # Rows with none add nothing to a count.
+        found = cut(found.where(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in n])))
         df = found.agg(*[F.count_if(F.col(f"f{i}") > 0).alias(f"n{i}") for i in n]).first()
         score = reduce(lambda a, b: a + b, [self.part(F.col(f"f{i}"), F.col("len"), F.lit(self.idf(df[f"n{i}"]))) for i in n])
-        return found.where(reduce(lambda a, b: a | b, [F.col(f"f{i}") > 0 for i in n])).select("rowseq", score.alias("score"))
+        return found.select("rowseq", score.alias("score"))
 
     def _none(self) -> DataFrame:
         return self.postings.sparkSession.createDataFrame([], "rowseq long, score double")

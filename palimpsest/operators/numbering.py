@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,6 +28,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows as a Parquet table in the shared folder, which is smaller than a checkpoint where rows hold arrays or texts."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def numbered(df: DataFrame, order: list[str], name: str, first: Column | int = 0) -> DataFrame:
     """df with a column `name`: first, first + 1, ... in the order. Rows are dealt to ranges of the order and written; each range is numbered on its own, from where the ranges before it end. The driver gets a count for each range."""
     dealt = cut(df.repartitionByRange(*order)).withColumn("__range", F.spark_partition_id())

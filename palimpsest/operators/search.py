@@ -11,6 +11,7 @@ from palimpsest.functions.text import fts_text
 from palimpsest.functions.vectors import cosine
 from palimpsest.operators.fulltext import Kept
 from palimpsest.operators.lexical import bm25, bm25_of
+from palimpsest.operators.numbering import cut
 from palimpsest.operators.ranking import RRF_K, fuse, ranked, top
 
 POOL = 50
@@ -71,7 +72,8 @@ def search(
     kept = records if where is None else records.where(where)
     if allowed is not None:
         kept = kept.join(allowed, "rowseq", "left_semi")
-    keys, pool = None if where is None and allowed is None else kept.select("rowseq"), pool or max(k, POOL)
+    # Written, as both lists are made from among them and a gate is a join of texts.
+    keys, pool = None if where is None and allowed is None else cut(kept.select("rowseq")), pool or max(k, POOL)
     lists = []
     if mode != "lexical" and vectors is not None and vector is not None:
 
@@ -102,7 +104,8 @@ def search(
     # At most k rows, which name those to look up.
     found = best.select("rowseq", "score", "place").collect()
     named = records.sparkSession.createDataFrame(found, best.select("rowseq", "score", "place").schema)
-    return kept.where(F.col("rowseq").isin([r["rowseq"] for r in found])).join(F.broadcast(named), "rowseq").select("publisher", "repo", "id", "cid", "type", "payload", "score", "place").orderBy("place")
+    # They are all among the keys, so the gate isn't asked again.
+    return records.where(F.col("rowseq").isin([r["rowseq"] for r in found])).join(F.broadcast(named), "rowseq").select("publisher", "repo", "id", "cid", "type", "payload", "score", "place").orderBy("place")
 
 
 def search_by_vector(

@@ -95,3 +95,17 @@ def test_search_without_filters_joins_nothing(spark, tmp_path):
     gone = records.where("rowseq % 2 = 0")
     found = search.search(gone, vectors, "alpha", [0.0, 1.0], k=10, index=fulltext.Kept(store.table)).collect()
     assert len(found) == 10 and all(int(r["id"]) % 2 == 0 for r in found)
+
+
+def test_blocks(spark):
+    """Blocks of rows that lie apart are put together, and a shuffle carries no more than an array for each term and range."""
+    from palimpsest.functions.text import tokens
+    from palimpsest.operators import blocks
+
+    texts = {7: "b a b", 0: "a", 5: "", 12: "a c a b", 3: None, 4: "c"}
+    docs = frame(spark, list(texts.items())).repartition(3)
+    found = blocks.in_order(blocks.inverted(docs.select("rowseq", tokens(docs["text"]).alias("tokens")), 4)).select("term", "part", "n", "most", "least", "packed").collect()
+    assert [tuple(r)[:5] for r in found] == [("a", 0, 1, 1, 1), ("a", 1, 1, 1, 3), ("a", 3, 1, 2, 4), ("b", 1, 1, 2, 3), ("b", 3, 1, 1, 4), ("c", 1, 1, 1, 1), ("c", 3, 1, 1, 4)]
+    big = blocks.in_order(blocks.inverted(docs.select("rowseq", tokens(docs["text"]).alias("tokens")), 16))
+    rows = big.select("term", blocks.rows_of(16, places=True).alias("rows")).collect()
+    assert {r["term"]: sorted((x["rowseq"], x["len"], x["f"], x["places"]) for x in r["rows"]) for r in rows} == {"a": [(0, 1, 1, [0]), (7, 3, 1, [1]), (12, 4, 2, [0, 2])], "b": [(7, 3, 2, [0, 2]), (12, 4, 1, [3])], "c": [(4, 1, 1, [0]), (12, 4, 1, [1])]}
