@@ -1,4 +1,4 @@
-"""The graph of commits: each names its parent. Ancestors are found by pointer jumping: a table says where a number of steps leads from each commit, and joined with itself it says it for twice as many. So a history of n commits needs log n joins, each over the commits alone, and no repo's history is in one task.
+"""The graph of commits: each names its parent. Ancestors are found by pointer jumping: a table says where a number of steps leads from each commit, and joined with itself it says it for twice as many. So a history of n commits needs log n joins, each over the commits alone, and no repo's history is in one task. Names are long, so commits are numbered first, the tables of steps hold numbers alone, and names are joined again at the end.
 
 Heads are names of content and don't repeat within a repo; a commit that the log has twice counts once. A parent that the log doesn't have ends the walk, and is told by gaps().
 """
@@ -9,21 +9,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.model import REPO, ZERO_HEAD
-from palimpsest.operators.numbering import cut
+from palimpsest.operators.numbering import written
 
 ROUNDS = 64
 
 
-def links(log: DataFrame) -> DataFrame:
-    """publisher, repo, head and up: a step from each commit to its parent, where the log has it."""
+def named(log: DataFrame) -> DataFrame:
+    """id, publisher, repo, head and up (the name of the parent): a number for each commit, which holds as long as the table that is written here."""
     commits = log.select(*REPO, "head", F.col("parent").alias("up")).dropDuplicates([*REPO, "head"])
-    return commits.where(F.col("up") != ZERO_HEAD).join(commits.select(*REPO, F.col("head").alias("up")), [*REPO, "up"]).select(*REPO, "head", "up")
+    return written(commits.select(F.monotonically_increasing_id().alias("id"), *REPO, "head", "up"))
+
+
+def links(commits: DataFrame) -> DataFrame:
+    """id and up, as numbers: a step from each commit of named() to its parent, where the log has it."""
+    parents = commits.select(*REPO, F.col("head").alias("up"), F.col("id").alias("to"))
+    return commits.where(F.col("up") != ZERO_HEAD).select("id", *REPO, "up").join(parents, [*REPO, "up"]).select("id", F.col("to").alias("up"))
 
 
 def doubled(steps: DataFrame) -> DataFrame:
     """Twice as many steps; commits from which there are not so many go."""
-    more = steps.select(*REPO, F.col("head").alias("up"), F.col("up").alias("further"))
-    return steps.join(more, [*REPO, "up"]).select(*REPO, "head", F.col("further").alias("up"))
+    more = steps.select(F.col("id").alias("up"), F.col("up").alias("further"))
+    return steps.join(more, "up").select("id", F.col("further").alias("up"))
 
 
 def forks(log: DataFrame) -> DataFrame:
@@ -39,33 +45,43 @@ def gaps(log: DataFrame) -> DataFrame:
 
 def depths(log: DataFrame) -> DataFrame:
     """publisher, repo, head, depth (1 for a commit without a parent in the log) and first, the commit at which its history begins."""
-    at = log.select(*REPO, "head").distinct().join(links(log), [*REPO, "head"], "left").select(*REPO, "head", F.coalesce("up", "head").alias("first"), F.when(F.col("up").isNull(), 0).otherwise(1).cast("long").alias("steps"))
-    at = cut(at)
+    commits = named(log)
+    step = F.when(F.col("up").isNull(), 0).otherwise(1).cast("long")
+    at = written(commits.select("id").join(links(commits), "id", "left").select("id", F.coalesce("up", "id").alias("first"), step.alias("steps"), step.alias("more")))
     for _ in range(ROUNDS):
-        on = at.select(*REPO, F.col("head").alias("first"), F.col("first").alias("further"), F.col("steps").alias("more"))
-        at = cut(at.join(on, [*REPO, "first"]).select(*REPO, "head", F.col("further").alias("first"), (F.col("steps") + F.col("more")).alias("steps"), F.col("more")))
         if not at.where("more > 0").take(1):
-            return at.select(*REPO, "head", (F.col("steps") + 1).alias("depth"), "first")
-        at = at.drop("more")
-    raise RuntimeError("commits are their own ancestors")
-
-
-def ancestors(log: DataFrame, of: DataFrame) -> DataFrame:
-    """The columns of `of`, and head: each commit itself and all its ancestors. of: publisher, repo, commit, and further columns."""
-    steps, found = cut(links(log)), cut(of.withColumn("head", F.col("commit")))
-    for _ in range(ROUNDS):
-        if not steps.take(1):
-            return found
-        # Who has all ancestors within 2^k steps has, 2^k steps on, all within twice as many.
-        found = cut(found.unionByName(found.join(steps, [*REPO, "head"]).drop("head").withColumnRenamed("up", "head").select(found.columns)).distinct())
-        steps = cut(doubled(steps))
-    raise RuntimeError("commits are their own ancestors")
+            break
+        # Who came to where a history begins is done.
+        on = at.where("steps > 0").select(F.col("id").alias("first"), F.col("first").alias("further"), F.col("steps").alias("on"))
+        moved = at.where("more > 0").join(on, "first", "left").select("id", F.coalesce("further", "first").alias("first"), (F.col("steps") + F.coalesce("on", F.lit(0))).alias("steps"), F.coalesce("on", F.lit(0)).alias("more"))
+        at = written(at.where("more = 0").unionByName(moved))
+    else:
+        raise RuntimeError("commits are their own ancestors")
+    first = commits.select(F.col("id").alias("first"), F.col("head").alias("begins"))
+    ends = commits.select("id", *REPO, "head").join(at.select("id", "first", "steps"), "id")
+    return ends.join(first, "first").select(*REPO, "head", (F.col("steps") + 1).alias("depth"), F.col("begins").alias("first"))
+
+
+def ancestors(commits: DataFrame, of: DataFrame) -> DataFrame:
+    """The columns of `of`, all numbers, and id: each commit itself and all its ancestors. commits: named(); of: commit, a number, and further columns."""
+    steps = [written(links(commits))]
+    while steps[-1].take(1):
+        if len(steps) == ROUNDS:
+            raise RuntimeError("commits are their own ancestors")
+        steps.append(written(doubled(steps[-1])))
+    found = of.withColumn("id", F.col("commit"))
+    for far in steps[:-1]:
+        # Who has all ancestors within 2^k steps has, 2^k steps on, all within twice as many, and none of them twice.
+        more = found.join(far, "id").drop("id").withColumnRenamed("up", "id").select(found.columns)
+        found = written(found.unionByName(more))
+    return found
 
 
 def commits_between(log: DataFrame, spans: DataFrame) -> DataFrame:
     """publisher, repo, from, to and head: the commits that `to` has in its history, itself included, and `from` has not; a null `from` has none. spans: publisher, repo, from and to. On a fork this is one side of it."""
-    ends = spans.select(*REPO, "from", "to").where(F.col("to").isNotNull())
-    both = ends.select("*", F.col("to").alias("commit"), F.lit(True).alias("after")).unionByName(ends.where(F.col("from").isNotNull()).select("*", F.col("from").alias("commit"), F.lit(False).alias("after")))
-    every = ancestors(log, both).groupBy(*REPO, "from", "to", "head").agg(F.min("after").alias("after"))
-    known = log.select(*REPO, "head").distinct()
-    return every.where("after").drop("after").join(known, [*REPO, "head"], "left_semi").select(*REPO, "from", "to", "head")
+    commits = named(log)
+    ends = written(spans.select(*REPO, "from", "to").where(F.col("to").isNotNull()).distinct().select(F.monotonically_increasing_id().alias("span"), "*"))
+    both = ends.select("span", *REPO, F.col("to").alias("head"), F.lit(True).alias("after")).unionByName(ends.where(F.col("from").isNotNull()).select("span", *REPO, F.col("from").alias("head"), F.lit(False).alias("after")))
+    asked = both.join(commits, [*REPO, "head"]).select("span", "after", F.col("id").alias("commit"))
+    every = ancestors(commits, asked).groupBy("span", "id").agg(F.min("after").alias("after")).where("after").select("span", "id")
+    return every.join(commits.select("id", "head"), "id").join(ends, "span").select(*REPO, "from", "to", "head")

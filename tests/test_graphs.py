@@ -99,3 +99,12 @@ def test_nearest_against_brute_force(spark, monkeypatch, dims):
         flat = [(w >> j) & 1 for w in packed[i] for j in range(64)][:dims]
         assert flat == bits[i].tolist() and len(packed[i]) == -(-dims // 64)
     assert nearest.nearest(asked.limit(0), rows).count() == 0 == nearest.nearest(asked, rows.limit(0)).count()
+
+
+def test_steps_are_numbers(spark):
+    """Tables of steps hold no names, which are joined once at the end; spans that repeat count once."""
+    g = spark.createDataFrame([("p", "r", "a", "0x0"), ("p", "r", "b", "a"), ("p", "r", "c", "b"), ("p", "r", "c", "b"), ("p", "s", "a", "0x0")], "publisher string, repo string, head string, parent string")
+    steps = commits.links(commits.named(g))
+    assert {f.dataType.simpleString() for f in steps.schema.fields} == {"bigint"} and steps.count() == 2
+    spans = spark.createDataFrame([("p", "r", "a", "c"), ("p", "r", "a", "c"), ("p", "s", None, "a"), ("p", "s", None, "gone")], "publisher string, repo string, from string, to string")
+    assert sorted((r["repo"], r["head"]) for r in commits.commits_between(g, spans).collect()) == [("r", "b"), ("r", "c"), ("s", "a")]
