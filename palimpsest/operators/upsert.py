@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.model import KEY
-from palimpsest.operators.numbering import numbered
+from palimpsest.operators.numbering import numbered, written
 from palimpsest.sources.store import Delta
 
 
@@ -32,12 +32,14 @@ def delete_verdicts(verdicts: DataFrame, gone: DataFrame, key: list[str] = KEY)
 
 def delta(records: DataFrame, changes: DataFrame, key: list[str] = KEY, seq: str = "rowseq") -> Delta:
     """What apply_changes() changes, alone: rows to put, with the seq that their key has or with new ones behind the largest, and keys to delete. records are only looked up, by the keys of the changes; no more than the changes is written."""
+    # Each is used several times, and what lies behind them is a diff and a merge of segments.
+    changes = written(changes)
     puts = changes.where("op = 'put'").select([c for c in records.columns if c != seq])
-    found = puts.join(records.select(*key, seq), key, "left")
+    found = written(puts.join(records.select(*key, seq), key, "left"))
     most = records.agg(F.coalesce(F.max(seq), F.lit(-1)).alias("most"))
     # One row: broadcast is safe.
     fresh = numbered(found.where(F.col(seq).isNull()).drop(seq), key, seq).crossJoin(F.broadcast(most)).withColumn(seq, F.col("most") + 1 + F.col(seq)).drop("most")
-    both = found.where(F.col(seq).isNotNull()).select(records.columns).unionByName(fresh.select(records.columns))
+    both = written(found.where(F.col(seq).isNotNull()).select(records.columns).unionByName(fresh.select(records.columns)))
     return Delta(key, both, changes.where("op = 'delete'").select(*key))
 
 

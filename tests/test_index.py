@@ -423,3 +423,18 @@ def test_pattern_tables(spark):
 def test_patterns():
     assert log.repo_names(["a/x", "y", "b/x"]) == ["x", "y"] and log.repo_names(["*"]) is None and log.repo_names(["/r/"]) is None
     assert log.patterns_of(["a/b"], ["p"], ["r"]) == ["a/b"] and log.patterns_of(None, ["p", "q"], ["r"]) == ["p/r", "q/r"] and log.patterns_of(repos=["r"]) == ["r"]
+
+
+def test_delta_reads_changes_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def tick(parts):
+        for part in parts:
+            seen.add(len(part))
+            yield part
+
+    schema = "publisher string, repo string, id string, op string, cid string"
+    changes = spark.createDataFrame([("p", "r", "a", "put", "2"), ("p", "r", "b", "delete", None), ("p", "r", "c", "put", "1")], schema).mapInPandas(tick, schema)
+    records = spark.createDataFrame([(0, "p", "r", "a", "1"), (1, "p", "r", "b", "1")], "rowseq long, publisher string, repo string, id string, cid string")
+    rows = {(r["id"], r["rowseq"], r["cid"], r["__gone"]) for r in upsert.delta(records, changes).rows().collect()}
+    assert rows == {("a", 0, "2", False), ("c", 2, "1", False), ("b", None, None, True)} and seen.value == 3
