@@ -6,37 +6,28 @@ Coordinates are written in unary (00, 01, 11), so that a Manhattan distance is a
 
 Cells with more than HOT fingerprints are not joined as a whole. Their members are dealt into blocks, each pair of blocks is compared on its own, and it gives a spanning forest of its links instead of all of them, which leaves the components as they are.
 
-The pipeline wants a similarity of 0.8, about 10 differing bits of 64; similar.py finds that.
+The join is in grid.py. The pipeline wants a similarity of 0.8, about 10 differing bits of 64: similar.py takes candidates from the same join, adds those that lie further apart, and checks all of them exactly.
 
 Null and empty texts have no words, and fingerprint zero; they link like all others. Ties, repeated rows and equal texts share a fingerprint. Very long texts are hashed in blocks. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import cut, shingle_hashes
 from palimpsest.llm.components import components
+from palimpsest.llm.grid import DISTANCE, HOT, differing, embedding, links, majority, spanning_forest
 from palimpsest.llm.similar import near_duplicates_by_similarity, one_of_each
 
 SHINGLE = 4
-DISTANCE = 4
-GRIDS = 8
-HOT = 256
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """A bit is 1 if it is set in more than half of the hashes."""
-    n, blocks = shingle_hashes(text, shingle)
-    counts = np.zeros(64, np.int64)
-    for hashes in blocks:
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > n, bitorder="little").view("<i8")[0])
+    return majority(*shingle_hashes(text, shingle))
 
 
 def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
@@ -49,69 +40,6 @@ def fingerprints(text: Column, shingle: int = SHINGLE) -> Column:
     return of(text)
 
 
-def embedding(fp: Column) -> Column:
-    """The 32 coordinates in unary."""
-    low = F.lit(0x5555555555555555)
-    one = F.shiftright(fp, 1)
-    both, either = fp.bitwiseAND(one).bitwiseAND(low), fp.bitwiseOR(one).bitwiseAND(low)
-    return F.shiftleft(both, 1).bitwiseOR(either)
-
-
-def differing(a: Column, b: Column) -> Column:
-    return F.bit_count(a.bitwiseXOR(b))
-
-
-def links(points: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """Columns a < b of linked fingerprints; of those that only meet in hot cells, enough links to connect what all links connect. points: a column fp, without repeats."""
-    spark = points.sparkSession
-    masks = [(sum(1 << i for i in c), (1 << (max(c) + 1)) - 1, sum(0xFF << (8 * i) for i in c)) for c in combinations(range(GRIDS), GRIDS - distance)]
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keys = F.array(*[F.struct(F.lit(chosen).alias("chosen"), F.lit(below).alias("below"), F.lit(signed(mask)).alias("mask")) for chosen, below, mask in masks])
-    cells = points.select("fp", embedding(F.col("fp")).alias("at")).select("fp", "at", F.explode(keys).alias("g"))
-    cells = cells.select("fp", "at", F.col("g.chosen").alias("chosen"), F.col("g.below").alias("below"), F.col("at").bitwiseAND(F.col("g.mask")).alias("cell"))
-
-    crowded = cells.groupBy("chosen", "cell").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    crowded = cut(crowded.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")))
-    some = bool(crowded.take(1))
-    a, b = (cells.join(crowded, ["chosen", "cell"], "left_anti") if some else cells).alias("a"), (cells.join(crowded, ["chosen", "cell"], "left_anti") if some else cells).alias("b")
-    apart = F.col("a.at").bitwiseXOR(F.col("b.at"))
-    same = sum((F.when(apart.bitwiseAND(F.lit(signed(0xFF << (8 * i)))) == 0, 1 << i).otherwise(0) for i in range(GRIDS)), F.lit(0))
-    # A pair meets in every choice of grids where it shares the cells; it counts in the first.
-    once = same.bitwiseAND(F.col("a.below")) == F.col("a.chosen")
-    near = (F.bit_count(apart) <= distance) & (differing(F.col("a.fp"), F.col("b.fp")) <= distance)
-    found = a.join(b, (F.col("a.chosen") == F.col("b.chosen")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & once & near)
-    found = found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
-    if not some:
-        return found
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    members = cells.join(crowded, ["chosen", "cell"]).withColumn("block", block)
-    # Block i meets each block j: the pair is named by the smaller and the larger.
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("chosen", "cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "fp")
-
-    def forest(pdf: pd.DataFrame) -> pd.DataFrame:
-        fps = pdf["fp"].drop_duplicates().to_numpy()
-        return spanning_forest(fps, fps.reshape(-1, 1), distance)
-
-    return found.unionByName(members.groupBy("chosen", "cell", "i", "j").applyInPandas(forest, "a long, b long"))
-
-
-def spanning_forest(ids: np.ndarray, fps: np.ndarray, distance: int) -> pd.DataFrame:
-    """Links that connect what all links among these fingerprints, one a row of fps, connect: from each one reached, its links to those not reached yet. Starts at the smallest ids, so that blocks with common members give common links."""
-    order = np.argsort(ids, kind="stable")
-    ids, fps = ids[order], fps[order]
-    rest, out = np.arange(len(ids)), []
-    while len(rest):
-        queue, rest = [rest[0]], rest[1:]
-        while queue and len(rest):
-            at = queue.pop()
-            near = np.bitwise_count((fps[rest] ^ fps[at]).view(np.uint64)).sum(axis=1, dtype=np.int64) <= distance
-            reached, rest = rest[near], rest[~near]
-            out += [(min(ids[at], ids[x]), max(ids[at], ids[x])) for x in reached]
-            queue += reached.tolist()
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
-
-
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """For each row of df: key, fp (the fingerprint as a long) and component, the smallest key that links reach from it."""
     rows = cut(df.select(df[key].alias("key"), fingerprints(df[text], shingle).alias("fp")))
@@ -132,4 +60,4 @@ def to_hex(fp: Column) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-__all__ = ["fingerprints", "links", "near_duplicates", "near_duplicates_by_similarity", "one_of_each", "to_hex"]
+__all__ = ["differing", "embedding", "fingerprint", "fingerprints", "links", "near_duplicates", "near_duplicates_by_similarity", "one_of_each", "spanning_forest", "to_hex"]

@@ -1,6 +1,6 @@
 """Near-duplicates by Jaccard similarity of the sets of word shingles, exactly: every pair at the similarity is linked, and no other.
 
-A similarity of 0.8 is about 10 differing bits of a 64-bit SimHash, beyond what cells of a grid can be small for, and any cut of an estimate loses pairs. So candidates come from the sets: two sets at the similarity share one of their first members (a fifth of them and one), whatever one order all sets are put in. Members that are common in a sample of the documents come last in this order, so that a passage that many documents share brings them together only where it is most of them. Candidates are ruled out by size, by the place of what they share, and by a fingerprint of 512 or more bits whose Hamming distance is a lower bound of the symmetric difference; what is left is compared set by set.
+Candidates come from the grid range join of SimHash fingerprints of the same shingles: sets whose fingerprints are equal, or differ in few bits. A similarity of 0.8 is about 10 differing bits of 64, beyond what cells of a grid can be small for, and any cut of an estimate loses pairs. So what lies further apart is found by the sets: two sets at the similarity share one of their first members (a fifth of them and one), whatever one order all sets are put in. Members that are common in a sample of the documents come last in this order, so that a passage that many documents share brings them together only where it is most of them. Candidates are ruled out by size, by the place of what they share, and by a fingerprint of 512 or more bits whose Hamming distance is a lower bound of the symmetric difference; what is left is compared set by set.
 
 A first member that more than CROWDED sets have doesn't give all pairs, and members that are very common in the sample don't meet in one task at all. Each of the sets is compared with three of them; then only the members of which the sets are still in several components are compared in pairs of blocks, which give a spanning forest of what the fingerprints allow. Of members that the same sets have one is enough.
 
@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from palimpsest.llm.common import cut, shingle_hashes, written
 from palimpsest.llm.components import components
+from palimpsest.llm.grid import DISTANCE, links, majority
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -42,7 +43,10 @@ MOST_BROADCAST = 500_000
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     """The distinct hashes of a text's shingles in order."""
-    blocks = list(shingle_hashes(text, shingle)[1])
+    return distinct(list(shingle_hashes(text, shingle)[1]))
+
+
+def distinct(blocks: list[np.ndarray]) -> np.ndarray:
     return np.unique(np.concatenate(blocks)).view("<i8") if blocks else np.empty(0, "<i8")
 
 
@@ -99,21 +103,23 @@ def among(x: np.ndarray, listed: np.ndarray) -> np.ndarray:
 
 
 def sketches(df: DataFrame, key: str, text: str, shingle: int, similarity: float, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """For each row of df: id (unique), key, h (hash of the text), digest and n (of its set), the first members in order, but for very common ones (first), and these (hot), and bits (parities)."""
+    """For each row of df: id (unique), key, h (hash of the text), digest and n (of its set), the SimHash of the text (fp), its first members in order, but for very common ones (first), and these (hot), and bits (parities)."""
     held = df.sparkSession.sparkContext.broadcast(common)
 
     def sketch(text: str | None) -> list:
-        x, (often, hot) = shingle_set(text, shingle), held.value
+        n, blocks = shingle_hashes(text, shingle)
+        blocks = list(blocks)
+        x, (often, hot) = distinct(blocks), held.value
         is_hot = among(x, hot)
         is_often = among(x, often) & ~is_hot
         length = prefix_length(len(x), similarity)
         first = np.concatenate((x[~is_often & ~is_hot], x[is_often]))[:length]
-        return [xxhash.xxh3_128_digest(x.tobytes()), len(x), first, x[is_hot][: length - len(first)], parities(x)]
+        return [xxhash.xxh3_128_digest(x.tobytes()), len(x), majority(n, blocks), first, x[is_hot][: length - len(first)], parities(x)]
 
     longs = pa.list_(pa.int64())
     rows = df.select(F.monotonically_increasing_id().alias("id"), df[key].alias("key"), F.xxhash64(df[text]).alias("h"), df[text].alias("text"))
-    schema = T.StructType([*rows.schema.fields[:3], T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), *[T.StructField(x, T.ArrayType(T.LongType())) for x in ("first", "hot", "bits")]])
-    return written(rows.mapInArrow(lambda b: set_arrays(b, sketch, [pa.binary(), pa.int32(), longs, longs, longs], schema.names), schema))
+    schema = T.StructType([*rows.schema.fields[:3], T.StructField("digest", T.BinaryType()), T.StructField("n", T.IntegerType()), T.StructField("fp", T.LongType()), *[T.StructField(x, T.ArrayType(T.LongType())) for x in ("first", "hot", "bits")]])
+    return written(rows.mapInArrow(lambda b: set_arrays(b, sketch, [pa.binary(), pa.int32(), pa.int64(), longs, longs, longs], schema.names), schema))
 
 
 def small(df: DataFrame, most: int) -> DataFrame:
@@ -121,6 +127,19 @@ def small(df: DataFrame, most: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most else df
 
 
+def grid_pairs(points: DataFrame, distance: int, most_broadcast: int) -> DataFrame:
+    """a < b, candidates by the grid range join: sets with linked fingerprints, by the first set of each fingerprint, and each other set of a fingerprint with its first. points: id and fp."""
+    parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    firsts = cut(points.groupBy("fp").agg(F.min("id").alias("first")))
+    # Dealt out by a hash of its own, as in simhash.near_duplicates().
+    near = cut(links(firsts.select("fp").repartition(parts, F.xxhash64("fp")), distance))
+    held = small(firsts, most_broadcast)
+    for x in "ab":
+        near = near.join(held.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")), x)
+    equal = points.select("id", "fp").join(held, "fp").where("id <> first").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return equal.unionByName(near.select(F.least("first_a", "first_b").alias("a"), F.greatest("first_a", "first_b").alias("b")))
+
+
 def thin_pairs(keyed: DataFrame, similarity: float, crowded: int) -> DataFrame:
     """a < b, candidates that share a first member which at most so many sets have, or band and a, each set of a member that more have. keyed: band, id, and n and the place of the member, packed. Rows stream through the tasks in the order of bands, and at most `crowded` of them are held back."""
     ratio = similarity / (1 + similarity)
@@ -277,7 +296,7 @@ def by_members(similarity: float) -> Callable[[pd.DataFrame], Callable[[int, np.
     return near_in
 
 
-def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, crowded: int = CROWDED, block: int = BLOCK, common: tuple[int, int, float, int] = (SAMPLED, COMMON_IN, VERY_COMMON, MOST_COMMON), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
+def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, crowded: int = CROWDED, block: int = BLOCK, distance: int = DISTANCE, common: tuple[int, int, float, int] = (SAMPLED, COMMON_IN, VERY_COMMON, MOST_COMMON), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """For each row of df: key, h (hash of the text), component, the smallest key that links reach from it (null if none of them has a key), and root, a number for each component, which tells apart those that have a key in common."""
     rows = sketches(df, key, text, shingle, similarity, common_members(df, text, shingle, *common))
     names = cut(rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("key").alias("least"), F.count("*").alias("copies")))
@@ -292,7 +311,7 @@ def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str
     pivots = cut(pivots.where("n > 1").groupBy(*alike).agg(F.min("band").alias("band"), F.first("z").alias("z")).select("band", "x", "y", "z"))
     crowd = cut(crowd.join(small(pivots.select("band"), most_broadcast), "band", "left_semi"))
     starred = crowd.join(small(pivots, most_broadcast), "band").select("id", F.explode(F.array("x", "y", "z")).alias("pivot")).where("id <> pivot")
-    pairs = found.where("band IS NULL").select("a", "b").unionByName(starred.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
+    pairs = grid_pairs(points, distance, most_broadcast).unionByName(found.where("band IS NULL").select("a", "b")).unionByName(starred.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
     pairs = cut(pairs.distinct())
 
     def fetched(pairs: DataFrame, ids: DataFrame, columns: dict[str, str]) -> DataFrame:
