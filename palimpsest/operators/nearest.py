@@ -2,7 +2,7 @@
 
 Two stages: of every row's signs, packed into longs, those that differ least from a query's make a pool, and the pool is scored exactly by cosine. nearest() without a pool scores all rows exactly.
 
-Queries and rows lie in blocks of bounded size. A block of queries meets each block of rows once, in a grid of groups of blocks, which Spark deals to tasks by a join on the places in the grid; a task holds two blocks and gives the few best of the rows for each of the queries. The best of all are a rank within each query, cut before the shuffle too. So nothing is a pair of a query and a row but inside an array, and no task grows with either side.
+Queries and rows lie in blocks of bounded size. A block of queries meets each block of rows once, in a grid of groups of blocks, which Spark deals to tasks by the places in the grid: a task holds the blocks of one place, each once, and gives the few best of its rows for each of the queries. The best of all are a rank within each query, cut before the shuffle too. So nothing is a pair of a query and a row but inside an array, and no task grows with either side.
 
 Rows whose vector is null, or of another length than most, are found by no query; a vector of zeros has the cosine 0 with all. Scores that differ by float noise tie, and so do equal numbers of signs; the smaller key goes first. Keys don't repeat.
 """
@@ -71,6 +71,13 @@ def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -np.round(unit(a) @ unit(b).T, 9)
 
 
+def _cut(rows: np.ndarray, keys: np.ndarray, cost: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k of least cost in each row; of equal costs the smaller key goes first."""
+    order = np.lexsort((keys, cost, rows))
+    keep = order[np.arange(len(order)) - np.searchsorted(rows[order], rows[order]) < k]
+    return rows[keep], keys[keep], cost[keep]
+
+
 def _best(queries: DataFrame, rows: DataFrame, k: int, bits: bool, n_rows: int = ROWS, n_queries: int = QUERIES) -> DataFrame:
     """query, key and cost of the k rows of least cost for each query. queries, rows: key and data."""
     kind = "<u8" if bits else "<f8"
@@ -83,22 +90,25 @@ def _best(queries: DataFrame, rows: DataFrame, k: int, bits: bool, n_rows: int =
     left = asked.select(deal(groups).alias("group"), every(slices).alias("slice"), F.col("keys").alias("q_keys"), F.col("data").alias("q_data"))
     right = held.select(deal(slices).alias("slice"), every(groups).alias("group"), "keys", "data")
 
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            view = lambda c, i, t: np.frombuffer(batch.column(c)[i].as_buffer(), t)  # noqa: B023, E731
-            for i in range(batch.num_rows):
-                q, x = view("q_keys", i, "<i8"), view("keys", i, "<i8")
-                a, b = view("q_data", i, kind).reshape(len(q), -1), view("data", i, kind).reshape(len(x), -1)
-                cost = _differing(a, b) if bits else _apart(a, b)
-                # Rows are in the order of their keys, so a stable sort leaves ties to the smaller key.
+    def scan(left: pa.Table, right: pa.Table) -> pa.Table:
+        view = lambda t, c, i, of: np.frombuffer(t.column(c)[i].as_buffer(), of)
+        blocks, out = [(view(right, "keys", j, "<i8"), view(right, "data", j, kind)) for j in range(right.num_rows)], []
+        for i in range(left.num_rows if blocks else 0):
+            q = view(left, "q_keys", i, "<i8")
+            a, most = view(left, "q_data", i, kind).reshape(len(q), -1), np.full(len(q), np.inf)
+            best = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+            for x, data in blocks:
+                cost = (_differing if bits else _apart)(a, data.reshape(len(x), -1))
                 some = min(k, len(x))
-                edge = np.partition(cost, some - 1, axis=1)[:, some - 1 : some]
-                for j in range(len(q)):
-                    at = np.flatnonzero(cost[j] <= edge[j])
-                    at = at[np.argsort(cost[j, at], kind="stable")][:some]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(some, q[j])), pa.array(x[at]), pa.array(cost[j, at].astype(np.float64))], names=["query", "key", "cost"])
-
-    found = left.join(right, ["group", "slice"]).mapInArrow(scan, "query long, key long, cost double")
+                row, at = np.nonzero(cost <= np.minimum(np.partition(cost, some - 1, axis=1)[:, some - 1], most)[:, None])
+                best = _cut(*(np.concatenate(c) for c in zip(best, (row, x[at], cost[row, at].astype(np.float64)), strict=True)), k)
+                n = np.bincount(best[0], minlength=len(q))
+                most = np.where(n == k, best[2][np.cumsum(n) - 1], np.inf)
+            out.append(pa.RecordBatch.from_arrays([pa.array(q[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["query", "key", "cost"]))
+        return pa.Table.from_batches(out, pa.schema([("query", pa.int64()), ("key", pa.int64()), ("cost", pa.float64())]))
+
+    place = ["group", "slice"]
+    found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInArrow(scan, "query long, key long, cost double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy("cost", "key"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 

@@ -101,6 +101,20 @@ def test_nearest_against_brute_force(spark, monkeypatch, dims):
     assert nearest.nearest(asked.limit(0), rows).count() == 0 == nearest.nearest(asked, rows.limit(0)).count()
 
 
+def test_nearest_sends_blocks_once(spark, monkeypatch):
+    """A place of the grid gets each of its blocks once, not once for each block that it meets, and gives the few best of all its rows."""
+    monkeypatch.setattr(nearest, "SLICE", 1000)
+    x = np.random.default_rng(3).normal(size=(200, 8))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "key long, data array<double>")
+    found = nearest._best(rows.where("key < 40"), rows, 3, False, 10, 4)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cost = -np.round(unit[:40] @ unit.T, 9)
+    want = {(q, i) for q in range(40) for i in sorted(range(200), key=lambda i: (cost[q, i], i))[:3]}
+    assert {(r["query"], r["key"]) for r in found.collect()} == want
+
+
 def test_steps_are_numbers(spark):
     """Tables of steps hold no names, which are joined once at the end; spans that repeat count once."""
     g = spark.createDataFrame([("p", "r", "a", "0x0"), ("p", "r", "b", "a"), ("p", "r", "c", "b"), ("p", "r", "c", "b"), ("p", "s", "a", "0x0")], "publisher string, repo string, head string, parent string")
