@@ -22,10 +22,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
-    """The same as a Parquet table, which is smaller than a checkpoint where rows hold texts."""
+    """The same as a Parquet table, which is smaller than a checkpoint. It takes one job, where a checkpoint makes the rows twice, and small files are read several to a task, so that a chain of many small tables leaves the driver few tasks to keep account of."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def let(value: Column, body) -> Column:

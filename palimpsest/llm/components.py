@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import written
 
 #: Minima that are sent to all executors, 16 bytes each or so.
 MOST_BROADCAST = 500_000
@@ -18,19 +18,19 @@ MOST_BROADCAST = 500_000
 
 def components(links: DataFrame, rounds: int = 64, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Columns node and root, the smallest node of its component, for each node that has a link. links: columns a and b of one type, in any order, with repeats or not."""
-    edges = cut(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state, held = None, lambda minima: F.broadcast(minima) if few else cut(minima)
+    edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    state, held = None, lambda minima: F.broadcast(minima) if few else written(minima)
     few = 2 * edges.count() <= most_broadcast
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(held(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        large = large if few else cut(large)
+        large = both.where("v > u").join(held(least), "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = large if few else written(large)
         low = held(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        # An edge from each node to its root alone: as many edges as nodes with one, and no root has an edge upwards.
-        now = edges.agg(F.count("*"), F.countDistinct("u"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        edges = written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        # Nothing changes once there is an edge from each node to its root alone.
+        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             break
         state = now

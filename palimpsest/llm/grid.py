@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut
+from palimpsest.llm.common import written
 
 DISTANCE = 4
 GRIDS = 8
@@ -61,7 +61,7 @@ def links(points: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
     A row of the join is a fingerprint and a cell, the same on both sides, so that one shuffle serves both; the embedding is made again where two meet."""
     cells = cells_of(points, distance)
     crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    crowded = cut(crowded.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")))
+    crowded = written(crowded.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")))
     some = bool(crowded.take(1))
     a, b = ((cells.join(crowded, "cell", "left_anti") if some else cells).alias(x) for x in "ab")
     apart = embedding(F.col("a.fp")).bitwiseXOR(embedding(F.col("b.fp")))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import cut, shingle_hashes, written
+from palimpsest.llm.common import shingle_hashes, written
 from palimpsest.llm.components import components
 from palimpsest.llm.grid import DISTANCE, links, majority
 
@@ -130,9 +130,9 @@ def small(df: DataFrame, most: int) -> DataFrame:
 def grid_pairs(points: DataFrame, distance: int, most_broadcast: int) -> DataFrame:
     """a < b, candidates by the grid range join: sets with linked fingerprints, by the first set of each fingerprint, and each other set of a fingerprint with its first. points: id and fp."""
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    firsts = cut(points.groupBy("fp").agg(F.min("id").alias("first")))
+    firsts = written(points.groupBy("fp").agg(F.min("id").alias("first")))
     # Dealt out by a hash of its own, as in simhash.near_duplicates().
-    near = cut(links(firsts.select("fp").repartition(parts, F.xxhash64("fp")), distance))
+    near = written(links(firsts.select("fp").repartition(parts, F.xxhash64("fp")), distance))
     held = small(firsts, most_broadcast)
     for x in "ab":
         near = near.join(held.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")), x)
@@ -200,7 +200,7 @@ def thin_pairs(keyed: DataFrame, similarity: float, crowded: int) -> DataFrame:
 def in_blocks(members: DataFrame, group: str, block: int, most_broadcast: int) -> DataFrame:
     """members (group, id, n, ...) dealt into blocks of their group; block i meets each block j, and the pair is named by the smaller and the larger. Groups of one block share a bucket with others."""
     blocks = members.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / block), F.ceil(F.sum("n") / BLOCK_MEMBERS)).cast("int").alias("blocks"))
-    dealt = members.join(small(cut(blocks), most_broadcast), group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = members.join(small(written(blocks), most_broadcast), group).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.withColumn("bucket", F.when(F.col("blocks") == 1, F.pmod(F.xxhash64(group), F.lit(16 * parts))).otherwise(F.xxhash64(group)))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -299,20 +299,20 @@ def by_members(similarity: float) -> Callable[[pd.DataFrame], Callable[[int, np.
 def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, crowded: int = CROWDED, block: int = BLOCK, distance: int = DISTANCE, common: tuple[int, int, float, int] = (SAMPLED, COMMON_IN, VERY_COMMON, MOST_COMMON), most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """For each row of df: key, h (hash of the text), component, the smallest key that links reach from it (null if none of them has a key), and root, a number for each component, which tells apart those that have a key in common."""
     rows = sketches(df, key, text, shingle, similarity, common_members(df, text, shingle, *common))
-    names = cut(rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("key").alias("least"), F.count("*").alias("copies")))
-    again = cut(rows.select("id", "digest").join(names.where("copies > 1").select("digest", F.col("id").alias("first")), "digest").where("id <> first").select("id"))
+    names = written(rows.groupBy("digest").agg(F.min("id").alias("id"), F.min("key").alias("least"), F.count("*").alias("copies")))
+    again = written(rows.select("id", "digest").join(names.where("copies > 1").select("digest", F.col("id").alias("first")), "digest").where("id <> first").select("id"))
     points = rows.join(small(again, most_broadcast), "id", "left_anti")
 
     keyed = points.select("id", "n", F.posexplode("first").alias("at", "band")).select("band", "id", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("packed"))
     found = written(thin_pairs(keyed, similarity, crowded))
-    crowd = cut(found.where("band IS NOT NULL").select("band", F.col("a").alias("id")).unionByName(points.select(F.explode("hot").alias("band"), "id")))
+    crowd = written(found.where("band IS NOT NULL").select("band", F.col("a").alias("id")).unionByName(points.select(F.explode("hot").alias("band"), "id")))
     alike = ["n", "x", "y", "sum", "xor"]  # the same for members that the same sets have
     pivots = crowd.groupBy("band").agg(F.min("id").alias("x"), F.max("id").alias("y"), F.min_by("id", F.xxhash64("id")).alias("z"), F.count("*").alias("n"), F.sum(F.xxhash64("id", F.lit(1)).cast("decimal(38,0)")).alias("sum"), F.bit_xor(F.xxhash64("id", F.lit(2))).alias("xor"))
-    pivots = cut(pivots.where("n > 1").groupBy(*alike).agg(F.min("band").alias("band"), F.first("z").alias("z")).select("band", "x", "y", "z"))
-    crowd = cut(crowd.join(small(pivots.select("band"), most_broadcast), "band", "left_semi"))
+    pivots = written(pivots.where("n > 1").groupBy(*alike).agg(F.min("band").alias("band"), F.first("z").alias("z")).select("band", "x", "y", "z"))
+    crowd = written(crowd.join(small(pivots.select("band"), most_broadcast), "band", "left_semi"))
     starred = crowd.join(small(pivots, most_broadcast), "band").select("id", F.explode(F.array("x", "y", "z")).alias("pivot")).where("id <> pivot")
     pairs = grid_pairs(points, distance, most_broadcast).unionByName(found.where("band IS NULL").select("a", "b")).unionByName(starred.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")))
-    pairs = cut(pairs.distinct())
+    pairs = written(pairs.distinct())
 
     def fetched(pairs: DataFrame, ids: DataFrame, columns: dict[str, str]) -> DataFrame:
         """pairs and, of each of the two, the columns of ids under their names and _a or _b."""
@@ -321,16 +321,16 @@ def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str
         return pairs
 
     nodes = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = points.select("id", "n", "bits").join(small(cut(nodes(pairs)), most_broadcast), "id", "left_semi")
+    wanted = points.select("id", "n", "bits").join(small(written(nodes(pairs)), most_broadcast), "id", "left_semi")
     maybe = fetched(pairs, wanted, {"n": "n", "bits": "w"}).where(near_sets(F.col("w_a"), F.col("w_b"), F.col("n_a"), F.col("n_b"), similarity)).select("a", "b")
-    maybe = cut(maybe)
+    maybe = written(maybe)
 
     def linked(a: Column, b: Column) -> Column:
         return F.size(F.array_intersect(a, b)) * (1 + similarity) >= similarity * (F.size(a) + F.size(b)) - 1e-6
 
     def sets_of(ids: DataFrame) -> DataFrame:
         """id and members of the sets with these ids, made again from the texts, which are read once more."""
-        which = cut(points.select("id", "key", "h").join(small(ids, most_broadcast), "id", "left_semi"))
+        which = written(points.select("id", "key", "h").join(small(ids, most_broadcast), "id", "left_semi"))
         held = df.select(df[key].alias("k_"), F.xxhash64(df[text]).alias("h_"), df[text].alias("t_")).join(small(which, most_broadcast), F.col("k_").eqNullSafe(F.col("key")) & (F.col("h_") == F.col("h")))
         made = held.select("id", "t_").mapInArrow(lambda b: set_arrays(b, lambda t: [shingle_set(t, shingle)], [pa.list_(pa.int64())], ["id", "members"]), "id long, members array<long>")
         return written(made.dropDuplicates(["id"]))
@@ -340,38 +340,38 @@ def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str
         return ids.join(small(joined.select(F.col("node").alias("id"), F.col("root").alias(root)), most_broadcast), "id", "left").withColumn(root, F.coalesce(root, "id"))
 
     # Crowded members whose sets candidates leave in several components.
-    may = cut(components(maybe))
+    may = written(components(maybe))
     placed = told(crowd, may, "root")
-    several = cut(placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"))
+    several = written(placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"))
     members = placed.join(small(several, most_broadcast), "band", "left_semi").join(points.select("id", "n", "bits"), "id")
-    more = cut(forests(members, "band", by_bits(similarity), block, most_broadcast))
+    more = written(forests(members, "band", by_bits(similarity), block, most_broadcast))
     if more.take(1):
-        maybe = cut(maybe.unionByName(more).distinct())
-        may = cut(components(maybe))
+        maybe = written(maybe.unionByName(more).distinct())
+        may = written(components(maybe))
     # Now exactly: a tree of the candidates first.
-    sets = sets_of(cut(may.select(F.col("node").alias("id"))))
+    sets = sets_of(written(may.select(F.col("node").alias("id"))))
     tree = maybe.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    good = cut(fetched(tree, sets, {"members": "s"}).where(linked(F.col("s_a"), F.col("s_b"))).select("a", "b"))
-    groups = told(may.select(F.col("node").alias("id"), F.col("root").alias("group")), cut(components(good)), "root")
-    split = cut(groups.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("group"))
+    good = written(fetched(tree, sets, {"members": "s"}).where(linked(F.col("s_a"), F.col("s_b"))).select("a", "b"))
+    groups = told(may.select(F.col("node").alias("id"), F.col("root").alias("group")), written(components(good)), "root")
+    split = written(groups.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("group"))
     left = groups.join(small(split, most_broadcast), "group", "left_semi").join(sets, "id").withColumn("n", F.size("members"))
-    good = cut(good.unionByName(forests(left, "group", by_members(similarity), block, most_broadcast)))
-    joined = cut(components(good))
+    good = written(good.unionByName(forests(left, "group", by_members(similarity), block, most_broadcast)))
+    joined = written(components(good))
     # Of all texts with a set of the component, the smallest key.
     classes = told(names.select("digest", "id", "least"), joined, "root")
-    least = cut(classes.groupBy("root").agg(F.min("least").alias("component")))
+    least = written(classes.groupBy("root").agg(F.min("least").alias("component")))
     named = classes.join(least, "root").select("digest", "component", "root")
     return rows.select("key", "h", "digest").join(named, "digest").select(F.col("key").alias(key), "h", "component", "root")
 
 
 def one_of_each(df: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """The rows of df, of each component one: that with the smallest key, and of several texts with this key that with the smallest hash. Of rows that repeat key and text one stays. Rows without a key stay as they are. The columns are those of df, whatever their names."""
-    found = cut(near_duplicates_by_similarity(df.where(df[key].isNotNull()), key, text, shingle, similarity, most_broadcast=most_broadcast).withColumnRenamed(key, "k_").withColumnRenamed("h", "h_"))
+    found = written(near_duplicates_by_similarity(df.where(df[key].isNotNull()), key, text, shingle, similarity, most_broadcast=most_broadcast).withColumnRenamed(key, "k_").withColumnRenamed("h", "h_"))
     texts = found.groupBy("k_", "h_", "root", "component").agg(F.count("*").alias("n"))
     least = texts.where("k_ = component")
     best = least.groupBy("root").agg(F.min("h_").alias("best"))
-    gone = cut(texts.where("k_ <> component").select("k_", "h_").unionByName(least.join(best, "root").where("h_ <> best").select("k_", "h_")))
-    twice = cut(texts.where("n > 1").select("k_", "h_"))
+    gone = written(texts.where("k_ <> component").select("k_", "h_").unionByName(least.join(best, "root").where("h_ <> best").select("k_", "h_")))
+    twice = written(texts.where("n > 1").select("k_", "h_"))
     # As a struct, so that no name of df's columns is in the way.
     rows = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), df[key].alias("k"), F.xxhash64(df[text]).alias("h"))
     same = (F.col("k") == F.col("k_")) & (F.col("h") == F.col("h_"))

@@ -548,3 +548,23 @@ def test_components(spark, links):
     for most in (10**6, 0):
         got = {r["node"]: r["root"] for r in components(spark.createDataFrame(links, "a long, b long"), most_broadcast=most).collect()}
         assert got == reached([x for x in links if x[0] != x[1]], nodes)
+
+
+def test_components_in_few_tasks(spark):
+    """The driver keeps account of each task, so small tables must not take one for each partition again and again."""
+    context, parts, held = spark.sparkContext, 64, ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in zip(held, (str(parts), "false"), strict=True):
+            spark.conf.set(k, v)
+        context.setJobGroup("components-in-few-tasks", "")
+        got = {r["node"]: r["root"] for r in components(spark.range(1, 200).selectExpr("id AS a", "id - id % 50 AS b")).collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: i - i % 50 for i in range(200)}
+    tracker = context.statusTracker()
+    jobs = [tracker.getJobInfo(j) for j in tracker.getJobIdsForGroup("components-in-few-tasks")]
+    tasks = sum(s.numCompletedTasks for j in jobs for k in j.stageIds if (s := tracker.getStageInfo(k)))
+    assert tasks < 16 * parts
