@@ -28,6 +28,11 @@ def written(df: DataFrame, compression: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int) -> DataFrame:
+    """df, to be broadcast in a join if it has few rows, else to be joined by a shuffle whatever size Spark takes it for: it takes a table for its bytes as compressed, and for as many rows as before an explode."""
+    return F.broadcast(df) if df.count() <= most else df.hint("merge")
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value computed once a row."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
@@ -79,4 +84,4 @@ def shingle_hashes(text: str | None, shingle: int) -> tuple[int, Iterator[np.nda
     return n, blocks()
 
 
-__all__ = ["cut", "let", "n_words", "shared_dir", "shingle_hashes", "table", "window_hashes", "word_hashes", "words", "written"]
+__all__ = ["cut", "let", "n_words", "shared_dir", "shingle_hashes", "small", "table", "window_hashes", "word_hashes", "words", "written"]

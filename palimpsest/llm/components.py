@@ -19,7 +19,7 @@ MOST_BROADCAST = 500_000
 def components(links: DataFrame, rounds: int = 64, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Columns node and root, the smallest node of its component, for each node that has a link. links: columns a and b of one type, in any order, with repeats or not."""
     edges = written(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    state, held = None, lambda minima: F.broadcast(minima) if few else written(minima)
+    state, held = None, lambda minima: F.broadcast(minima) if few else written(minima).hint("merge")
     few = 2 * edges.count() <= most_broadcast
     for _ in range(rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))

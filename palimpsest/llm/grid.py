@@ -10,11 +10,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import written
+from palimpsest.llm.common import small, written
 
 DISTANCE = 4
 GRIDS = 8
 HOT = 256
+#: Rows of ids or cells that are sent to all executors, 16 bytes each or so; more are joined by a shuffle.
+MOST_BROADCAST = 500_000
 #: In the bytes of grids that a cell is not of: 10 is no coordinate in unary.
 OPEN = 0xAAAAAAAAAAAAAAAA
 
@@ -55,15 +57,16 @@ def cells_of(points: DataFrame, distance: int) -> DataFrame:
     return cells.select("fp", F.col("at").bitwiseAND(F.col("mask")).bitwiseOR(F.bitwise_not("mask").bitwiseAND(F.lit(signed(OPEN)))).alias("cell"))
 
 
-def links(points: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+def links(points: DataFrame, distance: int = DISTANCE, hot: int = HOT, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
     """Columns a < b of linked fingerprints; of those that only meet in hot cells, enough links to connect what all links connect. points: a column fp, without repeats.
 
-    A row of the join is a fingerprint and a cell, the same on both sides, so that one shuffle serves both; the embedding is made again where two meet."""
+    A row of the join is a fingerprint and a cell, the same on both sides, so that one shuffle serves both; the embedding is made again where two meet. Spark takes the cells for no more rows than there are fingerprints, so the join is said to be by a shuffle: else it would send all cells to all executors, through the driver."""
     cells = cells_of(points, distance)
     crowded = cells.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > hot)
     crowded = written(crowded.withColumn("blocks", F.ceil(F.col("n") / hot).cast("int")))
     some = bool(crowded.take(1))
-    a, b = ((cells.join(crowded, "cell", "left_anti") if some else cells).alias(x) for x in "ab")
+    crowded = small(crowded, most_broadcast)
+    a, b = ((cells.join(crowded, "cell", "left_anti") if some else cells).hint("merge").alias(x) for x in "ab")
     apart = embedding(F.col("a.fp")).bitwiseXOR(embedding(F.col("b.fp")))
     near = (F.bit_count(apart) <= distance) & (differing(F.col("a.fp"), F.col("b.fp")) <= distance)
     same = sum((F.when(apart.bitwiseAND(F.lit(signed(0xFF << (8 * i)))) == 0, 1 << i).otherwise(0) for i in range(GRIDS)), F.lit(0))

@@ -17,9 +17,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import cut, shingle_hashes
+from palimpsest.llm.common import cut, shingle_hashes, small, written
 from palimpsest.llm.components import components
-from palimpsest.llm.grid import DISTANCE, HOT, differing, embedding, links, majority, spanning_forest
+from palimpsest.llm.grid import DISTANCE, HOT, MOST_BROADCAST, differing, embedding, links, majority, spanning_forest
 from palimpsest.llm.similar import near_duplicates_by_similarity, one_of_each
 
 SHINGLE = 4
@@ -46,9 +46,9 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", shin
     points = rows.groupBy("fp").agg(F.min("key").alias("least"))
     # Fingerprints are few bytes and their keys many: dealt out again, as the table alone would lie in few tasks. By a hash of its own, as Spark leaves out a repartition by what the groups lie by already.
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    joined = components(links(points.select("fp").repartition(parts, F.xxhash64("fp")), distance, hot))
+    joined = written(components(links(points.select("fp").repartition(parts, F.xxhash64("fp")), distance, hot)))
     # Most fingerprints have no link: the few that have are joined to the others' table, then the result to the rows.
-    classes = points.join(joined.select(F.col("node").alias("fp"), "root"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    classes = points.join(small(joined.select(F.col("node").alias("fp"), "root"), MOST_BROADCAST), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # Written, so that both sides of a join are plain tables, of which Spark can split a key with very many rows.
     classes = cut(classes)
     least = cut(classes.groupBy("root").agg(F.min("least").alias("component")))

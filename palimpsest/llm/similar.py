@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import shingle_hashes, written
+from palimpsest.llm.common import shingle_hashes, small, written
 from palimpsest.llm.components import components
-from palimpsest.llm.grid import DISTANCE, links, majority
+from palimpsest.llm.grid import DISTANCE, MOST_BROADCAST, links, majority
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -37,8 +37,6 @@ BLOCK = 2048
 BLOCK_MEMBERS = 1 << 19
 #: Documents of which members are counted, about, in how many of them a member is common, in what share of them very common, and how many common members there are at most. Any list gives the same links.
 SAMPLED, COMMON_IN, VERY_COMMON, MOST_COMMON = 8000, 3, 0.01, 200_000
-#: Rows of ids that are sent to all executors, 16 bytes each; more are joined by a shuffle.
-MOST_BROADCAST = 500_000
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -122,17 +120,12 @@ def sketches(df: DataFrame, key: str, text: str, shingle: int, similarity: float
     return written(rows.mapInArrow(lambda b: set_arrays(b, sketch, [pa.binary(), pa.int32(), pa.int64(), longs, longs, longs], schema.names), schema))
 
 
-def small(df: DataFrame, most: int) -> DataFrame:
-    """df, to be broadcast if it has few rows."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
 def grid_pairs(points: DataFrame, distance: int, most_broadcast: int) -> DataFrame:
     """a < b, candidates by the grid range join: sets with linked fingerprints, by the first set of each fingerprint, and each other set of a fingerprint with its first. points: id and fp."""
     parts = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     firsts = written(points.groupBy("fp").agg(F.min("id").alias("first")))
     # Dealt out by a hash of its own, as in simhash.near_duplicates().
-    near = written(links(firsts.select("fp").repartition(parts, F.xxhash64("fp")), distance))
+    near = written(links(firsts.select("fp").repartition(parts, F.xxhash64("fp")), distance, most_broadcast=most_broadcast))
     held = small(firsts, most_broadcast)
     for x in "ab":
         near = near.join(held.select(F.col("fp").alias(x), F.col("first").alias(f"first_{x}")), x)
@@ -315,9 +308,9 @@ def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str
     pairs = written(pairs.distinct())
 
     def fetched(pairs: DataFrame, ids: DataFrame, columns: dict[str, str]) -> DataFrame:
-        """pairs and, of each of the two, the columns of ids under their names and _a or _b."""
+        """pairs and, of each of the two, the columns of ids under their names and _a or _b. By a shuffle, as Spark takes an array for one number."""
         for x in "ab":
-            pairs = pairs.join(ids.select(F.col("id").alias(x), *[F.col(c).alias(f"{name}_{x}") for c, name in columns.items()]), x)
+            pairs = pairs.join(ids.select(F.col("id").alias(x), *[F.col(c).alias(f"{name}_{x}") for c, name in columns.items()]).hint("merge"), x)
         return pairs
 
     nodes = lambda pairs: pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
@@ -343,7 +336,7 @@ def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str
     may = written(components(maybe))
     placed = told(crowd, may, "root")
     several = written(placed.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("band"))
-    members = placed.join(small(several, most_broadcast), "band", "left_semi").join(points.select("id", "n", "bits"), "id")
+    members = placed.join(small(several, most_broadcast), "band", "left_semi").join(points.select("id", "n", "bits").hint("merge"), "id")
     more = written(forests(members, "band", by_bits(similarity), block, most_broadcast))
     if more.take(1):
         maybe = written(maybe.unionByName(more).distinct())
@@ -354,13 +347,13 @@ def near_duplicates_by_similarity(df: DataFrame, key: str = "doc_id", text: str
     good = written(fetched(tree, sets, {"members": "s"}).where(linked(F.col("s_a"), F.col("s_b"))).select("a", "b"))
     groups = told(may.select(F.col("node").alias("id"), F.col("root").alias("group")), written(components(good)), "root")
     split = written(groups.groupBy("group").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("group"))
-    left = groups.join(small(split, most_broadcast), "group", "left_semi").join(sets, "id").withColumn("n", F.size("members"))
+    left = groups.join(small(split, most_broadcast), "group", "left_semi").join(sets.hint("merge"), "id").withColumn("n", F.size("members"))
     good = written(good.unionByName(forests(left, "group", by_members(similarity), block, most_broadcast)))
     joined = written(components(good))
     # Of all texts with a set of the component, the smallest key.
     classes = told(names.select("digest", "id", "least"), joined, "root")
     least = written(classes.groupBy("root").agg(F.min("least").alias("component")))
-    named = classes.join(least, "root").select("digest", "component", "root")
+    named = classes.join(small(least, most_broadcast), "root").select("digest", "component", "root")
     return rows.select("key", "h", "digest").join(named, "digest").select(F.col("key").alias(key), "h", "component", "root")
 
 

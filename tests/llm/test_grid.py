@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
-from palimpsest.llm import grid, similar
+from palimpsest.llm import common, grid, similar
 
 
 def test_join_rows_are_narrow(spark):
@@ -34,3 +34,26 @@ def test_grid_pairs(spark):
     points = spark.createDataFrame(fps, "id long, fp long")
     for most in (10, 0):
         assert sorted(tuple(r) for r in similar.grid_pairs(points, 4, most).collect()) == [(0, 1), (0, 2), (0, 4)]
+
+
+def test_cells_are_never_broadcast(spark):
+    """Spark takes the cells for no more than their fingerprints, of which there are 70 times fewer; sent to all executors they fill the driver."""
+    rng = np.random.default_rng(7)
+    far = rng.integers(-(2**63), 2**63 - 1, 400).tolist()
+    near = [x ^ 1 for x in far[:50]]
+    points = spark.createDataFrame([(x,) for x in {*far, *near}], "fp long").repartition(2)
+    for more, sides in (((), 0), ((40, 10**6), 3), ((40, 0), 0)):
+        found = grid.links(points, 4, *more)
+        assert {(min(a, b), max(a, b)) for a, b in zip(far, near, strict=False)} <= {tuple(r) for r in found.collect()}
+        # Only the crowded cells, by which cells are ruled out on both sides and taken for blocks, may be sent.
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "SortMergeJoin" in plan and plan.count("BroadcastHashJoin") <= sides
+
+
+def test_few_rows_are_broadcast(spark):
+    """Above the bound a join is by a shuffle even where Spark takes the table for small."""
+    left, right = spark.range(100), spark.range(50).withColumn("x", F.col("id"))
+    for most, kind in ((50, "BroadcastHashJoin"), (49, "SortMergeJoin")):
+        joined = left.join(common.small(right, most), "id")
+        assert joined.count() == 50
+        assert kind in joined._jdf.queryExecution().executedPlan().toString()
