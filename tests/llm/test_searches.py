@@ -85,6 +85,36 @@ def test_hard_negatives_edges(spark):
         mine(spark, [(0, 1, [1e9]), (1, 2, [1e9]), (2, 1, [1e9])], 50)
 
 
+def test_hard_negatives_meet_in_places_of_a_grid(spark):
+    """A task gets each block once, where pairs of blocks were rows of a join (and blocks were broadcast, as Spark takes exploded arrays for small)."""
+    r = np.random.default_rng(3)
+    rows = [(i, int(i % 3), r.normal(size=8).tolist()) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
+    found = hn.hard_negatives(df, F.col("vec_id"), F.col("label"), F.col("embedding"), F.col("vec_id") % 10 == 0, positives=2, negatives=2, rows=32, anchors=8)
+    assert sorted(tuple(x) for x in found.collect()) == mined(rows, 10)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "CoGroupsInArrow" in plan and "Join" not in plan
+
+
+def test_best_of_lists():
+    """With many ties, in portions of any size, the same as a sort of all."""
+    r = np.random.default_rng(4)
+    at, keys, scores = r.integers(0, 5, 3000), r.permutation(3000), r.integers(-3, 4, 3000)
+    best = hn.Best(6, 4)
+    for part in np.array_split(np.arange(3000), 40):
+        best.add(at[part], keys[part], scores[part])
+    want = [(i, k, -s) for i in range(6) for s, k in sorted((-s, k) for a, k, s in zip(at, keys, scores, strict=True) if a == i)[:4]]
+    assert list(zip(*(x.tolist() for x in best.settle()), strict=True)) == want
+
+
+@pytest.mark.parametrize("size, kind", [(1.0, "f4"), (300.0, "f8"), (600_000.0, "i8")])
+def test_hard_negatives_of_large_vectors(spark, size, kind):
+    r = np.random.default_rng(5)
+    rows = [(i, int(i % 3), (size * r.uniform(-1, 1, 3)).tolist()) for i in range(60)] + [(60, 1, [size] * 3)]
+    assert hn.kind_of(max(sum(np.floor(256 * x) ** 2 for x in v) for _, _, v in rows)) == f"<{kind}"
+    assert mine(spark, rows, 5, rows=16, anchors=4) == mined(rows, 5)
+
+
 # Decontamination
 
 
