@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -10,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import small, written
+from palimpsest.llm.common import let, small, written
 
 DISTANCE = 4
 GRIDS = 8
@@ -45,9 +46,15 @@ def differing(a: Column, b: Column) -> Column:
     return F.bit_count(a.bitwiseXOR(b))
 
 
+def filled(x: Column) -> Column:
+    """The lowest bit of each byte of x that isn't zero."""
+    ors = [F.shiftrightunsigned(x, i) for i in range(1, 8)]
+    return reduce(lambda a, b: a.bitwiseOR(b), ors, x).bitwiseAND(F.lit(0x0101010101010101))
+
+
 def chosen_of(cell: Column) -> Column:
-    """The grids that a cell is of, a bit for each."""
-    return sum((F.when(cell.bitwiseAND(F.lit(signed(0xFF << (8 * i)))) == F.lit(signed(OPEN & (0xFF << (8 * i)))), 0).otherwise(1 << i) for i in range(GRIDS)), F.lit(0))
+    """The grids that a cell is of, the lowest bit of a byte for each."""
+    return filled(cell.bitwiseXOR(F.lit(signed(OPEN))))
 
 
 def cells_of(points: DataFrame, distance: int) -> DataFrame:
@@ -69,10 +76,10 @@ def links(points: DataFrame, distance: int = DISTANCE, hot: int = HOT, most_broa
     a, b = ((cells.join(crowded, "cell", "left_anti") if some else cells).hint("merge").alias(x) for x in "ab")
     apart = embedding(F.col("a.fp")).bitwiseXOR(embedding(F.col("b.fp")))
     near = (F.bit_count(apart) <= distance) & (differing(F.col("a.fp"), F.col("b.fp")) <= distance)
-    same = sum((F.when(apart.bitwiseAND(F.lit(signed(0xFF << (8 * i)))) == 0, 1 << i).otherwise(0) for i in range(GRIDS)), F.lit(0))
-    # A pair meets in every choice of grids where it shares the cells; it counts in the first, which has all shared ones up to its last.
+    # A pair meets in every choice of grids where it shares the cells; it counts in the first, which has all shared ones up to its last. More than a few lines of this would be more code than Spark compiles, and it is asked of near pairs alone: so as let().
     chosen = chosen_of(F.col("a.cell"))
-    once = sum((F.when((F.shiftright(chosen, i) > 0) & (same.bitwiseAND(F.lit(1 << i)) != chosen.bitwiseAND(F.lit(1 << i))), 1).otherwise(0) for i in range(GRIDS)), F.lit(0)) == 0
+    shared_besides = lambda x: F.bitwise_not(filled(x)).bitwiseAND(F.bitwise_not(chosen)).bitwiseAND(F.lit(0x0101010101010101))
+    once = let(apart, lambda x: let(shared_besides(x), lambda more: (more == 0) | (chosen < more.bitwiseAND(-more))))
     found = a.join(b, (F.col("a.cell") == F.col("b.cell")) & (F.col("a.fp") < F.col("b.fp")) & near & once)
     found = found.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
     if not some:

@@ -57,3 +57,20 @@ def test_few_rows_are_broadcast(spark):
         joined = left.join(common.small(right, most), "id")
         assert joined.count() == 50
         assert kind in joined._jdf.queryExecution().executedPlan().toString()
+
+
+def test_each_link_once_in_code_that_compiles(spark):
+    """Links of fingerprints that share several cells are listed once, by a condition that is small enough for Spark to compile: without falling back it was an error."""
+    rng = np.random.default_rng(8)
+    fps = set(rng.integers(-(2**63), 2**63 - 1, 30).tolist())
+    for x in sorted(fps):
+        for _ in range(6):
+            fps.add(int(np.bitwise_xor.reduce([x, *(grid.signed(1 << int(b)) for b in rng.integers(0, 64, rng.integers(1, 5)))])))
+    fps = sorted(fps)
+    want = [(a, b) for i, a in enumerate(fps) for b in fps[i + 1 :] if ((a ^ b) & (2**64 - 1)).bit_count() <= 4]
+    assert len(want) > 300
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        assert sorted(tuple(r) for r in grid.links(spark.createDataFrame([(x,) for x in fps], "fp long"), 4).collect()) == want
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
